@@ -4,24 +4,63 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tideline.llm import ann, html_extract, lm, mixing, secrets, simhash, substring, toxicity
 from tideline.llm.bpe import round_trip
 from tideline.llm.common import table
 from tideline.llm.exact_dedup import exact_groups
 
 
+def op1_lm_scoring(spark, sf_dir):
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+def op2_nearest_neighbours(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 def op3_byte_bpe(spark, sf_dir):
     return round_trip(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark, sf_dir):
+    return substring.dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op5_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(toxicity.labelled_documents(docs, table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_simhash(spark, sf_dir):
+    out = simhash.near_groups(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op7_html_extraction(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.main_text(pages, html_extract.train(pages))
+
+
 def op8_exact_dedup(spark, sf_dir):
     out = exact_groups(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-QUERIES = {
-    "op3_byte_bpe": op3_byte_bpe,
-    "op8_exact_dedup": op8_exact_dedup,
-}
+def op9_mixing(spark, sf_dir):
+    out = mixing.mix(table(spark, sf_dir, "documents"))
+    return out.withColumn("probability", F.round("probability", 6))
+
+
+def op10_secret_scan(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return secrets.report(docs, secrets.train(secrets.labelled_samples(docs)))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_lm_scoring, op2_nearest_neighbours, op3_byte_bpe, op4_substring_dedup, op5_toxicity, op6_simhash, op7_html_extraction, op8_exact_dedup, op9_mixing, op10_secret_scan,
+)}
 
 #: Lower-cases A-Z only.
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -32,4 +71,5 @@ WITH d AS (SELECT doc_id, {LOWER} AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
 FROM d WINDOW w AS (PARTITION BY t)""",
+    "op9_mixing": f"SELECT * REPLACE (round(probability, 6) AS probability) FROM ({mixing.mix_sql()})",
 }
