@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tideline.plans import cluster_queries, function_queries, signal_queries  # noqa: F401  they register their queries
+from tideline.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
