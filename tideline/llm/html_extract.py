@@ -27,6 +27,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 SECTION = frozenset("article aside body div footer form header html li main nav ol section table td th tr ul dl dd dt blockquote figure details".split())
 MAIN = frozenset(("tag:article", "tag:main"))
+#: Containers that say nothing about what they hold, whatever the sample's pages use them for.
+NEUTRAL = frozenset(f"tag:{t}" for t in "html body div section span center font table tbody tr td".split())
 #: Prior knowledge of page parts that are never main text: elements and words in class, id or role.
 ASIDE_TAGS = frozenset("nav header footer aside form button menu dialog search fieldset".split())
 ASIDE_WORDS = frozenset(
@@ -135,7 +137,7 @@ def learn(counts: dict[tuple[str, bool], int]) -> Weights:
 
 def word_weight(chain: tuple[str, ...], w: Weights) -> float:
     """Weight of one word: positive, unless something around it speaks against main text."""
-    odds = [w.feature.get(f, 0.0) for f in chain]
+    odds = [w.feature.get(f, 0.0) for f in chain if f not in NEUTRAL]
     worst = min(odds, default=0.0)
     return -3.0 if worst < -1.0 else 1.0 + 0.1 * max(0.0, max(odds, default=0.0))
 
