@@ -132,7 +132,11 @@ def links_in_run(key: np.ndarray, fp: np.ndarray, radius: int, small: int = 256)
 
 
 def links(prints: DataFrame, radius: int = 4) -> DataFrame:
-    """Links (a, b as longs) that connect all pairs of distinct fingerprints at Hamming distance ``radius`` (4 at most) or less."""
+    """Edges (a < b, longs) that connect all pairs of distinct fingerprints at Hamming distance ``radius`` (4 at most) or less.
+
+    Each task unites the links it has verified and sends one edge for each of their
+    fingerprints, to the smallest that it is connected with, rather than all pairs.
+    """
     if not 0 <= radius <= 4:
         raise ValueError("radius must be from 0 to 4")
 
@@ -145,7 +149,7 @@ def links(prints: DataFrame, radius: int = 4) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key[cut].view(np.int64)), pa.array(fp[row[cut]].view(np.int64))], names=["key", "fp"])
 
     def verify(batches):
-        held_key, held_fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        held_key, held_fp, united = np.zeros(0, np.int64), np.zeros(0, np.uint64), Forest()
         for last, batch in with_end(batches):
             if batch is not None:
                 held_key = np.concatenate((held_key, np.asarray(batch.column(0))))
@@ -155,13 +159,46 @@ def links(prints: DataFrame, radius: int = 4) -> DataFrame:
                 a, b = links_in_run(held_key[:whole], held_fp[:whole], radius)
                 held_key, held_fp = held_key[whole:], held_fp[whole:]
                 pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+                for x, y in zip(*pairs.tolist(), strict=True):
+                    united.unite(x, y)
+                if len(united) > 200_000:
+                    yield united.stars()
+                    united = Forest()
+        yield united.stars()
 
     keyed = prints.select("fp").distinct().mapInArrow(emit, "key long, fp long")
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(verify, "a long, b long").distinct()
 
 
+class Forest:
+    """Disjoint sets of numbers, the smallest of each set being its root."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def __len__(self) -> int:
+        return len(self.up)
+
+    def root(self, x: int) -> int:
+        up = self.up
+        top = x
+        while up.setdefault(top, top) != top:
+            top = up[top]
+        while up[x] != top:
+            up[x], x = top, up[x]
+        return top
+
+    def unite(self, x: int, y: int) -> None:
+        x, y = self.root(x), self.root(y)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+
+    def stars(self) -> pa.RecordBatch:
+        nodes = [x for x in self.up if self.root(x) != x]
+        return pa.RecordBatch.from_arrays([pa.array([self.up[x] for x in nodes], pa.int64()), pa.array(nodes, pa.int64())], names=["a", "b"])
+
+
 def with_end(batches):
     """(is it the end, batch) for every batch, then (True, None)."""
     for b in batches:
@@ -172,20 +209,31 @@ def with_end(batches):
 def components(edges: DataFrame) -> DataFrame:
     """node and root (the smallest node reachable) of every node that has an edge.
 
-    Each round takes the smallest root among the neighbours and then the root's root, which
-    halves long paths; rounds go on until nothing changes. Roots are combined by min before
+    Each round hooks every node to its smallest neighbour, follows the hooks to their ends
+    by doubling, and replaces the ends of all edges by their roots; edges within a root and repeated ones go, so
+    that the edges shrink from round to round until none is left. Minima are combined before
     the shuffle, and each round is written to the shared folder.
     """
-    edges = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    now = stored(edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).withColumnRenamed("a", "node"))
-    while True:
-        best = edges.join(now.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("best"))
-        hooked = now.join(best.withColumnRenamed("a", "node"), "node").select("node", F.col("root").alias("old"), F.least("root", "best").alias("root"))
-        jump = hooked.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        step = stored(hooked.join(jump, "root").select("node", "old", F.least("root", "up").alias("root")))
-        now = step.select("node", "root")
-        if step.where("root < old").isEmpty():
-            return now
+    now, total = stored(edges.select("a", "b").distinct()), None
+    while total is None or not now.isEmpty():
+        ends = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = stored(ends.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")))
+        while True:
+            step = stored(followed(up.withColumn("old", F.col("root")), "root", up))
+            up = step.select("node", "root")
+            if step.where("root <> old").isEmpty():
+                break
+        total = up if total is None else stored(followed(total, "root", up))
+        moved = followed(followed(now, "a", up), "b", up).where("a <> b")
+        now = stored(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return total
+
+
+def followed(rows: DataFrame, column: str, up: DataFrame) -> DataFrame:
+    """``rows`` with the nodes of a column replaced by their roots."""
+    steps = up.select(F.col("node").alias("__node"), F.col("root").alias("__root"))
+    joined = rows.join(steps, F.col(column) == F.col("__node"), "left")
+    return joined.select(*[F.coalesce("__root", column).alias(c) if c == column else F.col(c) for c in rows.columns])
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
