@@ -15,7 +15,7 @@ from tideline.llm.common import stored, table
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.3; the classifier is fitted on labelled documents outside the held-out ids."""
-    model = toxicity.train(toxicity.labelled_documents(docs, table(spark, sf_dir, "labels")))
+    model = toxicity.train(docs, toxicity.training_labels(table(spark, sf_dir, "labels")))
     return toxicity.with_score(docs, model).where(F.col("__toxicity") < 0.3).drop("__toxicity")
 
 

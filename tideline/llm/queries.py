@@ -29,7 +29,7 @@ def op4_substring_dedup(spark, sf_dir):
 
 def op5_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.train(toxicity.labelled_documents(docs, table(spark, sf_dir, "labels")))
+    model = toxicity.train(docs, toxicity.training_labels(table(spark, sf_dir, "labels")))
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 

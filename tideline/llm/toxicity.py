@@ -72,12 +72,11 @@ def fit_rows(rows: list[np.ndarray], y: np.ndarray, prior: float, alpha: float,
     chosen = np.sort(np.argsort(-strength, kind="stable")[: min(features, int(seen.sum()))])
     if not len(chosen):
         return Model(chosen, np.zeros(0, np.float32), -4.0)
-    place = np.full(size, -1, np.int64)
-    place[chosen] = np.arange(len(chosen))
-    cols = [place[b] for b in rows]
-    cols = [c[c >= 0] for c in cols]
-    who, cols = np.repeat(np.arange(len(y)), [len(c) for c in cols]), np.concatenate(cols)
-    vals = ratio[chosen][cols]
+    place = np.full(size, -1, np.int32)
+    place[chosen] = np.arange(len(chosen), dtype=np.int32)
+    cols = [c[c >= 0] for c in (place[b] for b in rows)]
+    who, cols = np.repeat(np.arange(len(y), dtype=np.int32), [len(c) for c in cols]), np.concatenate(cols)
+    vals = ratio[chosen].astype(np.float32)[cols]
     w, bias, mw, mb, vw, vb = np.zeros(len(chosen)), 0.0, 0.0, 0.0, 0.0, 0.0
     for t in range(1, steps + 1):  # Adam on the whole sample
         z = np.clip(np.bincount(who, vals * w[cols], len(y)) + bias, -30, 30)
@@ -92,26 +91,24 @@ def fit_rows(rows: list[np.ndarray], y: np.ndarray, prior: float, alpha: float,
 
 
 def train(
-    labelled: DataFrame, text_col: str = "text", label_col: str = "label", id_col: str = "doc_id", sample_positive: int = 3000,
-    sample_negative: int = 5000, alpha: float = 1.0, features: int = 60_000, l2: float = 1e-4, steps: int = 60,
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", sample_positive: int = 1200,
+    sample_negative: int = 2400, alpha: float = 1.0, features: int = 60_000, l2: float = 1e-4, steps: int = 60,
 ) -> Model:
     """Fit the classifier on a bounded sample of labelled rows.
 
-    ``sample_positive`` and ``sample_negative`` bound the rows of either label; those with the
-    smallest hash of id and label are taken. All labelled rows count for the share of label 1.
-    The sample's n-grams are computed on the executors and fitted in one task; the driver gets
-    at most ``features`` buckets and weights. Rows of null label take no part. Without rows of
-    both labels every text scores low.
+    ``labels`` has the id and the label (0 or 1). ``sample_positive`` and ``sample_negative``
+    bound the ids of either label; those with the smallest hash of id and label are taken. All
+    labels count for the share of label 1. The sample's n-grams are computed where its texts
+    are read and fitted in one task; the driver gets at most ``features`` buckets and weights.
+    Null labels take no part; an id with both labels is two rows. Without rows of both labels
+    every text scores low.
     """
-    rows = labelled.where(F.col(label_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y"), whole_text(text_col).alias("text")
-    )
-    order = F.xxhash64("doc_id", "y")
-    ids = rows.select("doc_id", "y", order.alias("h"))
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("y"))
+    ids = known.withColumn("h", F.xxhash64("__id", "y"))
     share = ids.agg(F.avg("y").alias("p")).first()["p"]
     prior = min(max(share or 0.5, 0.01), 0.99)
-    picked = ids.where("y = 1").orderBy("h", "doc_id").limit(sample_positive).unionByName(ids.where("y = 0").orderBy("h", "doc_id").limit(sample_negative))
-    picked = picked.select("doc_id", "y").distinct()
+    picked = ids.where("y = 1").orderBy("h", "__id").limit(sample_positive).unionByName(ids.where("y = 0").orderBy("h", "__id").limit(sample_negative))
+    picked = picked.select("__id", "y").distinct()
 
     def grams(batches):
         for b in batches:
@@ -119,11 +116,12 @@ def train(
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary())], names=["doc_id", "y", "grams"])
 
     def fit(t: pa.Table) -> pa.Table:
-        m = fit_rows([np.frombuffer(g, "<u4").astype(np.int64) for g in t.column("grams").to_pylist()], t.column("y").to_numpy().astype(float), prior, alpha, features, l2, steps)
+        m = fit_rows([np.frombuffer(g, "<u4") for g in t.column("grams").to_pylist()], t.column("y").to_numpy().astype(float), prior, alpha, features, l2, steps)
         return pa.table({"buckets": [m.buckets.tolist()], "weights": [m.weights.astype(float).tolist()], "bias": [m.bias]}, schema=pa.schema([("buckets", pa.list_(pa.int64())), ("weights", pa.list_(pa.float64())), ("bias", pa.float64())]))
 
     # The sample's ids number at most sample_positive + sample_negative, so they can be broadcast.
-    sample = rows.join(F.broadcast(picked), ["doc_id", "y"], "left_semi").select("doc_id", "y", "text").mapInArrow(grams, "doc_id long, y int, grams binary")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
+    sample = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).select("doc_id", "y", "text").mapInArrow(grams, "doc_id long, y int, grams binary")
     got = sample.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(fit, "buckets array<long>, weights array<double>, bias double").first()
     if got is None:
         return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), -4.0)
@@ -162,7 +160,6 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % 4 == 2
 
 
-def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts with their toxic label; ids of remainder 2 stay out."""
-    known = labels.where(F.col("toxic").isNotNull() & ~held_out()).select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("label"))
-    return docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("__id")).drop("__id")
+def training_labels(labels: DataFrame) -> DataFrame:
+    """Ids and toxic labels; ids of remainder 2 stay out."""
+    return labels.where(~held_out()).select("doc_id", F.col("toxic").cast("int").alias("label"))
