@@ -51,5 +51,6 @@ def exact_groups(
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``exact_groups`` keeps, with all their columns."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept_id")), "left_semi")
+    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__kept_id"), F.col("digest").alias("__kept_digest")).distinct()
+    own = sha256(ascii_lower(whole_text(text_col))) == F.col("__kept_digest")
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept_id")) & own, "left_semi")
