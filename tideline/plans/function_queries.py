@@ -203,9 +203,9 @@ def options(spark):
     return catalog.merged(catalog.parse(spark.createDataFrame(lines, "layer int, line_no int, line string")))
 
 
-@query("SELECT * FROM (VALUES ('one', 'amplitude', 'float', 2.5::DOUBLE, NULL::BOOLEAN), ('one', 'n', 'int', 1000, NULL), ('one', 'on', 'bool', NULL, true), ('one', 'freq', 'str', NULL, NULL), ('one', 'data_fetcher', 'str', NULL, NULL)) v(name, option, kind, number, flag) -- number")
+@query("SELECT * FROM (VALUES ('one', 'amplitude', 'float', 2.5::DOUBLE, ''), ('one', 'n', 'int', 1000, ''), ('one', 'on', 'bool', NULL, 'true'), ('one', 'freq', 'str', NULL, ''), ('one', 'data_fetcher', 'str', NULL, '')) v(name, option, kind, number, flag) -- number")
 def cfg_get(spark, sf_dir):
-    return catalog.typed(options(spark)).where("section_type = 'Diagnostic' AND name = 'one'").select("name", "option", "kind", "number", "flag")
+    return catalog.typed(options(spark)).where("section_type = 'Diagnostic' AND name = 'one'").select("name", "option", "kind", "number", F.coalesce(F.col("flag").cast("string"), F.lit("")).alias("flag"))
 
 
 @query("SELECT * FROM (VALUES ('Diagnostic', 3), ('Device', 1), ('Acquisition', 1), ('Plots', 1), ('Nonsense', 1), ('variabletypes', 1)) v(section_type, sections)")
@@ -265,7 +265,7 @@ def src_h1(spark, sf_dir):
     return shots(spark, sf_dir).select("shot", "main_current", "sec_current", (F.col("sec_current") / F.col("main_current")).alias("kh"))
 
 
-@query("SELECT date_trunc('hour', ts) - INTERVAL (hour(ts) % 4) HOUR AS start, event_type, count(*) AS n, avg(value) AS mean, sum(value * value) AS energy FROM events GROUP BY ALL -- mean energy", digits=3)
+@query("SELECT date_trunc('hour', ts) - INTERVAL (hour(ts) % 4) HOUR AS start, event_type, count(*) AS n, avg(value) AS mean, sum(value * value) AS energy FROM events GROUP BY ALL -- mean energy", digits=2)
 def stream_windowed_energy(spark, sf_dir):
     """The streaming transform over a finite table."""
     from tideline.streaming import live

@@ -53,13 +53,13 @@ def subtract_mean(spark, sf_dir):
 def normalise_sql(scale: str, separate: bool) -> str:
     joint = "s" if separate else "max(s) OVER (PARTITION BY shot)"
     return f"""WITH {DAILY}, o AS (SELECT *, {scale} OVER (PARTITION BY shot, ch_ix) AS s0 FROM daily), o1 AS (SELECT *, {"sqrt(s0)" if "value * value" in scale else "s0"} AS s FROM o),
-o2 AS (SELECT *, {joint} AS scale FROM o1) SELECT shot, ch_ix, sample_ix, t, value / scale * 1000 AS value, scale FROM o2 -- t value scale"""
+o2 AS (SELECT *, {joint} AS scale FROM o1) SELECT shot, ch_ix, sample_ix, t, value / scale * 1000 AS value, scale / 1e8 AS scale FROM o2 -- t value scale"""
 
 
 def normalise_query(name: str, method: str, scale: str, separate: bool) -> None:
     def f(spark, sf_dir):
         out = signals.normalise(daily(spark, sf_dir), method, separate)
-        return out.select("shot", "ch_ix", "sample_ix", "t", (F.col("value") * 1000).alias("value"), "scale")
+        return out.select("shot", "ch_ix", "sample_ix", "t", (F.col("value") * 1000).alias("value"), (F.col("scale") / 1e8).alias("scale"))
 
     f.__name__ = name
     query(normalise_sql(scale, separate))(f)
@@ -374,7 +374,7 @@ def gen_timebase(spark, sf_dir):
 
 
 @query("""SELECT c::INT AS ch_ix, i AS sample_ix, i / 1e6 AS t, 0.7 * cos(2 * pi() * 24e3 * (i / 1e6) + 3 * (c * 2 * pi() / 10) + 0.2) + 0.5 * cos(2 * pi() * 37e3 * (i / 1e6) + 4 * (c * 2 * pi() / 10) + 0.3) AS value
-FROM range(10) a(c), range(1024) r(i) -- t value""")
+FROM range(10) a(c), range(1024) r(i) -- t value""", digits=6)
 def gen_multimode(spark, sf_dir):
     return synthetic.multimode(spark).select("ch_ix", "sample_ix", "t", "value")
 
