@@ -265,7 +265,7 @@ def src_h1(spark, sf_dir):
     return shots(spark, sf_dir).select("shot", "main_current", "sec_current", (F.col("sec_current") / F.col("main_current")).alias("kh"))
 
 
-@query("SELECT date_trunc('hour', ts) - INTERVAL (hour(ts) % 4) HOUR AS start, event_type, count(*) AS n, avg(value) AS mean, sum(value * value) AS energy FROM events GROUP BY ALL -- mean energy", digits=2)
+@query("SELECT date_trunc('hour', ts) - INTERVAL (hour(ts) % 4) HOUR AS start, event_type, count(*) AS n, avg(value) AS mean, sum(value * value) AS energy FROM events GROUP BY ALL -- mean energy", digits=6)
 def stream_windowed_energy(spark, sf_dir):
     """The streaming transform over a finite table."""
     from tideline.streaming import live
