@@ -110,14 +110,36 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     )
 
 
-def train(rows: DataFrame, fit_rows: int = 4096, rows_per_part: int = 1500, most_parts: int = 128) -> tuple[Router, int, int]:
-    """Router, number of parts and dimension, fitted on the ``fit_rows`` rows with the smallest id hash."""
+def probes_needed(router: Router, x: np.ndarray, own: np.ndarray, parts: int, coverage: float, k: int = 10) -> int:
+    """How many probable parts of the rows ``own`` hold ``coverage`` of their ``k`` nearest rows of ``x``."""
+    if parts < 2 or not len(own) or len(x) < 2:
+        return parts
+    part, ranked, ranks = router.probable(x, 1)[:, 0], router.probable(x[own], parts), []
+    norms = (x * x).sum(1)
+    for i, row in zip(own, ranked, strict=True):
+        d = norms - 2 * x @ x[i]
+        d[i] = np.inf
+        near = np.argpartition(d, min(k, len(x) - 1) - 1)[: min(k, len(x) - 1)]
+        ranks.append(np.argsort(row)[part[near]])
+    return int(np.quantile(np.concatenate(ranks), coverage, method="higher")) + 1
+
+
+def train(rows: DataFrame, fit_rows: int = 4096, test_rows: int = 512, rows_per_part: int = 1500, most_parts: int = 128, coverage: float = 0.96) -> tuple[Router, int, int, int]:
+    """Router, number of parts, dimension and number of parts to search.
+
+    The rows with the smallest id hash are the sample: ``fit_rows`` to fit on and ``test_rows``
+    others, whose nearest neighbours in the sample tell how many parts must be searched.
+    """
     n = rows.count()
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows).select("v").toArrow().column("v").to_pylist()
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows + test_rows).select("v").toArrow().column("v").to_pylist()
     dim = max((len(v) for v in sample), default=1)
-    x = np.unique(np.array([v for v in sample if len(v) == dim], np.float64).reshape(-1, dim), axis=0)
-    parts = 1 << max(0, int(math.log2(max(1, min(most_parts, n / rows_per_part, len(x) / 16)))))
-    return fit(x, parts), parts, dim
+    seen = np.array([v for v in sample if len(v) == dim], np.float64).reshape(-1, dim)
+    x = seen[np.sort(np.unique(seen, axis=0, return_index=True)[1])] if len(seen) else seen
+    held = min(test_rows, len(x) // 5)
+    fitted = x[: len(x) - held]
+    parts = 1 << max(0, int(math.log2(max(1, min(most_parts, n / rows_per_part, len(fitted) / 16)))))
+    router = fit(fitted, parts)
+    return router, parts, dim, probes_needed(router, x, np.arange(len(x) - held, len(x)), parts, coverage)
 
 
 def assign(rows: DataFrame, router: Router, dim: int, probes: int) -> DataFrame:
@@ -172,22 +194,23 @@ def nearest_in_block(rows: pa.Table, queries: pa.Table, k: int) -> pa.Table:
 
 
 def search(
-    vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", probe_share: float = 0.34,
-    block_rows: int = 4096, block_queries: int = 512, **fitting: int,
+    vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding",
+    block_rows: int = 4096, block_queries: int = 512, **fitting,
 ) -> DataFrame:
     """The k nearest rows found for each query: query_id, rank, vec_id, score (Euclidean distance).
 
     Rows of one part are dealt to blocks of about ``block_rows`` by a hash of their id, however
     many copies a vector has, and queries to blocks of about ``block_queries``; each pair of
-    blocks of a part is one group. A query takes ``probe_share`` of the parts, two at least.
+    blocks of a part is one group. A query is sent to as many of its most probable parts,
+    two at least, as the sample's held-back rows need to cover ``coverage`` of their neighbours.
     Unusable vectors (null, zero, with null or non-finite components) take no part as rows or
     queries. Vectors of another length meet those of their own length only. Rows and queries
     that repeat an id count once, at the smallest distance; a row with the query's id is none
     of its candidates. Empty tables give no rows.
     """
     rows, asked = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col)
-    router, parts, dim = train(rows, **fitting)
-    probes = min(parts, max(2, math.ceil(parts * probe_share)))
+    router, parts, dim, needed = train(rows, **fitting)
+    probes = min(parts, max(2, needed))
     placed, sent = assign(rows, router, dim, 1), assign(asked, router, dim, probes)
     # Counts of at most ``parts`` + 1 parts.
     size = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
