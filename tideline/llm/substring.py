@@ -98,6 +98,7 @@ def repeats(run: list[tuple[int, int, int, int, bytes]], width: int) -> list[tup
 
 
 RANGES = "doc long, key long, first int, last int"
+OF_DOC = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("ranges", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))])
 
 
 def range_batch(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
@@ -129,26 +130,61 @@ def trees(contexts: DataFrame, width: int) -> DataFrame:
     return contexts.repartition(n, "h").sortWithinPartitions("h").mapInArrow(run, RANGES)
 
 
-def combined(contexts: DataFrame, width: int) -> DataFrame:
-    """Repeated windows of the largest groups, by the 128-bit digest of all their words; skew-safe sums and joins only."""
+def digests(context: bytes, width: int) -> list[bytes]:
+    """128-bit digest of each window of a context."""
+    words = context.split(b" ")
+    return [xxhash.xxh3_128_digest(b" ".join(words[i : i + width])) for i in range(len(words) - width + 1)]
 
-    def run(batches):
-        for b in batches:
-            docs, keys, firsts = (b.column(i).to_pylist() for i in (1, 2, 3))
-            out: list[tuple] = []
-            for doc, key, first, context in zip(docs, keys, firsts, as_bytes(b.column(5)), strict=True):
-                words = context.split(b" ")
-                for i in range(len(words) - width + 1):
-                    out.append((xxhash.xxh3_128_digest(b" ".join(words[i : i + width])), doc, key, first + i))
-            cols = zip(*out, strict=True) if out else ((),) * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.binary(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["w", "doc", "key", "first"])
 
-    windows = contexts.mapInArrow(run, "w binary, doc long, key long, first int")
-    least = windows.groupBy("w").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
-    return windows.join(least, "w").where("doc > least").select("doc", "key", "first", F.col("first").alias("last"))
+def combined(contexts: DataFrame, width: int, most_nodes: int) -> DataFrame:
+    """Repeated window ranges of the largest groups, a row for each document and salted group.
 
+    Every window is its own prefix here: windows are combined by the digest of all their
+    words, in each task first, which leaves one node for each content that occurs in several
+    documents. A group's contexts are dealt to salts, and each salt meets the group's nodes. A
+    group of more than ``most_nodes`` nodes has its windows joined to them one by one instead.
+    """
+    contexts = stored(contexts)
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, gram: int = 8, largest_group: int = 8192) -> DataFrame:
+    def run(batches):
+        for b in batches:
+            out: list[tuple] = []
+            for h, doc, key, first, context in zip(*(b.column(i).to_pylist() for i in range(4)), as_bytes(b.column(5)), strict=True):
+                out += [(h, w, doc, key, first + i) for i, w in enumerate(digests(context, width))]
+            cols = zip(*out, strict=True) if out else ((),) * 5
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["h", "w", "doc", "key", "first"])
+
+    windows = contexts.select("h", "doc", "key", "first", "before", "context").mapInArrow(run, "h long, w binary, doc long, key long, first int")
+    nodes = stored(windows.groupBy("h", "w").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most"))
+    per_group = stored(nodes.groupBy("h").agg(F.count(F.lit(1)).alias("nodes")))
+    salts = stored(contexts.groupBy("h").agg(F.max("salts").alias("salts")))
+
+    def find(rows: pa.Table, known: pa.Table) -> pa.RecordBatch:
+        least = dict(zip(known.column("w").to_pylist(), known.column("least").to_pylist(), strict=True))
+        of_doc: dict[tuple[int, int], list[dict[str, int]]] = {}
+        for doc, key, first, context in zip(*(rows.column(c).to_pylist() for c in ("doc", "key", "first")), as_bytes(rows.column("context")), strict=True):
+            at = -2
+            for i, w in enumerate(digests(context, width)):
+                if least.get(w, doc) < doc:
+                    if at == i - 1:
+                        of_doc[doc, key][-1]["last"] = first + i
+                    else:
+                        of_doc.setdefault((doc, key), []).append({"first": first + i, "last": first + i})
+                    at = i
+        return pa.table({"doc": [d for d, _ in of_doc], "key": [k for _, k in of_doc], "ranges": list(of_doc.values())}, schema=OF_DOC)
+
+    few = per_group.where(F.col("nodes") <= most_nodes).select("h")
+    dealt = nodes.join(few, "h", "left_semi").join(salts, "h").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("h", "salt", "w", "least")
+    ranges = contexts.groupBy("h", "salt").cogroup(dealt.groupBy("h", "salt")).applyInArrow(find, "doc long, key long, ranges array<struct<first:int,last:int>>")
+    many = per_group.where(F.col("nodes") > most_nodes).select("h")
+    if many.isEmpty():
+        return ranges
+    single = windows.join(many, "h", "left_semi").join(nodes, ["h", "w"]).where("doc > least")
+    return ranges.unionByName(single.select("doc", "key", F.array(F.struct("first", F.col("first").alias("last"))).alias("ranges")))
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, gram: int = 8, largest_group: int = 8192, most_nodes: int = 200_000) -> DataFrame:
     """Remove words covered by a window whose words also start in a document of smaller id.
 
     Returns doc_id, n_words, n_removed, kept (the kept words joined by one space) and
@@ -173,10 +209,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
 
     places = stored(texts.mapInArrow(find, "h long, doc long, key long, at int, lo int, hi int"))
     shared = places.groupBy("h").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most")
+    # Written, so that both sides of the join are plain exchanges and a hot anchor can be split.
+    shared = stored(shared.select("h", F.ceil(F.col("n") / largest_group).cast("int").alias("salts")))
     marked = stored(
-        places.join(shared.select("h", "n"), "h")
-        .groupBy("doc", "key", (F.col("n") > largest_group).alias("large"))
-        .agg(F.collect_set(F.struct("h", "at", "lo", "hi")).alias("anchors"))
+        places.join(shared, "h")
+        .groupBy("doc", "key", (F.col("salts") > 1).alias("large"))
+        .agg(F.collect_set(F.struct("h", "at", "lo", "hi", "salts")).alias("anchors"))
     )
 
     def contexts(large: bool) -> DataFrame:
@@ -185,25 +223,25 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
                 out: list[tuple] = []
                 for doc, key, raw, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2)), b.column(3).to_pylist(), strict=True):
                     words = raw.split()
-                    out += [(f["h"], doc, key, f["lo"], f["at"] - f["lo"], b" ".join(words[f["lo"] : f["hi"] + width])) for f in found]
+                    out += [(f["h"], doc, key, f["lo"], f["at"] - f["lo"], b" ".join(words[f["lo"] : f["hi"] + width]), key % f["salts"], f["salts"]) for f in found]
                     if len(out) > 20_000:
                         yield batch(out)
                         out = []
                 yield batch(out)
 
         def batch(out: list[tuple]) -> pa.RecordBatch:
-            cols = zip(*out, strict=True) if out else ((),) * 6
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["h", "doc", "key", "first", "before", "context"])
+            cols = zip(*out, strict=True) if out else ((),) * 8
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["h", "doc", "key", "first", "before", "context", "salt", "salts"])
 
         own = marked.where("large" if large else "not large").select("doc", "key", "anchors")
         joined = texts.join(own, ["doc", "key"]).select("doc", "key", "text", "anchors")
-        return joined.mapInArrow(cut, "h long, doc long, key long, first int, before int, context binary")
+        return joined.mapInArrow(cut, "h long, doc long, key long, first int, before int, context binary, salt int, salts int")
 
-    ranges = trees(contexts(False), width)
+    ranges = trees(contexts(False).drop("salt", "salts"), width).select("doc", "key", F.array(F.struct("first", "last")).alias("ranges"))
     if not marked.where("large").isEmpty():
-        ranges = ranges.unionByName(combined(contexts(True), width))
-    gathered = ranges.groupBy("doc", "key").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
+        ranges = ranges.unionByName(combined(contexts(True), width, most_nodes))
+    gathered = ranges.groupBy("doc", "key").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
     def remove(batches):
         for b in batches:
