@@ -3,20 +3,23 @@
 Smoothed n-grams become states; a state without an arc for the next symbol follows its
 failure arc, paying the backoff weight, to the state of its shorter suffix.
 
-Symbols are the frequent words (at least ``head_share`` of all training tokens each, hence at
-most 1 / head_share of them), the end, and one symbol for all other words. A word behind that
-symbol is drawn by its smoothed corpus frequency, so that the model gives every possible text
-a probability and those of all next tokens add up to 1. n-grams of symbols become arcs if
-they make up ``gram_share`` of the training tokens, hence at most 1 / gram_share of each order:
-the automaton has a proven size bound and is sent to all tasks, while the word counts, which
-have none, are joined.
+Every word is a symbol. A bigram or trigram becomes an arc if it occurs ``MIN_COUNT`` times in
+the training texts, whatever their number, so that the automaton grows with the corpus. It is
+a written table and is never sent whole: each block of texts gets the word counts, arcs and
+states it asks for by joins. One more symbol stands for all unseen words, and the probabilities
+of all next symbols add up to 1. n-grams are known by 64-bit hashes.
+
+``build`` and ``Automaton`` are the same model held in memory, for small tables.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,8 @@ from tideline.llm.common import as_bytes, stored, whole_text
 END = b""
 TAIL = 0
 DELTA = 0.1
+DISCOUNT = 0.5
+MIN_COUNT = 2
 
 
 def tokens(raw: bytes) -> list[bytes]:
@@ -85,7 +90,7 @@ class Automaton:
         return total
 
 
-def build(symbol_counts: list[int], n: int, v: int, grams: dict[tuple[int, ...], int], starts: int, least: float, discount: float = 0.5) -> Automaton:
+def build(symbol_counts: list[int], n: int, v: int, grams: dict[tuple[int, ...], int], starts: int, least: float, discount: float = DISCOUNT) -> Automaton:
     """Interpolated absolute discounting over the retained n-grams, in backoff form.
 
     ``symbol_counts`` are those of the symbols after TAIL; ``grams`` counts bigrams and
@@ -148,110 +153,196 @@ def word_counts(training: DataFrame) -> DataFrame:
     return training.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def gram_counts(training: DataFrame, symbols: dict[bytes, int], size: int) -> DataFrame:
-    """g and n: bigrams and trigrams of symbols, packed to one number with a leading order, counted within each task first."""
+class Hashes(dict):
+    """64-bit hashes of words, the last million kept."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 1_000_000:
+            self.clear()
+        self[word] = out = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return out
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def gram_hashes(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the bigram and the trigram that end at each word of ``w`` (word hashes); 0 where there are too few before it."""
+    two, three = np.zeros_like(w), np.zeros_like(w)
+    two[1:] = mixed(w[:-1] * np.uint64(0x9E3779B97F4A7C15) + w[1:] * np.uint64(0xD1B54A32D192ED03))
+    three[2:] = mixed(two[1:-1] * np.uint64(0xAEF17502108EF2D9) + w[2:] * np.uint64(0xF1357AEA2E62A9C5))
+    return two, three
+
+
+def places(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... within each run of the given sizes."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def portions(raws: list[bytes], most: int = 1 << 20) -> Iterator[list[list[bytes]]]:
+    """The tokens of the texts, an end before each, in lists of about ``most`` bytes of text."""
+    held, waiting = [], 0
+    for raw in raws:
+        held.append([END, *tokens(raw)])
+        waiting += len(raw)
+        if waiting > most:
+            yield held
+            held, waiting = [], 0
+    if held:
+        yield held
+
+
+def gram_rows(held: list[list[bytes]], hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each bigram and trigram in the texts, and that of its history."""
+    sizes = np.array([len(x) for x in held])
+    w = np.fromiter(map(hashes.__getitem__, chain.from_iterable(held)), np.uint64, sizes.sum())
+    at = places(sizes)
+    two, three = gram_hashes(w)
+    second, third = np.flatnonzero(at >= 1), np.flatnonzero(at >= 2)
+    return np.concatenate((two[second], three[third])), np.concatenate((w[second - 1], two[third - 1]))
+
+
+def gram_counts(training: DataFrame) -> DataFrame:
+    """g, h and n: hash of each bigram and trigram, of its history, and its count; counted within each task before the shuffle."""
 
     def run(batches):
-        end, total = size - 1, [np.zeros(0, np.int64), np.zeros(0, np.int64)]
-        held: list[np.ndarray] = []
-        waiting = 0
+        hashes = Hashes()
         for b in batches:
-            for raw in as_bytes(b.column(0)):
-                s = np.array([end, *(symbols.get(w, TAIL) for w in tokens(raw))], np.int64)
-                two = s[:-1] * size + s[1:]
-                held += [two, two[:-1] * size + s[2:] + size * size]
-                waiting += len(s)
-                if waiting > 1_000_000:
-                    total, held, waiting = merged(total, held), [], 0
-        total = merged(total, held)
-        for at in range(0, len(total[0]), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in total], names=["g", "n"])
-
-    def merged(total, held):
-        if not held:
-            return total
-        keys, counts = np.unique(np.concatenate(held), return_counts=True)
-        keys = np.concatenate((total[0], keys))
-        new, where = np.unique(keys, return_inverse=True)
-        return [new, np.bincount(where, np.concatenate((total[1], counts)), len(new)).astype(np.int64)]
-
-    return training.select("text").mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
-
-
-def unpack(g: int, size: int) -> tuple[int, ...]:
-    if g < size * size:
-        return (g // size, g % size)
-    g -= size * size
-    return (g // (size * size), g // size % size, g % size)
-
-
-def train(training: DataFrame, head_share: float = 5e-4, gram_share: float = 2e-6) -> tuple[DataFrame, int, int, dict[bytes, int], Automaton]:
-    """Counts of all training words (written), their sum N and number V, the frequent words' symbols, and the automaton."""
+            for held in portions(as_bytes(b.column(0)), 4 << 20):
+                g, h = gram_rows(held, hashes)
+                g, first, n = np.unique(g, return_index=True, return_counts=True)
+                cols = (g.view(np.int64), h[first].view(np.int64), n)
+                for at in range(0, len(g), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000], pa.int64()) for x in cols], names=["g", "h", "n"])
+
+    return training.select("text").mapInArrow(run, "g long, h long, n long").groupBy("g", "h").agg(F.sum("n").alias("n"))
+
+
+def train(training: DataFrame, min_count: int = MIN_COUNT) -> tuple[DataFrame, int, int, DataFrame]:
+    """Counts of all training words (written), their sum N and number V, and the automaton.
+
+    The automaton has key (a hash), n and mass: n is the count of an n-gram that is an arc, mass
+    the discounted counts of the arcs of a state. Either is null where the key isn't one.
+    """
     counts = stored(word_counts(training))
     sums = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    n, v = sums["n"] or 0, sums["v"]
-    # At most 1 / head_share words can have that share of the tokens.
-    head = sorted(((bytes(r["word"]), r["c"]) for r in counts.where(F.col("c") >= head_share * n).collect() if bytes(r["word"]) != END), key=lambda x: (-x[1], x[0]))
-    starts = next((r["c"] for r in counts.where(F.octet_length("word") == 0).collect()), 0)
-    size = len(head) + 2
-    symbols = {w: i + 1 for i, (w, _) in enumerate(head)} | {END: size - 1}
-    # At most 1 / gram_share n-grams of either order can have that share.
-    least = max(gram_share * n, 1.0)
-    frequent = gram_counts(training, symbols, size).where(F.col("n") >= least).toArrow() if n else None
-    grams = {unpack(g, size): c for g, c in zip(*(x.to_pylist() for x in frequent.columns), strict=True)} if n else {}
-    return counts, n, v, symbols, build([*(c for _, c in head), starts], n, v, grams, starts, least)
+    arcs = stored(gram_counts(training).where(F.col("n") >= min_count))
+    states = arcs.groupBy(F.col("h").alias("key")).agg(F.sum(F.col("n") - F.lit(DISCOUNT)).alias("mass"))
+    automaton = arcs.select(F.col("g").alias("key"), "n").join(states, "key", "full")
+    return counts, sums["n"] or 0, sums["v"], automaton
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head_share: float = 5e-4, gram_share: float = 2e-6, block_bytes: int = 16 << 20) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_count: int = MIN_COUNT, block_bytes: int = 16 << 20) -> DataFrame:
     """Score every whole text by counts and an automaton learnt from the ids whose crc32 mod 10 is not 0.
 
     Texts are dealt to blocks of about ``block_bytes`` by a hash of id and text. Each block
-    asks once for each of its words, so that word counts of any number reach it by joins; the
-    block's texts then meet its own part of the counts. A text is one row and is never cut.
+    asks for its words and n-grams, so that counts, arcs and states of any number reach it by
+    joins; the block's texts then meet its own part of them. A text is one row and is never cut.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score. Null and
     empty texts have one token, the end. A null id counts as held out. Repeated rows are
     learnt and scored as often as they occur. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).withColumn("held_out", held_out("doc_id"))
-    counts, n, v, symbols, automaton = train(rows.where(~F.col("held_out")), head_share, gram_share)
+    counts, n, v, automaton = train(rows.where(~F.col("held_out")), min_count)
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(max(blocks, 1), "block")
 
+    def by_block(batches):
+        for b in batches:
+            block = b.column(0).to_numpy()
+            raws = as_bytes(b.column(1))
+            for k in np.unique(block):
+                yield int(k), [raws[i] for i in np.flatnonzero(block == k)]
+
     def vocabulary(batches):
         seen: dict[int, set] = {}
-        for b in batches:
-            for block, raw in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
-                seen.setdefault(block, set()).update(tokens(raw))
+        for block, raws in by_block(batches):
+            seen.setdefault(block, set()).update(*map(tokens, raws))
         for block, words in seen.items():
             words = list(words)
             for at in range(0, len(words), 100_000):
                 part = words[at : at + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int32()), pa.array(part, pa.binary())], names=["block", "word"])
 
+    def grams(batches):
+        hashes, waiting = Hashes(), {}
+        for block, raws in by_block(batches):
+            for held in portions(raws):
+                waiting.setdefault(block, []).extend(map(np.unique, gram_rows(held, hashes)))
+                if sum(len(x) for y in waiting.values() for x in y) > 8_000_000:
+                    for k in list(waiting):
+                        yield from sent(k, waiting.pop(k))
+        for block, keys in waiting.items():
+            yield from sent(block, keys)
+
+    def sent(block, keys):
+        keys = np.unique(np.concatenate(keys)).view(np.int64)
+        for at in range(0, len(keys), 100_000):
+            part = keys[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, np.int32)), pa.array(part)], names=["block", "key"])
+
     asked = dealt.select("block", "text").mapInArrow(vocabulary, "block int, word binary")
-    known = asked.join(counts, "word", "left").select("block", "word", F.coalesce("c", F.lit(0)).alias("c"))
+    words_known = asked.join(counts, "word", "left").select("block", "word", F.lit(0).cast("long").alias("key"), F.coalesce("c", F.lit(0)).alias("n"), F.lit(None).cast("double").alias("mass"))
+    wanted = dealt.select("block", "text").mapInArrow(grams, "block int, key long")
+    grams_known = wanted.join(automaton, "key").select("block", F.lit(None).cast("binary").alias("word"), "key", F.coalesce("n", F.lit(0)).alias("n"), "mass")
+    known = words_known.unionByName(grams_known)
     whole = n + DELTA * (v + 1)
-    log_tail = automaton.unigram[TAIL]
 
-    def run(texts: pa.Table, words: pa.Table) -> pa.Table:
+    def run(texts: pa.Table, known: pa.Table) -> pa.Table:
+        words, arcs = known.filter(known.column("word").is_valid()), known.filter(known.column("word").is_null())
         entries = words.column("word").to_pylist()
         place = dict(zip(entries, range(len(entries)), strict=True))
-        c = words.column("c").to_numpy()
-        base = np.log10((c + DELTA) / whole)
-        symbol = np.fromiter((symbols.get(w, TAIL) for w in entries), np.int64, len(entries))
-        inside = np.where(symbol == TAIL, base - log_tail, 0.0)
+        c = words.column("n").to_numpy()
+        hashes = Hashes()
+        hashed = np.fromiter(map(hashes.__getitem__, entries), np.uint64, len(entries))
+        keys = arcs.column("key").to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        # One more entry, that no key has, for what is not found.
+        keys = keys[order]
+        count = np.append(arcs.column("n").to_numpy()[order], 0)
+        mass = np.append(arcs.column("mass").to_numpy()[order].astype(np.float64), np.nan)
+
+        def found(asked: np.ndarray) -> np.ndarray:
+            at = np.searchsorted(keys, asked)
+            hit = at < len(keys)
+            hit[hit] = keys[at[hit]] == asked[hit]
+            return np.where(hit, at, len(keys))
+
+        def smoothed(gram: np.ndarray, history: np.ndarray, seen: np.ndarray, below: np.ndarray) -> np.ndarray:
+            """Along the arc if there is one, and the failure arc of the state, if the history is one, to ``below``."""
+            held = mass[history]
+            state = ~np.isnan(held)
+            seen = np.where(state, seen, 1)
+            return np.where(state, np.maximum(count[gram] - DISCOUNT, 0.0) / seen + (1.0 - held / seen) * below, below)
+
         out = []
-        for raw in as_bytes(texts.column("text")):
-            at = np.array([place[w] for w in tokens(raw)], np.int64)
-            out.append((len(at), int((c[at] > 0).sum()), n, float(base[at].sum()), automaton.score(symbol[at].tolist()) + float(inside[at].sum())))
-        cols = list(zip(*out, strict=True))
+        for held in portions(as_bytes(texts.column("text"))):
+            sizes = np.array([len(x) for x in held])
+            at = places(sizes)
+            i = np.fromiter(map(place.__getitem__, chain.from_iterable(held)), np.int64, sizes.sum())
+            w, cw = hashed[i], c[i]
+            two, three = gram_hashes(w)
+            p1 = (cw + DELTA) / whole
+            second, third = np.flatnonzero(at >= 1), np.flatnonzero(at >= 2)
+            bigram = found(two)
+            p = p1.copy()
+            p[second] = smoothed(bigram[second], found(w[second - 1]), cw[second - 1], p1[second])
+            p[third] = smoothed(found(three[third]), bigram[third - 1], count[bigram[third - 1]], p[third])
+            starts = np.cumsum(sizes) - sizes
+            inside = at >= 1
+            sums = [np.add.reduceat(np.where(inside, x, 0), starts) for x in (cw > 0, np.log10(p1), np.log10(p))]
+            out.append((sizes - 1, sums[0], np.full(len(sizes), n), sums[1], sums[2]))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         names = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+        cols = [np.concatenate(x) for x in zip(*out, strict=True)]
         return pa.table([texts.column("doc_id").combine_chunks(), texts.column("held_out").combine_chunks(), *(pa.array(x, k) for x, k in zip(cols, kinds, strict=True))], names=["doc_id", "held_out", *names])
 
     return dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, SCORES)
