@@ -4,8 +4,10 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from tideline.llm import lm
+import corpus_pipeline
+from tideline.llm import lm, mixing
 
 
 @pytest.fixture(scope="module")
@@ -43,3 +45,23 @@ def test_lm_keeps_rare_ngrams_however_large_the_corpus(spark):
     texts = [(i, "rare pair") for i in train[:3]] + [(train[3], "rare x"), (train[4], "y pair")] + [(i, "a b c d " * 10_000) for i in train[5:60]] + [(train[60], " ".join(f"w{k}" for k in range(20_000)))]
     rows = lm.score(spark.createDataFrame([*texts, (held, "rare pair")], "doc_id long, text string")).where(f"doc_id = {held}").collect()
     assert rows[0]["score"] > -3
+
+
+def test_one_odd_row_does_not_thin_the_mixture(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = docs.limit(1).select(*(F.lit({"doc_id": -1, "text": "one", "source": "own", "lang": "xx"}.get(c)).cast(t).alias(c) for c, t in docs.dtypes))
+    shares = [corpus_pipeline.mix_sources(spark, d, sf).count() / d.count() for d in (docs, docs.unionByName(odd))]
+    assert shares[1] > 0.85 and abs(shares[0] - shares[1]) < 0.03
+
+
+def test_mixing_takes_targets_and_a_yield(spark, sf):
+    rows = mixing.described(spark.read.parquet(f"{sf}/documents.parquet"))
+    labels = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
+    targets = {"lang": {x: 1.0 for x in labels}}
+    cells = mixing.calibrate(rows, targets=targets, token_yield=0.05)
+    kept, total = cells.agg(F.sum(F.col("tokens") * F.col("probability")), F.sum("tokens")).first()
+    assert kept / total == pytest.approx(0.05, rel=1e-6)
+    assert all(0 <= r["probability"] <= 1 for r in cells.collect())
+    for r in mixing.residuals(cells, targets=targets).where("by = 'lang'").collect():
+        assert r["target"] == pytest.approx(1 / len(labels))
+        assert r["share"] - r["target"] == pytest.approx(r["residual"])

@@ -73,18 +73,71 @@ def unit_hash(id_column: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.encode(F.concat(F.lit(seed), id_column.cast("string")), "UTF-8")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def calibrate(rows: DataFrame, power: float = 0.97) -> DataFrame:
-    """source, lang, topic and probability of every cell of ``rows`` (as ``described`` gives them), written.
+def given(cells: DataFrame, column: str, shares: dict[str, float]) -> DataFrame:
+    """Target shares of a marginal as stated, scaled to 1 over the groups with tokens."""
+    stated = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in shares.items()], f"{column} string, p double")
+    stated = cells.groupBy(column).agg(F.sum("tokens").alias("t")).where("t > 0").join(stated, column).select(column, "p")
+    return stated.select(column, (F.col("p") / F.lit(float(stated.agg(F.sum("p")).first()[0] or 1.0))).alias("share"))
 
-    The marginals' targets are tempered token shares. A cell's probability is its raked weight
-    over its token share, scaled so that the largest is 1; cells without tokens get 1.
+
+def scale_for(ratio: DataFrame, token_yield: float) -> float:
+    """The scale at which min(1, scale * ratio) is expected to keep ``token_yield`` of all tokens.
+
+    The scale rises as cells reach 1, and with it the cells that do, until none is added. If the
+    cells with a target have fewer tokens than that, all of them reach 1.
+    """
+    total = ratio.agg(F.sum("tokens")).first()[0] or 0
+    scale = token_yield
+    while total:
+        full = F.col("ratio") * F.lit(scale) >= 1
+        sums = ratio.where("ratio > 0").agg(F.sum(F.when(full, F.col("tokens"))).alias("full"), F.sum(F.when(~full, F.col("tokens") * F.col("ratio"))).alias("rest")).first()
+        if not sums["rest"]:
+            break
+        new = (token_yield * total - (sums["full"] or 0)) / sums["rest"]
+        if new <= scale * (1 + 1e-12):
+            break
+        scale = new
+    return scale
+
+
+def calibrate(rows: DataFrame, power: float = 0.97, targets: dict[str, dict[str, float]] | None = None, token_yield: float | None = None) -> DataFrame:
+    """source, lang, topic, tokens and probability of every cell of ``rows`` (as ``described`` gives them), written.
+
+    ``targets`` states shares by column and label; the other marginals' targets are tempered
+    token shares. A cell's ratio is its raked weight over its token share. Its probability is
+    the ratio scaled so that ``token_yield`` of the tokens are kept, 1 at most; without a yield,
+    so that the largest is 1. Cells without tokens get 1. ``residuals`` tells how far off the
+    targets that is.
     """
     cells = stored(rows.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")).coalesce(1))
-    targets = {c: stored(tempered(cells, c, power).coalesce(1)) for c in ("source", "lang", "topic")}
+    shares = marginals(cells, power, targets)
     total = cells.agg(F.sum("tokens")).first()[0] or 1
-    ratio = rake(cells, targets).withColumn("ratio", F.when(F.col("tokens") > 0, F.col("weight") * float(total) / F.col("tokens")))
-    top = ratio.agg(F.max("ratio")).first()[0] or 1.0
-    return stored(ratio.select("source", "lang", "topic", F.coalesce(F.col("ratio") / F.lit(top), F.lit(1.0)).alias("probability")).coalesce(1))
+    ratio = rake(cells, shares).withColumn("ratio", F.when(F.col("tokens") > 0, F.col("weight") * float(total) / F.col("tokens")))
+    if token_yield is None:
+        scaled = F.col("ratio") / F.lit(ratio.agg(F.max("ratio")).first()[0] or 1.0)
+    else:
+        ratio = stored(ratio.coalesce(1))
+        scaled = F.least(F.col("ratio") * F.lit(scale_for(ratio, token_yield)), F.lit(1.0))
+    # ``least`` skips nulls.
+    probability = F.when(F.col("ratio").isNull(), F.lit(1.0)).otherwise(scaled)
+    return stored(ratio.select("source", "lang", "topic", "tokens", probability.alias("probability")).coalesce(1))
+
+
+def marginals(cells: DataFrame, power: float, targets: dict[str, dict[str, float]] | None = None) -> dict[str, DataFrame]:
+    stated = targets or {}
+    return {c: stored((given(cells, c, stated[c]) if c in stated else tempered(cells, c, power)).coalesce(1)) for c in ("source", "lang", "topic")}
+
+
+def residuals(cells: DataFrame, power: float = 0.97, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """by, label, target, share and residual (share less target) of every group; ``cells`` as ``calibrate`` gives them."""
+    kept = cells.withColumn("kept", F.col("tokens") * F.col("probability"))
+    total = kept.agg(F.sum("kept")).first()[0] or 1.0
+    out = None
+    for c, target in marginals(cells, power, targets).items():
+        sums = kept.where("tokens > 0").groupBy(c).agg((F.sum("kept") / F.lit(float(total))).alias("share")).join(target.withColumnRenamed("share", "target"), c, "left")
+        one = sums.select(F.lit(c).alias("by"), F.col(c).alias("label"), F.coalesce("target", F.lit(0.0)).alias("target"), "share").withColumn("residual", F.col("share") - F.col("target"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def with_probability(rows: DataFrame, cells: DataFrame, labels: dict[str, Column], name: str = "probability") -> DataFrame:
@@ -101,24 +154,24 @@ def chosen(id_column: Column, probability: Column, seed: str) -> Column:
     return unit_hash(F.coalesce(id_column.cast("string"), F.lit("")), seed) < probability
 
 
-def mix(docs: DataFrame, power: float = 0.97, seed: str = "mix:", **columns: str) -> DataFrame:
+def mix(docs: DataFrame, power: float = 0.97, seed: str = "mix:", targets: dict[str, dict[str, float]] | None = None, token_yield: float | None = None, **columns: str) -> DataFrame:
     """Calibrated sampling probability and decision for every row.
 
-    Token weights of the (source, language, topic) cells are raked to tempered marginals; a
-    row is sampled if the hash of its id falls below its cell's probability. Rows of one id
+    Token weights of the (source, language, topic) cells are raked to tempered or stated
+    marginals (see ``calibrate``); a row is sampled if the hash of its id falls below its cell's probability. Rows of one id
     and cell share the decision. Rows in cells without tokens (null or empty texts only), which
     no token weight concerns, are sampled. A null id hashes as ''; null labels are cells of ''.
 
     Returns doc_id, source, lang, topic, tokens, probability and sampled.
     """
     rows = described(docs, **columns)
-    out = with_probability(rows, calibrate(rows, power), {c: F.col(c) for c in ("source", "lang", "topic")})
+    out = with_probability(rows, calibrate(rows, power, targets, token_yield), {c: F.col(c) for c in ("source", "lang", "topic")})
     return out.withColumn("sampled", chosen(F.col("doc_id"), F.col("probability"), seed))
 
 
-def sample(docs: DataFrame, power: float = 0.97, seed: str = "mix:", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+def sample(docs: DataFrame, power: float = 0.97, seed: str = "mix:", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", targets: dict[str, dict[str, float]] | None = None, token_yield: float | None = None) -> DataFrame:
     """The sampled rows of ``docs`` with all their columns."""
-    cells = calibrate(described(docs, id_col, text_col, source_col, lang_col), power)
+    cells = calibrate(described(docs, id_col, text_col, source_col, lang_col), power, targets, token_yield)
     labels = {"source": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "lang": F.coalesce(F.col(lang_col).cast("string"), F.lit("")), "topic": topic_of(whole_text(text_col))}
     out = with_probability(docs, cells, labels, "__probability")
     return out.where(chosen(F.col(id_col), F.col("__probability"), seed)).drop("__probability")
