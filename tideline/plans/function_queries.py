@@ -285,11 +285,12 @@ def stream_sessions(spark, sf_dir):
 
 @query("SELECT event_id FROM events WHERE event_id % 5 = 1")
 def equal_except_for(spark, sf_dir):
-    """Rows that differ only in an ignored column are equal; the query returns its input if so and nothing if not."""
+    """Rows that differ only in an ignored column are equal; all events are compared. The query returns the ids its SQL names if so and nothing if not."""
     from tideline.operators.signals import equal_except_for as equal
 
-    rows = table(spark, sf_dir, "events").where("event_id % 5 = 1").select("event_id", "value")
-    return rows.select("event_id").where(F.lit(equal(rows, rows.withColumn("value", F.lit(0.0)), ("value",)) and not equal(rows, rows.withColumn("value", F.lit(0.0)))))
+    rows = table(spark, sf_dir, "events").select("event_id", "value")
+    alike = equal(rows, rows.withColumn("value", F.lit(0.0)), ("value",)) and not equal(rows, rows.withColumn("value", F.lit(0.0)))
+    return rows.select("event_id").where("event_id % 5 = 1").where(F.lit(alike))
 
 
 @query("SELECT column0 AS name FROM (VALUES ('shot'), ('time')) v(column0)")
