@@ -5,24 +5,31 @@ failure arc, paying the backoff weight, to the state of its shorter suffix.
 
 Every word is a symbol. A bigram or trigram becomes an arc if it occurs ``MIN_COUNT`` times in
 the training texts, whatever their number, so that the automaton grows with the corpus. It is
-a written table and is never sent whole: each block of texts gets the word counts, arcs and
-states it asks for by joins. One more symbol stands for all unseen words, and the probabilities
-of all next symbols add up to 1. n-grams are known by 64-bit hashes.
+never held whole: texts are packed into pieces; each piece asks for its distinct words,
+bigrams and trigrams, sorted by hash and cut into ranges, and every range answers all pieces
+that ask it, value by value in the order asked, so that answers need no keys. Counts are
+gathered that way first, then the masses of the states. One more symbol stands for all unseen
+words, and the probabilities of all next symbols add up to 1.
+
+Words are known by 64-bit hashes. n-grams are known by the first 40 bits within their range of
+some million keys, so that one in some 100,000 may be taken for another; ranges of few keys,
+as in tests, see none.
 
 ``build`` and ``Automaton`` are the same model held in memory, for small tables.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -132,34 +139,13 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "UTF-8")) % 10 == 0
 
 
-def word_counts(training: DataFrame) -> DataFrame:
-    """word (binary; the end is empty) and c, counted within each task before the shuffle."""
-
-    def run(batches):
-        seen: Counter = Counter()
-        for b in batches:
-            for raw in as_bytes(b.column(0)):
-                seen.update(tokens(raw))
-            if len(seen) > 1_000_000:
-                yield from sent(seen)
-                seen.clear()
-        yield from sent(seen)
-
-    def sent(seen: Counter):
-        words, counts = list(seen), list(seen.values())
-        for at in range(0, len(words), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(words[at : at + 100_000], pa.binary()), pa.array(counts[at : at + 100_000], pa.int64())], names=["word", "n"])
-
-    return training.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
-
-
 class Hashes(dict):
-    """64-bit hashes of words, the last million kept."""
+    """64-bit hashes of words; all are forgotten when there are too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 500_000:
             self.clear()
-        self[word] = out = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        self[word] = out = xxhash.xxh3_64_intdigest(word)
         return out
 
 
@@ -182,57 +168,227 @@ def places(sizes: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
-def portions(raws: list[bytes], most: int = 1 << 20) -> Iterator[list[list[bytes]]]:
-    """The tokens of the texts, an end before each, in lists of about ``most`` bytes of text."""
-    held, waiting = [], 0
-    for raw in raws:
-        held.append([END, *tokens(raw)])
-        waiting += len(raw)
-        if waiting > most:
-            yield held
-            held, waiting = [], 0
-    if held:
-        yield held
+def packed(values: np.ndarray) -> bytes:
+    """Unsigned numbers byte by byte, the lowest bytes of all first, as many bytes as the largest needs, compressed."""
+    values = np.ascontiguousarray(values, "<u8")
+    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+    planes = values.view(np.uint8).reshape(-1, 8)[:, :width].T
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
 
+def unpacked(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[1:]), np.uint8).reshape(blob[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : blob[0]] = planes.T
+    return out.view("<u8").ravel()
 
-def gram_rows(held: list[list[bytes]], hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each bigram and trigram in the texts, and that of its history."""
-    sizes = np.array([len(x) for x in held])
-    w = np.fromiter(map(hashes.__getitem__, chain.from_iterable(held)), np.uint64, sizes.sum())
-    at = places(sizes)
-    two, three = gram_hashes(w)
-    second, third = np.flatnonzero(at >= 1), np.flatnonzero(at >= 2)
-    return np.concatenate((two[second], three[third])), np.concatenate((w[second - 1], two[third - 1]))
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
 
-def gram_counts(training: DataFrame) -> DataFrame:
-    """g, h and n: hash of each bigram and trigram, of its history, and its count; counted within each task before the shuffle."""
+
+@dataclass
+class Ranges:
+    """How keys are cut into ``1 << bits`` ranges by their first bits; words keep 64 bits, n-grams 40 within their range."""
+
+    bits: int
+
+    def gram(self, key: np.ndarray) -> np.ndarray:
+        drop = np.uint64(max(0, 24 - self.bits))
+        return key >> drop << drop
+
+    def bounds(self, keys: np.ndarray) -> np.ndarray:
+        """Where each range begins in sorted keys, and the end."""
+        firsts = np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits) if self.bits else np.zeros(1, np.uint64)
+        return np.append(np.searchsorted(keys, firsts), len(keys))
+
+    def closed(self, keys: np.ndarray, gram: bool) -> bytes:
+        """Sorted keys of one range as steps from one to the next."""
+        drop = np.uint64(max(0, 24 - self.bits) if gram else 0)
+        return packed(np.diff(keys >> drop, prepend=np.uint64(0)))
+
+    def opened(self, blob: bytes, gram: bool) -> np.ndarray:
+        return np.cumsum(unpacked(blob), dtype=np.uint64) << np.uint64(max(0, 24 - self.bits) if gram else 0)
+
+
+PIECE = "piece long, bytes long, ids array<long>, held array<boolean>, sizes array<int>, texts binary"
+WORD, TWO, THREE = 0, 1, 2
+ASK = "part int, piece long, kind int, keys binary, n binary"
+ANSWER = "part int, piece long, kind int, found binary, words long, known long"
+
+
+def packed_texts(rows: DataFrame, piece_bytes: int) -> DataFrame:
+    """The texts (columns doc_id, text, held_out) in rows of about ``piece_bytes``, written; a text is never cut."""
+
+    def run(batches):
+        made, held, waiting = 0, [], 0
+        for b in batches:
+            for row in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), b.column(2).to_pylist(), strict=True):
+                held.append(row)
+                waiting += len(row[1])
+                if waiting >= piece_bytes:
+                    yield one(held, made, waiting)
+                    made, held, waiting = made + 1, [], 0
+        if held:
+            yield one(held, made, waiting)
+
+    def one(held, made, waiting):
+        ids, texts, out = zip(*held, strict=True)
+        blob = zstandard.ZstdCompressor(level=3).compress(b"".join(texts).lower())
+        values = ((TaskContext.get().partitionId() << 32) + made, waiting, list(ids), list(out), [len(x) for x in texts], blob)
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=["piece", "bytes", "ids", "held", "sizes", "texts"])
+
+    return stored(rows.select("doc_id", "text", "held_out").mapInArrow(run, PIECE))
+
+
+@dataclass
+class Piece:
+    """Word hashes of a piece's texts one after the other, an end before each, and the hashes of the n-grams that end at each word."""
+
+    ids: list
+    held: list
+    lengths: np.ndarray
+    at: np.ndarray
+    word: np.ndarray
+    two: np.ndarray
+    three: np.ndarray
+
+    def keys(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where words (the first end of a text is none), bigrams or trigrams end, and their hashes."""
+        where = np.flatnonzero(self.at >= max(1, kind))
+        return where, (self.word, self.two, self.three)[kind][where]
+
+
+def opened(ids: list, held: list, sizes: list[int], texts: bytes, hashes: Hashes, ranges: Ranges) -> Piece:
+    raw = zstandard.ZstdDecompressor().decompress(texts)
+    ends = np.cumsum(sizes).tolist()
+    lengths, parts, waiting, bytes_waiting = [], [], [], 0
+    for begin, end in zip([0, *ends], ends, strict=False):
+        waiting.append([END, *tokens(raw[begin:end])])
+        bytes_waiting += end - begin
+        if bytes_waiting > 1 << 20 or end == ends[-1]:
+            lengths += map(len, waiting)
+            parts.append(np.fromiter(map(hashes.__getitem__, chain.from_iterable(waiting)), np.uint64))
+            waiting, bytes_waiting = [], 0
+    if waiting:  # empty texts at the end
+        lengths += map(len, waiting)
+        parts.append(np.fromiter(map(hashes.__getitem__, chain.from_iterable(waiting)), np.uint64))
+    word, lengths = np.concatenate(parts), np.array(lengths)
+    two, three = gram_hashes(word)
+    return Piece(ids, held, lengths, places(lengths), word, ranges.gram(two), ranges.gram(three))
+
+
+def asks(pieces: DataFrame, ranges: Ranges) -> DataFrame:
+    """For each piece, kind and range: its distinct keys and how often the piece's training texts have them."""
 
     def run(batches):
         hashes = Hashes()
         for b in batches:
-            for held in portions(as_bytes(b.column(0)), 4 << 20):
-                g, h = gram_rows(held, hashes)
-                g, first, n = np.unique(g, return_index=True, return_counts=True)
-                cols = (g.view(np.int64), h[first].view(np.int64), n)
-                for at in range(0, len(g), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000], pa.int64()) for x in cols], names=["g", "h", "n"])
+            for row in b.to_pylist():
+                p = opened(row["ids"], row["held"], row["sizes"], row["texts"], hashes, ranges)
+                training = np.repeat(~np.array(p.held, bool), p.lengths)
+                for kind in (WORD, TWO, THREE):
+                    where, key = p.keys(kind)
+                    yield asked(row["piece"], kind, *counted(key, training[where]), ranges)
+
+    return pieces.select("piece", "ids", "held", "sizes", "texts").mapInArrow(run, ASK)
+
+
+def counted(key: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and how often each is counted."""
+    known = np.sort(key[counts])
+    first = np.flatnonzero(np.concatenate(([True], known[1:] != known[:-1]))) if len(known) else np.zeros(0, np.int64)
+    every, n = distinct(np.concatenate((known[first], key[~counts]))), None
+    n = np.zeros(len(every), np.int64)
+    n[np.searchsorted(every, known[first])] = np.diff(np.append(first, len(known)))
+    return every, n
 
-    return training.select("text").mapInArrow(run, "g long, h long, n long").groupBy("g", "h").agg(F.sum("n").alias("n"))
 
+def asked(piece: int, kind: int, keys: np.ndarray, n: np.ndarray, ranges: Ranges) -> pa.RecordBatch:
+    at = ranges.bounds(keys)
+    some = np.flatnonzero(np.diff(at))
+    blobs = [(ranges.closed(keys[at[i] : at[i + 1]], kind > WORD), packed(n[at[i] : at[i + 1]])) for i in some]
+    cols = [pa.array(some.astype(np.int32)), pa.array([piece] * len(some), pa.int64()), pa.array([kind] * len(some), pa.int32()), *(pa.array([x[j] for x in blobs], pa.binary()) for j in (0, 1))]
+    return pa.RecordBatch.from_arrays(cols, names=["part", "piece", "kind", "keys", "n"])
 
-def train(training: DataFrame, min_count: int = MIN_COUNT) -> tuple[DataFrame, int, int, DataFrame]:
-    """Counts of all training words (written), their sum N and number V, and the automaton.
 
-    The automaton has key (a hash), n and mass: n is the count of an n-gram that is an arc, mass
-    the discounted counts of the arcs of a state. Either is null where the key isn't one.
+def answers(asked: DataFrame, ranges: Ranges, value) -> DataFrame:
+    """For each piece, kind and range, ``value(kind, sum over all pieces, is this piece the first to ask)`` of every key in the order asked.
+
+    A range is one group. What many pieces ask for is in it once for each piece, so that no
+    word or n-gram, however frequent, makes a range large. ``words`` and ``known`` of a range's first
+    row have the sum over its words and how many of them are there.
     """
-    counts = stored(word_counts(training))
-    sums = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    arcs = stored(gram_counts(training).where(F.col("n") >= min_count))
-    states = arcs.groupBy(F.col("h").alias("key")).agg(F.sum(F.col("n") - F.lit(DISCOUNT)).alias("mass"))
-    automaton = arcs.select(F.col("g").alias("key"), "n").join(states, "key", "full")
-    return counts, sums["n"] or 0, sums["v"], automaton
+
+    def run(t: pa.Table) -> pa.Table:
+        kinds, pieces, keys, ns = t.column("kind").to_numpy(), t.column("piece").to_numpy(), t.column("keys").to_pylist(), t.column("n").to_pylist()
+        found, words, known = [b""] * len(kinds), np.zeros(len(kinds), np.int64), np.zeros(len(kinds), np.int64)
+        for kind in sorted(set(kinds.tolist())):
+            rows = np.flatnonzero(kinds == kind)
+            rows = rows[np.argsort(pieces[rows])]
+            each = [ranges.opened(keys[i], kind > WORD) for i in rows]
+            cuts = np.cumsum([len(x) for x in each])
+            key, n = np.concatenate(each), np.concatenate([unpacked(ns[i]) for i in rows])
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            sums = np.add.reduceat(n[order], first)
+            total, owner = np.empty(len(key), np.uint64), np.zeros(len(key), bool)
+            total[order] = np.repeat(sums, np.diff(np.append(first, len(key))))
+            owner[order[first]] = True
+            for i, x in zip(rows, np.split(value(kind, total, owner), cuts[:-1]), strict=True):
+                found[i] = packed(x)
+            if kind == WORD:
+                words[rows[0]], known[rows[0]] = int(sums.sum()), int((sums > 0).sum())
+        return pa.table([t.column("part"), t.column("piece"), t.column("kind"), pa.array(found, pa.binary()), pa.array(words), pa.array(known)], names=["part", "piece", "kind", "found", "words", "known"])
+
+    return asked.groupBy("part").applyInArrow(run, ANSWER)
+
+
+def gathered(t: pa.Table) -> dict[int, np.ndarray]:
+    """The answers to one piece by kind, in the order of its sorted keys."""
+    rows = sorted(zip(t.column("kind").to_pylist(), t.column("part").to_pylist(), t.column("found").to_pylist(), strict=True))
+    out: dict[int, list] = {}
+    for kind, _, found in rows:
+        out.setdefault(kind, []).append(unpacked(found))
+    return {kind: np.concatenate(x) for kind, x in out.items()}
+
+
+def of_piece(t: pa.Table, ranges: Ranges) -> Piece:
+    row = t.select(["ids", "held", "sizes", "texts"]).to_pylist()[0]
+    return opened(row["ids"], row["held"], row["sizes"], row["texts"], Hashes(), ranges)
+
+
+#: Masses are summed in halves, and so need a discount of whole halves.
+HALVES = round(2 * DISCOUNT)
+
+
+def mass_asks(pieces: DataFrame, counts: DataFrame, ranges: Ranges) -> DataFrame:
+    """For each piece: its words and repeated bigrams as histories, with the discounted counts of the arcs that it asked for first."""
+
+    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+        p, got = of_piece(texts, ranges), gathered(found)
+        known = {}
+        for kind in (TWO, THREE):
+            where, key = p.keys(kind)
+            order = np.argsort(key)
+            first = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1]))) if len(key) else np.zeros(0, np.int64)
+            value = got.get(kind, np.zeros(0, np.uint64)).astype(np.int64)
+            own = np.flatnonzero(value & 1)
+            before = where[order[first[own]]] - 1
+            known[kind - 1] = ((p.word, p.two)[kind - TWO][before], 2 * (value[own] >> 1) - HALVES)
+        two = distinct(p.keys(TWO)[1])
+        two = two[got[TWO] > 1] if len(two) else two
+        out = []
+        for kind, histories in ((WORD, distinct(p.word)), (TWO, two)):
+            key, value = known[kind]
+            total = np.bincount(np.searchsorted(histories, key), value, len(histories)).astype(np.int64)
+            out.append(asked(texts.column("piece")[0].as_py(), kind, histories, total, ranges))
+        return pa.Table.from_batches(out)
+
+    return pieces.groupBy("piece").cogroup(counts.groupBy("piece")).applyInArrow(run, ASK)
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -241,108 +397,61 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_count: int = MIN_COUNT, block_bytes: int = 16 << 20) -> DataFrame:
     """Score every whole text by counts and an automaton learnt from the ids whose crc32 mod 10 is not 0.
 
-    Texts are dealt to blocks of about ``block_bytes`` by a hash of id and text. Each block
-    asks for its words and n-grams, so that counts, arcs and states of any number reach it by
-    joins; the block's texts then meet its own part of them. A text is one row and is never cut.
+    Texts are packed into pieces of about ``block_bytes`` and keys cut into ranges of about
+    as much text, so that the memory of a task does not grow with the table. A text is never
+    cut: one of many million words needs memory for itself.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score. Null and
     empty texts have one token, the end. A null id counts as held out. Repeated rows are
-    learnt and scored as often as they occur. An empty table gives no rows.
+    learnt and scored as often as they occur. Other columns are ignored. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).withColumn("held_out", held_out("doc_id"))
-    counts, n, v, automaton = train(rows.where(~F.col("held_out")), min_count)
-    total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_bytes))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(max(blocks, 1), "block")
+    pieces = packed_texts(rows, block_bytes)
+    total = pieces.agg(F.sum("bytes")).first()[0] or 0
+    ranges = Ranges(max(0, math.ceil(math.log2(max(1, total / block_bytes)))))
 
-    def by_block(batches):
-        for b in batches:
-            block = b.column(0).to_numpy()
-            raws = as_bytes(b.column(1))
-            for k in np.unique(block):
-                yield int(k), [raws[i] for i in np.flatnonzero(block == k)]
-
-    def vocabulary(batches):
-        seen: dict[int, set] = {}
-        for block, raws in by_block(batches):
-            seen.setdefault(block, set()).update(*map(tokens, raws))
-        for block, words in seen.items():
-            words = list(words)
-            for at in range(0, len(words), 100_000):
-                part = words[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int32()), pa.array(part, pa.binary())], names=["block", "word"])
-
-    def grams(batches):
-        hashes, waiting = Hashes(), {}
-        for block, raws in by_block(batches):
-            for held in portions(raws):
-                waiting.setdefault(block, []).extend(map(np.unique, gram_rows(held, hashes)))
-                if sum(len(x) for y in waiting.values() for x in y) > 8_000_000:
-                    for k in list(waiting):
-                        yield from sent(k, waiting.pop(k))
-        for block, keys in waiting.items():
-            yield from sent(block, keys)
-
-    def sent(block, keys):
-        keys = np.unique(np.concatenate(keys)).view(np.int64)
-        for at in range(0, len(keys), 100_000):
-            part = keys[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, np.int32)), pa.array(part)], names=["block", "key"])
-
-    asked = dealt.select("block", "text").mapInArrow(vocabulary, "block int, word binary")
-    words_known = asked.join(counts, "word", "left").select("block", "word", F.lit(0).cast("long").alias("key"), F.coalesce("c", F.lit(0)).alias("n"), F.lit(None).cast("double").alias("mass"))
-    wanted = dealt.select("block", "text").mapInArrow(grams, "block int, key long")
-    grams_known = wanted.join(automaton, "key").select("block", F.lit(None).cast("binary").alias("word"), "key", F.coalesce("n", F.lit(0)).alias("n"), "mass")
-    known = words_known.unionByName(grams_known)
-    whole = n + DELTA * (v + 1)
+    def count(kind: int, total: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        return total if kind == WORD else np.where(total >= min_count, 2 * total + owner, 0)
 
-    def run(texts: pa.Table, known: pa.Table) -> pa.Table:
-        words, arcs = known.filter(known.column("word").is_valid()), known.filter(known.column("word").is_null())
-        entries = words.column("word").to_pylist()
-        place = dict(zip(entries, range(len(entries)), strict=True))
-        c = words.column("n").to_numpy()
-        hashes = Hashes()
-        hashed = np.fromiter(map(hashes.__getitem__, entries), np.uint64, len(entries))
-        keys = arcs.column("key").to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        # One more entry, that no key has, for what is not found.
-        keys = keys[order]
-        count = np.append(arcs.column("n").to_numpy()[order], 0)
-        mass = np.append(arcs.column("mass").to_numpy()[order].astype(np.float64), np.nan)
-
-        def found(asked: np.ndarray) -> np.ndarray:
-            at = np.searchsorted(keys, asked)
-            hit = at < len(keys)
-            hit[hit] = keys[at[hit]] == asked[hit]
-            return np.where(hit, at, len(keys))
-
-        def smoothed(gram: np.ndarray, history: np.ndarray, seen: np.ndarray, below: np.ndarray) -> np.ndarray:
+    counts = stored(answers(asks(pieces, ranges), ranges, count))
+    sums = counts.agg(F.sum("words").alias("n"), F.sum("known").alias("v")).first()
+    n, v = sums["n"] or 0, sums["v"] or 0
+    whole = n + DELTA * (v + 1)
+    masses = answers(mass_asks(pieces, counts, ranges), ranges, lambda kind, total, owner: total)
+    both = counts.select("part", "piece", "kind", "found").unionByName(masses.select("part", "piece", (F.col("kind") + 3).alias("kind"), "found"))
+
+    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+        p, got = of_piece(texts, ranges), gathered(found)
+        none = np.zeros(0, np.uint64)
+        words = distinct(p.word)
+        i = np.searchsorted(words, p.word)
+        c = got[WORD].astype(np.int64)[i]
+        p1 = (c + DELTA) / whole
+
+        def of_grams(kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Where the n-grams end, the place of each among the distinct ones, and the counts of these; 0 if it is no arc."""
+            where, key = p.keys(kind)
+            return where, np.searchsorted(distinct(key), key), got.get(kind, none).astype(np.int64) >> 1
+
+        def smoothed(arc: np.ndarray, mass: np.ndarray, seen: np.ndarray, below: np.ndarray) -> np.ndarray:
             """Along the arc if there is one, and the failure arc of the state, if the history is one, to ``below``."""
-            held = mass[history]
-            state = ~np.isnan(held)
+            state = mass > 0
             seen = np.where(state, seen, 1)
-            return np.where(state, np.maximum(count[gram] - DISCOUNT, 0.0) / seen + (1.0 - held / seen) * below, below)
-
-        out = []
-        for held in portions(as_bytes(texts.column("text"))):
-            sizes = np.array([len(x) for x in held])
-            at = places(sizes)
-            i = np.fromiter(map(place.__getitem__, chain.from_iterable(held)), np.int64, sizes.sum())
-            w, cw = hashed[i], c[i]
-            two, three = gram_hashes(w)
-            p1 = (cw + DELTA) / whole
-            second, third = np.flatnonzero(at >= 1), np.flatnonzero(at >= 2)
-            bigram = found(two)
-            p = p1.copy()
-            p[second] = smoothed(bigram[second], found(w[second - 1]), cw[second - 1], p1[second])
-            p[third] = smoothed(found(three[third]), bigram[third - 1], count[bigram[third - 1]], p[third])
-            starts = np.cumsum(sizes) - sizes
-            inside = at >= 1
-            sums = [np.add.reduceat(np.where(inside, x, 0), starts) for x in (cw > 0, np.log10(p1), np.log10(p))]
-            out.append((sizes - 1, sums[0], np.full(len(sizes), n), sums[1], sums[2]))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        names = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
-        cols = [np.concatenate(x) for x in zip(*out, strict=True)]
-        return pa.table([texts.column("doc_id").combine_chunks(), texts.column("held_out").combine_chunks(), *(pa.array(x, k) for x, k in zip(cols, kinds, strict=True))], names=["doc_id", "held_out", *names])
-
-    return dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, SCORES)
+            return np.where(state, np.maximum(arc - DISCOUNT, 0.0) / seen + (1.0 - mass / seen) * below, below)
+
+        at2, in2, n2 = of_grams(TWO)
+        mass2 = np.zeros(len(n2))
+        mass2[n2 > 0] = got.get(TWO + 3, none) / 2
+        prob = p1.copy()
+        prob[at2] = smoothed(n2[in2], got[WORD + 3][i[at2 - 1]] / 2, c[at2 - 1], p1[at2])
+        at3, in3, n3 = of_grams(THREE)
+        history = np.zeros(len(p.word), np.int64)
+        history[at2] = in2
+        prob[at3] = smoothed(n3[in3], mass2[history[at3 - 1]], n2[history[at3 - 1]], prob[at3])
+        starts, inside = np.cumsum(p.lengths) - p.lengths, p.at >= 1
+        known, base, whole_score = (np.add.reduceat(np.where(inside, x, 0), starts) for x in (c > 0, np.log10(p1), np.log10(prob)))
+        cols = (p.ids, p.held, p.lengths - 1, known, np.full(len(starts), n), base, whole_score)
+        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        return pa.table([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return pieces.groupBy("piece").cogroup(both.groupBy("piece")).applyInArrow(run, SCORES)
