@@ -165,7 +165,7 @@ def gram_hashes(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def places(sizes: np.ndarray) -> np.ndarray:
     """0, 1, ... within each run of the given sizes."""
-    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return (np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -188,6 +188,11 @@ def distinct(x: np.ndarray) -> np.ndarray:
     return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
 
 
+def placed(x: np.ndarray) -> np.ndarray:
+    """The place of each value among the distinct ones."""
+    return np.searchsorted(distinct(x), x).astype(np.int32)
+
+
 @dataclass
 class Ranges:
     """How keys are cut into ``1 << bits`` ranges by their first bits; words keep 64 bits, n-grams 40 within their range."""
@@ -257,7 +262,7 @@ class Piece:
 
     def keys(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
         """Where words (the first end of a text is none), bigrams or trigrams end, and their hashes."""
-        where = np.flatnonzero(self.at >= max(1, kind))
+        where = np.flatnonzero(self.at >= max(1, kind)).astype(np.int32)
         return where, (self.word, self.two, self.three)[kind][where]
 
 
@@ -394,7 +399,7 @@ def mass_asks(pieces: DataFrame, counts: DataFrame, ranges: Ranges) -> DataFrame
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_count: int = MIN_COUNT, block_bytes: int = 16 << 20) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_count: int = MIN_COUNT, block_bytes: int = 8 << 20) -> DataFrame:
     """Score every whole text by counts and an automaton learnt from the ids whose crc32 mod 10 is not 0.
 
     Texts are packed into pieces of about ``block_bytes`` and keys cut into ranges of about
@@ -423,15 +428,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
         p, got = of_piece(texts, ranges), gathered(found)
         none = np.zeros(0, np.uint64)
-        words = distinct(p.word)
-        i = np.searchsorted(words, p.word)
+        i = placed(p.word)
         c = got[WORD].astype(np.int64)[i]
         p1 = (c + DELTA) / whole
 
         def of_grams(kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             """Where the n-grams end, the place of each among the distinct ones, and the counts of these; 0 if it is no arc."""
             where, key = p.keys(kind)
-            return where, np.searchsorted(distinct(key), key), got.get(kind, none).astype(np.int64) >> 1
+            return where, placed(key), got.get(kind, none).astype(np.int64) >> 1
 
         def smoothed(arc: np.ndarray, mass: np.ndarray, seen: np.ndarray, below: np.ndarray) -> np.ndarray:
             """Along the arc if there is one, and the failure arc of the state, if the history is one, to ``below``."""
@@ -445,7 +449,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
         prob = p1.copy()
         prob[at2] = smoothed(n2[in2], got[WORD + 3][i[at2 - 1]] / 2, c[at2 - 1], p1[at2])
         at3, in3, n3 = of_grams(THREE)
-        history = np.zeros(len(p.word), np.int64)
+        history = np.zeros(len(p.word), np.int32)
         history[at2] = in2
         prob[at3] = smoothed(n3[in3], mass2[history[at3 - 1]], n2[history[at3 - 1]], prob[at3])
         starts, inside = np.cumsum(p.lengths) - p.lengths, p.at >= 1
