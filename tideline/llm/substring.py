@@ -163,15 +163,15 @@ def judged(rows: DataFrame) -> DataFrame:
     """``rows`` (k, g, doc, first, last and more) of the groups k with several docs, written.
 
     With first_doc (the smallest doc of the group), least (that of the leaf g), leaves and
-    windows of the group. The joins' sides are written tables, so that Spark can split the
-    rows of a frequent key.
+    windows of the group. The joins' sides are written tables, merged after a shuffle at every
+    size, so that Spark can split the rows of a frequent key.
     """
     shared = stored(rows.groupBy("k").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("most")).where("first_doc < most").drop("most"))
-    near = stored(rows.join(shared, "k"))
+    near = stored(rows.join(shared.hint("merge"), "k"))
     leaves = stored(near.groupBy("k", "g").agg(F.min("doc").alias("least"), F.max(F.col("last") - F.col("first") + 1).alias("w")))
     sizes = stored(leaves.groupBy("k").agg(F.count(F.lit(1)).alias("leaves"), F.sum("w").alias("windows")))
-    known = stored(leaves.drop("w").join(sizes, "k"))
-    return stored(near.join(known, ["k", "g"]))
+    known = stored(leaves.drop("w").join(sizes.hint("merge"), "k"))
+    return stored(near.join(known.hint("merge"), ["k", "g"]))
 
 
 def repeated(rows: DataFrame, what: str) -> DataFrame:
@@ -213,7 +213,7 @@ def halved(rows: DataFrame, width: int, gram: int) -> DataFrame:
     return rows.select("a", "b", "doc", "key", "first", "context").mapInArrow(run, LEVEL)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, gram: int = 8, largest_group: int = 8192, most_nodes: int = 200_000) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, gram: int = 8, largest_group: int = 2048, most_nodes: int = 200_000) -> DataFrame:
     """Remove words covered by a window whose words also start in a document of smaller id.
 
     Returns doc_id, n_words, n_removed, kept (the kept words joined by one space) and
