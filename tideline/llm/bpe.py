@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 
 from tideline.llm.common import as_bytes, whole_text
 
-#: A text is cut between one of these characters and white space. No match of the splitting
+#: A text is cut between any other character and white space. No match of the splitting
 #: pattern spans such a place, and none looks ahead over it.
-SAFE = re.compile(r"(?<=[A-Za-z0-9.,;:!?])(?=[ \n])")
+SAFE = re.compile(r"(?<=\S)(?=[ \t\n\r\f\v])")
 PIECE = 1 << 16
+#: What the pattern's \\s stands for. A run of it that something follows is one match up to its last
+#: character, which begins the next match; at the end of a text all of it is one match.
+SPACES = re.compile("[\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -45,9 +48,17 @@ def pieces(text: str, size: int = PIECE) -> Iterator[str]:
 
 
 def encode(text: str, path: str, pattern: str, size: int = PIECE) -> np.ndarray:
-    """Token ids (unsigned 32-bit) of a whole text, special tokens being ordinary text."""
-    enc = encoding(path, pattern)
-    parts = [enc.encode_to_numpy(x, disallowed_special=()) for x in pieces(text, size)]
+    """Token ids (unsigned 32-bit) of a whole text, special tokens being ordinary text.
+
+    Long runs of white space, on which the library's matcher runs out of its stack, are matched
+    here and merged by the library as the one match that they are.
+    """
+    enc, parts, at = encoding(path, pattern), [], 0
+    for run in SPACES.finditer(text):
+        parts += [enc.encode_to_numpy(x, disallowed_special=()) for x in pieces(text[at : run.start()], size)]
+        at = run.end() if run.end() == len(text) else run.end() - 1
+        parts.append(np.array(enc._encode_single_piece(text[run.start() : at]), np.uint32))
+    parts += [enc.encode_to_numpy(x, disallowed_special=()) for x in pieces(text[at:], size)]
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
@@ -78,7 +89,8 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Returns doc_id, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit integers) and
     decoded_sha256 (decoded bytes). Null and empty texts give 0 tokens and the digest of
-    nothing. Repeated rows repeat their result; other columns are ignored.
+    nothing. Repeated rows repeat their result; other columns are ignored. Long texts are cut
+    at places that no match spans; runs of one kind of character need none.
     """
     path, pattern = (path, pattern) if path and pattern else rank_file()
 
