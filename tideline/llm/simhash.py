@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.common import as_bytes, stored, whole_text
@@ -38,14 +38,18 @@ def fingerprint(raw: bytes, words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed long) of every whole text."""
+    """doc_id, key (a hash of id and text) and fp (the fingerprint's bits as a signed long) of every whole text."""
 
     def run(batches):
         for b in batches:
-            fp = np.array([fingerprint(t, words) for t in as_bytes(b.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
+            fp = np.array([fingerprint(t, words) for t in as_bytes(b.column(2))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.int64())], names=["doc_id", "key", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), whole_text(text_col).alias("text")).mapInArrow(run, "doc_id long, key long, fp long")
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col).cast("long"), whole_text(text_col))
 
 
 def embed(fp: np.ndarray) -> np.ndarray:
@@ -116,7 +120,7 @@ def links_in_run(key: np.ndarray, fp: np.ndarray, radius: int, small: int = 256)
     size = ends - starts
     a, b = [], []
     for k in np.flatnonzero(size > small).tolist():
-        for x, y in links_in_cell(fp[starts[k] : ends[k]], bool(key[starts[k]] >> 32), radius):
+        for x, y in links_in_cell(fp[starts[k] : ends[k]], bool(int(key[starts[k]]) >> 32 & 1), radius):
             a.append(x)
             b.append(y)
     left = np.repeat(np.where(size > small, 0, ends), size) - np.arange(len(key)) - 1  # how many follow in the run
@@ -135,7 +139,10 @@ def links(prints: DataFrame, radius: int = 4) -> DataFrame:
     """Edges (a < b, longs) that connect all pairs of distinct fingerprints at Hamming distance ``radius`` (4 at most) or less.
 
     Each task unites the links it has verified and sends one edge for each of their
-    fingerprints, to the smallest that it is connected with, rather than all pairs.
+    fingerprints, to the smallest that it is connected with, rather than all pairs. The
+    fingerprints of a cell of more than ``DENSE`` are dealt to finer cells first: of at most 4
+    differing bits in the other half, one quarter of it has 2 or fewer, and its grid points
+    within distance 1 meet.
     """
     if not 0 <= radius <= 4:
         raise ValueError("radius must be from 0 to 4")
@@ -166,7 +173,21 @@ def links(prints: DataFrame, radius: int = 4) -> DataFrame:
                     united = Forest()
         yield united.stars()
 
-    keyed = prints.select("fp").distinct().mapInArrow(emit, "key long, fp long")
+    def refine(batches):
+        for batch in batches:
+            key, fp = np.asarray(batch.column(0)), np.asarray(batch.column(1)).view(np.uint64)
+            v, high = embed(fp), key >> 32 == 1
+            for half in (0, 1):
+                own = np.flatnonzero(high == (half == 1))
+                for quarter in (0, 1) if half else (2, 3):
+                    rows, place = grid_keys((v[own] >> np.uint64(16 * quarter)) & np.uint64(0xFFFF), 8)
+                    finer = key[own][rows] | (quarter + 1 << 33) | place.astype(np.int64) << 36
+                    yield pa.RecordBatch.from_arrays([pa.array(finer), pa.array(fp[own][rows].view(np.int64))], names=["key", "fp"])
+
+    keyed = stored(prints.select("fp").distinct().mapInArrow(emit, "key long, fp long"))
+    crowded = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > DENSE).select("key"))
+    if not crowded.isEmpty():
+        keyed = keyed.join(crowded, "key", "left_anti").unionByName(keyed.join(crowded, "key", "left_semi").mapInArrow(refine, "key long, fp long"))
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(verify, "a long, b long").distinct()
 
@@ -236,6 +257,20 @@ def followed(rows: DataFrame, column: str, up: DataFrame) -> DataFrame:
     return joined.select(*[F.coalesce("__root", column).alias(c) if c == column else F.col(c) for c in rows.columns])
 
 
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
+    """doc_id, key, fp, root (the smallest fingerprint of the component) and component_id of every row.
+
+    What is joined is written before, so that Spark can split the rows of a large component or a frequent fingerprint.
+    """
+    prints = stored(fingerprints(docs, id_col, text_col, words))
+    first = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    root = components(links(prints, radius))
+    named = stored(first.join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    smallest = stored(named.groupBy("root").agg(F.min("first_id").alias("component_id")))
+    of_print = stored(named.select("fp", "root").join(smallest, "root"))
+    return prints.join(of_print, "fp").select("doc_id", "key", "fp", "root", "component_id")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
     """Fingerprint and component of every row.
 
@@ -244,19 +279,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     doc_id, fp (long) and component_id, the smallest doc_id reachable over links. Texts
     without words, null ones too, have fingerprint 0 and link like any other. Rows of null id
     take part in links but name no component unless all its ids are null. Repeated rows and
-    extra columns do no harm.
+    extra columns do no harm. Long texts are fingerprinted whole.
     """
-    prints = stored(fingerprints(docs, id_col, text_col, words))
-    first = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    root = components(links(prints, radius))
-    named = first.join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_print = named.join(smallest, "root").select(F.col("fp").alias("__fp"), "component_id")
-    return prints.join(of_print, F.col("fp") == F.col("__fp")).select("doc_id", "fp", "component_id")
+    return grouped(docs, id_col, text_col, words, radius).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose id names their component; rows of null id in a component of null ids stay too."""
-    groups = near_groups(docs, id_col, text_col)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept_id")), "left_semi")
+    """One text of each component: of the rows whose id names it, or of all if no row has an id, the one of the smallest key.
+
+    Rows that are equal in id and text stay together.
+    """
+    groups = grouped(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = groups.groupBy("root").agg(F.min("key").alias("__kept_key")).select("__kept_key")
+    return docs.join(kept, row_key(id_col, text_col) == F.col("__kept_key"), "left_semi")
