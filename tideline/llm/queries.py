@@ -55,7 +55,8 @@ def op9_mixing(spark, sf_dir):
 
 def op10_secret_scan(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return secrets.report(docs, secrets.train(secrets.labelled_samples(docs)))
+    ratios, least = secrets.learnt(docs)
+    return secrets.report(docs, ratios, least=least)
 
 
 QUERIES = {f.__name__: f for f in (
