@@ -134,3 +134,52 @@ def test_lm_null_and_repeated_ids_long_and_empty_texts(spark):
     assert len(got) == len(rows)
     assert {r["n_tokens"] for r in got if r["doc_id"] in (2, 3, 5)} == {1}
     assert all(r["held_out"] in (True, False) for r in got) and {r["n_tokens"] for r in got if r["doc_id"] == 4} == {200_001}
+
+
+def vectors_around(n, centres, seed, spread=0.3, dim=12):
+    rng = np.random.default_rng(seed)
+    c = rng.normal(size=(centres, dim))
+    return c[rng.integers(centres, size=n)] + spread * rng.normal(size=(n, dim))
+
+
+def recall(spark, x, extra=(), **options):
+    from tideline.llm import ann
+
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + list(extra)
+    df = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<double>, part int").repartition(4)
+    want = brute.nearest(dict(rows), [i for i, _ in rows if i % 100 == 0])
+    got: dict = {}
+    for r in ann.search(df, df.where("vec_id % 100 = 0"), **options).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    assert got.keys() == want.keys()
+    for q in got:
+        found = [got[q][i] for i in range(1, len(got[q]) + 1)]
+        assert found == sorted(found, key=lambda p: (p[1], p[0])) and len({v for v, _ in found}) == len(found) == len(want[q])
+        exact = dict(brute.nearest(dict(rows), [q], len(rows))[q])
+        assert all(s == pytest.approx(exact[v], abs=1e-12) for v, s in found)
+    return sum(len({v for v, _ in got[q].values()} & {v for v, _ in want[q]}) for q in want) / sum(map(len, want.values()))
+
+
+def test_neighbours_are_routed_at_default_sizes(spark):
+    x = vectors_around(2500, 40, 0)
+    from tideline.llm import ann
+
+    df = spark.createDataFrame([(i, v.tolist(), [i]) for i, v in enumerate(x)], "vec_id long, v array<double>, ids array<long>")
+    tree, dim, needed = ann.train(df)
+    assert tree.parts >= 8 and needed < tree.parts
+    assert recall(spark, x) >= 0.9
+
+
+def test_neighbours_of_a_second_cut_and_of_one_very_common_vector(spark):
+    x = vectors_around(2400, 30, 1)
+    x[600:1500] = x[0]
+    assert recall(spark, x, [(2500, [1.0, 2.0]), (2600, [1.0, 2.5]), (5000, None)], rows_per_part=400, most_parts=4, rows_per_leaf=100, block_rows=64, coverage=0.97) >= 0.9
+
+
+def test_repeated_vector_ids_count_once(spark):
+    from tideline.llm import ann
+
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.1]), (1, [5.0, 0.1]), (2, [1.0, 0.0]), (3, [9.0, 9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(df, df.where("vec_id = 0")).orderBy("rank").collect()]
+    assert got == [(0, 1, 2), (0, 2, 1), (0, 3, 3)]

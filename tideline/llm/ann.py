@@ -2,12 +2,17 @@
 
 A neighbour graph of a bounded sample is cut into balanced parts, a small neural classifier
 learns which part a vector belongs to, and every row is indexed under its most probable part.
-A query is compared with all rows of its several most probable parts.
+A query is compared with all rows of its several most probable parts. Tables that would leave
+the parts too large are cut again: every part has a graph and a classifier of its own.
+
+Equal vectors are one row of the index, with the smallest of their ids, and equal queries are
+searched for once, so that no vector, however frequent, makes a part large.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.llm.common import stored
+
 
 @dataclass(frozen=True)
 class Router:
@@ -30,9 +37,8 @@ class Router:
     def logits(self, x: np.ndarray) -> np.ndarray:
         return np.maximum(((x - self.mean) / self.scale) @ self.w1 + self.b1, 0) @ self.w2 + self.b2
 
-    def probable(self, x: np.ndarray, parts: int) -> np.ndarray:
-        """The ``parts`` most probable parts of each row, best first."""
-        return np.argsort(-self.logits(x), axis=1, kind="stable")[:, :parts]
+    def small(self) -> Router:
+        return Router(self.mean.astype(np.float32), self.scale, *(w.astype(np.float32) for w in (self.w1, self.b1, self.w2, self.b2)))
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,11 +116,44 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     )
 
 
-def probes_needed(router: Router, x: np.ndarray, own: np.ndarray, parts: int, coverage: float, k: int = 10) -> int:
-    """How many probable parts of the rows ``own`` hold ``coverage`` of their ``k`` nearest rows of ``x``."""
-    if parts < 2 or not len(own) or len(x) < 2:
-        return parts
-    part, ranked, ranks = router.probable(x, 1)[:, 0], router.probable(x[own], parts), []
+@dataclass(frozen=True)
+class Tree:
+    """The classifier of the first cut and, if there is a second one, those of its parts (None: the part is not cut)."""
+
+    root: Router
+    parts: int
+    below: tuple[Router | None, ...] = ()
+    parts_below: int = 1
+
+    @property
+    def leaves(self) -> int:
+        return self.parts * self.parts_below
+
+    def chances(self, x: np.ndarray) -> np.ndarray:
+        """Log-probability of every leaf."""
+        first = log_softmax(self.root.logits(x))
+        if not self.below:
+            return first
+        out = np.full((len(x), self.parts, self.parts_below), -np.inf)
+        for p, router in enumerate(self.below):
+            out[:, p] = first[:, p, None] + (log_softmax(router.logits(x)) if router else np.where(np.arange(self.parts_below) == 0, 0.0, -np.inf))
+        return out.reshape(len(x), -1)
+
+    def probable(self, x: np.ndarray, leaves: int) -> np.ndarray:
+        """The ``leaves`` most probable leaves of each row, best first."""
+        return np.concatenate([np.argsort(-self.chances(x[a : a + 256]), axis=1, kind="stable")[:, :leaves] for a in range(0, len(x), 256)]) if len(x) else np.zeros((0, leaves), int)
+
+
+def log_softmax(z: np.ndarray) -> np.ndarray:
+    z = z - z.max(1, keepdims=True)
+    return z - np.log(np.exp(z).sum(1, keepdims=True))
+
+
+def probes_needed(tree: Tree, x: np.ndarray, own: np.ndarray, coverage: float, k: int = 10) -> int:
+    """How many probable leaves of the rows ``own`` hold ``coverage`` of their ``k`` nearest rows of ``x``."""
+    if tree.leaves < 2 or not len(own) or len(x) < 2:
+        return tree.leaves
+    part, ranked, ranks = tree.probable(x, 1)[:, 0], tree.probable(x[own], tree.leaves), []
     norms = (x * x).sum(1)
     for i, row in zip(own, ranked, strict=True):
         d = norms - 2 * x @ x[i]
@@ -124,11 +163,21 @@ def probes_needed(router: Router, x: np.ndarray, own: np.ndarray, parts: int, co
     return int(np.quantile(np.concatenate(ranks), coverage, method="higher")) + 1
 
 
-def train(rows: DataFrame, fit_rows: int = 4096, test_rows: int = 512, rows_per_part: int = 1500, most_parts: int = 128, coverage: float = 0.96) -> tuple[Router, int, int, int]:
-    """Router, number of parts, dimension and number of parts to search.
+def power_of_two(x: float) -> int:
+    return 1 << max(0, int(math.log2(max(1, x))))
+
+
+def train(
+    rows: DataFrame, fit_rows: int = 4096, test_rows: int = 512, rows_per_part: int = 512, least_rows: int = 400, least_parts: int = 8, most_parts: int = 128, rows_per_leaf: int = 32_768, coverage: float = 0.92,
+) -> tuple[Tree, int, int]:
+    """Classifiers, dimension and number of leaves to search; ``rows`` are distinct vectors.
 
     The rows with the smallest id hash are the sample: ``fit_rows`` to fit on and ``test_rows``
-    others, whose nearest neighbours in the sample tell how many parts must be searched.
+    others, whose nearest neighbours in the sample tell how many leaves must be searched. There
+    are ``least_parts`` parts at least, unless the sample has fewer than 16 rows for each; fewer
+    than ``least_rows`` rows are one part and so compared with every query. If
+    parts would have more than ``rows_per_leaf`` rows on average, each is cut again by a sample of
+    its own, in a task for each part; at most ``most_parts`` classifiers then reach the driver.
     """
     n = rows.count()
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows + test_rows).select("v").toArrow().column("v").to_pylist()
@@ -137,101 +186,126 @@ def train(rows: DataFrame, fit_rows: int = 4096, test_rows: int = 512, rows_per_
     x = seen[np.sort(np.unique(seen, axis=0, return_index=True)[1])] if len(seen) else seen
     held = min(test_rows, len(x) // 5)
     fitted = x[: len(x) - held]
-    parts = 1 << max(0, int(math.log2(max(1, min(most_parts, n / rows_per_part, len(fitted) / 16)))))
-    router = fit(fitted, parts)
-    return router, parts, dim, probes_needed(router, x, np.arange(len(x) - held, len(x)), parts, coverage)
+    parts = power_of_two(min(most_parts, max(least_parts, n / rows_per_part), len(fitted) / 16)) if n >= least_rows else 1
+    tree = Tree(fit(fitted, parts), parts)
+    below = power_of_two(min(most_parts, n / parts / rows_per_leaf))
+    if below > 1:
+        tree = Tree(tree.root, parts, second_cut(assign(rows, tree, dim, 1), parts, below, fit_rows, dim), below)
+    return tree, dim, probes_needed(tree, x, np.arange(len(x) - held, len(x)), coverage)
+
+
+def second_cut(placed: DataFrame, parts: int, below: int, fit_rows: int, dim: int) -> tuple[Router | None, ...]:
+    first = Window.partitionBy("part").orderBy(F.xxhash64("vec_id"), "vec_id")
+    sample = placed.where("part >= 0").withColumn("r", F.row_number().over(first)).where(F.col("r") <= fit_rows)
 
+    def run(t: pa.Table) -> pa.Table:
+        x = np.array(t.column("v").to_pylist(), np.float64).reshape(-1, dim)
+        blob = pickle.dumps(fit(x, below, hidden=64).small()) if len(x) >= 4 * below else None
+        return pa.table([t.column("part")[:1], pa.array([blob], pa.binary())], names=["part", "router"])
 
-def assign(rows: DataFrame, router: Router, dim: int, probes: int) -> DataFrame:
-    """vec_id, v and part, a row for each of the ``probes`` most probable parts; vectors of another length go to part -1."""
+    out: list[Router | None] = [None] * parts
+    for r in sample.select("part", "v").groupBy("part").applyInArrow(run, "part int, router binary").collect():
+        out[r["part"]] = pickle.loads(r["router"]) if r["router"] else None
+    return tuple(out)
+
+
+def matrices(column: pa.Array | pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length: the places of the vectors in a list column and a matrix of them."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    lengths, flat = column.value_lengths().to_numpy(zero_copy_only=False), column.flatten().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(lengths)
+    out = {}
+    for d in sorted(set(lengths.tolist())):
+        at = np.flatnonzero(lengths == d)
+        out[d] = (at, flat[(ends[at] - d)[:, None] + np.arange(d)])
+    return out
+
+
+def assign(rows: DataFrame, tree: Tree, dim: int, probes: int) -> DataFrame:
+    """vec_id, v, ids and part, a row for each of the ``probes`` most probable leaves; vectors of another length go to part -1."""
 
     def run(batches):
         for b in batches:
-            v = b.column(1)
-            lists = v.to_pylist()
-            good = np.array([len(x) == dim for x in lists], bool)
-            parts = np.full((len(lists), probes), -1, np.int64)
-            if good.any():
-                parts[good] = router.probable(np.array([x for x, g in zip(lists, good, strict=True) if g]), probes)
+            parts = np.full((b.num_rows, probes), -1, np.int64)
+            at, x = matrices(b.column(1)).get(dim, (np.zeros(0, int), None))
+            if len(at):
+                parts[at] = tree.probable(x, probes)
             keep = np.ones(parts.shape, bool)
-            keep[~good, 1:] = False
-            at = np.nonzero(keep)[0]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), v.take(pa.array(at)), pa.array(parts[keep].astype(np.int32))], names=["vec_id", "v", "part"])
+            keep[np.setdiff1d(np.arange(b.num_rows), at), 1:] = False
+            row = pa.array(np.nonzero(keep)[0])
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(row) for i in range(3)), pa.array(parts[keep].astype(np.int32))], names=["vec_id", "v", "ids", "part"])
 
-    return rows.mapInArrow(run, "vec_id long, v array<double>, part int")
+    return rows.select("vec_id", "v", "ids").mapInArrow(run, "vec_id long, v array<double>, ids array<long>, part int")
 
 
-def nearest_in_block(rows: pa.Table, queries: pa.Table, k: int) -> pa.Table:
-    """The k nearest rows of each query within one block, ties to the smaller id."""
-    ids, lists = rows.column("vec_id").to_numpy(), rows.column("v").to_pylist()
-    q_ids, q_lists = queries.column("vec_id").to_numpy(), queries.column("v").to_pylist()
+def nearest_in_block(rows: pa.Table, queries: pa.Table, k: int, at_once: int) -> pa.Table:
+    """The k nearest ids of each query within one block, ties to the smaller id; a row stands for all its ids."""
+    own, asked = matrices(rows.column("v")), matrices(queries.column("v"))
+    ids, q_ids = rows.column("ids").to_pylist(), queries.column("vec_id").to_numpy()
     out_q, out_v, out_d = [], [], []
-    for dim in {len(x) for x in q_lists}:
-        at = [i for i, x in enumerate(lists) if len(x) == dim]
-        if not at:
-            continue
-        x, own = np.array([lists[i] for i in at], np.float64), ids[at]
-        repeated = len(np.unique(own)) < len(own)
-        for q_id, q in zip(q_ids, q_lists, strict=True):
-            if len(q) != dim:
-                continue
-            d = np.sqrt(((x - np.array(q)) ** 2).sum(1))
-            d[own == q_id] = np.inf
-            if len(d) > 4 * k and not repeated:
-                near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
-            else:
-                near = np.arange(len(d))
-            near = near[np.isfinite(d[near])]
-            near = near[np.lexsort((own[near], d[near]))]
-            if repeated:
-                near = near[np.sort(np.unique(own[near], return_index=True)[1])]
-            near = near[:k]
-            out_q.append(np.full(len(near), q_id))
-            out_v.append(own[near])
-            out_d.append(d[near])
+    for dim in own.keys() & asked.keys():
+        (at, x), (q_at, q) = own[dim], asked[dim]
+        lists = [ids[i] for i in at.tolist()]
+        sizes, flat = np.array([len(i) for i in lists]), np.array([i for y in lists for i in y], np.int64)
+        ends = np.cumsum(sizes)
+        norms = (x * x).sum(1)
+        for begin in range(0, len(q), at_once):
+            some = q[begin : begin + at_once]
+            rough = norms - 2 * some @ x.T + (some * some).sum(1)[:, None]
+            # What rounding of the rough squares can do is far below this slack.
+            limit = np.partition(rough, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1] + 1e-9 * (norms.max() + (some * some).sum(1))
+            for i, row in enumerate(rough):
+                near = np.flatnonzero(row <= limit[i])
+                d = np.sqrt(((x[near] - some[i]) ** 2).sum(1))
+                v = np.concatenate([flat[ends[j] - sizes[j] : ends[j]] for j in near])
+                d = np.repeat(d, sizes[near])
+                best = np.lexsort((v, d))[:k]
+                out_q.append(np.full(len(best), q_ids[q_at[begin + i]]))
+                out_v.append(v[best])
+                out_d.append(d[best])
     cat = lambda x, kind: pa.array(np.concatenate(x) if x else np.zeros(0), kind)
-    return pa.table([cat(out_q, pa.int64()), cat(out_v, pa.int64()), cat(out_d, pa.float64())], names=["query_id", "vec_id", "score"])
+    return pa.table([cat(out_q, pa.int64()), cat(out_v, pa.int64()), cat(out_d, pa.float64())], names=["asked", "vec_id", "score"])
+
+
+def merged(rows: DataFrame, k: int) -> DataFrame:
+    """Distinct vectors: v, ids (the ``k`` smallest) and vec_id (the smallest of all)."""
+    first = Window.partitionBy("h", "v").orderBy("vec_id")
+    few = rows.distinct().withColumn("h", F.xxhash64("v")).withColumn("r", F.row_number().over(first)).where(F.col("r") <= k)
+    return few.groupBy("h", "v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.get("ids", F.lit(0)).alias("vec_id"), "v", "ids")
 
 
 def search(
     vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding",
-    block_rows: int = 4096, block_queries: int = 512, **fitting,
+    block_rows: int = 8192, block_queries: int = 64, **fitting,
 ) -> DataFrame:
     """The k nearest rows found for each query: query_id, rank, vec_id, score (Euclidean distance).
 
-    Rows of one part are dealt to blocks of about ``block_rows`` by a hash of their id, however
-    many copies a vector has, and queries to blocks of about ``block_queries``; each pair of
-    blocks of a part is one group. A query is sent to as many of its most probable parts,
-    two at least, as the sample's held-back rows need to cover ``coverage`` of their neighbours.
-    Unusable vectors (null, zero, with null or non-finite components) take no part as rows or
-    queries. Vectors of another length meet those of their own length only. Rows and queries
-    that repeat an id count once, at the smallest distance; a row with the query's id is none
-    of its candidates. Empty tables give no rows.
+    Rows stay in their leaf, which is dealt to blocks of about ``block_rows`` by a hash of the id if
+    it is larger; a query is sent to the blocks of as many of its most probable leaves, two
+    at least, as the sample's held-back rows need to cover ``coverage`` of their neighbours, and
+    ``block_queries`` are compared at a time. Unusable vectors (null, zero, with null or
+    non-finite components) take no part as rows or queries. Vectors of another length meet
+    those of their own length only. Rows and queries that repeat an id count once, at the
+    smallest distance; a row with the query's id is none of its candidates. Ties go to the
+    smaller id. Other columns are ignored. Empty tables give no rows.
     """
     rows, asked = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col)
-    router, parts, dim, needed = train(rows, **fitting)
-    probes = min(parts, max(2, needed))
-    placed, sent = assign(rows, router, dim, 1), assign(asked, router, dim, probes)
-    # Counts of at most ``parts`` + 1 parts.
-    size = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    wanted = {r["part"]: r["n"] for r in sent.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    blocks = {p: (math.ceil(size[p] / block_rows), math.ceil(wanted[p] / block_queries)) for p in size.keys() & wanted.keys()}
+    # One more than k, as the query itself may be among them.
+    index = stored(merged(rows, k + 1))
+    tree, dim, needed = train(index, **fitting)
+    probes = min(tree.leaves, max(2, needed))
+    placed = stored(assign(index, tree, dim, 1))
+    # Counts of at most as many leaves as there are, and one for vectors of another length.
+    blocks = {r["part"]: math.ceil(r["n"] / block_rows) for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not blocks:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    known = F.create_map(*[F.lit(x) for p, (r, q) in blocks.items() for x in (p, f"{r},{q}")])
-    shape = F.split(known[F.col("part")], ",")
-
-    def dealt(df: DataFrame, own: int, name: str, other: str) -> DataFrame:
-        mine, others = shape[own].cast("int"), shape[1 - own].cast("int")
-        return (
-            df.where(F.col("part").isin(*blocks))
-            .withColumn(name, F.pmod(F.xxhash64("vec_id"), mine).cast("int"))
-            .withColumn(other, F.explode(F.sequence(F.lit(0), others - 1)))
-        )
-
-    keys = ("part", "row_block", "query_block")
-    left, right = dealt(placed, 0, "row_block", "query_block").groupBy(*keys), dealt(sent, 1, "query_block", "row_block").groupBy(*keys)
-    near = left.cogroup(right).applyInArrow(lambda r, q: nearest_in_block(r, q, k), "query_id long, vec_id long, score double")
-    best = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    of_part = rows.sparkSession.createDataFrame(list(blocks.items()), "part int, blocks int")
+    one = stored(merged(asked, 1))
+    members = asked.distinct().join(one.select("v", F.col("vec_id").alias("asked")), "v").select(F.col("vec_id").alias("query_id"), "asked")
+    left = placed.join(of_part, "part").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    right = assign(one, tree, dim, probes).join(of_part, "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    near = left.select("part", "block", "v", "ids").groupBy("part", "block").cogroup(right.select("part", "block", "vec_id", "v").groupBy("part", "block"))
+    found = near.applyInArrow(lambda r, q: nearest_in_block(r, q, k + 1, block_queries), "asked long, vec_id long, score double")
+    best = found.join(members, "asked").where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
