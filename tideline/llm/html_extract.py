@@ -27,7 +27,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 SECTION = frozenset("article aside body div footer form header html li main nav ol section table td th tr ul dl dd dt blockquote figure details".split())
 MAIN = frozenset(("tag:article", "tag:main"))
-#: Containers that say nothing about what they hold, whatever the sample's pages use them for.
+#: Elements that say nothing about what they hold, whatever the sample's pages use them for.
 NEUTRAL = frozenset(f"tag:{t}" for t in "html body div section span center font table tbody tr td".split())
 #: Prior knowledge of page parts that are never main text: elements and words in class, id or role.
 ASIDE_TAGS = frozenset("nav header footer aside form button menu dialog search fieldset".split())
@@ -37,16 +37,22 @@ ASIDE_WORDS = frozenset(
     "disqus respond share sharing social related recommended newsletter subscribe subscription signup login form search widget pagination "
     "pager toolbar copyright legal complementary contentinfo".split()
 )
-PRIOR = 50.0
+#: In words: what the prior knowledge counts for, and what draws rare features to no evidence.
+PRIOR, SMOOTHING = 50.0, 20.0
+#: A word that nothing is known about, the limits of the evidence of one container, of the elements of running text together and of a
+#: word, and how many words of one text node can count against a run.
+PLAIN, CONTAINER, RUNNING, LEAST, MOST, COUNTED = 0.3, 4.0, 0.5, -3.0, 2.0, 5
+#: Limits of the cost of a tag.
+COSTS = (0.05, 0.5)
 
 
 @dataclass
 class Piece:
-    """A word run of one text node, or a tag: its features, block number and position."""
+    """A word run of one text node, or a tag: the features of the elements around it, outermost first, and its block number."""
 
     words: str
     tag: str
-    chain: tuple[str, ...]
+    chain: tuple[tuple[str, ...], ...]
     block: int
 
 
@@ -69,7 +75,7 @@ def pieces(page: str) -> list[Piece]:
     """Words and tags of a page in order. Raw-text elements and comments leave nothing; unclosed elements end with their parent."""
     out: list[Piece] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
-    chain: tuple[str, ...] = ()
+    chain: tuple[tuple[str, ...], ...] = ()
     block = 0
     for m in TOKEN.finditer(page):
         if m["text"] is not None:
@@ -90,7 +96,7 @@ def pieces(page: str) -> list[Piece]:
                 if depth is not None and stack[depth][0] == "p":
                     del stack[depth:]
             stack.append((tag, features(tag, m["rest"])))
-        chain = tuple(f for _, fs in stack for f in fs)
+        chain = tuple(fs for _, fs in stack)
         out.append(Piece("", tag, chain, block))
     return out
 
@@ -101,16 +107,17 @@ def evidence(parsed: list[Piece]) -> Counter:
     A page is labelled if it marks its article. Text in parts that are known to be no main
     text counts as outside wherever they stand.
     """
-    if not any(MAIN & {*p.chain} for p in parsed):
+    around = [{f for fs in p.chain for f in fs} for p in parsed]
+    if not any(MAIN & a for a in around):
         return Counter()
     out: Counter = Counter()
-    for p in parsed:
-        inside = bool(MAIN & {*p.chain}) and not any(aside(f) for f in p.chain)
+    for p, a in zip(parsed, around, strict=True):
+        inside = bool(MAIN & a) and not any(map(aside, a))
         if p.tag:
             out["cost:" + p.tag, inside] += 1
         elif n := len(p.words.split()):
             out["words", inside] += n
-            for f in {*p.chain}:
+            for f in a:
                 out[f, inside] += n
     return out
 
@@ -121,25 +128,40 @@ def aside(feature: str) -> bool:
 
 
 def learn(counts: dict[tuple[str, bool], int]) -> Weights:
-    """Weights from counts; known parts start with ``PRIOR`` words outside, the marked article with as many inside."""
+    """Log-odds from counts, ``SMOOTHING`` words of no evidence added; known parts start with ``PRIOR`` words outside, the marked article with as many inside."""
     out = Weights()
     inside, outside = counts.get(("words", True), 0) + PRIOR, counts.get(("words", False), 0) + PRIOR
     names = {f for f, _ in counts if f != "words"} | {f"tag:{t}" for t in ASIDE_TAGS} | {f"part:{w}" for w in ASIDE_WORDS} | MAIN
     for f in names:
         a, b = counts.get((f, True), 0), counts.get((f, False), 0)
         if f.startswith("cost:"):
-            out.tag[f[5:]] = max(0.05, math.log((b + 1) / (a + 1)) + 0.5)
+            out.tag[f[5:]] = limited(math.log((b + 1) / (a + 1)) + 0.5, *COSTS)
         else:
-            a, b = a + PRIOR * (f in MAIN) + 1, b + PRIOR * aside(f) + 1
+            a, b = a + PRIOR * (f in MAIN) + SMOOTHING * inside / (inside + outside), b + PRIOR * aside(f) + SMOOTHING * outside / (inside + outside)
             out.feature[f] = math.log(a / inside) - math.log(b / outside)
     return out
 
 
-def word_weight(chain: tuple[str, ...], w: Weights) -> float:
-    """Weight of one word: positive, unless something around it speaks against main text."""
-    odds = [w.feature.get(f, 0.0) for f in chain if f not in NEUTRAL]
-    worst = min(odds, default=0.0)
-    return -3.0 if worst < -1.0 else 1.0 + 0.1 * max(0.0, max(odds, default=0.0))
+def limited(x: float, low: float, high: float) -> float:
+    return min(max(x, low), high)
+
+
+def word_weights(chain: tuple[tuple[str, ...], ...], w: Weights, silent: frozenset = frozenset()) -> tuple[float, float]:
+    """Weight of a word in the scan, and that of its containers alone, which decides whether it stays.
+
+    The log-odds of a container's features are summed; each container counts half as much as the
+    one in it. Elements of running text (paragraphs, lists, links) count little and only in the
+    scan, so that lists and links stay in an article. ``silent`` containers count nothing.
+    """
+    containers, running, share = 0.0, 0.0, 1.0
+    for place in range(len(chain) - 1, -1, -1):
+        own = [f for f in chain[place] if f.startswith("part:") or f in MAIN or aside(f)]
+        running += sum(w.feature.get(f, 0.0) for f in chain[place] if f not in own and f not in NEUTRAL)
+        odds = limited(sum(w.feature.get(f, 0.0) for f in own), -CONTAINER, CONTAINER)
+        if odds and chain[: place + 1] not in silent:
+            containers += share * odds
+            share /= 2
+    return limited(PLAIN + containers + limited(running, -RUNNING, RUNNING), LEAST, MOST), PLAIN + containers
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
@@ -155,42 +177,45 @@ def best_run(scores: list[float]) -> tuple[int, int]:
 
 
 def extract(page: str, w: Weights) -> str:
-    """Main text: the best run, widened to the marked article around it, without the parts in it that score negative."""
+    """Main text: the best run without the parts in it whose containers speak against it.
+
+    Where nothing on a page scores positive, containers that hold more than half of its words can
+    be no asides, and are left out of account.
+    """
     parsed = pieces(page)
-    weight: dict[tuple[str, ...], float] = {}
-    scores = []
-    for p in parsed:
-        if p.tag:
-            scores.append(-w.tag.get(p.tag, 0.5))
-        else:
-            if p.chain not in weight:
-                weight[p.chain] = word_weight(p.chain, w)
-            scores.append(weight[p.chain] * len(p.words.split()))
-    a, b = best_run(scores)
+    n = [0 if p.tag else len(p.words.split()) for p in parsed]
+    a, b, keeps = scanned(parsed, n, w, frozenset())
     if a == b:
-        return ""
-    marked = [bool(MAIN & {*p.chain}) for p in parsed]
-    if any(marked[a:b]):
-        while a > 0 and marked[a - 1]:
-            a -= 1
-        while b < len(parsed) and marked[b]:
-            b += 1
-        inside = marked
-    else:
-        inside = [True] * len(parsed)
+        held: Counter = Counter()
+        for p, k in zip(parsed, n, strict=True):
+            for depth in range(1, len(p.chain) + 1) if k else ():
+                held[p.chain[:depth]] += k
+        a, b, keeps = scanned(parsed, n, w, frozenset(c for c, k in held.items() if 2 * k > sum(n)))
     blocks: dict[int, list[str]] = {}
-    for i in range(a, b):
-        p = parsed[i]
-        if not inside[i]:
-            continue
+    for p in parsed[a:b]:
         if p.tag == "br":
             blocks.setdefault(p.block, []).append(" ")
-        elif not p.tag and weight[p.chain] > 0:
+        elif not p.tag and keeps[p.chain] > 0:
             blocks.setdefault(p.block, []).append(html.unescape(p.words))
     texts = (SPACE.sub(" ", "".join(x)).strip(" ") for x in blocks.values())
     return "\n\n".join(t for t in texts if t)
 
 
+def scanned(parsed: list[Piece], n: list[int], w: Weights, silent: frozenset) -> tuple[int, int, dict]:
+    """Bounds of the best run, and by chain whether its words stay."""
+    weights: dict[tuple, tuple[float, float]] = {}
+    scores = []
+    for p, k in zip(parsed, n, strict=True):
+        if p.tag:
+            scores.append(-w.tag.get(p.tag, 0.5))
+        else:
+            if p.chain not in weights:
+                weights[p.chain] = word_weights(p.chain, w, silent)
+            own = weights[p.chain][0]
+            scores.append(own * k if own > 0 else own * min(k, COUNTED))
+    return *best_run(scores), {chain: keep for chain, (_, keep) in weights.items()}
+
+
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", fit_pages: int = 2000) -> Weights:
     """Weights from the ``fit_pages`` pages with the smallest id hash; pages that mark their article are the labelled ones."""
 
@@ -205,15 +230,16 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", fit
     # The sample's ids number at most fit_pages, so they can be broadcast, and so can their features.
     picked = pages.select(F.col(id_col).alias("__id")).orderBy(F.xxhash64("__id"), "__id").limit(fit_pages)
     sample = pages.join(F.broadcast(picked), F.col(id_col).eqNullSafe(F.col("__id")), "left_semi").select(F.col(html_col).cast("string").alias("html"))
-    counts = sample.mapInArrow(run, "name string, inside boolean, n long").groupBy("name", "inside").agg(F.sum("n").alias("n")).where("n > 20")
+    counts = sample.mapInArrow(run, "name string, inside boolean, n long").groupBy("name", "inside").agg(F.sum("n").alias("n"))
     return learn({(r["name"], r["inside"]): r["n"] for r in counts.collect()})
 
 
 def main_text(pages: DataFrame, weights: Weights, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars (code points) of every page, in one narrow pass over whole pages.
 
-    Null and empty pages give the empty text, and so do pages without words. Repeated rows
-    repeat their result; other columns are ignored.
+    Null and empty pages give the empty text, and so do pages without words. White space is
+    the ASCII kind; a no-break space is a character of its text. Of runs that score the same the
+    first is taken. Repeated rows repeat their result; other columns are ignored.
     """
 
     def run(batches):
