@@ -183,3 +183,113 @@ def test_repeated_vector_ids_count_once(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(df, df.where("vec_id = 0")).orderBy("rank").collect()]
     assert got == [(0, 1, 2), (0, 2, 1), (0, 3, 3)]
+
+
+def test_best_run_of_all_intervals():
+    from tideline.llm import html_extract
+
+    rng = random.Random(6)
+    for _ in range(300):
+        x = [rng.choice([-3, -1.5, -1, 0, 0.5, 1, 2]) for _ in range(rng.randrange(14))]
+        best = max((sum(x[a:b]) for a in range(len(x)) for b in range(a, len(x) + 1)), default=0)
+        a, b = html_extract.best_run(x)
+        assert sum(x[a:b]) == pytest.approx(max(best, 0))
+
+
+STORY = "<h1>Title here</h1><p>First paragraph of the story with <a href='x'>a link</a> in it and more words.</p><ul><li>one item</li><li>second item of the list</li></ul><p>Then it goes on for a while and comes to an end.</p>"
+TOLD = "Title here\n\nFirst paragraph of the story with a link in it and more words.\n\none item\n\nsecond item of the list\n\nThen it goes on for a while and comes to an end."
+AROUND = "<html><body><nav><ul><li><a>Home</a></li></ul></nav>%s<div class='sidebar'><p>Other stories</p></div><footer>Copyright</footer></body></html>"
+
+
+def test_pages_in_containers_of_misleading_names(spark, sf):
+    from tideline.llm import html_extract
+
+    weights = html_extract.train(spark.read.parquet(f"{sf}/pages.parquet"))
+    for box in ("<article>%s</article>", "<div class='story'>%s</div>", "<div class='social-share-story'>%s</div>", "<div class='search-results side'><article>%s</article></div>", "<main><div>%s</div></main>"):
+        assert html_extract.extract(AROUND % (box % STORY), weights) == TOLD
+    inner = STORY + "<div class='ad'><p>Buy this now</p></div><div id='comments'><p>I like it, says a reader of this page</p></div>"
+    assert html_extract.extract(AROUND % f"<article>{inner}</article>", weights) == TOLD
+
+
+def test_page_weights_are_smoothed_log_odds():
+    import math
+
+    from tideline.llm import html_extract as h
+
+    w = h.learn({("words", True): 950, ("words", False): 150, ("part:x", True): 30, ("part:y", False): 3, ("cost:p", True): 9, ("cost:p", False): 9, ("cost:q", True): 8, ("cost:q", False): 6})
+    inside, outside = 1000, 200
+    even = (20 * inside / 1200, 20 * outside / 1200)
+    assert w.feature["part:x"] == pytest.approx(math.log((30 + even[0]) / inside) - math.log(even[1] / outside))
+    assert w.feature["part:y"] == pytest.approx(math.log(even[0] / inside) - math.log((3 + even[1]) / outside))
+    assert w.tag["p"] == pytest.approx(0.5) and w.tag["q"] == pytest.approx(math.log(7 / 9) + 0.5)
+
+
+def plain_grams(text):
+    t = " " + (text or "").lower() + " "
+    t = "".join(" " if c in "\t\n\x0b\x0c\r" else c for c in t)
+    return {t[i : i + n] for n in (3, 4, 5) for i in range(len(t) - n + 1)}
+
+
+def bucket(gram):
+    """Of one n-gram, by whole numbers."""
+    h = ord(gram[0])
+    for c in gram[1:]:
+        h = (h * 0x9E3779B1 & 0xFFFFFFFF) ^ ord(c)
+    x = (h + len(gram)) * 0x9E3779B1 & 0xFFFFFFFF
+    return ((x ^ (x >> 15)) * 0x85EBCA77 & 0xFFFFFFFF) >> 11
+
+
+def test_log_count_ratios_of_character_ngrams():
+    import math
+
+    from tideline.llm import toxicity
+
+    texts = ["Bad bad day", "bäd\tthing", "good day", "漢字 good", "", "day"]
+    y = np.array([1.0, 1, 0, 0, 0, 1])
+    rows = [toxicity.distinct(np.concatenate(g)) if (g := toxicity.ngram_buckets(t.encode())) else np.zeros(0, np.uint32) for t in texts]
+    for t, r in zip(texts, rows, strict=True):
+        assert set(r.tolist()) == {bucket(g) for g in plain_grams(t)}
+    ratio, seen = toxicity.log_count_ratios(rows, y, 1.0)
+    grams = set().union(*map(plain_grams, texts))
+    assert len({bucket(g) for g in grams}) == len(grams)
+    for g in grams:
+        one, none = (sum(g in plain_grams(t) for t, label in zip(texts, y, strict=True) if label == v) for v in (1, 0))
+        assert ratio[bucket(g)] == pytest.approx(math.log((one + 1) / (3 + 2)) - math.log((none + 1) / (3 + 2)))
+        assert seen[bucket(g)] == one + none
+
+
+def test_classifier_is_the_plain_one_on_scaled_features():
+    from tideline.llm import toxicity
+
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", *(["vile"] if i % 3 == 0 else ["kind"])]) for _ in range(12)) for i in range(600)]
+    y = np.array([float("vile" in t) for t in texts])
+    rows = [toxicity.distinct(np.concatenate(toxicity.ngram_buckets(t.encode()))) for t in texts]
+    model = toxicity.fit_rows(rows, y, 0.3, 1.0, 200, 1e-4, 40)
+    ratio, seen = toxicity.log_count_ratios(rows, y, 1.0)
+    x = np.array([np.isin(model.buckets, r) for r in rows]) * ratio[model.buckets].astype(np.float32)
+    w, b, m, v = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
+    for t in range(1, 41):
+        err = (1 / (1 + np.exp(-(x @ w + b))) - y) / len(y)
+        g = np.append(x.T @ err + 1e-4 * w, err.sum())
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        step = 0.02 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        w, b = w - step[:-1], b - step[-1]
+    assert model.weights == pytest.approx(w * ratio[model.buckets], abs=1e-3)
+    dense = model.dense()
+    for t in texts[:20]:
+        assert toxicity.margin(t.encode(), dense, model.bias) == pytest.approx(model.bias + sum(float(dense[k]) for k in {bucket(g) for g in plain_grams(t)}), abs=1e-4)
+
+
+def test_toxicity_null_and_repeated_ids_and_clashing_columns(spark):
+    from tideline.llm import toxicity
+
+    rows = [(i, "vile thing " * (i % 3 + 1) if i % 2 else "kind words " * (i % 4 + 1), 1.0, i) for i in range(80)] + [(None, "vile thing", 1.0, 0), (3, "vile thing ", 1.0, 0), (3, "vile thing ", 1.0, 0), (90, None, 0.0, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score double, y int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)] + [(3, 1), (None, 1), (5, None)], "doc_id long, toxic int")
+    model = toxicity.train(df, toxicity.training_labels(labels))
+    got = toxicity.score(df, model).withColumn("held_out", toxicity.held_out()).collect()
+    assert len(got) == len(rows) and all(r["held_out"] in (True, False) for r in got)
+    assert all((r["score"] >= 0.3) == (r["doc_id"] is None or r["doc_id"] % 2 == 1) for r in got if r["doc_id"] != 90)
+    assert len({r["score"] for r in got if r["doc_id"] == 3}) == 1
+    assert toxicity.with_score(df, model).drop("__toxicity").columns == df.columns

@@ -14,8 +14,6 @@ from tideline.llm.common import as_bytes, whole_text
 BITS = 21
 ORDERS = (3, 4, 5)
 MULT = np.uint32(0x9E3779B1)
-#: White-space bytes count as one space each, so that words at line ends look like words in a line.
-FOLD = bytes(32 if b in b"\t\n\r\x0b\x0c" else b for b in range(256))
 
 
 @dataclass(frozen=True)
@@ -33,11 +31,13 @@ class Model:
 
 
 def ngram_buckets(raw: bytes) -> list[np.ndarray]:
-    """Hash buckets of all byte n-grams of the lower-cased, space-padded text, an array for each order."""
-    x = np.frombuffer(b" " + raw.lower().translate(FOLD) + b" ", np.uint8).astype(np.uint32)
-    h, out = x, []
+    """Hash buckets of all character n-grams of the lower-cased, space-padded text, an array for each order."""
+    text = " " + raw.decode("utf-8", "replace").lower() + " "
+    x = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    h = x = np.where((x >= 9) & (x <= 13), np.uint32(32), x)
+    out = []
     for n in range(2, max(ORDERS) + 1):
-        h = h[:-1] * np.uint32(257) + x[n - 1 :] if n == 2 else (h[:-1] * MULT) ^ x[n - 1 :]
+        h = (h[:-1] * MULT) ^ x[n - 1 :]
         if n in ORDERS:
             mixed = (h + np.uint32(n)) * MULT
             out.append((mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x85EBCA77) >> np.uint32(32 - BITS))
@@ -46,10 +46,24 @@ def ngram_buckets(raw: bytes) -> list[np.ndarray]:
     return out
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 def margin(raw: bytes, dense: np.ndarray, bias: float) -> float:
     """Sum of the weights of the distinct selected n-grams of the whole text, plus the bias."""
     hit = [b[dense[b] != 0] for b in ngram_buckets(raw)]
-    return bias + float(dense[np.unique(np.concatenate(hit))].sum(dtype=np.float64)) if hit else bias
+    return bias + float(dense[distinct(np.concatenate(hit))].sum(dtype=np.float64)) if hit else bias
+
+
+def log_count_ratios(rows: list[np.ndarray], y: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """By bucket: the log of the ratio of its smoothed document frequencies among labels 1 and 0, and how many rows have it."""
+    df = np.zeros((2, 1 << BITS), np.int32)
+    for b, label in zip(rows, y, strict=True):
+        df[int(label), b] += 1
+    n1, n0 = int(y.sum()), int(len(y) - y.sum())
+    return np.log((df[1] + alpha) / (n1 + 2 * alpha)) - np.log((df[0] + alpha) / (n0 + 2 * alpha)), df.sum(0)
 
 
 def fit_rows(rows: list[np.ndarray], y: np.ndarray, prior: float, alpha: float, features: int, l2: float, steps: int) -> Model:
@@ -63,25 +77,26 @@ def fit_rows(rows: list[np.ndarray], y: np.ndarray, prior: float, alpha: float,
     size, n1, n0 = 1 << BITS, int(y.sum()), int(len(y) - y.sum())
     if not n1 or not n0:
         return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), -4.0)
-    df1, df0 = np.zeros(size), np.zeros(size)
-    for b, label in zip(rows, y, strict=True):
-        (df1 if label else df0)[b] += 1
-    ratio = np.log((df1 + alpha) / (n1 + 2 * alpha)) - np.log((df0 + alpha) / (n0 + 2 * alpha))
-    seen = df1 + df0 >= 3
-    strength = np.where(seen, np.abs(ratio) * np.sqrt(np.minimum(df1 + df0, n1)), 0)
-    chosen = np.sort(np.argsort(-strength, kind="stable")[: min(features, int(seen.sum()))])
+    ratio, seen = log_count_ratios(rows, y, alpha)
+    strength = np.where(seen >= 3, np.abs(ratio) * np.sqrt(np.minimum(seen, n1)), 0)
+    chosen = np.sort(np.argsort(-strength, kind="stable")[: min(features, int((seen >= 3).sum()))])
     if not len(chosen):
         return Model(chosen, np.zeros(0, np.float32), -4.0)
     place = np.full(size, -1, np.int32)
     place[chosen] = np.arange(len(chosen), dtype=np.int32)
-    cols = [c[c >= 0] for c in (place[b] for b in rows)]
-    who, cols = np.repeat(np.arange(len(y), dtype=np.int32), [len(c) for c in cols]), np.concatenate(cols)
-    vals = ratio[chosen].astype(np.float32)[cols]
+    scale, parts = ratio[chosen].astype(np.float32), []
+    for at in range(0, len(rows), 256):  # the selected n-grams of some rows at a time, so that sums over them stay small
+        cols = [c[c >= 0] for c in (place[b] for b in rows[at : at + 256])]
+        parts.append((at, np.repeat(np.arange(len(cols), dtype=np.int32), [len(c) for c in cols]), np.concatenate(cols)))
     w, bias, mw, mb, vw, vb = np.zeros(len(chosen)), 0.0, 0.0, 0.0, 0.0, 0.0
     for t in range(1, steps + 1):  # Adam on the whole sample
-        z = np.clip(np.bincount(who, vals * w[cols], len(y)) + bias, -30, 30)
-        err = (1 / (1 + np.exp(-z)) - y) / len(y)
-        gw, gb = np.bincount(cols, vals * err[who], len(w)) + l2 * w, err.sum()
+        gw, gb, scaled = l2 * w, 0.0, (scale * w).astype(np.float32)
+        for at, who, cols in parts:
+            own = y[at : at + 256]
+            z = np.clip(np.bincount(who, scaled[cols], len(own)) + bias, -30, 30)
+            err = (1 / (1 + np.exp(-z)) - own) / len(y)
+            gw += scale * np.bincount(cols, err[who], len(w))
+            gb += err.sum()
         mw, mb, vw, vb = 0.9 * mw + 0.1 * gw, 0.9 * mb + 0.1 * gb, 0.99 * vw + 0.01 * gw**2, 0.99 * vb + 0.01 * gb**2
         c1, c2 = 1 - 0.9**t, 1 - 0.99**t
         w -= 0.02 * (mw / c1) / (np.sqrt(vw / c2) + 1e-8)
@@ -91,8 +106,8 @@ def fit_rows(rows: list[np.ndarray], y: np.ndarray, prior: float, alpha: float,
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", sample_positive: int = 1200,
-    sample_negative: int = 2400, alpha: float = 1.0, features: int = 60_000, l2: float = 1e-4, steps: int = 60,
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", sample_positive: int = 3000,
+    sample_negative: int = 5000, alpha: float = 1.0, features: int = 60_000, l2: float = 1e-4, steps: int = 60,
 ) -> Model:
     """Fit the classifier on a bounded sample of labelled rows.
 
@@ -100,8 +115,8 @@ def train(
     bound the ids of either label; those with the smallest hash of id and label are taken. All
     labels count for the share of label 1. The sample's n-grams are computed where its texts
     are read and fitted in one task; the driver gets at most ``features`` buckets and weights.
-    Null labels take no part; an id with both labels is two rows. Without rows of both labels
-    every text scores low.
+    Null labels take no part; an id with both labels is two rows. Of documents that repeat an id and
+    a text the sample has one. Without rows of both labels every text scores low.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("y"))
     ids = known.withColumn("h", F.xxhash64("__id", "y"))
@@ -112,16 +127,16 @@ def train(
 
     def grams(batches):
         for b in batches:
-            sets = [np.unique(np.concatenate(g)).astype("<u4").tobytes() if (g := ngram_buckets(t)) else b"" for t in as_bytes(b.column(2))]
+            sets = [distinct(np.concatenate(g)).astype("<u4").tobytes() if (g := ngram_buckets(t)) else b"" for t in as_bytes(b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary())], names=["doc_id", "y", "grams"])
 
     def fit(t: pa.Table) -> pa.Table:
-        m = fit_rows([np.frombuffer(g, "<u4") for g in t.column("grams").to_pylist()], t.column("y").to_numpy().astype(float), prior, alpha, features, l2, steps)
+        m = fit_rows([np.frombuffer(g.as_buffer(), "<u4") for g in t.column("grams")], t.column("y").to_numpy().astype(float), prior, alpha, features, l2, steps)
         return pa.table({"buckets": [m.buckets.tolist()], "weights": [m.weights.astype(float).tolist()], "bias": [m.bias]}, schema=pa.schema([("buckets", pa.list_(pa.int64())), ("weights", pa.list_(pa.float64())), ("bias", pa.float64())]))
 
     # The sample's ids number at most sample_positive + sample_negative, so they can be broadcast.
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    sample = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).select("doc_id", "y", "text").mapInArrow(grams, "doc_id long, y int, grams binary")
+    sample = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).select("doc_id", "y", "text").distinct().mapInArrow(grams, "doc_id long, y int, grams binary")
     got = sample.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(fit, "buckets array<long>, weights array<double>, bias double").first()
     if got is None:
         return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), -4.0)
@@ -131,8 +146,8 @@ def train(
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score (0 to 1) of every whole text, in one narrow pass.
 
-    Null and empty texts score what the bias alone gives. Repeated rows repeat their score;
-    other columns are ignored.
+    Null and empty texts score what the two spaces around them give, the bias alone. Long texts
+    are scored whole. Repeated rows repeat their score; other columns are ignored.
     """
 
     def run(batches):
@@ -157,7 +172,8 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str
 
 
 def held_out(id_col: str = "doc_id"):
-    return F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % 4 == 2
+    """Whether the remainder is 2; a null id is taken as an empty text."""
+    return F.crc32(F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "UTF-8")) % 4 == 2
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
