@@ -293,3 +293,87 @@ def test_toxicity_null_and_repeated_ids_and_clashing_columns(spark):
     assert all((r["score"] >= 0.3) == (r["doc_id"] is None or r["doc_id"] % 2 == 1) for r in got if r["doc_id"] != 90)
     assert len({r["score"] for r in got if r["doc_id"] == 3}) == 1
     assert toxicity.with_score(df, model).drop("__toxicity").columns == df.columns
+
+
+def test_raking_is_the_plain_one(spark):
+    from tideline.llm import mixing
+
+    rng = random.Random(5)
+    cells = {(f"s{a}", f"l{b}", f"t{c}"): rng.randrange(1, 1000) for a in range(5) for b in range(3) for c in range(3) if rng.random() < 0.8}
+    df = spark.createDataFrame([(*k, v) for k, v in cells.items()], "source string, lang string, topic string, tokens long")
+    stated = {"lang": {"l0": 2.0, "l1": 1.0, "l2": 1.0}}
+    out = mixing.calibrate(df, 0.6, stated, 0.4).collect()
+    total = sum(cells.values())
+    want = {}
+    for i, c in enumerate(("source", "lang", "topic")):
+        names = sorted({k[i] for k in cells})
+        p = {x: stated[c][x] if c in stated else sum(v for k, v in cells.items() if k[i] == x) ** 0.6 for x in names}
+        want[i] = {x: v / sum(p.values()) for x, v in p.items()}
+    w = {k: v / total for k, v in cells.items()}
+    for _ in range(500):
+        for i, shares in want.items():
+            sums = {x: sum(v for k, v in w.items() if k[i] == x) for x in shares}
+            w = {k: v * shares[k[i]] / sums[k[i]] for k, v in w.items()}
+    ratio = {k: w[k] * total / cells[k] for k in cells}
+    low, high = 0.0, 1e6
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(cells[k] * min(1, mid * ratio[k]) for k in cells) < 0.4 * total else (low, mid)
+    for r in out:
+        k = (r["source"], r["lang"], r["topic"])
+        assert r["probability"] == pytest.approx(min(1, low * ratio[k]), rel=1e-6)
+
+
+def test_samples_meet_their_targets(spark, sf):
+    from tideline.llm import mixing, queries
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    many = docs.crossJoin(spark.range(30)).withColumn("doc_id", F.col("doc_id") * 1000 + F.col("id")).drop("id")
+    out = mixing.mix(many, **queries.MIXTURE).where("tokens > 0")
+    got = {r["topic"]: r["n"] for r in out.where("sampled").groupBy("topic").agg(F.sum("tokens").alias("n")).collect()}
+    expected = {r["topic"]: r["n"] for r in out.groupBy("topic").agg(F.sum(F.col("tokens") * F.col("probability")).alias("n")).collect()}
+    total = out.agg(F.sum("tokens")).first()[0]
+    assert sum(got.values()) / total == pytest.approx(0.5, abs=0.03)
+    assert all(got[t] / sum(got.values()) == pytest.approx(expected[t] / sum(expected.values()), abs=0.03) for t in expected)
+
+
+def test_mixing_warns_if_targets_cannot_be_met(spark):
+    from tideline.llm import mixing
+
+    df = spark.createDataFrame([("a", "x", "t", 10), ("b", "y", "t", 10)], "source string, lang string, topic string, tokens long")
+    with pytest.warns(UserWarning, match="not settled"):
+        mixing.rake(df, mixing.marginals(df, 1.0, {"source": {"a": 1.0, "b": 1.0}, "lang": {"x": 3.0, "y": 1.0}}), most=3)
+
+
+def test_mixing_null_and_repeated_ids_and_clashing_columns(spark, empty_documents):
+    from tideline.llm import mixing
+
+    rows = [(None, "a b c", "s", "en", 1.0, "x"), (None, "a b c", None, "en", 1.0, "x"), (2, "a b", "s", None, 1.0, "x"), (2, "a b", "s", None, 1.0, "x"), (3, None, "s", "en", 0.0, "y"), (4, "word " * 100_000, "s", "en", 0.0, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, probability double, topic string")
+    out = mixing.mix(df, token_yield=0.5).collect()
+    assert len(out) == len(rows) and len({(r["probability"], r["sampled"]) for r in out if r["doc_id"] == 2}) == 1
+    assert all(r["sampled"] for r in out if r["tokens"] == 0)
+    assert mixing.sample(df, token_yield=0.5).columns == df.columns
+    assert mixing.mix(empty_documents, token_yield=0.5).count() == 0
+
+
+@pytest.fixture
+def empty_documents(spark):
+    return spark.createDataFrame([], "doc_id long, text string, source string, lang string, n_chars long")
+
+
+def test_pipeline_stages_take_odd_rows(spark, sf):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "only here with a few words in it", None, "en", 1), (7_000_000, "", "s", "en", 0), (7_000_000, "", "s", "en", 0), (7_000_001, "twice the very same row of text", "s", "en", 0), (7_000_001, "twice the very same row of text", "s", "en", 0), (None, "TWICE the very same row of text", "s", "en", 0)], docs.select("doc_id", "text", "source", "lang", "n_chars").schema)
+    both = docs.unionByName(odd).withColumn("score", F.lit(1)).withColumn("fp", F.lit("x"))
+    now, sizes = both, []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = corpus_pipeline.stored(stage(spark, now, sf))
+        assert now.columns == both.columns
+        sizes.append(now.count())
+    assert sizes[0] >= 60 and sizes[1] < sizes[0] and sizes == sorted(sizes, reverse=True)
+    left = now.where("doc_id >= 7000000 or doc_id is null").collect()
+    assert len({(r["text"] or "").lower() for r in left}) == len(left)
+    assert corpus_pipeline.STAGES[-1][1](spark, now, sf).count() == sizes[-1]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,9 @@ from tideline.llm.common import stored, whole_text
 
 #: Words are maximal runs without white space; they are counted as tokens here.
 WORDS = r"[^\x20\x09-\x0D]+"
+#: Marginals without stated targets are flattened to this power of their shares.
+POWER = 0.7
+CELLS_PER_TASK = 200_000
 
 
 def topic_of(text: Column) -> Column:
@@ -39,16 +44,18 @@ def tempered(cells: DataFrame, column: str, power: float) -> DataFrame:
     return shares.select(column, (F.col("p") / F.lit(float(shares.agg(F.sum("p")).first()[0] or 1.0))).alias("share"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-10, most: int = 25) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-10, most: int = 200) -> DataFrame:
     """Scale ``tokens`` of the cells so that the sums over each target column have the target shares.
 
     Each step sums the weights over one column and multiplies them by target over sum; the
     steps go round until no sum is off by more than ``tolerance`` of the total. Cells whose
     group has no target get weight 0. The weights add up to 1. Only cells (distinct
-    combinations), never rows, are joined; each round's result is written and reread.
+    combinations), never rows, are joined; each round's result is written and reread. If targets
+    contradict each other or empty cells, the steps may not settle: after ``most`` rounds
+    that is told by a warning, and ``residuals`` tells how far off the marginals are.
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    now = cells.withColumn("weight", F.col("tokens") / F.lit(float(total or 1)))
+    now, worst = cells.withColumn("weight", F.col("tokens") / F.lit(float(total or 1))), None
     for _ in range(most if total else 0):
         off = []
         for column, target in targets.items():
@@ -65,6 +72,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-
         now = now.drop(*off)
         if worst is None or worst <= tolerance:
             break
+    if worst is not None and worst > tolerance:
+        warnings.warn(f"raking has not settled: a marginal is off by {worst:.2g} of the total", stacklevel=2)
     return now
 
 
@@ -100,7 +109,7 @@ def scale_for(ratio: DataFrame, token_yield: float) -> float:
     return scale
 
 
-def calibrate(rows: DataFrame, power: float = 0.97, targets: dict[str, dict[str, float]] | None = None, token_yield: float | None = None) -> DataFrame:
+def calibrate(rows: DataFrame, power: float = POWER, targets: dict[str, dict[str, float]] | None = None, token_yield: float | None = None) -> DataFrame:
     """source, lang, topic, tokens and probability of every cell of ``rows`` (as ``described`` gives them), written.
 
     ``targets`` states shares by column and label; the other marginals' targets are tempered
@@ -109,26 +118,29 @@ def calibrate(rows: DataFrame, power: float = 0.97, targets: dict[str, dict[str,
     so that the largest is 1. Cells without tokens get 1. ``residuals`` tells how far off the
     targets that is.
     """
-    cells = stored(rows.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")).coalesce(1))
+    cells = stored(rows.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")))
+    tasks = 1 + cells.count() // CELLS_PER_TASK
+    cells = stored(cells.coalesce(tasks))
     shares = marginals(cells, power, targets)
     total = cells.agg(F.sum("tokens")).first()[0] or 1
     ratio = rake(cells, shares).withColumn("ratio", F.when(F.col("tokens") > 0, F.col("weight") * float(total) / F.col("tokens")))
     if token_yield is None:
         scaled = F.col("ratio") / F.lit(ratio.agg(F.max("ratio")).first()[0] or 1.0)
     else:
-        ratio = stored(ratio.coalesce(1))
+        ratio = stored(ratio.coalesce(tasks))
         scaled = F.least(F.col("ratio") * F.lit(scale_for(ratio, token_yield)), F.lit(1.0))
     # ``least`` skips nulls.
     probability = F.when(F.col("ratio").isNull(), F.lit(1.0)).otherwise(scaled)
-    return stored(ratio.select("source", "lang", "topic", "tokens", probability.alias("probability")).coalesce(1))
+    return stored(ratio.select("source", "lang", "topic", "tokens", probability.alias("probability")).coalesce(tasks))
 
 
 def marginals(cells: DataFrame, power: float, targets: dict[str, dict[str, float]] | None = None) -> dict[str, DataFrame]:
-    stated = targets or {}
-    return {c: stored((given(cells, c, stated[c]) if c in stated else tempered(cells, c, power)).coalesce(1)) for c in ("source", "lang", "topic")}
+    """Target shares of every label by column, written; at most as many labels as cells."""
+    stated, tasks = targets or {}, 1 + cells.count() // CELLS_PER_TASK
+    return {c: stored((given(cells, c, stated[c]) if c in stated else tempered(cells, c, power)).coalesce(tasks)) for c in ("source", "lang", "topic")}
 
 
-def residuals(cells: DataFrame, power: float = 0.97, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+def residuals(cells: DataFrame, power: float = POWER, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """by, label, target, share and residual (share less target) of every group; ``cells`` as ``calibrate`` gives them."""
     kept = cells.withColumn("kept", F.col("tokens") * F.col("probability"))
     total = kept.agg(F.sum("kept")).first()[0] or 1.0
@@ -154,13 +166,15 @@ def chosen(id_column: Column, probability: Column, seed: str) -> Column:
     return unit_hash(F.coalesce(id_column.cast("string"), F.lit("")), seed) < probability
 
 
-def mix(docs: DataFrame, power: float = 0.97, seed: str = "mix:", targets: dict[str, dict[str, float]] | None = None, token_yield: float | None = None, **columns: str) -> DataFrame:
+def mix(docs: DataFrame, power: float = POWER, seed: str = "mix:", targets: dict[str, dict[str, float]] | None = None, token_yield: float | None = None, **columns: str) -> DataFrame:
     """Calibrated sampling probability and decision for every row.
 
     Token weights of the (source, language, topic) cells are raked to tempered or stated
     marginals (see ``calibrate``); a row is sampled if the hash of its id falls below its cell's probability. Rows of one id
     and cell share the decision. Rows in cells without tokens (null or empty texts only), which
     no token weight concerns, are sampled. A null id hashes as ''; null labels are cells of ''.
+    Ties can't arise: a row's decision is its own. Long texts are counted whole. Other
+    columns are ignored. An empty table gives no rows.
 
     Returns doc_id, source, lang, topic, tokens, probability and sampled.
     """
@@ -169,7 +183,7 @@ def mix(docs: DataFrame, power: float = 0.97, seed: str = "mix:", targets: dict[
     return out.withColumn("sampled", chosen(F.col("doc_id"), F.col("probability"), seed))
 
 
-def sample(docs: DataFrame, power: float = 0.97, seed: str = "mix:", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", targets: dict[str, dict[str, float]] | None = None, token_yield: float | None = None) -> DataFrame:
+def sample(docs: DataFrame, power: float = POWER, seed: str = "mix:", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", targets: dict[str, dict[str, float]] | None = None, token_yield: float | None = None) -> DataFrame:
     """The sampled rows of ``docs`` with all their columns."""
     cells = calibrate(described(docs, id_col, text_col, source_col, lang_col), power, targets, token_yield)
     labels = {"source": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "lang": F.coalesce(F.col(lang_col).cast("string"), F.lit("")), "topic": topic_of(whole_text(text_col))}
@@ -177,26 +191,39 @@ def sample(docs: DataFrame, power: float = 0.97, seed: str = "mix:", id_col: str
     return out.where(chosen(F.col(id_col), F.col("__probability"), seed)).drop("__probability")
 
 
-def mix_sql(power: float = 0.97, seed: str = "mix:", rounds: int = 25, documents: str = "documents") -> str:
-    """The same result in SQL, the rounds written out."""
+def mix_sql(power: float = POWER, seed: str = "mix:", rounds: int = 40, documents: str = "documents", targets: dict[str, dict[str, float]] | None = None, token_yield: float = 0.5) -> str:
+    """The same result in SQL with a yield, the rounds written out.
+
+    The scale is that of the most probable cell that does not reach 1: what the yield leaves after
+    the cells before it, over the sum of the ratios of the rest.
+    """
     steps, last = [], "w0"
     for k in range(rounds):
         for c in ("source", "lang", "topic"):
             name = f"w{k + 1}_{c}"
-            steps.append(f"{name} AS (SELECT c.* REPLACE (c.weight * t.share / s.s AS weight) FROM {last} c JOIN (SELECT {c}, sum(weight) s FROM {last} GROUP BY 1) s USING ({c}) JOIN t_{c} t USING ({c}))")
+            steps.append(f"{name} AS (SELECT c.* REPLACE (c.weight * coalesce(t.share, 0) / s.s AS weight) FROM {last} c JOIN (SELECT {c}, sum(weight) s FROM {last} GROUP BY 1) s USING ({c}) LEFT JOIN t_{c} t USING ({c}))")
             last = name
-    targets = ", ".join(f"t_{c} AS (SELECT {c}, p / sum(p) OVER () AS share FROM (SELECT {c}, pow(sum(tokens)::DOUBLE, {power}) p FROM cells WHERE tokens > 0 GROUP BY 1))" for c in ("source", "lang", "topic"))
+
+    def target(c: str) -> str:
+        if c in (targets or {}):
+            values = ", ".join(f"('{k}', {float(v)!r})" for k, v in targets[c].items())
+            return f"SELECT {c}, p FROM (VALUES {values}) v({c}, p) WHERE {c} IN (SELECT {c} FROM cells WHERE tokens > 0)"
+        return f"SELECT {c}, pow(sum(tokens)::DOUBLE, {power}) p FROM cells WHERE tokens > 0 GROUP BY 1"
+
+    shares = ", ".join(f"t_{c} AS MATERIALIZED (SELECT {c}, p / sum(p) OVER () AS share FROM ({target(c)}))" for c in ("source", "lang", "topic"))
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') t, coalesce(source, '') source, coalesce(lang, '') lang FROM {documents}),
 r AS (SELECT doc_id, source, lang,
         CASE WHEN regexp_matches(t, '[#$%&*]{{3}}') THEN 'marked' WHEN contains(t, '|') THEN 'tabular' WHEN length(t) < 400 THEN 'short' ELSE 'prose' END AS topic,
         len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+'))::BIGINT AS tokens FROM d),
 cells AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::BIGINT tokens FROM r GROUP BY ALL),
-{targets},
-w0 AS (SELECT *, tokens / (SELECT sum(tokens) FROM cells)::DOUBLE AS weight FROM cells WHERE tokens > 0),
+total AS MATERIALIZED (SELECT sum(tokens)::DOUBLE AS n FROM cells),
+{shares},
+w0 AS (SELECT *, tokens / (SELECT n FROM total) AS weight FROM cells WHERE tokens > 0),
 {", ".join(x.replace(" AS (", " AS MATERIALIZED (", 1) for x in steps)},
-q AS (SELECT source, lang, topic, weight / tokens AS ratio FROM {last})
-SELECT doc_id, source, lang, topic, tokens,
-  coalesce(ratio / (SELECT max(ratio) FROM q), 1.0) AS probability,
-  ('0x' || substr(md5('{seed}' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0 < coalesce(ratio / (SELECT max(ratio) FROM q), 1.0) AS sampled
-FROM r LEFT JOIN q USING (source, lang, topic)"""
+q AS MATERIALIZED (SELECT source, lang, topic, tokens, weight * (SELECT n FROM total) / tokens AS ratio FROM {last}),
+s AS (SELECT ratio, ({token_yield!r} * (SELECT n FROM total) - sum(tokens) OVER (ORDER BY ratio DESC, source, lang, topic) + tokens) / sum(tokens * ratio) OVER (ORDER BY ratio, source DESC, lang DESC, topic DESC) AS scale FROM q WHERE ratio > 0),
+p AS (SELECT source, lang, topic, least(1.0, ratio * coalesce((SELECT arg_max(scale, ratio) FROM s WHERE ratio * scale < 1), 1e300)) AS probability FROM q)
+SELECT doc_id, source, lang, topic, tokens, coalesce(probability, 1.0) AS probability,
+  ('0x' || substr(md5('{seed}' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0 < coalesce(probability, 1.0) AS sampled
+FROM r LEFT JOIN p USING (source, lang, topic)"""

@@ -48,8 +48,12 @@ def op8_exact_dedup(spark, sf_dir):
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+#: The mixture asked for: shares of the topics as stated, sources and languages flattened, half of the tokens.
+MIXTURE = {"targets": {"topic": {"prose": 0.8, "short": 0.1, "tabular": 0.06, "marked": 0.04}}, "token_yield": 0.5}
+
+
 def op9_mixing(spark, sf_dir):
-    out = mixing.mix(table(spark, sf_dir, "documents"))
+    out = mixing.mix(table(spark, sf_dir, "documents"), **MIXTURE)
     return out.withColumn("probability", F.round("probability", 6))
 
 
@@ -72,5 +76,5 @@ WITH d AS (SELECT doc_id, {LOWER} AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
 FROM d WINDOW w AS (PARTITION BY t)""",
-    "op9_mixing": f"SELECT * REPLACE (round(probability, 6) AS probability) FROM ({mixing.mix_sql()})",
+    "op9_mixing": f"SELECT * REPLACE (round(probability, 6) AS probability) FROM ({mixing.mix_sql(**MIXTURE)})",
 }
