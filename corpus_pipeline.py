@@ -14,28 +14,40 @@ from tideline.llm.common import stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below 0.3; the classifier is fitted on labelled documents outside the held-out ids."""
+    """Documents that score below 0.3; the classifier is fitted on labelled documents outside the held-out ids.
+
+    Null ids and repeated rows are scored like any other; null and empty texts stay.
+    """
     model = toxicity.train(docs, toxicity.training_labels(table(spark, sf_dir, "labels")))
     return toxicity.with_score(docs, model).where(F.col("__toxicity") < 0.3).drop("__toxicity")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal after lower-casing A-Z, the row with the largest id stays."""
-    return exact_dedup.keep_one(docs)
+    """Of texts that are equal after lower-casing A-Z, the row with the largest id stays.
+
+    Null texts are empty ones. Of rows that repeat that id, or if all ids are null, one stays.
+    """
+    return exact_dedup.keep_one(docs, ties=False)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by near-equal fingerprints, the one with the smallest id stays."""
+    """Of documents linked by near-equal fingerprints, the one with the smallest id stays.
+
+    Of several texts of that id, or if all ids are null, one stays.
+    """
     return simhash.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled by calibrated probabilities that keep 0.9 of the tokens."""
+    """Documents sampled by calibrated probabilities that keep 0.9 of the tokens.
+
+    Null labels are a source and a language of their own; null ids share one draw; texts without words stay.
+    """
     return mixing.sample(docs, token_yield=0.9)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the encoded and decoded texts."""
+    """Token counts and digests of the encoded and decoded texts, a row for each document."""
     return bpe.round_trip(docs)
 
 
