@@ -44,18 +44,18 @@ def tempered(cells: DataFrame, column: str, power: float) -> DataFrame:
     return shares.select(column, (F.col("p") / F.lit(float(shares.agg(F.sum("p")).first()[0] or 1.0))).alias("share"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-10, most: int = 200) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-10, most: int = 40) -> DataFrame:
     """Scale ``tokens`` of the cells so that the sums over each target column have the target shares.
 
     Each step sums the weights over one column and multiplies them by target over sum; the
-    steps go round until no sum is off by more than ``tolerance`` of the total. Cells whose
+    steps go round until no sum is off by more than ``tolerance`` of the total, or the largest gap closes no more. Cells whose
     group has no target get weight 0. The weights add up to 1. Only cells (distinct
     combinations), never rows, are joined; each round's result is written and reread. If targets
-    contradict each other or empty cells, the steps may not settle: after ``most`` rounds
+    contradict each other or empty cells, the steps may not settle in ``most`` rounds or at all:
     that is told by a warning, and ``residuals`` tells how far off the marginals are.
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    now, worst = cells.withColumn("weight", F.col("tokens") / F.lit(float(total or 1))), None
+    now, worst, before = cells.withColumn("weight", F.col("tokens") / F.lit(float(total or 1))), None, float("inf")
     for _ in range(most if total else 0):
         off = []
         for column, target in targets.items():
@@ -70,8 +70,9 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-
         now = stored(now)
         worst = now.agg(F.max(F.greatest(*off) if len(off) > 1 else F.col(off[0]))).first()[0]
         now = now.drop(*off)
-        if worst is None or worst <= tolerance:
+        if worst is None or worst <= tolerance or worst > 0.999 * before:
             break
+        before = worst
     if worst is not None and worst > tolerance:
         warnings.warn(f"raking has not settled: a marginal is off by {worst:.2g} of the total", stacklevel=2)
     return now
