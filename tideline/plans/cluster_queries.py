@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tideline.functions import angles, bessel, geometry
@@ -412,38 +413,42 @@ j AS (SELECT p.instance_id, k.cluster, sum(kappa * cos(phase - mu) - ln(2 * pi()
 z AS (SELECT instance_id, cluster, exp(lp - max(lp) OVER (PARTITION BY instance_id)) / sum(exp(lp - mx)) OVER (PARTITION BY instance_id) AS z FROM (SELECT *, max(lp) OVER (PARTITION BY instance_id) AS mx FROM j))"""
 
 
-def e_step(spark, sf_dir):
-    """Memberships of the von Mises mixture fitted to the reference clusters, as column expressions."""
-    rows = feats(spark, sf_dir).select("instance_id", F.transform("phases", F.cos).alias("c"), F.transform("phases", F.sin).alias("s"))
-    table = statistics.vm_fit(long(spark, sf_dir), "cluster", "dim", clip=True)
+def reference_mixture(spark, sf_dir) -> tuple[clustering.Mixture, list[int]]:
+    """The von Mises mixture fitted to the reference clusters, and their names; clusters times dimensions are collected."""
     params: dict = {}
-    for r in table.orderBy("cluster", "dim").collect():  # clusters times dimensions
+    for r in statistics.vm_fit(long(spark, sf_dir), "cluster", "dim", clip=True).orderBy("cluster", "dim").collect():
         params.setdefault(r["cluster"], []).append((r["mu"], r["kappa"], r["n"]))
-    n = sum(p[0][2] for p in params.values())
-    logs = [statistics.log_density_vm(F.col("c"), F.col("s"), [x[0] for x in p], [x[1] for x in p]) + math.log(p[0][2] / n) for p in params.values()]
-    joint = rows.select("instance_id", F.array(*logs).alias("lp")).withColumn("top", F.array_max("lp"))
-    z = F.transform("lp", lambda x: F.exp(x - F.col("top")))
-    total = F.aggregate(z, F.lit(0.0), lambda a, x: a + x)
-    return joint.select("instance_id", F.transform(z, lambda x: x / total).alias("z")), list(params)
+    table = np.array(list(params.values()))
+    return clustering.Mixture(table[:, 0, 2] / table[:, 0, 2].sum(), table[:, :, 0], table[:, :, 1], table.shape[1]), list(params)
+
+
+def memberships(spark, sf_dir):
+    """instance_id and z by the mixture's own expectation step, and the names of the clusters."""
+    model, names = reference_mixture(spark, sf_dir)
+    return clustering.assign_rows(feats(spark, sf_dir), "phases", model.memberships).select("instance_id", "z"), names
 
 
 @query(f"WITH {EM} SELECT instance_id, cluster, z FROM z -- z", digits=3)
 def em_vmm_e_step(spark, sf_dir):
-    z, names = e_step(spark, sf_dir)
+    z, names = memberships(spark, sf_dir)
     return z.select("instance_id", F.posexplode("z").alias("i", "z")).select("instance_id", F.get(F.array(*map(F.lit, names)), F.col("i")).alias("cluster"), "z")
 
 
 @query(f"WITH {EM} SELECT k.cluster, p.dim, atan2(sum(z * sin(phase)), sum(z * cos(phase))) AS mu, sqrt(pow(sum(z * cos(phase)), 2) + pow(sum(z * sin(phase)), 2)) / sum(z) AS r FROM z k JOIN ph p USING (instance_id) GROUP BY ALL -- mu r", digits=3)
 def em_vmm_m_step(spark, sf_dir):
-    z, names = e_step(spark, sf_dir)
-    weighted = z.select("instance_id", F.posexplode("z").alias("i", "z")).select("instance_id", F.get(F.array(*map(F.lit, names)), F.col("i")).alias("cluster"), "z")
-    rows = long(spark, sf_dir).drop("cluster").join(weighted, "instance_id")
-    return statistics.vm_fit(rows, "cluster", "dim", weight="z").select("cluster", "dim", "mu", "r")
+    """One pass of sums and the maximisation of the mixture that users run."""
+    model, names = reference_mixture(spark, sf_dir)
+    k, d = model.loc.shape
+    got = clustering.sums_by_start(feats(spark, sf_dir), "phases", lambda x: clustering.expectation_sums(x, model, False)[None], 1, k + 2 * k * d + 2)[0]
+    new = clustering.maximise(got[:-2], model, 1)
+    c, s = (got[k + i * k * d : k + (i + 1) * k * d].reshape(k, d) for i in (0, 1))
+    r = np.hypot(c, s) / got[:k, None]
+    return spark.createDataFrame([(n, j, float(new.loc[i, j]), float(r[i, j])) for i, n in enumerate(names) for j in range(d)], "cluster int, dim int, mu double, r double")
 
 
 @query(f"WITH {EM} SELECT instance_id, arg_max(cluster, (round(z, 9), -cluster)) AS cluster FROM z GROUP BY 1")
 def argmax_cluster(spark, sf_dir):
-    z, names = e_step(spark, sf_dir)
+    z, names = memberships(spark, sf_dir)
     best = F.array_position(F.transform("z", lambda x: F.round(x, 9)), F.array_max(F.transform("z", lambda x: F.round(x, 9)))) - 1
     return z.select("instance_id", F.get(F.array(*map(F.lit, names)), best.cast("int")).alias("cluster"))
 
