@@ -110,7 +110,7 @@ def scale_for(ratio: DataFrame, token_yield: float) -> float:
     return scale
 
 
-def calibrate(rows: DataFrame, power: float = POWER, targets: dict[str, dict[str, float]] | None = None, token_yield: float | None = None) -> DataFrame:
+def calibrate(rows: DataFrame, power: float = POWER, targets: dict[str, dict[str, float]] | None = None, token_yield: float | None = None, tolerance: float = 1e-10) -> DataFrame:
     """source, lang, topic, tokens and probability of every cell of ``rows`` (as ``described`` gives them), written.
 
     ``targets`` states shares by column and label; the other marginals' targets are tempered
@@ -124,7 +124,7 @@ def calibrate(rows: DataFrame, power: float = POWER, targets: dict[str, dict[str
     cells = stored(cells.coalesce(tasks))
     shares = marginals(cells, power, targets)
     total = cells.agg(F.sum("tokens")).first()[0] or 1
-    ratio = rake(cells, shares).withColumn("ratio", F.when(F.col("tokens") > 0, F.col("weight") * float(total) / F.col("tokens")))
+    ratio = rake(cells, shares, tolerance).withColumn("ratio", F.when(F.col("tokens") > 0, F.col("weight") * float(total) / F.col("tokens")))
     if token_yield is None:
         scaled = F.col("ratio") / F.lit(ratio.agg(F.max("ratio")).first()[0] or 1.0)
     else:
@@ -184,9 +184,9 @@ def mix(docs: DataFrame, power: float = POWER, seed: str = "mix:", targets: dict
     return out.withColumn("sampled", chosen(F.col("doc_id"), F.col("probability"), seed))
 
 
-def sample(docs: DataFrame, power: float = POWER, seed: str = "mix:", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", targets: dict[str, dict[str, float]] | None = None, token_yield: float | None = None) -> DataFrame:
-    """The sampled rows of ``docs`` with all their columns."""
-    cells = calibrate(described(docs, id_col, text_col, source_col, lang_col), power, targets, token_yield)
+def sample(docs: DataFrame, power: float = POWER, seed: str = "mix:", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", targets: dict[str, dict[str, float]] | None = None, token_yield: float | None = None, tolerance: float = 1e-6) -> DataFrame:
+    """The sampled rows of ``docs`` with all their columns; the marginals are met to ``tolerance`` of all tokens."""
+    cells = calibrate(described(docs, id_col, text_col, source_col, lang_col), power, targets, token_yield, tolerance)
     labels = {"source": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "lang": F.coalesce(F.col(lang_col).cast("string"), F.lit("")), "topic": topic_of(whole_text(text_col))}
     out = with_probability(docs, cells, labels, "__probability")
     return out.where(chosen(F.col(id_col), F.col("__probability"), seed)).drop("__probability")
