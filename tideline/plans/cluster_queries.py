@@ -460,20 +460,20 @@ def sizes(found):
 def registered(name: str, column: str, **settings):
     def f(spark, sf_dir):
         rows = feats(spark, sf_dir).withColumn("values", reports.magnitudes(F.col("amp")))
-        return sizes(clustering.cluster(rows, name, n_clusters=6, **settings))
+        return sizes(clustering.cluster(rows, name, **settings))
 
     f.__name__ = column
     query()(f)
 
 
 registered("k_means", "cluster_k_means")
-registered("k_means_periodic", "cluster_k_means_periodic", most=10)
-registered("EM_VMM", "cluster_em_vmm", n_iterations=8)
-registered("EM_GMM", "cluster_em_gmm", n_iterations=8)
-registered("EM_GMM2", "cluster_em_gmm2", n_iterations=8)
-registered("EM_VMM_GMM", "cluster_em_vmm_gmm", n_iterations=8)
-registered("EM_GMM_GMM", "cluster_em_gmm_gmm", n_iterations=8)
-registered("EM_GMM_GMM2", "cluster_em_gmm_gmm2", n_iterations=8)
+registered("k_means_periodic", "cluster_k_means_periodic")
+registered("EM_VMM", "cluster_em_vmm")
+registered("EM_GMM", "cluster_em_gmm")
+registered("EM_GMM2", "cluster_em_gmm2")
+registered("EM_VMM_GMM", "cluster_em_vmm_gmm")
+registered("EM_GMM_GMM", "cluster_em_gmm_gmm")
+registered("EM_GMM_GMM2", "cluster_em_gmm_gmm2")
 
 
 @query()

@@ -128,9 +128,9 @@ def validators(spark, sf_dir):
     return rows.select("id", text.valid_int(s).alias("is_int"), text.valid_float(s).alias("is_float"), text.valid_method(s).alias("is_method"))
 
 
-@query("SELECT o_orderkey AS id, 'k' AS key, (o_orderkey % 7)::VARCHAR AS value FROM orders WHERE o_orderkey < 500 UNION ALL SELECT o_orderkey, 'url', 'a:b' FROM orders WHERE o_orderkey < 500")
+@query("SELECT o_orderkey AS id, 'k' AS key, (o_orderkey % 7)::VARCHAR AS value FROM orders UNION ALL SELECT o_orderkey, 'url', 'a:b' FROM orders")
 def settings_io(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").where("o_orderkey < 500")
+    rows = table(spark, sf_dir, "orders")
     body = F.concat(F.lit("k: 0\nno pair\nurl: a:b\nk:  "), (F.col("o_orderkey") % 7).cast("string"))
     return rows.select(F.col("o_orderkey").alias("id"), F.explode(text.parse_settings(body)).alias("key", "value"))
 

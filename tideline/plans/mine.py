@@ -68,6 +68,12 @@ def per_shot(features: DataFrame, settings: Settings, iterations: int | None = N
     k, seed, most = settings.n_clusters, settings.seed, iterations or settings.n_iterations
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return found_in(pdf)
+        except (ValueError, TypeError, FloatingPointError, np.linalg.LinAlgError):
+            return pd.DataFrame({"instance_id": [], "shot": [], "cluster": []}).astype({"instance_id": "int64", "shot": "int64", "cluster": "int32"})
+
+    def found_in(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.array(pdf["phases"].tolist(), float)
         n = min(k, len(x))
         embedded = np.concatenate((np.cos(x), np.sin(x)), axis=1)

@@ -60,9 +60,12 @@ def rep_polarisation(spark, sf_dir):
 
 
 def folder(spark) -> str:
-    """A new folder in the shared one, or a temporary one where there is none."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{top.rstrip('/') if top else tempfile.mkdtemp()}/saved-{uuid.uuid4().hex}"
+    """A new folder in the shared one. Where there is none, a local master gets a temporary one and a cluster one in the warehouse."""
+    conf = spark.sparkContext.getConf()
+    top = conf.get("spark.checkpoint.dir")
+    if not top:
+        top = tempfile.mkdtemp() if conf.get("spark.master", "local").startswith("local[") or conf.get("spark.master", "local") == "local" else spark.conf.get("spark.sql.warehouse.dir")
+    return f"{top.rstrip('/')}/saved-{uuid.uuid4().hex}"
 
 
 @query(f"WITH {FEATS} SELECT DISTINCT instance_id, shot, cluster, time, freq FROM ph -- time freq")

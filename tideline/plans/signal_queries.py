@@ -190,14 +190,14 @@ def seg_align(spark, sf_dir):
     return interpolate.align_segments(seg, other)
 
 
-BAND = """l AS (SELECT shot, event_id AS id, t AS time, value AS freq, 1 AS side FROM ev WHERE event_id % 3 = 0), r AS (SELECT shot, event_id AS id, t AS time, value AS freq, 2 AS side FROM ev WHERE event_id % 3 = 1),
+BAND = """l AS (SELECT shot, event_id AS id, t AS time, value AS freq, 1 AS side FROM ev WHERE event_id % 2 = 0), r AS (SELECT shot, event_id AS id, t AS time, value AS freq, 2 AS side FROM ev WHERE event_id % 2 = 1),
 p AS (SELECT l.id AS l_id, r.id AS r_id FROM l JOIN r ON l.shot = r.shot AND abs(l.time - r.time) < 900 AND abs(l.freq - r.freq) < 20),
 s AS (SELECT l_id, min(r_id) AS r_id FROM p GROUP BY 1 HAVING count(*) = 1), w AS (SELECT r_id, max(l_id) AS l_id FROM s GROUP BY 1)"""
 
 
 def band_sides(spark, sf_dir):
     ev = event_samples(spark, sf_dir).select("shot", F.col("event_id").alias("id"), F.col("t").alias("time"), F.col("value").alias("freq"))
-    return ev.where("id % 3 = 0"), ev.where("id % 3 = 1")
+    return ev.where("id % 2 = 0"), ev.where("id % 2 = 1")
 
 
 @query(f"""WITH {EVENTS}, {BAND} SELECT r.id, CASE WHEN w.l_id IS NULL THEN 'right' ELSE 'both' END AS origin, coalesce(n.shot, r.shot) AS shot, coalesce(n.time, r.time) AS time, coalesce(n.freq, r.freq) AS freq
@@ -404,15 +404,15 @@ def pack_unpack(spark, sf_dir):
     return rows.groupBy("shot", "ch_ix").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.min("t").alias("t0"), F.max("t").alias("t1"))
 
 
-@query("SELECT DISTINCT user_id AS shot FROM events WHERE user_id < 60 AND user_id NOT BETWEEN 20 AND 29")
+@query("SELECT DISTINCT user_id AS shot FROM events WHERE user_id NOT BETWEEN 20 AND 29")
 def dataset_ops(spark, sf_dir):
     """Set semantics: added shots that are known change nothing, removed ones go."""
     users = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("shot"))
-    return signals.DataSet(users.where("shot < 40")).add(users.where("shot < 60 AND shot >= 10")).remove(users.where("shot BETWEEN 20 AND 29")).rows
+    return signals.DataSet(users.where("shot < 40")).add(users.where("shot >= 10")).remove(users.where("shot BETWEEN 20 AND 29")).rows
 
 
-@query("SELECT item_ix::INT AS item_ix, count(*) AS n FROM (SELECT 0 AS item_ix FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT 1 FROM orders WHERE o_orderkey % 3 = 1) GROUP BY 1")
+@query("SELECT item_ix::INT AS item_ix, count(*) AS n FROM (SELECT 0 AS item_ix FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT 1 FROM orders WHERE o_orderkey % 2 = 1) GROUP BY 1")
 def ordered_dataset(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
-    data = signals.OrderedDataSet(rows.where("o_orderkey % 3 = 0").withColumn("item_ix", F.lit(0))).append(rows.where("o_orderkey % 3 = 1"))
+    data = signals.OrderedDataSet(rows.where("o_orderkey % 2 = 0").withColumn("item_ix", F.lit(0))).append(rows.where("o_orderkey % 2 = 1"))
     return data.rows.groupBy("item_ix").agg(F.count(F.lit(1)).alias("n"))

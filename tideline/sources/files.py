@@ -27,7 +27,7 @@ def dsv(spark: SparkSession, path: str, shot: int, delimiter: str | None = None,
     lines = spark.read.text(path.replace("(shot)", str(shot))).select(F.trim(F.substring_index("value", comment, 1)).alias("line"), "_metadata.file_path").where("line <> ''")
     parts = F.split("line", r"\s+" if delimiter is None else "\\Q" + delimiter + "\\E")
     numbers = F.transform(parts, lambda x: F.trim(x).try_cast("double"))  # what is no number is null
-    rows = lines.select("file_path", numbers.alias("x")).select("file_path", F.get("x", F.lit(0)).alias("t"), F.slice("x", 2, 10_000).alias("x"))
+    rows = lines.select("file_path", numbers.alias("x")).select("file_path", F.get("x", F.lit(0)).alias("t"), F.slice("x", F.lit(2), F.greatest(F.size("x") - 1, F.lit(0))).alias("x"))
     numbered = rows.withColumn("sample_ix", (F.row_number().over(Window.partitionBy("file_path").orderBy("t")) - 1).cast("long"))
     each = numbered.select("sample_ix", "t", F.posexplode("x").alias("ch_ix", "value"))
     return each.select(F.lit(shot).cast("long").alias("shot"), F.lit("dsv").alias("diag"), "ch_ix", "sample_ix", "t", "value", F.format_string("channel_%03d", "ch_ix").alias("channel"))
