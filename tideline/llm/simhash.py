@@ -184,11 +184,12 @@ def links(prints: DataFrame, radius: int = 4) -> DataFrame:
                     finer = key[own][rows] | (quarter + 1 << 33) | place.astype(np.int64) << 36
                     yield pa.RecordBatch.from_arrays([pa.array(finer), pa.array(fp[own][rows].view(np.int64))], names=["key", "fp"])
 
-    keyed = stored(prints.select("fp").distinct().mapInArrow(emit, "key long, fp long"))
+    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Fingerprints are few bytes, their grid points some fifty times as many: dealt out before, so that no task makes most of them.
+    keyed = stored(prints.select("fp").distinct().repartition(n, F.xxhash64("fp")).mapInArrow(emit, "key long, fp long"))
     crowded = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > DENSE).select("key"))
     if not crowded.isEmpty():
         keyed = keyed.join(crowded, "key", "left_anti").unionByName(keyed.join(crowded, "key", "left_semi").mapInArrow(refine, "key long, fp long"))
-    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(verify, "a long, b long").distinct()
 
 
