@@ -143,6 +143,15 @@ def test_full_covariance_mixture(spark):
     rows = planted(spark, kind="covariant")
     assigned, _ = cluster.full_gmm(rows, 3, "phases")
     assert assigned.count() == 1500
+    found = cluster.cluster(rows, "EM_GMM", n_clusters=3, column="phases", covariance_type="full", sin_cos=True)
+    assert found.assignments.count() == 1500 and found.details["covariances"].shape == (3, 8, 8)
+    assert found.details["bic"] > -2 * found.details["ll"]
+
+
+@pytest.mark.parametrize("method", ["k_means", "k_means_periodic", "EM_VMM"])
+def test_empty_tables_have_an_empty_clustering(spark, method):
+    found = cluster.cluster(planted(spark).limit(0), method)
+    assert found.assignments.count() == 0 and found.parameters == []
 
 
 def test_artificial_weights_must_add_up(spark):

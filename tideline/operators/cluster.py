@@ -15,7 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.functions import angles
 from tideline.registry import CLUSTERERS, clusterer
+from tideline.sources.files import written
 
 KAPPA_LIMITS, STD_LIMITS = (0.1, 300.0), (1e-3, 300.0)
 
@@ -54,7 +56,18 @@ def kappa_unbiased(r: np.ndarray, n: int, points: int = 10_000, most: float = 10
 def sample_matrix(features: DataFrame, column: str, seed: int, bound: int = 2000) -> np.ndarray:
     """At most ``bound`` feature vectors, those with the smallest hash of id and seed, for first centres."""
     rows = features.orderBy(F.xxhash64("instance_id", F.lit(seed)), "instance_id").limit(bound).select(column).toArrow()
-    return np.array(rows.column(0).to_pylist(), float).reshape(rows.num_rows, -1)
+    return np.array(rows.column(0).to_pylist(), float).reshape(rows.num_rows, -1) if rows.num_rows else np.zeros((0, 0))
+
+
+def nothing(features: DataFrame, column: str, settings: dict) -> Clustering:
+    """The clustering of an empty table: no assignments, no parameters."""
+    return Clustering(assign_rows(features, column, lambda x: np.ones((len(x), 1))), [], settings)
+
+
+def width(features: DataFrame, column: str) -> int:
+    """Length of the vectors; 0 if there are none."""
+    row = features.select(F.size(column)).first()
+    return row[0] if row else 0
 
 
 def plus_plus(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -99,7 +112,10 @@ def assign_rows(features: DataFrame, column: str, memberships) -> DataFrame:
 def k_means(features: DataFrame, n_clusters: int = 16, seed: int = 743, n_starts: int = 3, sin_cos: bool = True, column: str = "phases", most: int = 40) -> Clustering:
     """Lloyd's k-means from spread starts, by default on cosines and sines of the angles; the start of least inertia wins."""
     data = features.select("instance_id", (F.flatten(F.transform(column, lambda x: F.array(F.cos(x), F.sin(x)))) if sin_cos else F.col(column)).alias("__x"))
+    data = written(data)
     first = sample_matrix(data, "__x", seed)
+    if not len(first):
+        return nothing(data, "__x", {"method": "k_means", "n_clusters": n_clusters, "seed": seed})
     k = min(n_clusters, len(first))
     centres = np.array([plus_plus(first, k, np.random.default_rng(seed + s)) for s in range(n_starts)])
     d = centres.shape[2]
@@ -142,7 +158,10 @@ def k_means_periodic(features: DataFrame, n_clusters: int = 16, seeds: tuple[int
     if metric not in ("euclidean", "manhattan"):
         raise ValueError("metric must be euclidean or manhattan")
     data = features.select("instance_id", F.transform(column, lambda x: F.round(F.pmod(x, F.lit(2 * math.pi)), 2)).alias("__x"))
-    d = len(data.first()["__x"])
+    data = written(data)
+    d = width(data, "__x")
+    if not d:
+        return nothing(data, "__x", {"method": "k_means_periodic", "n_clusters": n_clusters, "metric": metric})
     centres = np.array([np.random.default_rng(s).uniform(0, 2 * math.pi, (n_clusters, d)) for s in seeds])
     before = np.full(len(seeds), np.inf)
 
@@ -245,7 +264,10 @@ def mixture(
     A start has converged when, after ``least_iterations``, locations and scales move by no
     more than their steps (Euclidean norms) and the log-likelihood by no more than its share.
     """
+    features = written(features.select("instance_id", column))
     first = sample_matrix(features, column, seed)
+    if not len(first):
+        return nothing(features, column, {"method": method, "n_clusters": n_clusters, "n_iterations": n_iterations, "seed": seed, "start": start})
     d, n = first.shape[1], features.count()
     k = min(n_clusters, len(first))
     embed = np.concatenate((np.cos(first[:, :angles]), np.sin(first[:, :angles]), first[:, angles:] / (first[:, angles:].std(0) + 1e-12)), axis=1)
@@ -264,10 +286,10 @@ def mixture(
         y = first[:, angles:]
         sums = np.concatenate((z.sum(0), (z.T @ np.cos(first[:, :angles])).ravel(), (z.T @ np.sin(first[:, :angles])).ravel(), (z.T @ y).ravel(), (z.T @ (y * y)).ravel()))
         now.append(maximise(sums, zero, len(first)))
-    ll, width = np.full(n_starts, -np.inf), k + 2 * k * angles + 2 * k * (d - angles) + 2
+    ll, cells = np.full(n_starts, -np.inf), k + 2 * k * angles + 2 * k * (d - angles) + 2
     trace: list[list[float]] = []
     for i in range(n_iterations):
-        got = sums_by_start(features, column, lambda x, now=now: np.array([expectation_sums(x, m, hard) for m in now]), n_starts, width)
+        got = sums_by_start(features, column, lambda x, now=now: np.array([expectation_sums(x, m, hard) for m in now]), n_starts, cells)
         new = [maximise(g[:-2], m, n) for g, m in zip(got, now, strict=True)]
         steps = [(np.linalg.norm(b.loc - a.loc), np.linalg.norm(b.scale - a.scale)) for a, b in zip(now, new, strict=True)]
         change = np.abs((got[:, -2] - ll) / got[:, -2])
@@ -287,35 +309,42 @@ def mixture(
 @clusterer
 def EM_VMM(features: DataFrame, n_clusters: int = 16, column: str = "phases", **settings) -> Clustering:  # noqa: N802
     """Mixture of von Mises distributions of angles."""
-    d = len(features.first()[column])
+    d = width(features, column)
     return mixture(features, column, d, "EM_VMM", n_clusters, **settings)
 
 
 @clusterer
-def EM_GMM(features: DataFrame, n_clusters: int = 16, column: str = "values", **settings) -> Clustering:  # noqa: N802
-    """Mixture of Gaussians with diagonal covariances."""
-    return mixture(features, column, 0, "EM_GMM", n_clusters, **settings)
+def EM_GMM(features: DataFrame, n_clusters: int = 16, column: str = "values", covariance_type: str = "diag", sin_cos: bool = False, seed: int = 743, **settings) -> Clustering:  # noqa: N802
+    """Mixture of Gaussians with diagonal or full covariances, of the values or of their cosines and sines."""
+    if covariance_type not in ("diag", "full"):
+        raise ValueError("covariance_type must be diag or full")
+    if sin_cos:
+        features = features.withColumn(column, F.flatten(F.transform(column, lambda x: F.array(F.cos(x), F.sin(x)))))
+    if covariance_type == "full":
+        return full_covariances(features, n_clusters, column, seed, **settings)
+    return mixture(features, column, 0, "EM_GMM", n_clusters, seed=seed, **settings)
 
 
 @clusterer
 def EM_GMM2(features: DataFrame, n_clusters: int = 16, column: str = "values", **settings) -> Clustering:  # noqa: N802
-    """The same under its second name."""
+    """Gaussians with diagonal covariances on the values as they are."""
     return mixture(features, column, 0, "EM_GMM2", n_clusters, **settings)
 
 
 @clusterer
 def EM_VMM_GMM(features: DataFrame, n_clusters: int = 16, phases: str = "phases", values: str = "values", **settings) -> Clustering:  # noqa: N802
     """Angles as von Mises and amplitude ratios as Gaussians in one mixture."""
-    d = len(features.first()[phases])
+    d = width(features, phases)
     both = features.withColumn("__both", F.concat(phases, values))
     return mixture(both, "__both", d, "EM_VMM_GMM", n_clusters, **settings)
 
 
-def stacked(features: DataFrame, amps: str = "amp") -> DataFrame:
-    """Real and imaginary parts of complex vectors over their channel sum, in column __ri."""
-    from tideline.functions.angles import over_sum
-
-    z = over_sum(F.col(amps))
+def stacked(features: DataFrame, amps: str = "amp", norm_method: str = "sum", channel: int = 0) -> DataFrame:
+    """Real and imaginary parts of complex vectors in column __ri: over their channel sum, over the next channel (adj) or over ``channel`` (ref)."""
+    ways = {"sum": angles.over_sum, "adj": angles.adjacent_ratio, "ref": lambda a: angles.reference_ratio(a, channel)}
+    if norm_method not in ways:
+        raise ValueError("norm_method must be sum, adj or ref")
+    z = ways[norm_method](F.col(amps))
     return features.withColumn("__ri", F.concat(F.transform(z, lambda a: a["re"]), F.transform(z, lambda a: a["im"])))
 
 
@@ -326,9 +355,34 @@ def EM_GMM_GMM(features: DataFrame, n_clusters: int = 16, amps: str = "amp", **s
 
 
 @clusterer
-def EM_GMM_GMM2(features: DataFrame, n_clusters: int = 16, amps: str = "amp", **settings) -> Clustering:  # noqa: N802
-    """The same under its second name."""
-    return mixture(stacked(features, amps), "__ri", 0, "EM_GMM_GMM2", n_clusters, **settings)
+def EM_GMM_GMM2(features: DataFrame, n_clusters: int = 16, amps: str = "amp", norm_method: str = "sum", channel: int = 0, start: str = "random", **settings) -> Clustering:  # noqa: N802
+    """Like EM_GMM_GMM with a choice of the normalisation, by default from random memberships."""
+    return mixture(stacked(features, amps, norm_method, channel), "__ri", 0, "EM_GMM_GMM2", n_clusters, start=start, **settings)
+
+
+def full_covariances(features: DataFrame, n_clusters: int, column: str, seed: int, n_iterations: int = 100) -> Clustering:
+    """EM_GMM with full covariances by Spark's own mixture. The covariances and the criterion are in the details."""
+    from pyspark.ml.clustering import GaussianMixture
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    settings = {"method": "EM_GMM", "n_clusters": n_clusters, "covariance_type": "full", "seed": seed}
+    features = written(features.select("instance_id", column))
+    n, d = features.count(), width(features, column)
+    if not n:
+        return nothing(features, column, settings)
+    k = min(n_clusters, n)
+    if k < 2:
+        raise ValueError("full covariances need two rows and two clusters")
+    rows = features.select("instance_id", array_to_vector(column).alias("features"))
+    model = GaussianMixture(k=k, seed=seed, maxIter=n_iterations).fit(rows)
+    z = vector_to_array("probability")
+    found = model.transform(rows).select(F.col("instance_id").cast("long"), F.col("prediction").alias("cluster"), F.array_max(z).alias("probability"), z.alias("z"))
+    shapes = model.gaussiansDF.collect()
+    covariances = np.array([g["cov"].toArray() for g in shapes])
+    parameters = [{"cluster": c, "dim": j, "kind": "normal", "loc": float(g["mean"][j]), "scale": float(np.sqrt(covariances[c, j, j])), "weight": float(model.weights[c])} for c, g in enumerate(shapes) for j in range(d)]
+    ll = float(model.summary.logLikelihood)
+    free = k * (d + d * (d + 1) // 2 + 1) - 1
+    return Clustering(found, parameters, settings, {"ll": ll, "bic": -2 * ll + free * math.log(n), "covariances": covariances, "iterations": model.summary.numIter})
 
 
 def full_gmm(features: DataFrame, n_clusters: int = 16, column: str = "values", seed: int = 743):

@@ -470,6 +470,7 @@ registered("k_means", "cluster_k_means")
 registered("k_means_periodic", "cluster_k_means_periodic")
 registered("EM_VMM", "cluster_em_vmm")
 registered("EM_GMM", "cluster_em_gmm")
+registered("EM_GMM", "cluster_em_gmm_full", covariance_type="full")
 registered("EM_GMM2", "cluster_em_gmm2")
 registered("EM_VMM_GMM", "cluster_em_vmm_gmm")
 registered("EM_GMM_GMM", "cluster_em_gmm_gmm")

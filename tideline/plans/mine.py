@@ -101,8 +101,9 @@ def mine(samples: DataFrame, settings: Settings | None = None, window: tuple[flo
         samples = signals.reduce_time(samples, *window)
     low, high = settings.band()
     features = extraction.by_peaks(samples, settings.nfft, settings.step, settings.n_peaks, low, high)
+    features = files.written(features)
     if two_level:
-        features = per_shot(features, settings)
+        features = files.written(per_shot(features, settings))
     extra = {"n_iterations": settings.n_iterations, "start": settings.start} if settings.method == "EM_VMM" else {}
     found = clustering.cluster(features, settings.method, n_clusters=settings.n_clusters, seed=settings.seed, **extra)
     return features, found

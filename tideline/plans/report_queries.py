@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from tideline.operators import reports, signals, structures
@@ -59,19 +56,10 @@ def rep_polarisation(spark, sf_dir):
     return reports.rep_polarisation(rows, gains, frames).drop("angle")
 
 
-def folder(spark) -> str:
-    """A new folder in the shared one. Where there is none, a local master gets a temporary one and a cluster one in the warehouse."""
-    conf = spark.sparkContext.getConf()
-    top = conf.get("spark.checkpoint.dir")
-    if not top:
-        top = tempfile.mkdtemp() if conf.get("spark.master", "local").startswith("local[") or conf.get("spark.master", "local") == "local" else spark.conf.get("spark.sql.warehouse.dir")
-    return f"{top.rstrip('/')}/saved-{uuid.uuid4().hex}"
-
-
 @query(f"WITH {FEATS} SELECT DISTINCT instance_id, shot, cluster, time, freq FROM ph -- time freq")
 def sink_feature_roundtrip(spark, sf_dir):
     rows = features(spark, sf_dir)
-    path = folder(spark)
+    path = files.shared_folder(spark)
     files.save_features(path, rows.drop("cluster"), rows.select("instance_id", "cluster"), rows.select("cluster").distinct(), {"method": "reference"})
     saved, assigned, _, _ = files.load_features(spark, path)
     return saved.join(assigned, "instance_id").select("instance_id", "shot", "cluster", "time", "freq")
@@ -81,7 +69,7 @@ def sink_feature_roundtrip(spark, sf_dir):
 def sink_orm(spark, sf_dir):
     """Objects appended twice are there twice."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("name"))
-    path = folder(spark)
+    path = files.shared_folder(spark)
     files.append_objects(rows, path)
     files.append_objects(rows, path)
     return spark.read.parquet(path).groupBy("name").agg(F.count(F.lit(1)).alias("n"))

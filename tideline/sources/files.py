@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -14,6 +16,22 @@ from tideline.registry import source
 RECORDED = "name string, sample_ix long, t double, value double"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder in the shared one. Where there is none, a local master gets a temporary one and a cluster one in the warehouse."""
+    conf = spark.sparkContext.getConf()
+    top = conf.get("spark.checkpoint.dir")
+    if not top:
+        top = tempfile.mkdtemp() if conf.get("spark.master", "local").split("[")[0] == "local" else spark.conf.get("spark.sql.warehouse.dir")
+    return f"{top.rstrip('/')}/saved-{uuid.uuid4().hex}"
+
+
+def written(rows: DataFrame) -> DataFrame:
+    """The same rows read back from the shared folder, for what is read in every iteration."""
+    path = shared_folder(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 @source
 def dsv(spark: SparkSession, path: str, shot: int, delimiter: str | None = None, comment: str = "#") -> DataFrame:
     """Delimited text: time, then one column for each channel, named channel_000 and so on.
