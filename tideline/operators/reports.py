@@ -52,12 +52,49 @@ def rep_svd(decomposed: DataFrame) -> DataFrame:
     return decomposed.select("shot", "seg_ix", "entropy", F.posexplode(F.arrays_zip("svs", "p")).alias("number", "z")).select("shot", "seg_ix", "number", "z.svs", "z.p", "entropy")
 
 
+@report
+def rep_svd_topos(decomposed: DataFrame) -> DataFrame:
+    """The weight of each channel in each singular vector."""
+    numbered = decomposed.select("shot", "seg_ix", F.posexplode("topos").alias("number", "topo"))
+    return numbered.select("shot", "seg_ix", "number", F.posexplode("topo").alias("ch_ix", "topo"))
+
+
+@report
+def rep_svd_spectra(decomposed: DataFrame, dt: float, fmax: float | None = None) -> DataFrame:
+    """Magnitude of the transformed chronos of each segment by frequency in kHz, up to ``fmax`` if given."""
+    import numpy as np
+    import pandas as pd
+
+    def run(batches):
+        for pdf in batches:
+            for r in pdf.itertuples():
+                n, size = len(r.chrono), np.abs(np.fft.rfft(r.chrono))
+                khz = np.arange(len(size)) / (n * dt * 1000)
+                at = np.flatnonzero(khz <= (np.inf if fmax is None else fmax))
+                yield pd.DataFrame({"shot": r.shot, "seg_ix": r.seg_ix, "number": r.number, "f_ix": at, "f_khz": khz[at], "magnitude": size[at]})
+
+    kinds = dict(decomposed.dtypes)
+    chronos = decomposed.select("shot", "seg_ix", F.posexplode("chronos").alias("number", "chrono"))
+    return chronos.mapInPandas(run, f"shot {kinds['shot']}, seg_ix {kinds['seg_ix']}, number int, f_ix int, f_khz double, magnitude double")
+
+
 @report
 def rep_energy(decomposed: DataFrame, chosen: tuple[int, ...]) -> DataFrame:
     """Share of energy of the chosen singular values."""
     return decomposed.select("shot", "seg_ix", F.aggregate(F.filter("p", lambda x, i: i.isin(*chosen)), F.lit(0.0), lambda a, x: a + x).alias("energy"))
 
 
+@report
+def rep_running_energy(decomposed: DataFrame, chosen: tuple[int, ...]) -> DataFrame:
+    """Share of energy after each choice of a singular value, in order. One that is chosen again is taken off again."""
+    steps = decomposed.select("shot", "seg_ix", "p", F.posexplode(F.array(*[F.lit(n) for n in chosen])).alias("step", "number"))
+    before = Window.partitionBy("shot", "seg_ix", "number").orderBy("step")
+    sign = F.when(F.row_number().over(before) % 2 == 1, 1.0).otherwise(-1.0)
+    share = steps.withColumn("share", F.coalesce(F.get("p", F.col("number")), F.lit(0.0)) * sign)
+    so_far = Window.partitionBy("shot", "seg_ix").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    return share.select("shot", "seg_ix", "step", "number", F.sum("share").over(so_far).alias("energy"))
+
+
 @report
 def rep_pos_neg_fill(curves: DataFrame) -> DataFrame:
     """Two curves (key, x, y1, y2) cut where they cross: each part's sign, and the points that bound it.
@@ -338,7 +375,7 @@ def rep_pinpoint(spectra: DataFrame, points: DataFrame, probes: DataFrame | None
 
 
 @report
-def rep_vm_sweep(spark, n: int = 20_000, seed: int = 0) -> DataFrame:
+def rep_vm_sweep(spark, n: int = 20_000, seed: int = 0, step: int = 1) -> DataFrame:
     """Estimated against true concentration and mean over a sweep, with the bias-corrected estimate."""
     import numpy as np
     import pandas as pd
@@ -354,5 +391,5 @@ def rep_vm_sweep(spark, n: int = 20_000, seed: int = 0) -> DataFrame:
                 out.append((r.mu, r.kappa, float(np.angle(z)), float(kappa_of(np.abs(z))), float(kappa_unbiased(np.array([abs(z)]), n)[0])))
             yield pd.DataFrame(out, columns=["mu", "kappa", "mu_fit", "kappa_fit", "kappa_lookup"])
 
-    grid = spark.range(20).select(F.col("id").alias("i"), (F.lit(-math.pi) + F.col("id") * (2 * math.pi / 19)).alias("mu"), F.explode(F.sequence(F.lit(1), F.lit(49), F.lit(8))).alias("kappa"))
+    grid = spark.range(20).select(F.col("id").alias("i"), (F.lit(-math.pi) + F.col("id") * (2 * math.pi / 19)).alias("mu"), F.explode(F.sequence(F.lit(1), F.lit(49), F.lit(step))).alias("kappa"))
     return grid.mapInPandas(run, "mu double, kappa int, mu_fit double, kappa_fit double, kappa_lookup double")

@@ -134,7 +134,39 @@ def unpack(packed: DataFrame, *keys: str) -> DataFrame:
     return packed.select(*keys, F.posexplode(F.arrays_zip("t", "x")).alias("sample_ix", "__z")).select(*keys, F.col("sample_ix").cast("long"), F.col("__z.t").alias("t"), F.col("__z.x").alias("value"))
 
 
-def correlate(samples: DataFrame, first: int, second: int, mode: str = "valid") -> DataFrame:
+def all_lags(one: DataFrame, two: DataFrame, block: int) -> DataFrame:
+    """Sums of products (shot, lag, correlation) of (shot, i, a) and (shot, j, b) at every lag i - j.
+
+    Each side is cut into blocks of ``block`` samples; two blocks are one group and are multiplied
+    as transforms. Rows of null values take no part; values must be finite.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def blocks(rows: DataFrame, i: str, x: str) -> DataFrame:
+        each = F.collect_list(F.struct(F.pmod(F.col(i), F.lit(block)).cast("int").alias("at"), F.col(x).cast("double").alias("x")))
+        packed = rows.where(F.col(x).isNotNull()).groupBy("shot", F.floor(F.col(i) / block).cast("long").alias(f"block_{i}")).agg(each.alias("z"))
+        return packed.select("shot", f"block_{i}", F.col("z.at").alias(f"at_{i}"), F.col("z.x").alias(x))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = pdf.iloc[0]
+        n, m = int(r["at_i"].max()) + 1, int(r["at_j"].max()) + 1
+        size = 1 << (n + m - 2).bit_length()
+
+        def product(x, y):
+            a, b = np.bincount(r["at_i"], x, n), np.bincount(r["at_j"], y, m)
+            return np.fft.irfft(np.fft.rfft(a, size) * np.fft.rfft(b[::-1], size), size)[: n + m - 1]
+
+        at = np.flatnonzero(product(None, None).round())
+        lag = (r["block_i"] - r["block_j"]) * block + at - (m - 1)
+        return pd.DataFrame({"shot": r["shot"], "lag": lag, "correlation": product(r["a"], r["b"])[at]})
+
+    pairs = blocks(one, "i", "a").join(blocks(two, "j", "b"), "shot")
+    sums = pairs.groupBy("shot", "block_i", "block_j").applyInPandas(run, f"shot {dict(one.dtypes)['shot']}, lag long, correlation double")
+    return sums.groupBy("shot", "lag").agg(F.sum("correlation").alias("correlation"))
+
+
+def correlate(samples: DataFrame, first: int, second: int, mode: str = "valid", block: int = 16_384) -> DataFrame:
     """Correlation of two equally long channels of each shot: the single product sum (valid) or all lags (full)."""
     one = samples.where(F.col("ch_ix") == first).select("shot", F.col("sample_ix").alias("i"), F.col("value").alias("a"))
     two = samples.where(F.col("ch_ix") == second).select("shot", F.col("sample_ix").alias("j"), F.col("value").alias("b"))
@@ -143,8 +175,7 @@ def correlate(samples: DataFrame, first: int, second: int, mode: str = "valid")
         return pairs.groupBy("shot").agg(F.sum(F.col("a") * F.col("b")).alias("correlation"))
     if mode != "full":
         raise ValueError("mode must be valid or full")
-    pairs = one.join(two, "shot").withColumn("lag", F.col("i") - F.col("j"))
-    return pairs.groupBy("shot", "lag").agg(F.sum(F.col("a") * F.col("b")).alias("correlation"))
+    return all_lags(one, two, block)
 
 
 def neighbour_differences(samples: DataFrame) -> DataFrame:

@@ -148,6 +148,11 @@ def valid_structures(found: DataFrame, power_cutoff: float = 0.05, min_svs: int
     return out.where(F.col("freq") < high) if high is not None else out
 
 
+def first_structures(found: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` structures of each segment, in the order in which they were grouped."""
+    return found.where(F.col("fs_ix") < most)
+
+
 def derived_amplitudes(found: DataFrame) -> DataFrame:
     """Amplitude and energy of structures in units of the signal."""
     return found.withColumn("amplitude", F.sqrt("p") * F.col("rms_scale")).withColumn("adjusted_energy", F.col("p") * F.col("energy") * F.col("rms_scale") * F.col("rms_scale"))

@@ -484,7 +484,7 @@ def generate_artificial_data(spark, sf_dir):
 
 @query()
 def rep_vm_sweep(spark, sf_dir):
-    return reports.rep_vm_sweep(spark, 2000)
+    return reports.rep_vm_sweep(spark)
 
 
 @query()

@@ -109,8 +109,18 @@ def mine(samples: DataFrame, settings: Settings | None = None, window: tuple[flo
     return features, found
 
 
-def save(path: str, features: DataFrame, found: clustering.Clustering) -> None:
-    files.save_features(path, features, found.assignments, found.table(features.sparkSession), found.settings)
+def save(path: str, features: DataFrame, found: clustering.Clustering, settings: Settings | None = None) -> None:
+    """The result of an analysis; its own settings are kept beside those of the clustering."""
+    kept = {**found.settings, "analysis": asdict(settings)} if settings else found.settings
+    files.save_features(path, features, found.assignments, found.table(features.sparkSession), kept)
+
+
+def settings_from_result(spark, path: str) -> Settings:
+    """The settings that a saved analysis was made with."""
+    saved = files.load_features(spark, path)[3]
+    if "analysis" not in saved:
+        raise LookupError(f"{path} was saved without settings of an analysis")
+    return Settings(**saved["analysis"])
 
 
 def restore(spark, path: str) -> tuple[DataFrame, DataFrame, DataFrame, dict]:

@@ -36,6 +36,34 @@ def rep_svd(spark, sf_dir):
     return reports.rep_svd(decomposed(spark, sf_dir))
 
 
+@query()
+def rep_svd_topos(spark, sf_dir):
+    """Weights as magnitudes: the sign of a singular vector is free."""
+    return reports.rep_svd_topos(decomposed(spark, sf_dir)).withColumn("topo", F.abs("topo"))
+
+
+@query()
+def rep_svd_spectra(spark, sf_dir):
+    """A day is taken for a microsecond."""
+    return reports.rep_svd_spectra(decomposed(spark, sf_dir), 1e-6, 200.0)
+
+
+@query(f"""WITH {DAILY}, g AS (SELECT *, sample_ix // 120 AS seg_ix FROM daily), n AS (SELECT shot, max(sample_ix) + 1 AS n FROM daily GROUP BY 1)
+SELECT shot, seg_ix, sum(value * value) / 1e9 AS energy FROM g JOIN n USING (shot) WHERE (seg_ix + 1) * 120 < n GROUP BY ALL -- energy""")
+def svd_rebuilt_energy(spark, sf_dir):
+    """The energy of a segment from its vectors: the squared singular values, spread over the channels by the weights."""
+    found = decomposed(spark, sf_dir)
+    weights = reports.rep_svd_topos(found).groupBy("shot", "seg_ix", "number").agg(F.sum(F.col("topo") * F.col("topo")).alias("size"))
+    values = reports.rep_svd(found).select("shot", "seg_ix", "number", "svs")
+    return values.join(weights, ["shot", "seg_ix", "number"]).groupBy("shot", "seg_ix").agg((F.sum(F.col("svs") * F.col("svs") * F.col("size")) / 1e9).alias("energy"))
+
+
+@query()
+def fs_limit(spark, sf_dir):
+    """The first two structures of each segment."""
+    return structures.first_structures(structures_of(spark, sf_dir), 2).select("shot", "seg_ix", "fs_ix", "p")
+
+
 @query("SELECT * FROM (SELECT i AS shot, 0::BIGINT AS seg_ix, (i * i + 1.0) / (i * i + 5.0) AS energy FROM range(3, 20) r(i)) -- energy")
 def rep_energy(spark, sf_dir):
     """Share of the first and third singular value."""
@@ -43,6 +71,14 @@ def rep_energy(spark, sf_dir):
     return reports.rep_energy(rows.withColumn("p", structures.energy_columns(F.col("svs"))["p"]), (0, 2))
 
 
+@query("""SELECT i AS shot, 0::BIGINT AS seg_ix, v.step, v.number, CASE v.step WHEN 0 THEN i * i WHEN 1 THEN i * i + 1 ELSE 1 END / (i * i + 5.0) AS energy
+FROM range(3, 20) r(i), (VALUES (0, 0), (1, 2), (2, 0)) v(step, number) -- energy""")
+def rep_running_energy(spark, sf_dir):
+    """The first and the third singular value are chosen, then the first is taken off."""
+    rows = spark.range(3, 20).select(F.col("id").alias("shot"), F.lit(0).cast("long").alias("seg_ix"), F.array(F.col("id").cast("double"), F.lit(2.0), F.lit(1.0)).alias("svs"))
+    return reports.rep_running_energy(rows.withColumn("p", structures.energy_columns(F.col("svs"))["p"]), (0, 2, 0))
+
+
 @query(f"""WITH {FEATS}, g AS (SELECT * FROM (VALUES (0, 0, 1.0, 0.0), (0, 1, 2.0, 0.0), (0, 2, 0.0, 1.0), (1, 0, 1.0, 1.0), (1, 1, 1.0, 0.0), (1, 2, 1.0, 0.0)) v(coil, dim, gr, gi)),
 f AS (SELECT * FROM (VALUES (0, 0, 0.6), (0, 1, 0.8), (0, 2, 0.0), (1, 0, 0.8), (1, 1, 0.6), (1, 2, 0.0)) v(coil, dim, w)),
 z AS (SELECT instance_id, g.coil, ph.dim, (re * gr + im * gi) / (gr * gr + gi * gi) AS re, (im * gr - re * gi) / (gr * gr + gi * gi) AS im FROM ph JOIN g ON g.coil = instance_id % 2 AND g.dim = ph.dim),
@@ -65,6 +101,28 @@ def sink_feature_roundtrip(spark, sf_dir):
     return saved.join(assigned, "instance_id").select("instance_id", "shot", "cluster", "time", "freq")
 
 
+@query("""SELECT 'all' AS saved, 'n_rows' AS name, count(*)::VARCHAR AS value FROM embeddings
+UNION ALL SELECT 'low', 'n_rows', count(*)::VARCHAR FROM embeddings WHERE vec_id % 5 < 2""")
+def list_clusterings(spark, sf_dir):
+    """The settings of two saved clusterings, one of all shots and one of the first two."""
+    path, rows = files.shared_folder(spark), features(spark, sf_dir)
+    for name, part in (("all", rows), ("low", rows.where("shot < 2"))):
+        files.save_features(f"{path}/{name}", part.drop("cluster"), part.select("instance_id", "cluster"), part.select("cluster").distinct(), {"n_rows": part.count()})
+    return files.list_clusterings(spark, path)
+
+
+@query(f"""WITH {DAILY} SELECT shot, ch_ix, row_number() OVER (PARTITION BY shot, ch_ix ORDER BY t) - 1 AS sample_ix, t, value,
+'channel_' || lpad(ch_ix::VARCHAR, 3, '0') AS channel FROM daily -- t value""")
+def src_dsv(spark, sf_dir):
+    """The daily channels written as delimited text, a file for each shot, and read back."""
+    path = files.shared_folder(spark)
+    lines = daily(spark, sf_dir).groupBy("shot", "t").pivot("ch_ix", [0, 1, 2]).agg(F.first("value")).select("shot", F.concat_ws(" ", "t", "0", "1", "2").alias("value"))
+    lines.repartition("shot").write.partitionBy("shot").text(path)
+    first, last = lines.agg(F.min("shot"), F.max("shot")).first()
+    found = [files.dsv(spark, f"{path}/shot=(shot)", shot) for shot in range(first, last + 1)]
+    return signals.stack_shots(*found).drop("diag")
+
+
 @query("SELECT event_type AS name, count(*) * 2 AS n FROM events GROUP BY 1")
 def sink_orm(spark, sf_dir):
     """Objects appended twice are there twice."""

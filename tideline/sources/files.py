@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import json
 import tempfile
 import uuid
@@ -108,6 +109,28 @@ def flip_sign(samples: DataFrame, channel: str = "channel") -> DataFrame:
     return samples.withColumn("value", F.col("value") * sign)
 
 
+@source
+def archive(spark: SparkSession, folder: str, shot: int, channel: str) -> DataFrame:
+    """The channel of a shot from ``<shot>_<channel>.npz``, with the members signal and timebase; flipped channels are negated.
+
+    What stands before the last minus of the channel's name is no part of the file's name. Archives
+    that hold expressions instead of samples are an error: nothing stored in a file is evaluated.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            for content in pdf["content"]:
+                with np.load(io.BytesIO(bytes(content)), allow_pickle=False) as members:
+                    if not {"signal", "timebase"} <= set(members.files):
+                        raise ValueError(f"the archive has no signal and timebase but {sorted(members.files)}")
+                    x, t = members["signal"].astype(float).ravel(), members["timebase"].astype(float).ravel()
+                yield pd.DataFrame({"sample_ix": np.arange(len(x)), "t": t, "value": x})
+
+    found = spark.read.format("binaryFile").load(f"{folder}/{shot}_{channel.split('-')[-1]}.npz").select("content").mapInPandas(run, "sample_ix long, t double, value double")
+    named = found.select(F.lit(shot).cast("long").alias("shot"), F.lit("archive").alias("diag"), F.lit(0).alias("ch_ix"), "sample_ix", "t", "value", F.lit(channel).alias("channel"))
+    return flip_sign(named)
+
+
 @source
 def web_signals(payloads: DataFrame) -> DataFrame:
     """Signals fetched from the web service: name, sample_ix, t, value.
@@ -145,6 +168,13 @@ def load_features(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
     return (*(spark.read.parquet(f"{path}/{n}") for n in ("features", "assignments", "clusters")), json.loads(lines[0]["value"]))
 
 
+def list_clusterings(spark: SparkSession, folder: str) -> DataFrame:
+    """Settings (saved, name, value) of every clustering that is saved in a folder of its own below ``folder``."""
+    saved = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/settings/[^/]*$", 1).alias("saved")
+    lines = spark.read.text(f"{folder}/*/settings").select(saved, F.from_json("value", "map<string,string>").alias("settings"))
+    return lines.select("saved", F.explode("settings").alias("name", "value"))
+
+
 def append_objects(rows: DataFrame, path: str) -> None:
     """Rows of persisted objects are appended to their table."""
     rows.write.mode("append").parquet(path)
