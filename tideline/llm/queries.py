@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tideline.llm import ann, html_extract, lm, mixing, secrets, simhash, substring, toxicity
+from tideline.llm import ann, fill_middle, html_extract, lm, mixing, secrets, simhash, substring, toxicity
 from tideline.llm.bpe import round_trip
 from tideline.llm.common import table
 from tideline.llm.exact_dedup import exact_groups
@@ -63,8 +63,15 @@ def op10_secret_scan(spark, sf_dir):
     return secrets.report(docs, ratios, least=least)
 
 
+def op13_fill_middle(spark, sf_dir):
+    out = fill_middle.transform(table(spark, sf_dir, "documents"))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    digests = [F.sha2(F.encode(c, "UTF-8"), 256).alias(name) for c, name in ((F.col("output"), "output_sha256"), (back, "restored_sha256"))]
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_lm_scoring, op2_nearest_neighbours, op3_byte_bpe, op4_substring_dedup, op5_toxicity, op6_simhash, op7_html_extraction, op8_exact_dedup, op9_mixing, op10_secret_scan,
+    op1_lm_scoring, op2_nearest_neighbours, op3_byte_bpe, op4_substring_dedup, op5_toxicity, op6_simhash, op7_html_extraction, op8_exact_dedup, op9_mixing, op10_secret_scan, op13_fill_middle,
 )}
 
 #: Lower-cases A-Z only.
@@ -76,5 +83,14 @@ WITH d AS (SELECT doc_id, {LOWER} AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
 FROM d WINDOW w AS (PARTITION BY t)""",
+    "op13_fill_middle": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || doc_id::VARCHAR) AS s FROM documents),
+h AS (SELECT doc_id, t, length(t) AS n, ('0x' || substr(s, 1, 8))::BIGINT AS h1, ('0x' || substr(s, 9, 8))::BIGINT AS h2, ('0x' || substr(s, 17, 8))::BIGINT AS h3, ('0x' || substr(s, 25, 8))::BIGINT AS h4 FROM d),
+c AS (SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, substr(t, 1, a) AS pre, substr(t, a + 1, b - a) AS mid, substr(t, b + 1) AS suf FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p""",
     "op9_mixing": f"SELECT * REPLACE (round(probability, 6) AS probability) FROM ({mixing.mix_sql(**MIXTURE)})",
 }
