@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tideline.llm import ann, fill_middle, html_extract, lm, mixing, secrets, simhash, substring, toxicity
+from tideline.llm import ann, fill_middle, html_extract, lm, mixing, repeats, secrets, simhash, substring, toxicity
 from tideline.llm.bpe import round_trip
 from tideline.llm.common import table
 from tideline.llm.exact_dedup import exact_groups
@@ -63,6 +63,32 @@ def op10_secret_scan(spark, sf_dir):
     return secrets.report(docs, ratios, least=least)
 
 
+def with_planted_runs(docs):
+    """Of every tenth document (by the checksum of its id) the words from one place on repeat with one period; the others, and null ids, stay as they are."""
+    h = F.crc32(F.col("doc_id").cast("long").cast("string"))
+    g = F.floor(h / 10)
+
+    def repeated(words):
+        n = F.size(words).cast("long")
+        a = g % n
+        p = F.floor((n - a) / (3 + g % 8)) + 1
+        place = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))
+        return F.when(n > 0, F.array_join(F.transform(place, lambda i: F.get(words, i)), " ")).otherwise("")
+
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    return docs.withColumn("text", F.when(h % 10 == 0, secrets.bound(words, repeated)).otherwise(F.col("text")))
+
+
+def op11_periodic_runs(spark, sf_dir):
+    out = repeats.collapse(with_planted_runs(table(spark, sf_dir, "documents")))
+    best = repeats.strongest(F.col("runs"))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    return out.select("doc_id", "runs", "collapsed", best.alias("best")).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.encode(lines, "UTF-8"), 256).alias("runs_sha256"), F.sha2(F.encode("collapsed", "UTF-8"), 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_fill_middle(spark, sf_dir):
     out = fill_middle.transform(table(spark, sf_dir, "documents"))
     back = fill_middle.restored(F.col("output"), F.col("form"))
@@ -71,7 +97,7 @@ def op13_fill_middle(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_lm_scoring, op2_nearest_neighbours, op3_byte_bpe, op4_substring_dedup, op5_toxicity, op6_simhash, op7_html_extraction, op8_exact_dedup, op9_mixing, op10_secret_scan, op13_fill_middle,
+    op1_lm_scoring, op2_nearest_neighbours, op3_byte_bpe, op4_substring_dedup, op5_toxicity, op6_simhash, op7_html_extraction, op8_exact_dedup, op9_mixing, op10_secret_scan, op11_periodic_runs, op13_fill_middle,
 )}
 
 #: Lower-cases A-Z only.
