@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tideline.llm import ann, fill_middle, html_extract, lm, mixing, repeats, secrets, simhash, substring, toxicity
+from tideline.llm import ann, fill_middle, html_extract, lm, mixing, personal, repeats, secrets, simhash, substring, toxicity
 from tideline.llm.bpe import round_trip
 from tideline.llm.common import table
 from tideline.llm.exact_dedup import exact_groups
@@ -89,6 +89,10 @@ def op11_periodic_runs(spark, sf_dir):
     )
 
 
+def op12_personal_data(spark, sf_dir):
+    return personal.report(table(spark, sf_dir, "documents"))
+
+
 def op13_fill_middle(spark, sf_dir):
     out = fill_middle.transform(table(spark, sf_dir, "documents"))
     back = fill_middle.restored(F.col("output"), F.col("form"))
@@ -97,7 +101,8 @@ def op13_fill_middle(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_lm_scoring, op2_nearest_neighbours, op3_byte_bpe, op4_substring_dedup, op5_toxicity, op6_simhash, op7_html_extraction, op8_exact_dedup, op9_mixing, op10_secret_scan, op11_periodic_runs, op13_fill_middle,
+    op1_lm_scoring, op2_nearest_neighbours, op3_byte_bpe, op4_substring_dedup, op5_toxicity, op6_simhash, op7_html_extraction, op8_exact_dedup, op9_mixing, op10_secret_scan, op11_periodic_runs, op12_personal_data,
+    op13_fill_middle,
 )}
 
 #: Lower-cases A-Z only.
