@@ -62,13 +62,26 @@ def test_a_bad_segment_stops_no_other(spark):
     assert errors[0] is None and errors[1]
 
 
-def test_fft_equals_direct_transform(spark):
+@pytest.mark.parametrize("size", [32, 16_384])
+def test_fft_equals_direct_transform(spark, size):
     smp = synthetic.multimode(spark, TWO, channels=2, n=200, noise=0.3)
-    a = spectral.stft(smp, 32, 8).orderBy("ch_ix", "win_ix", "f_ix").toPandas()
-    b = spectral.stft_direct(smp, 32, 8).orderBy("ch_ix", "win_ix", "f_ix").toPandas()
-    assert len(a) == len(b) == 2 * 21 * 17
-    for c in ("t", "f", "re", "im"):
-        assert np.allclose(a[c], b[c], atol=1e-9)
+    x = wide(smp)
+    got = spectral.stft(smp, 32, 8, size=size).orderBy("ch_ix", "win_ix", "f_ix").toPandas()
+    assert len(got) == 2 * 21 * 17
+    k = np.arange(32)
+    for (c, w, f), r in got.set_index(["ch_ix", "win_ix", "f_ix"]).iterrows():
+        z = (x[c, 8 * w : 8 * w + 32] * (0.54 - 0.46 * np.cos(2 * np.pi * k / 31)) * np.exp(-2j * np.pi * f * k / 32)).sum() / 32
+        assert (r["re"], r["im"]) == pytest.approx((z.real, z.imag), abs=1e-9)
+        assert r["t"] == pytest.approx((8 * w + 15.5) * 1e-6) and r["f"] == pytest.approx(f / 32e-6, abs=1e-3)
+
+
+def test_missing_samples_count_as_zero(spark):
+    smp = synthetic.multimode(spark, TWO, channels=1, n=200)
+    gap = smp.where("sample_ix NOT BETWEEN 70 AND 101")
+    got = spectral.stft(gap, 16, 8, size=32).toPandas().set_index(["win_ix", "f_ix"])
+    zero = spectral.stft(smp.withColumn("value", F.when(F.col("sample_ix").between(70, 101), 0.0).otherwise(F.col("value"))), 16, 8).toPandas().set_index(["win_ix", "f_ix"])
+    assert {w for w, _ in got.index} == {w for w in range(19) if w not in (9, 10)}  # 168 samples; two windows are empty
+    assert np.allclose(got["re"], zero.loc[got.index, "re"], atol=1e-9) and np.allclose(got["im"], zero.loc[got.index, "im"], atol=1e-9)
 
 
 def test_peak_frequency_of_one_mode(spark):

@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideline.operators import blocks
+
 
 def change_time_base(samples: DataFrame, grid: DataFrame) -> DataFrame:
     """Piecewise linear values of every channel at the times of ``grid`` (shot, t), held constant beyond the ends.
 
     Grid and samples are merged by time, and each grid row takes the last sample before and
-    the first after it: one shuffle by shot and channel, no pairs. Samples of equal time count
-    once, by their mean.
+    the first after it, range by range of the times (``blocks.neighbours``), without pairs. Samples of
+    equal time count once, by their mean.
     """
     known = samples.groupBy("shot", "ch_ix", "t").agg(F.avg("value").alias("value"))
     wanted = known.select("shot", "ch_ix").distinct().join(grid.select("shot", F.col("t")).distinct(), "shot")
     both = known.select("shot", "ch_ix", "t", "value", F.lit(0).alias("grid")).unionByName(wanted.select("shot", "ch_ix", "t", F.lit(None).cast("double").alias("value"), F.lit(1).alias("grid")))
-    order = Window.partitionBy("shot", "ch_ix").orderBy("t", "grid")
-    back = Window.partitionBy("shot", "ch_ix").orderBy(F.col("t").desc(), F.col("grid"))
     at = F.when(F.col("grid") == 0, F.struct("t", "value"))
-    near = both.withColumn("lo", F.last(at, ignorenulls=True).over(order)).withColumn("hi", F.last(at, ignorenulls=True).over(back)).where("grid = 1")
+    near = blocks.neighbours(both, ("shot", "ch_ix"), "t", "grid", at).where("grid = 1")
     share = (F.col("t") - F.col("lo.t")) / (F.col("hi.t") - F.col("lo.t"))
     between = F.when(F.col("hi.t") > F.col("lo.t"), F.col("lo.value") + share * (F.col("hi.value") - F.col("lo.value")))
     return near.select("shot", "ch_ix", "t", F.coalesce(between, F.col("lo.value"), F.col("hi.value")).alias("value"))
@@ -31,8 +31,7 @@ def multichannel(channels: DataFrame, tolerance: float = 5e-7, interpolate: bool
     Channels whose times differ from it by no more than ``tolerance`` keep their values; the
     others are interpolated, or are an error if ``interpolate`` is false.
     """
-    first = Window.partitionBy("shot")
-    rows = channels.withColumn("__first", F.min("ch_ix").over(first))
+    rows = blocks.beside(channels, channels.groupBy("shot").agg(F.min("ch_ix").alias("__first")), "shot")
     base = rows.where(F.col("ch_ix") == F.col("__first")).select("shot", "sample_ix", F.col("t").alias("__t"))
     met = rows.join(base, ["shot", "sample_ix"], "left")
     off = met.groupBy("shot", "ch_ix").agg(F.max(F.coalesce(F.abs(F.col("t") - F.col("__t")), F.lit(1.0))).alias("off"))
@@ -49,17 +48,15 @@ def multichannel(channels: DataFrame, tolerance: float = 5e-7, interpolate: bool
 def nearest(points: DataFrame, cells: DataFrame, key: str, at: str, to: str) -> DataFrame:
     """For every point the cell of the same key with ``to`` nearest to the point's ``at``; the first of equals.
 
-    Points and cells are merged by value; the nearest cell is the last before or the first
-    after. Returns the points' columns and ``to``.
+    Points and cells are merged by value, range by range; the nearest cell is the last before or
+    the first after. Returns the points' columns and ``to``.
     """
     own = points.columns
     packed = points.select(F.col(key), F.col(at).alias("__x"), F.struct(*own).alias("__p"), F.lit(1).alias("__q"))
     seen = cells.select(F.col(key), F.col(to).cast("double").alias("__x")).distinct().withColumn("__q", F.lit(0))
     both = packed.unionByName(seen, allowMissingColumns=True)
-    ahead = Window.partitionBy(key).orderBy("__x", "__q")
-    back = Window.partitionBy(key).orderBy(F.col("__x").desc(), F.col("__q"))
     cell = F.when(F.col("__q") == 0, F.col("__x"))
-    met = both.withColumn("__lo", F.last(cell, ignorenulls=True).over(ahead)).withColumn("__hi", F.last(cell, ignorenulls=True).over(back)).where("__q = 1")
+    met = blocks.neighbours(both, (key,), "__x", "__q", cell).where("__q = 1").withColumnsRenamed({"lo": "__lo", "hi": "__hi"})
     best = F.when(F.col("__hi").isNull() | (F.col("__x") - F.col("__lo") <= F.col("__hi") - F.col("__x")), F.col("__lo")).otherwise(F.col("__hi"))
     return met.withColumn(to if to not in own else f"{to}_nearest", best).select("__p.*", to if to not in own else f"{to}_nearest")
 

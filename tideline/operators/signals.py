@@ -1,7 +1,8 @@
 """Sampled signals in long form: shot, diag, ch_ix, sample_ix, t, value.
 
-Every transform takes and returns a DataFrame. Windows are partitioned by shot and channel,
-so that work scales with the number of shots.
+Every transform takes and returns a DataFrame. What is known of a whole shot or channel is
+aggregated and joined; running values are scanned in blocks, so that work is spread however long a
+channel is.
 """
 
 from __future__ import annotations
@@ -11,17 +12,11 @@ import datetime
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.operators import blocks
 from tideline.registry import transform
 
 CHANNEL = ("shot", "ch_ix")
-
-
-def per_channel():
-    return Window.partitionBy(*CHANNEL)
-
-
-def along():
-    return per_channel().orderBy("sample_ix")
+PARTS = "real_value array<double>, imag_value array<double>, real_count array<double>, imag_count array<double>"
 
 
 @transform
@@ -51,7 +46,8 @@ def shape(samples: DataFrame) -> DataFrame:
 
 @transform
 def subtract_mean(samples: DataFrame) -> DataFrame:
-    return samples.withColumn("value", F.col("value") - F.avg("value").over(per_channel()))
+    means = samples.groupBy(*CHANNEL).agg(F.avg("value").alias("__mean"))
+    return blocks.beside(samples, means, *CHANNEL).withColumn("value", F.col("value") - F.col("__mean")).select(*samples.columns)
 
 
 METHODS = {"0": "none", 0: "none", "none": "none", "p": "peak", "peak": "peak", "r": "rms", "rms": "rms", "v": "var", "var": "var"}
@@ -75,13 +71,9 @@ def normalise(samples: DataFrame, method: str = "peak", separate: bool = False)
         return samples.withColumn("scale", F.lit(1.0))
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}")
-    w = per_channel()
-    value = F.col("value")
-    own = {"peak": F.max(F.abs(value)).over(w), "rms": F.sqrt(F.avg(value * value).over(w)), "var": F.var_pop(value).over(w)}[METHODS[method]]
-    out = samples.withColumn("scale", own)
-    if not separate:
-        out = out.withColumn("scale", F.max("scale").over(Window.partitionBy("shot")))
-    return out.withColumn("value", F.try_divide("value", "scale"))
+    rows = samples.drop("scale")
+    out = blocks.beside(rows, scales(rows, method, separate), *CHANNEL)
+    return out.withColumn("value", F.try_divide("value", "scale")).select(*rows.columns, "scale")
 
 
 def rms_of_scales(scaled: DataFrame) -> DataFrame:
@@ -90,12 +82,22 @@ def rms_of_scales(scaled: DataFrame) -> DataFrame:
     return each.groupBy("shot").agg(F.sqrt(F.avg(F.col("scale") * F.col("scale"))).alias("rms_scale"))
 
 
+def steps(samples: DataFrame, value: str, size: int = blocks.BLOCK) -> DataFrame:
+    """Samples with __step, the change of ``value`` since the sample before. Blocks hand their last value to the next."""
+    rows = samples.withColumn("__block", blocks.block_of(size))
+    last = rows.groupBy(*CHANNEL, "__block").agg(F.max_by(value, "sample_ix").alias("__end"))
+    carried = last.withColumn("__end", F.lag("__end").over(Window.partitionBy(*CHANNEL).orderBy("__block")))
+    inside = Window.partitionBy(*CHANNEL, "__block").orderBy("sample_ix")
+    out = blocks.beside(rows, carried, *CHANNEL, "__block")
+    return out.withColumn("__step", F.col(value) - F.coalesce(F.lag(value).over(inside), F.col("__end"))).drop("__end")
+
+
 def contiguity(samples: DataFrame) -> DataFrame:
     """Is each channel evenly sampled? The largest squared deviation from the first step must be below the hundredth of its square."""
-    step = samples.withColumn("step", F.lead("t").over(along()) - F.col("t"))
-    first = F.first("step").over(along().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    off = step.withColumn("first", first).where("step IS NOT NULL")
-    return off.groupBy(*CHANNEL).agg((F.max(F.pow(F.col("step") - F.col("first"), 2)) < F.pow(0.1 * F.first("first"), 2)).alias("contiguous"))
+    off = steps(samples.select(*CHANNEL, "sample_ix", "t"), "t").where("__step IS NOT NULL")
+    sums = off.groupBy(*CHANNEL).agg(F.min_by("__step", "sample_ix").alias("first"), F.max("__step").alias("most"), F.min("__step").alias("least"))
+    far = F.greatest(F.pow(F.col("most") - F.col("first"), 2), F.pow(F.col("least") - F.col("first"), 2))
+    return sums.select(*CHANNEL, (far < F.pow(0.1 * F.col("first"), 2)).alias("contiguous"))
 
 
 @transform
@@ -112,11 +114,11 @@ def segment(samples: DataFrame, n: int, overlap: float = 1, include_last: bool =
     ``include_last``. A sample's windows follow from its number, without a join.
     """
     hop = max(1, int(n // overlap))
-    last = F.max("sample_ix").over(Window.partitionBy("shot")) + 1 - n
+    last = samples.groupBy("shot").agg((F.max("sample_ix") + 1 - n).alias("__end"))
     top = F.floor(F.least(F.col("sample_ix"), F.col("__end") if include_last else F.col("__end") - 1) / hop)
     low = F.greatest(F.lit(0).cast("long"), F.floor((F.col("sample_ix") - n) / hop) + 1)
-    tagged = samples.withColumn("__end", last).withColumn("__low", low).withColumn("__top", top).where(F.col("__low") <= F.col("__top"))
-    return tagged.withColumn("seg_ix", F.explode(F.sequence("__low", "__top"))).withColumn("in_seg", F.col("sample_ix") - F.col("seg_ix") * hop).drop("__end", "__low", "__top")
+    tagged = blocks.beside(samples, last, "shot").withColumn("__low", low).withColumn("__top", top).where(F.col("__low") <= F.col("__top"))
+    return tagged.withColumn("seg_ix", F.explode(F.sequence("__low", "__top"))).select(*samples.columns, "seg_ix", (F.col("sample_ix") - F.col("seg_ix") * hop).alias("in_seg"))
 
 
 def segment_energy(segments: DataFrame) -> DataFrame:
@@ -134,36 +136,66 @@ def unpack(packed: DataFrame, *keys: str) -> DataFrame:
     return packed.select(*keys, F.posexplode(F.arrays_zip("t", "x")).alias("sample_ix", "__z")).select(*keys, F.col("sample_ix").cast("long"), F.col("__z.t").alias("t"), F.col("__z.x").alias("value"))
 
 
-def all_lags(one: DataFrame, two: DataFrame, block: int) -> DataFrame:
+def all_lags(one: DataFrame, two: DataFrame, block: int, band: int = 64) -> DataFrame:
     """Sums of products (shot, lag, correlation) of (shot, i, a) and (shot, j, b) at every lag i - j.
 
-    Each side is cut into blocks of ``block`` samples; two blocks are one group and are multiplied
-    as transforms. Rows of null values take no part; values must be finite.
+    Each side is cut into blocks of ``block`` samples and each block is transformed once. Products of
+    spectra are summed by the difference of the block numbers: for ``band`` frequencies at a time the
+    spectra of all blocks of a shot are one group, and the sums over pairs of blocks are
+    themselves a correlation along the block numbers. Each difference is transformed back once. The
+    same is done for the counts of samples, so that lags without a pair give no row. Rows of null
+    values take no part; values must be finite.
     """
     import numpy as np
-    import pandas as pd
-
-    def blocks(rows: DataFrame, i: str, x: str) -> DataFrame:
-        each = F.collect_list(F.struct(F.pmod(F.col(i), F.lit(block)).cast("int").alias("at"), F.col(x).cast("double").alias("x")))
-        packed = rows.where(F.col(x).isNotNull()).groupBy("shot", F.floor(F.col(i) / block).cast("long").alias(f"block_{i}")).agg(each.alias("z"))
-        return packed.select("shot", f"block_{i}", F.col("z.at").alias(f"at_{i}"), F.col("z.x").alias(x))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.iloc[0]
-        n, m = int(r["at_i"].max()) + 1, int(r["at_j"].max()) + 1
-        size = 1 << (n + m - 2).bit_length()
-
-        def product(x, y):
-            a, b = np.bincount(r["at_i"], x, n), np.bincount(r["at_j"], y, m)
-            return np.fft.irfft(np.fft.rfft(a, size) * np.fft.rfft(b[::-1], size), size)[: n + m - 1]
-
-        at = np.flatnonzero(product(None, None).round())
-        lag = (r["block_i"] - r["block_j"]) * block + at - (m - 1)
-        return pd.DataFrame({"shot": r["shot"], "lag": lag, "correlation": product(r["a"], r["b"])[at]})
-
-    pairs = blocks(one, "i", "a").join(blocks(two, "j", "b"), "shot")
-    sums = pairs.groupBy("shot", "block_i", "block_j").applyInPandas(run, f"shot {dict(one.dtypes)['shot']}, lag long, correlation double")
-    return sums.groupBy("shot", "lag").agg(F.sum("correlation").alias("correlation"))
+    import pyarrow as pa
+
+    size = 2 * block
+    bands = -(-(block + 1) // band)
+    kind = dict(one.dtypes)["shot"]
+
+    def spectra(rows: DataFrame, i: str, x: str, side: int) -> DataFrame:
+        """The spectra of each block's values and counts, a row for each band of frequencies."""
+
+        def run(key: tuple, table: pa.Table) -> pa.Table:
+            at = table["i"].to_numpy() - key[1].as_py() * block
+            z = np.array([np.fft.rfft(np.bincount(at, w, block), size) for w in (table["x"].to_numpy(), None)])
+            z = np.pad(z, ((0, 0), (0, bands * band - z.shape[1]))).reshape(2, bands, band)
+            head = {"shot": pa.array([key[0].as_py()] * bands, key[0].type), "side": pa.array([side] * bands, pa.int32()), "block": pa.array([key[1].as_py()] * bands, pa.int64())}
+            return pa.table({**head, "band": pa.array(range(bands), pa.int32()), **parts(z)})
+
+        kept = rows.where(F.col(x).isNotNull()).select("shot", F.floor(F.col(i) / block).cast("long").alias("block"), F.col(i).cast("long").alias("i"), F.col(x).cast("double").alias("x"))
+        return kept.groupBy("shot", "block").applyInArrow(run, f"shot {kind}, side int, block long, band int, {PARTS}")
+
+    def parts(z: np.ndarray) -> dict[str, pa.ListArray]:
+        return {f"{p}_{n}": blocks.as_lists(getattr(z[k], p)) for k, n in enumerate(("value", "count")) for p in ("real", "imag")}
+
+    def whole(table: pa.Table) -> list[np.ndarray]:
+        return [blocks.as_matrix(table[f"real_{n}"]) + 1j * blocks.as_matrix(table[f"imag_{n}"]) for n in ("value", "count")]
+
+    def summed(key: tuple, table: pa.Table) -> pa.Table:
+        """Within one band: the first side's spectra times the conjugates of the second's, summed by the difference of their blocks."""
+        side, at = table["side"].to_numpy(), table["block"].to_numpy()
+        n = int(at.max() - at.min()) + 1
+        out = []
+        for z in whole(table):
+            grid = np.zeros((2, 2 * n, band), complex)
+            grid[side, at - at.min()] = z
+            f = np.fft.fft(grid, axis=1)
+            out.append(np.roll(np.fft.ifft(f[0] * f[1].conj(), axis=0), n - 1, axis=0)[: 2 * n - 1])
+        m = 2 * n - 1
+        return pa.table({"shot": pa.array([key[0].as_py()] * m, key[0].type), "difference": pa.array(range(1 - n, n), pa.int64()), "band": pa.array([key[1].as_py()] * m, pa.int32()), **parts(np.array(out))})
+
+    def back(key: tuple, table: pa.Table) -> pa.Table:
+        order = np.argsort(table["band"].to_numpy())
+        value, count = (np.fft.irfft(z[order].ravel()[: block + 1], size) for z in whole(table))
+        lag = np.arange(1 - block, block)
+        met = lag[count[lag].round() > 0]
+        return pa.table({"shot": pa.array([key[0].as_py()] * len(met), key[0].type), "lag": pa.array(key[1].as_py() * block + met, pa.int64()), "correlation": pa.array(value[met])})
+
+    both = spectra(one, "i", "a", 0).unionByName(spectra(two, "j", "b", 1))
+    differences = both.groupBy("shot", "band").applyInArrow(summed, f"shot {kind}, difference long, band int, {PARTS}")
+    lags = differences.groupBy("shot", "difference").applyInArrow(back, f"shot {kind}, lag long, correlation double")
+    return lags.groupBy("shot", "lag").agg(F.sum("correlation").alias("correlation"))
 
 
 def correlate(samples: DataFrame, first: int, second: int, mode: str = "valid", block: int = 16_384) -> DataFrame:
@@ -184,16 +216,18 @@ def neighbour_differences(samples: DataFrame) -> DataFrame:
     return samples.withColumn("difference", F.lead("value").over(w) - F.col("value")).where("difference IS NOT NULL")
 
 
-def running_sum(samples: DataFrame) -> DataFrame:
-    return samples.withColumn("running", F.sum("value").over(along().rowsBetween(Window.unboundedPreceding, 0)))
+def running_sum(samples: DataFrame, size: int = blocks.BLOCK) -> DataFrame:
+    rows = samples.withColumn("__block", blocks.block_of(size))
+    return blocks.prefix_sums(rows, CHANNEL, "__block", ("sample_ix",), running=F.col("value")).select(*samples.columns, "running")
 
 
-def unwrap(samples: DataFrame, period: float = 6.283185307179586) -> DataFrame:
+def unwrap(samples: DataFrame, period: float = 6.283185307179586, size: int = blocks.BLOCK) -> DataFrame:
     """Values freed of jumps larger than half a period, channel by channel."""
-    step = F.col("value") - F.lag("value").over(along())
+    step = F.col("__step")
     jump = F.when(F.abs(step) > period / 2, -period * F.round(step / period)).otherwise(0.0)
-    out = samples.withColumn("__jump", F.coalesce(jump, F.lit(0.0)))
-    return out.withColumn("value", F.col("value") + F.sum("__jump").over(along().rowsBetween(Window.unboundedPreceding, 0))).drop("__jump")
+    rows = steps(samples, "value", size).withColumn("__jump", F.coalesce(jump, F.lit(0.0)))
+    out = blocks.prefix_sums(rows, CHANNEL, "__block", ("sample_ix",), __turns=F.col("__jump"))
+    return out.withColumn("value", F.col("value") + F.col("__turns")).select(*samples.columns)
 
 
 def stack_channels(first: DataFrame, second: DataFrame) -> DataFrame:

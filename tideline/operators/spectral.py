@@ -5,69 +5,62 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.angles import complex_struct
-from tideline.functions.tapers import taper, taper_array
+from tideline.functions.tapers import taper_array
+from tideline.operators import blocks
 
-SPECTRA = "shot long, ch_ix int, win_ix long, t double, f_ix int, f double, re double, im double"
 
+def stft(samples: DataFrame, nfft: int, step: int, window: str = "hamming", size: int = 16_384, chunk: int = 1 << 19) -> DataFrame:
+    """Short-time spectra of every channel by FFT.
 
-def stft_starts(n_samples: str | int, nfft: int, step: int):
-    """Windows start at 0, step, ... below length - nfft."""
-    return F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.col(n_samples) - nfft - 1), F.lit(step).cast("long"))
-
-
-def windows(samples: DataFrame, nfft: int, step: int) -> DataFrame:
-    """Each sample in each window that it is in, with its number there (k) and the window's number."""
-    length = F.count(F.lit(1)).over(Window.partitionBy("shot", "ch_ix"))
-    low = F.greatest(F.lit(0).cast("long"), F.floor((F.col("sample_ix") - nfft) / step) + 1)
-    top = F.floor(F.least(F.col("sample_ix"), F.col("__n") - nfft - 1) / step)
-    tagged = samples.withColumn("__n", length).withColumn("__low", low).withColumn("__top", top).where("__low <= __top")
-    return tagged.withColumn("win_ix", F.explode(F.sequence("__low", "__top"))).withColumn("k", F.col("sample_ix") - F.col("win_ix") * step).drop("__n", "__low", "__top")
-
-
-def stft_direct(samples: DataFrame, nfft: int, step: int, window: str = "hamming") -> DataFrame:
-    """Spectra by a direct transform in column expressions: for short windows, up to about 64 samples.
-
-    The symmetric taper is applied, sums are divided by ``nfft``, a window's time is the mean of
-    its times and frequencies are rounded to four places. Every window's samples are summed
-    once for all frequencies; the partial sums are combined before the shuffle.
+    Samples are packed once into blocks of about ``size`` with a halo of one window, and a task takes
+    one block at a time. Windows start every ``step`` samples below the channel's number of samples less ``nfft``. A
+    missing sample counts as zero; a window without any gives nothing. The symmetric taper is applied, sums
+    are divided by ``nfft``, a window's time is the mean of its times, and its own times give its
+    frequencies, rounded to four places.
     """
-    tapered = windows(samples, nfft, step).withColumn("__v", F.col("value") * taper(window, F.col("k"), nfft) / nfft)
-    angles = [2 * math.pi * f / nfft for f in range(nfft // 2 + 1)]
-    dt = (F.max("t") - F.min("t")) / (nfft - 1)
-    sums = [F.struct(F.sum(F.col("__v") * F.cos(a * F.col("k"))).alias("re"), (-F.sum(F.col("__v") * F.sin(a * F.col("k")))).alias("im")) for a in angles]
-    out = tapered.groupBy("shot", "ch_ix", "win_ix").agg(F.avg("t").alias("t"), dt.alias("__dt"), F.array(*sums).alias("__z"))
-    cells = out.select("shot", "ch_ix", "win_ix", "t", "__dt", F.posexplode("__z").alias("f_ix", "__z"))
-    return cells.select("shot", "ch_ix", "win_ix", "t", "f_ix", F.round(F.col("f_ix") / (nfft * F.col("__dt")), 4).alias("f"), "__z.re", "__z.im")
-
-
-def stft(samples: DataFrame, nfft: int, step: int, window: str = "hamming") -> DataFrame:
-    """Spectra by FFT of Arrow batches; one group is one channel of one shot."""
-    if nfft <= 16:
-        return stft_direct(samples, nfft, step, window)
+    if nfft < 2:
+        raise ValueError("a window has two samples at least")
     weights = taper_array(window, nfft)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sample_ix")
-        x, t = pdf["value"].to_numpy(), pdf["t"].to_numpy()
-        starts = np.arange(0, max(0, len(x) - nfft), step)
-        if not len(starts):
-            return pd.DataFrame({c.split()[0]: [] for c in SPECTRA.split(", ")})
-        seen = np.lib.stride_tricks.sliding_window_view(x, nfft)[starts]
-        z = np.fft.rfft(seen * weights / nfft, axis=1)
-        n = z.shape[1]
-        f = np.round(np.arange(n) / (nfft * (t[1] - t[0])), 4)
-        times = np.lib.stride_tricks.sliding_window_view(t, nfft)[starts].mean(axis=1)
-        return pd.DataFrame({
-            "shot": pdf["shot"].iloc[0], "ch_ix": pdf["ch_ix"].iloc[0], "win_ix": np.repeat(np.arange(len(starts)), n), "t": np.repeat(times, n),
-            "f_ix": np.tile(np.arange(n), len(starts)), "f": np.tile(f, len(starts)), "re": z.real.ravel(), "im": z.imag.ravel(),
-        })
-
-    return samples.select("shot", "ch_ix", "sample_ix", "t", "value").groupBy("shot", "ch_ix").applyInPandas(run, SPECTRA)
+    length = step * max(1, math.ceil(max(size, nfft) / step))
+    kinds = dict(samples.dtypes)
+    most = max(1, chunk // nfft)
+
+    def spectra(at: np.ndarray, t: np.ndarray, x: np.ndarray, first: np.ndarray):
+        """Number, mean time, sampling step and spectrum of the windows that begin at ``first``, counted from the block's start."""
+        values, times = np.zeros(length + nfft), np.full(length + nfft, np.nan)
+        values[at], times[at] = x, t
+        for k in range(0, len(first), most):
+            inside = first[k : k + most, None] + np.arange(nfft)
+            some = np.isfinite(times[inside]).any(axis=1)
+            inside = inside[some]
+            own = times[inside]
+            dt = (np.nanmax(own, axis=1) - np.nanmin(own, axis=1)) / (nfft - 1) if len(own) else np.zeros(0)
+            yield first[k : k + most][some], np.nanmean(own, axis=1) if len(own) else np.zeros(0), dt, np.fft.rfft(values[inside] * weights / nfft, axis=1)
+
+    def run(batches):
+        for b in batches:
+            for i, (block, n, *lists) in enumerate(zip(b["block"].to_pylist(), b["__n"].to_pylist(), *(blocks.arrays(b[c]) for c in ("sample_ix", "t", "value")), strict=True)):
+                start = block * length
+                first = np.arange(0, min(length, n - nfft - start), step)
+                for begin, t, dt, z in spectra(lists[0] - start, lists[1], lists[2], first):
+                    m, bins = z.shape
+                    own = pa.array(np.full(m * bins, i))
+                    f_ix = np.tile(np.arange(bins, dtype=np.int32), m)
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        f = f_ix / (nfft * np.repeat(dt, bins))
+                    yield pa.RecordBatch.from_arrays(
+                        [b["shot"].take(own), b["ch_ix"].take(own), pa.array(np.repeat((start + begin) // step, bins)), pa.array(np.repeat(t, bins)), pa.array(f_ix), pa.array(f), pa.array(z.real.ravel()), pa.array(z.imag.ravel())],
+                        names=["shot", "ch_ix", "win_ix", "t", "f_ix", "f", "re", "im"],
+                    )
+
+    counts = samples.groupBy("shot", "ch_ix").agg(F.count(F.lit(1)).alias("__n"))
+    schema = f"shot {kinds['shot']}, ch_ix {kinds['ch_ix']}, win_ix long, t double, f_ix int, f double, re double, im double"
+    return blocks.beside(blocks.packed(samples, length, nfft), counts, "shot", "ch_ix").mapInArrow(run, schema).withColumn("f", F.round("f", 4))
 
 
 def spectrogram(samples: DataFrame, nfft: int = 2048, overlap: int = 0, channel: int = 0, window: str = "hann") -> DataFrame:

@@ -8,6 +8,7 @@ from tideline.functions import tapers
 from tideline.operators import features, filters, interpolate, signals, spectral, structures
 from tideline.plans.base import DAILY, EVENTS, GRID, STFT, query
 from tideline.sources import synthetic
+from tideline.sources.files import written
 from tideline.sources.tables import daily, event_grid, event_samples
 
 KEYS = ["shot", "ch_ix", "sample_ix", "t", "value"]
@@ -21,7 +22,7 @@ SELECT s.shot, w.seg_ix, ch_ix, count(*) AS n, min(t) AS t0, sum(x * x) * 1e6 AS
 WHERE seg_ix * 32 < l.n - 64 AND sample_ix BETWEEN seg_ix * 32 AND seg_ix * 32 + 63 GROUP BY ALL -- t0 energy""")
 def flagship_segment_energy(spark, sf_dir):
     """Daily channels, cut, freed of their mean, normalised and segmented: the energy of each segment."""
-    smp = signals.Signals(daily(spark, sf_dir)).reduce_time(0.0, 360.0).subtract_mean().normalise("var", separate=True).samples
+    smp = signals.Signals(written(daily(spark, sf_dir))).reduce_time(0.0, 360.0).subtract_mean().normalise("var", separate=True).samples
     return signals.segment_energy(signals.segment(smp, 64, 2)).withColumn("energy", F.col("energy") * 1e6)
 
 
@@ -208,7 +209,7 @@ def combine_feature_sets(spark, sf_dir):
 
 @query(f"WITH {STFT} SELECT shot, ch_ix, win_ix, t, f_ix, f, re, im FROM spec -- t f re im")
 def stft(spark, sf_dir):
-    return spectral.stft_direct(event_grid(spark, sf_dir), 16, 8)
+    return spectral.stft(event_grid(spark, sf_dir), 16, 8)
 
 
 @query(f"WITH {STFT} SELECT * FROM pow_ -- t f power", digits=3)
