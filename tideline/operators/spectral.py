@@ -74,6 +74,12 @@ def spectrogram(samples: DataFrame, nfft: int = 2048, overlap: int = 0, channel:
     return cells.select("shot", "win_ix", "t", "f_ix", "f", (10 * F.log10(power)).alias("psd_db"))
 
 
+def log_spectrum(spectra: DataFrame, scale: float = 1.0) -> DataFrame:
+    """Spectra with their magnitude in decibels (db) and the frequency over ``scale`` (normalised)."""
+    size = F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im"))
+    return spectra.withColumn("db", 20 * F.log10(size)).withColumn("normalised", F.col("f") / scale)
+
+
 def mean_power(spectra: DataFrame, product: bool = False) -> DataFrame:
     """Power of each window and frequency: mean over channels of the squared magnitude, or the product of magnitudes."""
     square = F.col("re") * F.col("re") + F.col("im") * F.col("im")

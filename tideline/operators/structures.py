@@ -56,7 +56,7 @@ def energy_columns(svs: Column) -> dict[str, Column]:
     """The same from an array column of singular values."""
     e = F.aggregate(svs, F.lit(0.0), lambda acc, s: acc + s * s)
     p = F.transform(svs, lambda s: s * s / e)
-    h = -F.aggregate(p, F.lit(0.0), lambda acc, x: acc + F.when(x > 0, x * F.log(x)).otherwise(0.0)) / F.log(F.size(svs).cast("double"))
+    h = F.when(F.size(svs) > 1, -F.aggregate(p, F.lit(0.0), lambda acc, x: acc + F.when(x > 0, x * F.log(x)).otherwise(0.0)) / F.log(F.size(svs).cast("double"))).otherwise(0.0)
     return {"energy": e, "p": p, "entropy": h}
 
 

@@ -377,16 +377,6 @@ def rep_cluster_overlay(spark, sf_dir):
     return reports.rep_cluster_overlay(feats(spark, sf_dir), (1, 4))
 
 
-CURVES = "c AS (SELECT k AS key, i::DOUBLE AS x, sin(i * 0.7 + k) AS y1, cos(i * 0.4) * 0.5 AS y2 FROM range(4) a(k), range(50) b(i))"
-
-
-@query(f"""WITH {CURVES}, l AS (SELECT *, y1 - y2 AS d, lag(y1 - y2) OVER w AS d0, lag(x) OVER w AS x0, lag(y1) OVER w AS y0 FROM c WINDOW w AS (PARTITION BY key ORDER BY x))
-SELECT key, x, y1, y2, sign(d)::INT AS sign, false AS crossing FROM l UNION ALL SELECT key, x0 + d0 / (d0 - d) * (x - x0), y0 + d0 / (d0 - d) * (y1 - y0), y0 + d0 / (d0 - d) * (y1 - y0), 0, true FROM l WHERE d0 * d < 0 -- x y1 y2""")
-def rep_pos_neg_fill(spark, sf_dir):
-    rows = spark.range(4).select(F.col("id").alias("key"), F.explode(F.sequence(F.lit(0), F.lit(49))).alias("i"))
-    return reports.rep_pos_neg_fill(rows.select("key", F.col("i").cast("double").alias("x"), F.sin(F.col("i") * 0.7 + F.col("key")).alias("y1"), (F.cos(F.col("i") * 0.4) * 0.5).alias("y2")))
-
-
 @query(f"WITH {FEATS}, e AS (SELECT instance_id, dim, phase FROM ph UNION ALL SELECT instance_id, 8, phase + 2 * pi() FROM ph WHERE dim = 0) SELECT * FROM e -- phase")
 def rep_join_ends(spark, sf_dir):
     out = reports.rep_join_ends(feats(spark, sf_dir).select("instance_id", "phases"), "phases", 2 * math.pi)

@@ -71,12 +71,6 @@ def list2bin_bin2list(spark, sf_dir):
     return rows.select("id", "mask", F.size(bits.mask_to_list(F.col("mask"))).alias("bits"))
 
 
-@query("SELECT i AS id, log10(sqrt(i * i + 1)) * 20 AS db, ((i / 1e3) / 5) AS normalised, round(i / (16 * 0.25), 4) AS f FROM range(1, 200) t(i) -- db normalised f")
-def log_spectrum_and_frequencies(spark, sf_dir):
-    i = F.col("id")
-    return spark.range(1, 200).select("id", (20 * F.log10(F.sqrt(i * i + 1.0))).alias("db"), (i / 1e3 / 5).alias("normalised"), F.round(i / (16 * 0.25), 4).alias("f"))
-
-
 SHOT_TEXTS = ["1,6-9,12", " 5 - 7 , 3", "12", "1,,2", "a-b", "", "9-11,20-22"]
 VALUES = ", ".join(f"({i}, '{s}')" for i, s in enumerate(SHOT_TEXTS))
 
@@ -318,5 +312,3 @@ def settings_defaults(spark, sf_dir):
 
     s = asdict(Settings.from_text("see: 7\nnonsense"))
     return spark.createDataFrame([(k, str(s[k])) for k in ("n_clusters", "n_iterations", "seed", "cutoff_value", "freq_range")], "name string, value string")
-
-

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tideline.functions import tapers
-from tideline.operators import features, filters, interpolate, signals, spectral, structures
+from tideline.operators import features, interpolate, signals, spectral, structures
 from tideline.plans.base import DAILY, EVENTS, GRID, STFT, query
-from tideline.sources import synthetic
 from tideline.sources.files import written
 from tideline.sources.tables import daily, event_grid, event_samples
 
@@ -303,90 +301,6 @@ def svd_gram(spark, sf_dir):
     return out.withColumn("product", F.col("product") / 1e9)
 
 
-@query("SELECT i AS id, e AS energy, i * 1.0 * i / e AS p0, -(i * i / e * ln(i * i / e) + 4 / e * ln(4 / e) + 1 / e * ln(1 / e)) / ln(3) AS entropy FROM (SELECT i, (i * i + 4 + 1)::DOUBLE AS e FROM range(3, 20) r(i)) -- energy p0 entropy")
-def svd_energies_entropy(spark, sf_dir):
-    rows = spark.range(3, 20).select("id", F.array(F.col("id").cast("double"), F.lit(2.0), F.lit(1.0)).alias("svs"))
-    e = structures.energy_columns(F.col("svs"))
-    return rows.select("id", e["energy"].alias("energy"), F.get(e["p"], F.lit(0)).alias("p0"), e["entropy"].alias("entropy"))
-
-
-def structures_of(spark, sf_dir, **options):
-    modes = synthetic.multimode(spark, synthetic.MODES[:2], channels=10, n=4096, noise=0.1)
-    return structures.structures(signals.segment(modes, 1024), **options)
-
-
-@query()
-def flucstruc(spark, sf_dir):
-    return structures_of(spark, sf_dir).select("shot", "seg_ix", "fs_ix", "svs_mask", "freq", "p", "a12", "entropy")
-
-
-@query()
-def fs_group_threshold(spark, sf_dir):
-    return structures_of(spark, sf_dir, group="threshold").select("shot", "seg_ix", "fs_ix", "svs_mask", "freq", "p")
-
-
-@query()
-def fs_valid(spark, sf_dir):
-    out = structures.derived_amplitudes(structures.valid_structures(structures_of(spark, sf_dir), 0.05, 2, 1e3, 1e5))
-    return out.select("shot", "seg_ix", "fs_ix", "freq", "p", "amplitude", "adjusted_energy")
-
-
-@query()
-def single_shot_extraction(spark, sf_dir):
-    modes = synthetic.multimode(spark, synthetic.MODES[:2], channels=10, n=4096, noise=0.1)
-    return features.by_structures(modes, 1024, other=signals.get_channel(modes, 0)).drop("phases", "other")
-
-
-@query()
-def spectrogram(spark, sf_dir):
-    return spectral.spectrogram(synthetic.sine(spark, n=8192, freq=30e3), 1024, 128)
-
-
-@query()
-def butterworth_bandpass(spark, sf_dir):
-    modes = synthetic.multimode(spark, (synthetic.Mode(10.0, 20e3, 3, 0.2), synthetic.Mode(2.0, 40e3, 4, 0.3), synthetic.Mode(10.0, 60e3, 5, 0.4)), channels=3, n=1024)
-    out = filters.bandpass(modes.drop("diag"), (35e3, 45e3), (25e3, 55e3), 1.0, 10.0, 1e6)
-    return out.groupBy("shot", "ch_ix").agg(F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("rms"))
-
-
-TAPER_SQL = {
-    "none": "1.0", "hamming": "0.54 - 0.46 * cos(x)", "hann": "0.5 - 0.5 * cos(x)", "blackman": "0.42 - 0.5 * cos(x) + 0.08 * cos(2 * x)",
-    "flat_top": "1.0 - 1.93 * cos(x) + 1.29 * cos(2 * x) - 0.388 * cos(3 * x) + 0.032 * cos(4 * x)", "bartlett": "1 - abs(2.0 * k / 31 - 1)", "wider": "sqrt(sqrt(abs(1 - cos(x))))",
-}
-
-
-@query("WITH w AS (SELECT k, 2 * pi() * k / 31 AS x FROM range(32) r(k)) " + " UNION ALL ".join(f"SELECT '{n}' AS taper, k, ({s})::DOUBLE AS weight FROM w" for n, s in TAPER_SQL.items()) + " -- weight")
-def taper_windows(spark, sf_dir):
-    out = None
-    for name in TAPER_SQL:
-        one = spark.range(32).select(F.lit(name).alias("taper"), F.col("id").alias("k"), tapers.taper(name, F.col("id"), 32).cast("double").alias("weight"))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-@query("SELECT i AS sample_ix, i / 1e6 + 0.5 AS t, 1.2 * sin(2 * pi() * 3000 * (i / 1e6 + 0.5)) AS value FROM range(1000) r(i) -- t value", digits=6)
-def src_sine(spark, sf_dir):
-    return synthetic.sine(spark, amplitude=1.2, freq=3000.0, n=1000, t0=0.5).select("sample_ix", "t", "value")
-
-
-@query("SELECT i AS sample_ix, i / 250.0 - 1 AS t FROM range(5000) r(i) -- t")
-def gen_timebase(spark, sf_dir):
-    return synthetic.timebase(spark, 5000, 250.0, -1.0)
-
-
-@query("""SELECT c::INT AS ch_ix, i AS sample_ix, i / 1e6 AS t, 0.7 * cos(2 * pi() * 24e3 * (i / 1e6) + 3 * (c * 2 * pi() / 10) + 0.2) + 0.5 * cos(2 * pi() * 37e3 * (i / 1e6) + 4 * (c * 2 * pi() / 10) + 0.3) AS value
-FROM range(10) a(c), range(1024) r(i) -- t value""", digits=6)
-def gen_multimode(spark, sf_dir):
-    return synthetic.multimode(spark).select("ch_ix", "sample_ix", "t", "value")
-
-
-@query("SELECT shot, ch_ix, count(*) AS n, sum(value) AS total FROM (SELECT 7::BIGINT AS shot, c::INT AS ch_ix, (c * 100 + i)::DOUBLE AS value FROM range(4) a(c), range(100) r(i) WHERE i / 100.0 - 0.5 >= -0.25 AND i / 100.0 - 0.5 < 0.25) GROUP BY ALL -- total")
-def get_array_data(spark, sf_dir):
-    """A source's samples cut to a time range."""
-    rows = features.array_samples(synthetic.ramp(spark, 4, shot=7), start=-0.25, end=0.25)
-    return rows.groupBy("shot", "ch_ix").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
-
-
 @query(f"WITH {DAILY}, a AS (SELECT * FROM daily WHERE ch_ix < 2) SELECT shot, ch_ix, sample_ix, value FROM a UNION ALL SELECT shot, ch_ix + 2, sample_ix, value FROM a -- value")
 def channel_concat(spark, sf_dir):
     a = daily(spark, sf_dir).where("ch_ix < 2").select("shot", "ch_ix", "sample_ix", "value")

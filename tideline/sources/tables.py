@@ -32,6 +32,16 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("shot", "sample_ix", each.alias("z")).select("shot", F.lit("price").alias("diag"), "z.ch_ix", "sample_ix", F.col("sample_ix").cast("double").alias("t"), "z.value")
 
 
+def status_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily price of each line status, two channels; a year is a shot; days without a row of a status count 0."""
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.year("l_shipdate").cast("long").alias("shot"), (F.dayofyear("l_shipdate") - 1).cast("long").alias("sample_ix"), F.when(F.col("l_linestatus") == "F", 0).otherwise(1).alias("ch_ix"), cents("l_extendedprice").alias("c")
+    )
+    cells = rows.groupBy("shot", "sample_ix").pivot("ch_ix", [0, 1]).agg(F.sum("c"))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("ch_ix"), (F.coalesce(F.col(str(i)), F.lit(0)) / 100.0).alias("value")) for i in range(2)]))
+    return cells.select("shot", "sample_ix", each.alias("z")).select("shot", F.lit("status").alias("diag"), "z.ch_ix", "sample_ix", F.col("sample_ix").cast("double").alias("t"), "z.value")
+
+
 def seconds(column: str):
     """Seconds since 2024-01-01 of a time without zone."""
     return F.unix_micros(F.col(column).cast("timestamp")) / 1e6 - EPOCH
