@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions.bessel import horner
@@ -35,6 +35,18 @@ def to_magnetic(kh: Column, coefficients: tuple[float, ...]) -> Column:
     return F.struct(polynomial_angle(kh, coefficients).alias("c1"), F.lit(0.0).alias("c2"), F.lit(0.0).alias("c3"))
 
 
+def magnetic_by_coil(rows: DataFrame, coefficients: DataFrame) -> DataFrame:
+    """Rows (coil, kh) with their magnetic coordinates z, by the polynomial of their coil (coil, coefficients, highest power first)."""
+    value = F.aggregate("coefficients", F.lit(0.0), lambda acc, c: acc * F.col("kh") + c)
+    z = F.struct(value.alias("c1"), F.lit(0.0).alias("c2"), F.lit(0.0).alias("c3"))
+    return rows.join(coefficients, "coil").select(*rows.columns, z.alias("z"))
+
+
+def probes(spark: SparkSession) -> DataFrame:
+    """Angle of each probe of each array: probes (the array's name), ch_ix, angle in degrees."""
+    return spark.createDataFrame([(n, i, a) for n, angles in ARRAYS.items() for i, a in enumerate(angles)], "probes string, ch_ix int, angle double")
+
+
 def parse_coords(text: Column) -> Column:
     """Three numbers of a text such as "0.1, 2, 3"."""
     p = F.transform(F.split(text, ","), lambda x: F.trim(x).cast("double"))

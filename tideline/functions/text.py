@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os.path
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SHOTS = r"^\s*\d+(\s*-\s*\d+)?(\s*,\s*\d+(\s*-\s*\d+)?)*\s*$"
@@ -97,6 +97,38 @@ def tree_path(path: Column) -> Column:
     return F.struct(F.regexp_extract(path, pattern, 1).alias("tree"), F.regexp_extract(path, pattern, 2).alias("tag"), F.regexp_extract(path, pattern, 3).alias("node"))
 
 
+def listed(rows: DataFrame, shot: str, lists: DataFrame, texts: str) -> DataFrame:
+    """Rows whose shot stands in any of the valid texts."""
+    known = lists.select(F.explode(parse_shots(F.col(texts))).alias("__shot")).distinct()
+    return rows.join(known, F.col(shot) == F.col("__shot"), "left_semi")
+
+
+def common_start(a: Column, b: Column) -> Column:
+    """The longest string that both strings begin with."""
+    n = F.filter(F.sequence(F.lit(1), F.greatest(F.char_length(a), F.lit(1))), lambda k: (k <= F.char_length(b)) & (F.substring(a, F.lit(1), k) == F.substring(b, F.lit(1), k)))
+    return F.substring(a, F.lit(1), F.size(n))
+
+
+def varying_parts(rows: DataFrame, name: str, *keys: str, pad: str = " ") -> DataFrame:
+    """Rows with the common prefix and suffix of the names of their group, and what varies between them; see ``split_names``.
+
+    Names are padded to one length. What the smallest and the largest name of a group have in
+    common, all have.
+    """
+    width = rows.groupBy(*keys).agg(F.max(F.char_length(name)).alias("__width"))
+    padded = rows.join(width, [*keys]).withColumn("__name", F.rpad(name, F.col("__width"), F.lit(pad)))
+
+    def ends(df: DataFrame, column: str, alias: str) -> DataFrame:
+        both = df.groupBy(*keys).agg(F.min(column).alias("__low"), F.max(column).alias("__high"))
+        return both.select(*keys, common_start(F.col("__low"), F.col("__high")).alias(alias), (F.col("__low") == F.col("__high")).alias(f"__one_{alias}"))
+
+    rest = padded.join(ends(padded, "__name", "prefix"), [*keys]).withColumn("prefix", F.when(F.col("__one_prefix"), "").otherwise(F.col("prefix")))
+    rest = rest.withColumn("__back", F.reverse(F.substring("__name", F.char_length("prefix") + 1, F.col("__width"))))
+    done = rest.join(ends(rest, "__back", "suffix"), [*keys]).withColumn("suffix", F.when(F.col("__one_suffix"), "").otherwise(F.col("suffix")))
+    out = done.withColumn("varying", F.reverse(F.substring("__back", F.char_length("suffix") + 1, F.col("__width")))).withColumn("suffix", F.reverse("suffix"))
+    return out.select(*rows.columns, "prefix", "suffix", "varying")
+
+
 def split_names(names: list[str], pad: str = " ") -> tuple[list[str], str, str]:
     """Varying parts, common prefix and common suffix of channel names padded to one length."""
     if len(set(names)) < 2:

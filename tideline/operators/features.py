@@ -61,6 +61,22 @@ def mean_mode_vector(features: DataFrame) -> DataFrame:
     return z.groupBy("cluster", "ch_ix").agg(F.avg("z.re").alias("re"), F.avg("z.im").alias("im"), F.count(F.lit(1)).alias("n"))
 
 
+def mode_pairs(vectors: DataFrame, places: DataFrame, most_n: int = 5, most_m: int = 8) -> DataFrame:
+    """The pair of mode numbers (n, m) whose phases n phi + m theta at the probes (ch_ix, phi, theta) fit each cluster's mean vector best.
+
+    A phase common to all probes is free: with the best one the mean squared distance of unit
+    vectors is twice the misfit, 1 less the length of the mean of the turned vectors. Of pairs that
+    fit alike the one of the smallest numbers is taken.
+    """
+    grid = F.explode(F.sequence(F.lit(-most_n), F.lit(most_n))).alias("n")
+    rows = vectors.join(places, "ch_ix").select("cluster", F.atan2("im", "re").alias("a"), "phi", "theta", grid).withColumn("m", F.explode(F.sequence(F.lit(-most_m), F.lit(most_m))))
+    off = F.col("a") - F.col("n") * F.col("phi") - F.col("m") * F.col("theta")
+    length = F.sqrt(F.pow(F.sum(F.cos(off)), 2) + F.pow(F.sum(F.sin(off)), 2)) / F.count(F.lit(1))
+    fits = rows.groupBy("cluster", "n", "m").agg((1 - length).alias("misfit"))
+    best = F.min_by(F.struct("n", "m"), F.struct(F.round("misfit", 9), F.abs("n") + F.abs("m"), "n", "m"))
+    return fits.groupBy("cluster").agg(best.alias("b"), F.min("misfit").alias("misfit")).select("cluster", "b.n", "b.m", "misfit")
+
+
 def mode_numbers(vectors: DataFrame, angles: DataFrame, most: int = 10) -> DataFrame:
     """The whole mode number whose phase pattern over the channel angles (ch_ix, theta) fits each cluster's mean vector best.
 

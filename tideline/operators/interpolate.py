@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.operators import blocks
+from tideline.sources.files import written
 
 
 def change_time_base(samples: DataFrame, grid: DataFrame) -> DataFrame:
@@ -35,12 +36,13 @@ def multichannel(channels: DataFrame, tolerance: float = 5e-7, interpolate: bool
     base = rows.where(F.col("ch_ix") == F.col("__first")).select("shot", "sample_ix", F.col("t").alias("__t"))
     met = rows.join(base, ["shot", "sample_ix"], "left")
     off = met.groupBy("shot", "ch_ix").agg(F.max(F.coalesce(F.abs(F.col("t") - F.col("__t")), F.lit(1.0))).alias("off"))
-    bad = off.where(F.col("off") > tolerance).select("shot", "ch_ix")
-    same = met.join(bad, ["shot", "ch_ix"], "left_anti").select("shot", "ch_ix", F.col("__t").alias("t"), "value")
+    bad = written(off.where(F.col("off") > tolerance).select("shot", "ch_ix"))
+    columns = ("shot", "ch_ix", F.col("__t").alias("t"), "value")
+    if bad.isEmpty():
+        return met.select(*columns)
     if not interpolate:
-        if not bad.isEmpty():
-            raise ValueError("time bases of the channels differ")
-        return same
+        raise ValueError("time bases of the channels differ")
+    same = met.join(bad, ["shot", "ch_ix"], "left_anti").select(*columns)
     moved = change_time_base(rows.drop("__first").join(bad, ["shot", "ch_ix"], "left_semi"), base.select("shot", F.col("__t").alias("t")))
     return same.unionByName(moved.select(*same.columns))
 

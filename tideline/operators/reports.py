@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions import angles, geometry
 from tideline.functions.bessel import normal_pdf, von_mises_pdf
-from tideline.operators import signals, spectral, statistics
+from tideline.operators import blocks, signals, spectral, statistics
 from tideline.registry import report
 
 LEAST = 10
@@ -287,7 +287,7 @@ def rep_interferometer(features: DataFrame) -> DataFrame:
     m = magnitudes(F.col("amp"))
     norm = F.sqrt(F.aggregate(m, F.lit(0.0), lambda a, x: a + x * x))
     rows = large(features).withColumn("__norm", norm).withColumn("__rms", F.col("__norm") / F.sqrt(F.size("amp")))
-    loud = rows.withColumn("__mean", F.avg("__rms").over(Window.partitionBy("cluster"))).where("__rms > __mean")
+    loud = blocks.beside(rows, rows.groupBy("cluster").agg(F.avg("__rms").alias("__mean")), "cluster").where("__rms > __mean")
     z = loud.select("cluster", F.posexplode(over(m, F.col("__norm"))).alias("dim", "v"))
     return z.groupBy("cluster", "dim").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.count(F.lit(1)).alias("n"))
 
@@ -309,10 +309,11 @@ def rep_cumulative_phases(clusters: DataFrame) -> DataFrame:
 
 
 @report
-def rep_mode_lines(spark, modes=geometry.MODES) -> DataFrame:
+def rep_mode_lines(spark, modes: DataFrame | None = None) -> DataFrame:
     """Running phase of the model modes along the coils, steps taken into (-1.5 pi, 0.5 pi)."""
     coils = [(i, th, ph) for i, (th, ph) in enumerate(zip(geometry.COIL_THETA[1:], geometry.COIL_PHI[1:], strict=True))]
-    rows = spark.createDataFrame([(n, m, *c) for n, m in modes for c in coils], "n int, m int, place int, theta double, phi double")
+    modes = spark.createDataFrame(geometry.MODES, "n int, m int") if modes is None else modes.select("n", "m")
+    rows = modes.withColumn("c", F.explode(F.array(*[F.struct(F.lit(i).alias("place"), F.lit(th).alias("theta"), F.lit(ph).alias("phi")) for i, th, ph in coils]))).select("n", "m", "c.*")
     w = Window.partitionBy("n", "m").orderBy("place")
     phase = F.radians(F.col("m") * F.col("theta") + F.col("n") * F.col("phi"))
     step = rows.withColumn("__p", phase).withColumn("__d", F.col("__p") - F.lag("__p").over(w))
@@ -352,9 +353,9 @@ def rep_alfven(lines: DataFrame, field: float = 0.5) -> DataFrame:
 
 
 @report
-def rep_specgram_overlay(features: DataFrame, clusters: DataFrame, shot: int) -> DataFrame:
-    """Points of one shot in clusters of more than one member there and mean concentration above 5."""
-    rows = features.join(statistics.passing(clusters, 5.0, "kappa").select("cluster"), "cluster", "left_semi").where(F.col("shot") == shot)
+def rep_specgram_overlay(features: DataFrame, clusters: DataFrame, shot: int, cutoff: float = 5.0) -> DataFrame:
+    """Points of one shot in clusters of more than one member there and mean concentration above the cutoff."""
+    rows = features.join(statistics.passing(clusters, cutoff, "kappa").select("cluster"), "cluster", "left_semi").where(F.col("shot") == shot)
     return large(rows, 1).select("cluster", "time", "freq")
 
 

@@ -95,10 +95,9 @@ def kappa_curve(spark, sf_dir):
     return statistics.retention(fits(spark, sf_dir), "sigma_eq", 120)
 
 
-@query(f"WITH {FEATS} SELECT cluster, count(DISTINCT instance_id) AS n FROM ph WHERE shot = 1 GROUP BY 1 HAVING count(DISTINCT instance_id) > 10")
+@query(f"WITH {FEATS} SELECT cluster, count(DISTINCT instance_id) AS n FROM ph GROUP BY 1 HAVING count(DISTINCT instance_id) > 10")
 def min_size(spark, sf_dir):
-    rows = feats(spark, sf_dir).where("shot = 1")
-    return reports.large(rows).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    return reports.large(feats(spark, sf_dir)).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {FEATS} SELECT shot, count(DISTINCT cluster) AS clusters, count(DISTINCT instance_id) AS members FROM ph GROUP BY 1")
@@ -106,9 +105,9 @@ def unique_count_distinct(spark, sf_dir):
     return feats(spark, sf_dir).groupBy("shot").agg(F.countDistinct("cluster").alias("clusters"), F.countDistinct("instance_id").alias("members"))
 
 
-@query(f"WITH {FITS} SELECT p.instance_id, p.cluster, p.dim, p.phase, f.mu, f.kappa FROM ph p JOIN fits f USING (cluster, dim) WHERE p.shot = 2 -- phase mu kappa")
+@query(f"WITH {FITS} SELECT p.instance_id, p.cluster, p.dim, p.phase, f.mu, f.kappa FROM ph p JOIN fits f USING (cluster, dim) -- phase mu kappa")
 def cluster_join(spark, sf_dir):
-    return long(spark, sf_dir).where("shot = 2").join(fits(spark, sf_dir), ["cluster", "dim"]).select("instance_id", "cluster", "dim", "phase", "mu", "kappa")
+    return long(spark, sf_dir).join(fits(spark, sf_dir), ["cluster", "dim"]).select("instance_id", "cluster", "dim", "phase", "mu", "kappa")
 
 
 PAIRS = f"{FEATS}, one AS (SELECT DISTINCT instance_id, cluster FROM ph), two AS (SELECT DISTINCT instance_id, CASE WHEN instance_id % 11 = 0 THEN (cluster + 1) % 10 ELSE cluster // 2 * 2 END AS cluster FROM ph), sim AS (SELECT one.cluster AS first, two.cluster AS second, count(*) AS common FROM one JOIN two USING (instance_id) GROUP BY ALL)"
@@ -188,7 +187,7 @@ def pi_hat(spark, sf_dir):
     return statistics.shares(feats(spark, sf_dir))
 
 
-@query(f"WITH {FEATS}, s AS (SELECT DISTINCT instance_id, shot FROM ph) SELECT s.instance_id, s.shot, CASE WHEN s_suppkey IS NULL THEN NULL ELSE (s_suppkey + 0.5) / (s_suppkey * 2.0 + 1) END AS kh, (s_suppkey * 7.0)::DOUBLE AS heating_freq FROM s LEFT JOIN supplier ON s_suppkey = shot AND s_suppkey <= 4 -- kh heating_freq")
+@query(f"WITH {FEATS}, s AS (SELECT DISTINCT instance_id, shot FROM ph) SELECT s.instance_id, s.shot, CASE WHEN s_suppkey IS NULL THEN NULL ELSE (s_suppkey + 0.5) / (s_suppkey * 2.0 + 1) END AS kh, (s_suppkey * 7.0)::DOUBLE AS heating_freq FROM s LEFT JOIN supplier ON s_suppkey = shot -- kh heating_freq")
 def meta_broadcast(spark, sf_dir):
     shots = tables.shots(spark, sf_dir).withColumn("kh", F.col("sec_current") / F.col("main_current"))
     return features.with_metadata(feats(spark, sf_dir), shots, "kh", "heating_freq").select("instance_id", "shot", "kh", "heating_freq")
@@ -197,25 +196,23 @@ def meta_broadcast(spark, sf_dir):
 RATIO = "z AS (SELECT a.instance_id, a.cluster, b.dim - 1 AS dim, (b.re * a.re + b.im * a.im) / (a.re * a.re + a.im * a.im) AS re, (b.im * a.re - b.re * a.im) / (a.re * a.re + a.im * a.im) AS im FROM ph a JOIN ph b ON a.instance_id = b.instance_id AND b.dim = a.dim + 1)"
 
 
-@query(f"WITH {FEATS}, {RATIO} SELECT instance_id, dim, re, im FROM z WHERE abs(re) < 100 AND abs(im) < 100 -- re im", digits=3)
+@query(f"WITH {FEATS}, {RATIO} SELECT instance_id, dim, re, im FROM z -- re im", digits=3)
 def complex_divide(spark, sf_dir):
-    rows = features.between_channels(feats(spark, sf_dir)).select("instance_id", F.posexplode("ratio").alias("dim", "z")).select("instance_id", "dim", "z.re", "z.im")
-    return rows.where("abs(re) < 100 AND abs(im) < 100")
+    return features.between_channels(feats(spark, sf_dir)).select("instance_id", F.posexplode("ratio").alias("dim", "z")).select("instance_id", "dim", "z.re", "z.im")
 
 
-@query(f"WITH {FEATS}, {RATIO} SELECT instance_id, dim, CASE WHEN atan2(im, re) < 0 THEN -sqrt(re * re + im * im) ELSE sqrt(re * re + im * im) END AS amplitude FROM z WHERE re * re + im * im < 10000 -- amplitude", digits=3)
+@query(f"WITH {FEATS}, {RATIO} SELECT instance_id, dim, CASE WHEN atan2(im, re) < 0 THEN -sqrt(re * re + im * im) ELSE sqrt(re * re + im * im) END AS amplitude FROM z -- amplitude", digits=3)
 def signed_amplitude(spark, sf_dir):
     rows = features.between_channels(feats(spark, sf_dir)).select("instance_id", F.posexplode("ratio").alias("dim", "z"))
-    return rows.where("z.re * z.re + z.im * z.im < 10000").select("instance_id", "dim", angles.signed_amplitude(F.col("z")).alias("amplitude"))
+    return rows.select("instance_id", "dim", angles.signed_amplitude(F.col("z")).alias("amplitude"))
 
 
 SUMS = "t AS (SELECT instance_id, sum(re) AS sre, sum(im) AS sim FROM ph GROUP BY 1), n AS (SELECT p.instance_id, p.cluster, p.dim, (re * sre + im * sim) / (sre * sre + sim * sim) AS re, (im * sre - re * sim) / (sre * sre + sim * sim) AS im FROM ph p JOIN t USING (instance_id))"
 
 
-@query(f"WITH {FEATS}, {SUMS} SELECT instance_id, dim, re, im FROM n WHERE abs(re) < 50 AND abs(im) < 50 -- re im", digits=3)
+@query(f"WITH {FEATS}, {SUMS} SELECT instance_id, dim, re, im FROM n -- re im", digits=3)
 def channel_sum_normalisation(spark, sf_dir):
-    rows = features.between_channels(feats(spark, sf_dir), "sum").select("instance_id", F.posexplode("ratio").alias("dim", "z")).select("instance_id", "dim", "z.re", "z.im")
-    return rows.where("abs(re) < 50 AND abs(im) < 50")
+    return features.between_channels(feats(spark, sf_dir), "sum").select("instance_id", F.posexplode("ratio").alias("dim", "z")).select("instance_id", "dim", "z.re", "z.im")
 
 
 @query(f"WITH {FEATS} SELECT cluster, dim AS ch_ix, avg((p.re * r.re + p.im * r.im) / (r.re * r.re + r.im * r.im)) AS re, avg((p.im * r.re - p.re * r.im) / (r.re * r.re + r.im * r.im)) AS im, count(*) AS n FROM ph p JOIN (SELECT instance_id, re, im FROM ph WHERE dim = 0) r USING (instance_id) GROUP BY ALL -- re im", digits=3)
@@ -223,15 +220,6 @@ def mode_num_analysis(spark, sf_dir):
     return features.mean_mode_vector(feats(spark, sf_dir))
 
 
-@query("SELECT c::INT AS cluster, (c - 3)::INT AS mode, 1.0::DOUBLE AS fit FROM range(7) r(c) -- fit")
-def mode_number_fit(spark, sf_dir):
-    """Vectors of pure modes get their number back."""
-    theta = F.col("ch_ix") * (2 * math.pi / 24)
-    rows = spark.range(24).select(F.col("id").cast("int").alias("ch_ix"), F.explode(F.sequence(F.lit(0), F.lit(6))).alias("cluster"))
-    vectors = rows.select("cluster", "ch_ix", F.cos((F.col("cluster") - 3) * theta).alias("re"), F.sin((F.col("cluster") - 3) * theta).alias("im"))
-    return features.mode_numbers(vectors, spark.range(24).select(F.col("id").cast("int").alias("ch_ix"), (F.col("id") * (2 * math.pi / 24)).alias("theta")))
-
-
 @query(f"WITH {STFT}, {POINTS}, a AS (SELECT id, arg_min(t, (abs(t - time), t)) AS t FROM pts JOIN (SELECT DISTINCT shot, t FROM spec) USING (shot) GROUP BY 1), b AS (SELECT id, arg_min(f, (abs(f - freq), f)) AS f FROM pts JOIN (SELECT DISTINCT shot, f FROM spec) USING (shot) GROUP BY 1), s AS (SELECT id, t, f, ch_ix, re, im FROM a JOIN b USING (id) JOIN spec USING (t, f)) SELECT id, t, f, ch_ix, sqrt(re * re + im * im) AS amplitude, ch_ix * 60.0 AS probe FROM s -- t f amplitude probe")
 def rep_pinpoint(spark, sf_dir):
     from tideline.operators import spectral
@@ -333,15 +321,6 @@ def rep_cumulative_phases(spark, sf_dir):
     return reports.rep_cumulative_phases(fits(spark, sf_dir))
 
 
-COILS = ", ".join(f"({i}, {th}::DOUBLE, {ph}::DOUBLE)" for i, (th, ph) in enumerate(zip(geometry.COIL_THETA[1:], geometry.COIL_PHI[1:], strict=True)))
-
-
-@query(f"""WITH m AS (SELECT * FROM (VALUES (-4, 3), (-5, 4), (-6, 5)) v(n, m)), c AS (SELECT * FROM (VALUES {COILS}) v(place, theta, phi)), p AS (SELECT n, m, place, radians(m * theta + n * phi) AS p FROM m, c), d AS (SELECT *, p - lag(p) OVER (PARTITION BY n, m ORDER BY place) AS d FROM p),
-w AS (SELECT *, CASE WHEN d < -1.5 * pi() THEN d + 2 * pi() WHEN d > 0.5 * pi() THEN d - 2 * pi() ELSE d END AS x FROM d) SELECT n, m, place, coalesce(sum(x) OVER (PARTITION BY n, m ORDER BY place), 0) / (2 * pi()) AS turns FROM w -- turns""")
-def rep_mode_lines(spark, sf_dir):
-    return reports.rep_mode_lines(spark)
-
-
 GAUSS = f"{FEATS}, gs AS (SELECT cluster, dim, avg(re) AS mean, stddev_pop(re) AS std FROM ph GROUP BY ALL)"
 
 
@@ -360,16 +339,9 @@ def rep_gmm_gmm_distributions(spark, sf_dir):
     return reports.rep_gmm_gmm_distributions(gauss(spark, sf_dir), 100, -1.0, 1.0)
 
 
-@query("SELECT i AS kh, i * 0.1 AS k_par, i * 0.1 * (0.5 / sqrt(1e18 * 2.5 * 1.673e-27 * 4e-7 * pi()) * 0.27) / (2 * pi()) / 1e3 AS freq FROM range(20) r(i) -- k_par freq")
-def rep_alfven(spark, sf_dir):
-    out = reports.rep_alfven(spark.range(20).select(F.col("id").alias("kh"), (F.col("id") * 0.1).alias("k_par")))
-    return out.withColumn("freq", F.col("freq") / 1e3)
-
-
-@query(f"WITH {FEATS}, k AS (SELECT DISTINCT instance_id, shot, cluster, time, freq FROM ph WHERE shot = 3) SELECT cluster, time, freq FROM k WHERE cluster IN (SELECT cluster FROM k GROUP BY 1 HAVING count(*) > 1) -- time freq")
+@query(f"WITH {TIGHT}, k AS (SELECT DISTINCT instance_id, shot, cluster, time, freq FROM ph WHERE shot = 3 AND cluster IN (SELECT cluster FROM tight WHERE kappa > 0.3)) SELECT cluster, time, freq FROM k WHERE cluster IN (SELECT cluster FROM k GROUP BY 1 HAVING count(*) > 1) -- time freq")
 def rep_specgram_overlay(spark, sf_dir):
-    tight = fits(spark, sf_dir).withColumn("kappa", F.col("kappa") + 6)
-    return reports.rep_specgram_overlay(feats(spark, sf_dir), tight, 3)
+    return reports.rep_specgram_overlay(feats(spark, sf_dir), fits(spark, sf_dir), 3, 0.3)
 
 
 @query(f"WITH {FEATS} SELECT DISTINCT cluster, shot, time, freq FROM ph WHERE cluster IN (1, 4) -- time freq")
@@ -465,27 +437,3 @@ registered("EM_GMM2", "cluster_em_gmm2")
 registered("EM_VMM_GMM", "cluster_em_vmm_gmm")
 registered("EM_GMM_GMM", "cluster_em_gmm_gmm")
 registered("EM_GMM_GMM2", "cluster_em_gmm_gmm2")
-
-
-@query()
-def generate_artificial_data(spark, sf_dir):
-    return clustering.artificial(spark, 2000, 4, 3, seed=1).groupBy("truth").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query()
-def rep_vm_sweep(spark, sf_dir):
-    return reports.rep_vm_sweep(spark)
-
-
-@query()
-def mine(spark, sf_dir):
-    """The batch flow over generated shots."""
-    from tideline.plans.mine import Settings
-    from tideline.plans.mine import mine as run
-    from tideline.sources import synthetic
-
-    smp = synthetic.multimode(spark, synthetic.MODES[:2], n=8192, noise=0.1)
-    for shot in (1, 2):
-        smp = smp.unionByName(synthetic.multimode(spark, synthetic.MODES[:2], n=8192, noise=0.1, seed=shot, shot=shot))
-    rows, found = run(smp, Settings(n_clusters=4, n_iterations=8, freq_range="10000-60000", n_peaks=5, nfft=1024, step=256))
-    return rows.join(found.assignments, "instance_id").groupBy("shot", "cluster").agg(F.count(F.lit(1)).alias("n"))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import struct
-
 from pyspark.sql import functions as F
 
-from tideline.functions import angles, bessel, bits, geometry, text
+from tideline.functions import angles, geometry, text
 from tideline.plans.base import EVENTS, query
-from tideline.sources import catalog, files, synthetic
+from tideline.sources import files
 from tideline.sources.tables import event_samples, table
 
 
@@ -34,76 +32,14 @@ def remap_periodic(spark, sf_dir):
     return angles_of(spark, sf_dir).select("event_id", angles.remap_periodic(F.col("x"), 0.5, 3.0).alias("y"))
 
 
-@query(f"WITH {X} SELECT event_id, sqrt(x * x + 4) AS size, atan2(2, x) AS angle, (x * x - 4) / (x * x + 4) AS ratio_re FROM x WHERE abs(x) > 0.001 -- size angle ratio_re")
+@query(f"WITH {X} SELECT event_id, sqrt(x * x + 4) AS size, atan2(2, x) AS angle, (x * x - 4) / (x * x + 4) AS ratio_re FROM x -- size angle ratio_re")
 def complex_accessors(spark, sf_dir):
     z = angles.complex_struct(F.col("x"), F.lit(2.0))
-    rows = angles_of(spark, sf_dir).where("abs(x) > 0.001").select("event_id", z.alias("z"))
+    rows = angles_of(spark, sf_dir).select("event_id", z.alias("z"))
     ratio = angles.divide(F.col("z"), angles.conjugate(F.col("z")))
     return rows.select("event_id", angles.magnitude(F.col("z.re"), F.col("z.im")).alias("size"), angles.angle(F.col("z.re"), F.col("z.im")).alias("angle"), ratio["re"].alias("ratio_re"))
 
 
-@query("SELECT i AS id, CASE WHEN r < 0.53 THEN 2 * r + pow(r, 3) + 5 * pow(r, 5) / 6 WHEN r < 0.85 THEN -0.4 + 1.39 * r + 0.43 / (1 - r) ELSE 1 / (2 * (1 - r)) END AS kappa FROM (SELECT i, i / 100.0 + 0.001 AS r FROM range(99) t(i)) -- kappa")
-def kappa_from_r(spark, sf_dir):
-    return spark.range(99).select("id", angles.kappa_from_r(F.col("id") / 100.0 + 0.001).alias("kappa"))
-
-
-@query(f"WITH k AS (SELECT i AS id, i * 0.37::DOUBLE AS k FROM range(1, 300) t(i)) SELECT id, ({bessel.sql_i0e('k')}) AS i0e, ({bessel.sql_i1e('k')}) AS i1e FROM k -- i0e i1e", digits=6)
-def bessel_i0_i1(spark, sf_dir):
-    k = F.col("id") * 0.37
-    return spark.range(1, 300).select("id", bessel.i0e(k).alias("i0e"), bessel.i1e(k).alias("i1e"))
-
-
-@query(f"WITH k AS (SELECT i AS id, i * 0.37::DOUBLE AS k FROM range(1, 300) t(i)) SELECT id, sqrt(-2 * ln(({bessel.sql_i1e('k')}) / ({bessel.sql_i0e('k')}))) AS std, degrees(sqrt(-2 * ln(({bessel.sql_i1e('k')}) / ({bessel.sql_i0e('k')})))) AS degrees FROM k -- std degrees")
-def convert_kappa_std(spark, sf_dir):
-    k = F.col("id") * 0.37
-    return spark.range(1, 300).select("id", bessel.kappa_to_std(k).alias("std"), bessel.kappa_to_std(k, degrees=True).alias("degrees"))
-
-
-@query("SELECT i AS id, (i - 50) / 20.0 AS x, exp(-pow(((i - 50) / 20.0 - 0.3) / 0.7, 2) / 2) / (0.7 * sqrt(2 * pi())) AS density FROM range(100) t(i) -- x density")
-def normal_pdf(spark, sf_dir):
-    x = (F.col("id") - 50) / 20.0
-    return spark.range(100).select("id", x.alias("x"), bessel.normal_pdf(x, F.lit(0.3), F.lit(0.7)).alias("density"))
-
-
-@query("SELECT i AS id, (1::BIGINT << (i % 60)) | (1::BIGINT << (i * 7 % 60)) | 1 AS mask, CASE WHEN i % 60 = 0 AND i * 7 % 60 = 0 THEN 1 WHEN i % 60 = 0 OR i * 7 % 60 = 0 OR i % 60 = i * 7 % 60 THEN 2 ELSE 3 END AS bits FROM range(200) t(i)")
-def list2bin_bin2list(spark, sf_dir):
-    rows = spark.range(200).select("id", bits.list_to_mask(F.array(F.lit(0).cast("long"), F.col("id") % 60, F.col("id") * 7 % 60)).alias("mask"))
-    return rows.select("id", "mask", F.size(bits.mask_to_list(F.col("mask"))).alias("bits"))
-
-
-SHOT_TEXTS = ["1,6-9,12", " 5 - 7 , 3", "12", "1,,2", "a-b", "", "9-11,20-22"]
-VALUES = ", ".join(f"({i}, '{s}')" for i, s in enumerate(SHOT_TEXTS))
-
-
-def shot_texts(spark):
-    return spark.createDataFrame(list(enumerate(SHOT_TEXTS)), "id int, s string")
-
-
-@query(f"""WITH t AS (SELECT * FROM (VALUES {VALUES}) v(id, s)), p AS (SELECT id, unnest(string_split(replace(s, ' ', ''), ',')) AS p FROM t WHERE regexp_full_match(s, '\\s*\\d+(\\s*-\\s*\\d+)?(\\s*,\\s*\\d+(\\s*-\\s*\\d+)?)*\\s*'))
-SELECT id, unnest(range(string_split(p, '-')[1]::BIGINT, string_split(p, '-')[-1]::BIGINT + 1)) AS shot FROM p""")
-def shot_str_parser(spark, sf_dir):
-    return shot_texts(spark).select("id", F.explode(text.parse_shots(F.col("s"))).alias("shot"))
-
-
-@query("SELECT * FROM (VALUES (0, '1,6-9,12'), (1, '3,5-7'), (2, '12'), (6, '9-11,20-22')) v(id, text)")
-def reverse_shot_str_parser(spark, sf_dir):
-    return shot_texts(spark).withColumn("shots", text.parse_shots(F.col("s"))).where("shots IS NOT NULL").select("id", text.shots_to_text(F.col("shots")).alias("text"))
-
-
-@query(f"SELECT id, id IN (0, 1, 2, 6) AS valid, id IN (0, 1) AS has_six FROM (VALUES {VALUES}) v(id, s)")
-def in_shot_list(spark, sf_dir):
-    return shot_texts(spark).select("id", text.valid_shots(F.col("s")).alias("valid"), text.in_shots(F.lit(6), F.col("s")).alias("has_six"))
-
-
-WINDOWS = [("300-1400", 300, 1400), ("5 - 10", 5, 10), ("10-5", None, None), ("x-y", None, None), ("1.5-3.5", 1, 3), ("7-7", None, None)]
-
-
-@query("SELECT * FROM (VALUES (0, 300::BIGINT, 1400::BIGINT), (1, 5, 10), (2, NULL, NULL), (3, NULL, NULL), (4, 1, 3), (5, NULL, NULL)) v(id, t0, t1)")
-def time_window_parser(spark, sf_dir):
-    rows = spark.createDataFrame([(i, w[0]) for i, w in enumerate(WINDOWS)], "id int, s string").withColumn("w", text.parse_window(F.col("s")))
-    return rows.select("id", F.get("w", F.lit(0)).alias("t0"), F.get("w", F.lit(1)).alias("t1"))
-
-
 @query("SELECT event_id, ts > TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20' AS inside, user_id % 10 >= 2 AND user_id % 10 + 3 <= 9 AS subset, user_id || '_' || event_id AS label FROM events")
 def window_predicates(spark, sf_dir):
     rows = table(spark, sf_dir, "events")
@@ -112,16 +48,6 @@ def window_predicates(spark, sf_dir):
     return rows.select("event_id", text.in_window(F.col("ts"), day("2024-01-10"), day("2024-01-20")).alias("inside"), text.window_inside(u, u + 3, F.lit(2), F.lit(9)).alias("subset"), text.window_label(F.col("user_id"), F.col("event_id")).alias("label"))
 
 
-NUMBERS = ["12", "-3", "4.5", "1e5", ".5", "x", "", "5-", "k_means", "EM_VMM", " 7 "]
-
-
-@query("SELECT i::INT AS id, list_contains(['12', '-3', ' 7 '], s) AS is_int, list_contains(['12', '-3', '4.5', '1e5', '.5', ' 7 '], s) AS is_float, list_contains(['k_means', 'EM_VMM'], s) AS is_method FROM (SELECT unnest(range(11)) AS i, unnest(['12', '-3', '4.5', '1e5', '.5', 'x', '', '5-', 'k_means', 'EM_VMM', ' 7 ']) AS s)")
-def validators(spark, sf_dir):
-    s = F.col("s")
-    rows = spark.createDataFrame(list(enumerate(NUMBERS)), "id int, s string")
-    return rows.select("id", text.valid_int(s).alias("is_int"), text.valid_float(s).alias("is_float"), text.valid_method(s).alias("is_method"))
-
-
 @query("SELECT o_orderkey AS id, 'k' AS key, (o_orderkey % 7)::VARCHAR AS value FROM orders UNION ALL SELECT o_orderkey, 'url', 'a:b' FROM orders")
 def settings_io(spark, sf_dir):
     rows = table(spark, sf_dir, "orders")
@@ -129,18 +55,6 @@ def settings_io(spark, sf_dir):
     return rows.select(F.col("o_orderkey").alias("id"), F.explode(text.parse_settings(body)).alias("key", "value"))
 
 
-@query("SELECT * FROM (VALUES (0, 'h1data', 'top', '.operations.mirnov:a14'), (1, 'tree', 'tag', '')) v(id, tree, tag, node)")
-def mds_path_parse(spark, sf_dir):
-    rows = spark.createDataFrame([(0, "\\h1data::top.operations.mirnov:a14"), (1, "\\tree::tag")], "id int, p string")
-    return rows.select("id", text.tree_path(F.col("p")).alias("z")).select("id", "z.tree", "z.tag", "z.node")
-
-
-@query("SELECT * FROM (VALUES (0, '01', 'MP', ''), (1, '10', 'MP', ''), (2, '02', 'MP', '')) v(id, varying, prefix, suffix)")
-def split_names(spark, sf_dir):
-    varying, prefix, suffix = text.split_names(["MP01", "MP10", "MP02"])
-    return spark.createDataFrame([(i, v, prefix, suffix) for i, v in enumerate(varying)], "id int, varying string, prefix string, suffix string")
-
-
 @query("SELECT p_partkey AS id, p_partkey % 5 + 0.25 AS c1, 2.0 AS c2, -1.5 AS c3 FROM part -- c1 c2 c3")
 def get_coords_for_channel(spark, sf_dir):
     rows = table(spark, sf_dir, "part")
@@ -148,91 +62,6 @@ def get_coords_for_channel(spark, sf_dir):
     return rows.select(F.col("p_partkey").alias("id"), z.alias("z")).select("id", "z.c1", "z.c2", "z.c3")
 
 
-COIL = (0.002, -0.01, 0.03, -0.28, 0.3, 0.2, 4.1)
-
-
-@query("SELECT i AS id, 0.002 * pow(k, 6) - 0.01 * pow(k, 5) + 0.03 * pow(k, 4) - 0.28 * pow(k, 3) + 0.3 * k * k + 0.2 * k + 4.1 AS c1, 0.0 AS c2 FROM (SELECT i, i / 100.0 AS k FROM range(101) t(i)) -- c1 c2")
-def coord_transform(spark, sf_dir):
-    z = geometry.to_magnetic(F.col("id") / 100.0, COIL)
-    return spark.range(101).select("id", z.alias("z")).select("id", "z.c1", "z.c2")
-
-
-@query("SELECT 'toroidal' AS name, unnest(range(14))::INT AS ch_ix, unnest([20.0, 67, 97, 127, 132, 137, 157, 200, 247, 277, 307, 312, 322, 340])::DOUBLE AS angle -- angle")
-def probe_positions(spark, sf_dir):
-    return spark.createDataFrame([("toroidal", i, a) for i, a in enumerate(geometry.TOROIDAL)], "name string, ch_ix int, angle double")
-
-
-CONFIG = """[variabletypes]
-Diagnostic__amplitude = float
-Diagnostic__n = int
-Diagnostic__on = bool
-[Acquisition:Test]
-acq_class = fake
-[Device:TestDevice]
-acq_name = Test
-[Diagnostic:one]
-data_fetcher = sine
-amplitude = 1.2
-freq = 3000
-n = 1000
-on = yes
-# a comment
-[Diagnostic:two]
-data_fetcher: sine
-amplitude = 0.5
-n = 1000
-[Diagnostic:array]
-channel_2 = one
-channel_1 = two
-[Nonsense:x]
-a = b
-[Diagnostic]
-c = d
-"""
-LATER = "[Diagnostic:one]\namplitude = 2.5\n[Plots]\nnfft = 64\n"
-
-
-def options(spark):
-    lines = [(layer, i, s) for layer, t in enumerate((CONFIG, LATER)) for i, s in enumerate(t.splitlines())]
-    return catalog.merged(catalog.parse(spark.createDataFrame(lines, "layer int, line_no int, line string")))
-
-
-@query("SELECT * FROM (VALUES ('one', 'amplitude', 'float', 2.5::DOUBLE, ''), ('one', 'n', 'int', 1000, ''), ('one', 'on', 'bool', NULL, 'true'), ('one', 'freq', 'str', NULL, ''), ('one', 'data_fetcher', 'str', NULL, '')) v(name, option, kind, number, flag) -- number")
-def cfg_get(spark, sf_dir):
-    return catalog.typed(options(spark)).where("section_type = 'Diagnostic' AND name = 'one'").select("name", "option", "kind", "number", F.coalesce(F.col("flag").cast("string"), F.lit("")).alias("flag"))
-
-
-@query("SELECT * FROM (VALUES ('Diagnostic', 3), ('Device', 1), ('Acquisition', 1), ('Plots', 1), ('Nonsense', 1), ('variabletypes', 1)) v(section_type, sections)")
-def cfg_read(spark, sf_dir):
-    rows = options(spark).where("NOT (section_type = 'Diagnostic' AND name = '')")
-    return rows.groupBy("section_type").agg(F.countDistinct("name").cast("int").alias("sections"))
-
-
-@query("SELECT * FROM (VALUES ('Nonsense', 'x'), ('Diagnostic', '')) v(section_type, name)")
-def cfg_validate(spark, sf_dir):
-    return catalog.invalid_sections(options(spark))
-
-
-@query("SELECT * FROM (VALUES ('one'), ('two'), ('array'), ('')) v(name)")
-def catalog_scan(spark, sf_dir):
-    return catalog.scan(options(spark))
-
-
-@query("""SELECT 9::BIGINT AS shot, c::INT AS ch_ix, count(*) AS n, max(abs(CASE WHEN c = 0 THEN 0.5 * sin(2 * pi() * 1000 * i / 1e6) ELSE 2.5 * sin(2 * pi() * 1000 * i / 1e6) END)) AS peak FROM range(2) a(c), range(1000) b(i) GROUP BY ALL -- peak""")
-def src_getdata(spark, sf_dir):
-    """An array from the catalogue: its channels in numeric order, fetched by their sources."""
-    found = catalog.Catalog(options(spark).where("NOT (option IN ('freq', 'on'))"))
-    rows = catalog.fetch(spark, found, "array", 9)
-    return rows.groupBy("shot", "ch_ix").agg(F.count(F.lit(1)).alias("n"), F.max(F.abs("value")).alias("peak"))
-
-
-@query("SELECT name AS scan, shot, 0.0::DOUBLE AS start_time, 0.08::DOUBLE AS end_time FROM (SELECT 'A' AS name, unnest(range(100, 141)) AS shot UNION ALL SELECT 'A', unnest(range(200, 211)) UNION ALL SELECT 'B', unnest(range(300, 304))) WHERE NOT (name = 'A' AND shot IN (105, 106, 205)) -- start_time end_time")
-def src_scan_list(spark, sf_dir):
-    scans = spark.createDataFrame([("A", 100, 140, 0.0, 0.08), ("A", 200, 210, 0.0, 0.08), ("B", 300, 303, 0.0, 0.08), ("C", 1, 2, 0.0, 1.0)], "name string, first_shot long, last_shot long, start_time double, end_time double")
-    bad = spark.createDataFrame([("A", 105), ("A", 106), ("A", 205)], "name string, shot long")
-    return catalog.scan_shots(scans, bad, "A", "B")
-
-
 @query(f"WITH {EVENTS} SELECT event_id, CASE WHEN ch_ix = 0 THEN -value ELSE value END AS value FROM ev -- value")
 def src_lhd_flip(spark, sf_dir):
     names = F.array(*map(F.lit, ["LHD-MP5", "HMP01", "MP1", "-MP5", "X-1"]))
@@ -240,19 +69,7 @@ def src_lhd_flip(spark, sf_dir):
     return files.flip_sign(rows, "channel").select("event_id", "value")
 
 
-@query("SELECT * FROM (VALUES (0, 'http://h/p?view=xml'), (1, 'http://h/p?a=1&view=xml'), (2, 'http://h/p?view=xml#f')) v(id, url)")
-def add_query_to_url(spark, sf_dir):
-    rows = spark.createDataFrame([(0, "http://h/p"), (1, "http://h/p?a=1"), (2, "http://h/p#f")], "id int, u string")
-    return rows.select("id", files.with_query(F.col("u"), "view=xml").alias("url"))
-
-
-@query("SELECT 'sig' AS name, i AS sample_ix, 0.5 + 0.25 * i AS t, 1.0 + 0.1 * (i - 2) AS value FROM range(5) r(i) -- t value")
-def src_h1ds_http(spark, sf_dir):
-    rows = [("sig", struct.pack("<5h", -2, -1, 0, 1, 2), 1.0, 0.1, 0.5, 0.25)]
-    return files.web_signals(spark.createDataFrame(rows, "name string, content binary, signal_min double, signal_delta double, dim_t0 double, dim_delta double"))
-
-
-@query("SELECT shot, main_current, sec_current, sec_current / main_current AS kh FROM (SELECT s_suppkey AS shot, s_suppkey * 2.0 + 1 AS main_current, s_suppkey + 0.5 AS sec_current FROM supplier WHERE s_suppkey <= 4) -- main_current sec_current kh")
+@query("SELECT shot, main_current, sec_current, sec_current / main_current AS kh FROM (SELECT s_suppkey AS shot, s_suppkey * 2.0 + 1 AS main_current, s_suppkey + 0.5 AS sec_current FROM supplier) -- main_current sec_current kh")
 def src_h1(spark, sf_dir):
     from tideline.sources.tables import shots
 
@@ -277,38 +94,11 @@ def stream_sessions(spark, sf_dir):
     return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
-@query("SELECT event_id FROM events WHERE event_id % 5 = 1")
+@query("SELECT event_id FROM events")
 def equal_except_for(spark, sf_dir):
-    """Rows that differ only in an ignored column are equal; all events are compared. The query returns the ids its SQL names if so and nothing if not."""
+    """Rows that differ only in an ignored column are equal; all events are compared and returned if so, none if not."""
     from tideline.operators.signals import equal_except_for as equal
 
     rows = table(spark, sf_dir, "events").select("event_id", "value")
     alike = equal(rows, rows.withColumn("value", F.lit(0.0)), ("value",)) and not equal(rows, rows.withColumn("value", F.lit(0.0)))
-    return rows.select("event_id").where("event_id % 5 = 1").where(F.lit(alike))
-
-
-@query("SELECT column0 AS name FROM (VALUES ('shot'), ('time')) v(column0)")
-def common_keys(spark, sf_dir):
-    from tideline.operators.signals import common_columns
-
-    a, b = synthetic.sine(spark).select("shot", F.col("t").alias("time"), "value"), synthetic.sine(spark).select("shot", F.col("t").alias("time"), "diag")
-    return spark.createDataFrame([(c,) for c in common_columns(a, b)], "name string")
-
-
-@query("SELECT * FROM (VALUES (0, 'reduce_time', '0.0, 0.001'), (1, 'subtract_mean', ''), (2, 'normalise', '''rms''')) v(place, step, args)")
-def history(spark, sf_dir):
-    from tideline.operators.signals import Signals
-
-    s = Signals(synthetic.sine(spark)).reduce_time(0.0, 0.001).subtract_mean().normalise("rms")
-    return spark.createDataFrame([(i, name, args) for i, (name, args, _) in enumerate(s.history)], "place int, step string, args string")
-
-
-@query("SELECT * FROM (VALUES ('n_clusters', '16'), ('n_iterations', '20'), ('seed', '7'), ('cutoff_value', '80.0'), ('freq_range', '50-250')) v(name, value)")
-def settings_defaults(spark, sf_dir):
-    """Defaults, with one setting given by a shortened key."""
-    from dataclasses import asdict
-
-    from tideline.plans.mine import Settings
-
-    s = asdict(Settings.from_text("see: 7\nnonsense"))
-    return spark.createDataFrame([(k, str(s[k])) for k in ("n_clusters", "n_iterations", "seed", "cutoff_value", "freq_range")], "name string, value string")
+    return rows.select("event_id").where(F.lit(alike))

@@ -7,6 +7,7 @@ from dataclasses import asdict, dataclass, fields
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.functions.text import parse_settings
 from tideline.operators import cluster as clustering
 from tideline.operators import features as extraction
 from tideline.operators import signals, statistics
@@ -56,6 +57,22 @@ class Settings:
         return float(low), float(high)
 
 
+def settings_table(rows: DataFrame, text: str) -> DataFrame:
+    """Every setting (name, value as text) of each row's settings text, by unambiguously shortened keys, completed by the defaults."""
+    spark = rows.sparkSession
+    rest = [c for c in rows.columns if c != text]
+    known = spark.createDataFrame([(k, str(v)) for k, v in asdict(Settings()).items()], "name string, __default string")
+    every = F.array(*[F.lit(f.name) for f in fields(Settings)])
+
+    def wanted(key):
+        exact, begun = F.filter(every, lambda n: n == key), F.filter(every, lambda n: (key != "") & n.startswith(key))
+        return F.when(F.size(exact) == 1, F.get(exact, F.lit(0))).when(F.size(begun) == 1, F.get(begun, F.lit(0)))
+
+    pairs = F.transform(F.map_entries(parse_settings(F.col(text))), lambda e: F.struct(wanted(e["key"]).alias("name"), e["value"].alias("value")))
+    given = F.map_from_entries(F.filter(pairs, lambda p: p["name"].isNotNull()))
+    return rows.select(*rest, given.alias("__given")).join(known, how="cross").select(*rest, "name", F.coalesce(F.get(F.transform(F.array("__given"), lambda g: F.try_element_at(g, F.col("name"))), 0), F.col("__default")).alias("value"))
+
+
 def per_shot(features: DataFrame, settings: Settings, iterations: int | None = None) -> DataFrame:
     """Rows of the clusters that are tight within their own shot.
 

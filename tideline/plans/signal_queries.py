@@ -174,12 +174,6 @@ def nearest_index(spark, sf_dir):
     return out.select("event_id", "t_nearest")
 
 
-@query("SELECT i::INT AS i, CASE WHEN i * 0.7 - floor(i * 0.7) <= 0.5 THEN floor(i * 0.7)::INT ELSE ceil(i * 0.7)::INT END AS nearest FROM range(12) r(i)")
-def find_closest(spark, sf_dir):
-    values = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda x: x.cast("double"))
-    return spark.range(12).select(F.col("id").cast("int").alias("i"), interpolate.nearest_index(values, F.col("id") * 0.7).alias("nearest"))
-
-
 @query(f"""WITH {DAILY}, l AS (SELECT shot, max(sample_ix) + 1 AS n FROM daily GROUP BY 1),
 a AS (SELECT DISTINCT d.shot, seg_ix, min(t) OVER (PARTITION BY d.shot, seg_ix) AS t0 FROM daily d JOIN l USING (shot), range(50) w(seg_ix) WHERE seg_ix * 30 < l.n - 30 AND sample_ix BETWEEN seg_ix * 30 AND seg_ix * 30 + 29)
 SELECT shot, seg_ix, t0 AS t0_first, t0 + (CASE WHEN seg_ix % 2 = 0 THEN 0 ELSE 0.5 END) AS t0_second, seg_ix % 2 = 0 AS aligned FROM a -- t0_first t0_second""")

@@ -148,6 +148,12 @@ def web_signals(payloads: DataFrame) -> DataFrame:
     return payloads.select("name", "content", "signal_min", "signal_delta", "dim_t0", "dim_delta").mapInPandas(run, RECORDED)
 
 
+def web_headers(replies: DataFrame, xml: str = "xml") -> DataFrame:
+    """Replies with signal_min, signal_delta, dim_t0 and dim_delta read from their XML header, in place of it."""
+    values = [F.call_function("xpath_double", F.col(xml), F.lit(f"//{n}")).alias(n) for n in ("signal_min", "signal_delta", "dim_t0", "dim_delta")]
+    return replies.select(*[c for c in replies.columns if c != xml], *values)
+
+
 def with_query(url, query: str):
     """A URL with one more query parameter, before its fragment."""
     base, fragment = F.substring_index(url, "#", 1), F.regexp_extract(url, "(#.*)?$", 1)

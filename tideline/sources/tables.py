@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.registry import source
+
 EPOCH = 1_704_067_200  # 2024-01-01, in seconds
 DAILY_CHANNELS = ("A", "N", "R")
 EVENT_CHANNELS = ("click", "error", "purchase", "signup", "view")
@@ -58,12 +60,21 @@ def event_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def event_grid(spark: SparkSession, sf_dir: str, hours: int = 4) -> DataFrame:
-    """Mean value of each event type in even buckets, one shot; empty buckets count 0."""
+def event_grid(spark: SparkSession, sf_dir: str, hours: int = 4, by_shot: bool = False) -> DataFrame:
+    """Mean value of each event type in even buckets, one shot or one for each group of users; empty buckets count 0."""
     bucket = F.floor(F.col("t") / (hours * 3600)).cast("long")
-    cells = event_samples(spark, sf_dir).groupBy(bucket.alias("sample_ix")).pivot("ch_ix", [0, 1, 2, 3, 4]).agg(F.sum(F.round(F.col("value") * 100).cast("long")) / F.count(F.lit(1)) / 100.0)
+    shot = F.col("shot") if by_shot else F.lit(1).cast("long")
+    cells = event_samples(spark, sf_dir).groupBy(shot.alias("shot"), bucket.alias("sample_ix")).pivot("ch_ix", [0, 1, 2, 3, 4]).agg(F.sum(F.round(F.col("value") * 100).cast("long")) / F.count(F.lit(1)) / 100.0)
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("ch_ix"), F.coalesce(F.col(str(i)), F.lit(0.0)).alias("value")) for i in range(5)]))
-    return cells.select("sample_ix", each.alias("z")).select(F.lit(1).cast("long").alias("shot"), F.lit("events").alias("diag"), "z.ch_ix", "sample_ix", F.col("sample_ix").cast("double").alias("t"), "z.value")
+    return cells.select("shot", "sample_ix", each.alias("z")).select("shot", F.lit("events").alias("diag"), "z.ch_ix", "sample_ix", F.col("sample_ix").cast("double").alias("t"), "z.value")
+
+
+@source
+def table_channel(spark: SparkSession, shot: int, path: str, channel: int) -> DataFrame:
+    """One channel of the even event signal in a folder of tables, as the catalogue's source. What is fetched is kept in the shared folder."""
+    from tideline.sources.files import written
+
+    return written(event_grid(spark, path).where(F.col("ch_ix") == channel).withColumn("shot", F.lit(shot).cast("long")))
 
 
 def features(spark: SparkSession, sf_dir: str, dims: int = 8) -> DataFrame:
@@ -79,5 +90,5 @@ def features(spark: SparkSession, sf_dir: str, dims: int = 8) -> DataFrame:
 
 def shots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata of the feature shots: two currents, their ratio and a heating frequency."""
-    rows = table(spark, sf_dir, "supplier").where("s_suppkey <= 4")
+    rows = table(spark, sf_dir, "supplier")
     return rows.select((F.col("s_suppkey")).alias("shot"), (F.col("s_suppkey") * 2.0 + 1).alias("main_current"), (F.col("s_suppkey") + 0.5).alias("sec_current"), (F.col("s_suppkey") * 7.0).alias("heating_freq"))
