@@ -139,20 +139,20 @@ def trees(contexts: DataFrame, width: int) -> DataFrame:
     """Repeated window ranges of groups that fit a task; groups come sorted and are held one at a time."""
 
     def run(batches):
-        held, now, rows = None, [], []
+        held, now, rows = None, {}, []
         for b in batches:
             cols = [c.to_pylist() for c in b.columns[:4]]
             for k, *rest, context in zip(*cols, as_bytes(b.column(4)), strict=True):
                 if k != held:
                     if len(now) > 1:
-                        rows += repeats(now, width)
-                    held, now = k, []
-                now.append((*rest, context))
+                        rows += repeats(list(now), width)
+                    held, now = k, {}
+                now[*rest, context] = None  # rows that repeat are held once
             if len(rows) > 50_000:
                 yield range_batch(rows)
                 rows = []
         if len(now) > 1:
-            rows += repeats(now, width)
+            rows += repeats(list(now), width)
         yield range_batch(rows)
 
     n = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -219,7 +219,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     Returns doc_id, n_words, n_removed, kept (the kept words joined by one space) and
     kept_sha256. Words are those of the input, unchanged; windows are judged on the input.
     Null and empty texts have no words. A null id counts as the largest. Repeats within one id
-    remove nothing. Repeated rows get the same result each; rows of one id with different
+    remove nothing. Repeated rows get the same result each, in time that grows with their number; rows of one id with different
     texts are judged row by row against smaller ids. Extra columns are ignored. Long texts
     are whole rows, and runs of one word are one context.
 
@@ -281,7 +281,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
             going = step.where("a < b and doc = least and leaves > 1")
             ranges = ranges.unionByName(trees(going.where(~crowded), width))
             level = going.where(crowded)
-    gathered = ranges.groupBy("doc", "key").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    # Repeated rows leave the same ranges; a set of them is no longer than the text has windows.
+    gathered = ranges.groupBy("doc", "key").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
 
     def remove(batches):
         for b in batches:
