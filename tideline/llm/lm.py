@@ -8,7 +8,8 @@ the training texts, whatever their number, so that the automaton grows with the
 never held whole: texts are packed into pieces; each piece asks for its distinct words,
 bigrams and trigrams, sorted by hash and cut into ranges, and every range answers all pieces
 that ask it, value by value in the order asked, so that answers need no keys. Counts are
-gathered that way first, then the masses of the states. One more symbol stands for all unseen
+gathered that way first, then the masses of the states. From them each piece builds the states,
+arcs and failure arcs that its texts can reach, and each text is traversed once. One more symbol stands for all unseen
 words, and the probabilities of all next symbols add up to 1.
 
 Words are known by 64-bit hashes. n-grams are known by the first 40 bits within their range of
@@ -396,6 +397,103 @@ def mass_asks(pieces: DataFrame, counts: DataFrame, ranges: Ranges) -> DataFrame
     return pieces.groupBy("piece").cogroup(counts.groupBy("piece")).applyInArrow(run, ASK)
 
 
+@dataclass
+class Machine:
+    """The part of the automaton that a piece's texts can reach, with the words, bigrams and trigrams numbered that they have.
+
+    States are the empty one, words and bigrams. ``seen`` counts the words in training texts and ``unigram`` has the
+    log10 probability of each in the empty state. ``arc2`` and ``arc3`` have that of the arc to the
+    last word of each bigram and trigram from the state of the words before it, NaN where there is
+    no arc. ``back1`` and ``back2`` have the log10 weight of the failure arc of each word and
+    bigram that is a state, NaN of those that are none. The failure arc of a bigram leads to its last word if that
+    is a state, else to the empty state. ``word``, ``two`` and ``three`` say what ends at each place of the piece.
+    """
+
+    word: np.ndarray
+    two: np.ndarray
+    three: np.ndarray
+    seen: np.ndarray
+    unigram: np.ndarray
+    arc2: np.ndarray
+    arc3: np.ndarray
+    back1: np.ndarray
+    back2: np.ndarray
+
+    def score(self, begin: int, end: int) -> float:
+        """log10 probability of the text between two places, of which the first is the end before it; one traversal that carries the state.
+
+        The state is the number of words remembered; which ones is clear from the place. The
+        weights of its failure arcs are carried with it.
+        """
+        word, two, three = self.word[begin:end], self.two[begin:end], self.three[begin:end]
+        follow = zip(*(x.tolist() for x in (self.unigram[word], self.arc2[two], self.arc3[three], self.back1[word], self.back2[two])), strict=True)
+        _, _, _, fail1, _ = next(follow)
+        remembered, fail2, total = int(fail1 == fail1), 0.0, 0.0
+        for free, arc2, arc3, next1, next2 in follow:
+            while True:
+                if remembered == 2:
+                    if arc3 == arc3:
+                        total += arc3
+                        break
+                    total += fail2
+                    remembered = int(fail1 == fail1)
+                elif remembered:
+                    if arc2 == arc2:
+                        total += arc2
+                        break
+                    total += fail1
+                    remembered = 0
+                else:
+                    total += free
+                    break
+            fail1, fail2 = next1, next2
+            remembered = 2 if next2 == next2 else int(next1 == next1)
+        return total
+
+
+def delivered(p: Piece, got: dict[int, np.ndarray], whole: float) -> Machine:
+    """States, arcs and failure arcs of a piece from the answers: counts of its words, bigrams and trigrams, and the masses of its histories.
+
+    The last bigram and trigram number stands for none, at the places of a text that have too few words before them.
+    """
+    none = np.zeros(0, np.uint64)
+    word = placed(p.word)
+    seen = got[WORD].astype(np.int64)
+    p1 = (seen + DELTA) / whole
+
+    def ending(kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The number of the n-gram that ends at each place, the counts of those that are arcs (else 0), and a place of each."""
+        where, key = p.keys(kind)
+        every = distinct(key)
+        number = np.full(len(p.word), len(every), np.int32)
+        number[where] = np.searchsorted(every, key)
+        place = np.zeros(len(every), np.int32)
+        place[number[where]] = where
+        return number, got.get(kind, none).astype(np.int64) >> 1, place
+
+    def states(mass: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        """The weight of each failure arc; NaN of what is no state."""
+        return np.where(mass > 0, 1.0 - mass / np.maximum(seen, 1), np.nan)
+
+    def arcs(count: np.ndarray, seen: np.ndarray, back: np.ndarray, below: np.ndarray) -> np.ndarray:
+        return np.where(count > 0, (count - DISCOUNT) / np.maximum(seen, 1) + back * below, np.nan)
+
+    two, n2, at2 = ending(TWO)
+    three, n3, at3 = ending(THREE)
+    mass2 = np.zeros(len(n2))
+    mass2[n2 > 0] = got.get(TWO + 3, none) / 2
+    back1, back2 = states(got[WORD + 3] / 2, seen), states(mass2, n2)
+    before = word[at2 - 1]
+    arc2 = arcs(n2, seen[before], back1[before], p1[word[at2]])
+    last, history = two[at3], two[at3 - 1]
+    fail = back1[word[at3 - 1]]
+    below = np.where(np.isnan(arc2[last]), np.where(np.isnan(fail), 1.0, fail) * p1[word[at3]], arc2[last])
+    arc3 = arcs(n3, n2[history], back2[history], below)
+    with np.errstate(divide="ignore"):
+        logs = [np.log10(np.append(x, np.nan)) for x in (arc2, arc3, back2)]
+        return Machine(word, two, three, seen, np.log10(p1), logs[0], logs[1], np.log10(back1), logs[2])
+
+
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -427,34 +525,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
 
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
         p, got = of_piece(texts, ranges), gathered(found)
-        none = np.zeros(0, np.uint64)
-        i = placed(p.word)
-        c = got[WORD].astype(np.int64)[i]
-        p1 = (c + DELTA) / whole
-
-        def of_grams(kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            """Where the n-grams end, the place of each among the distinct ones, and the counts of these; 0 if it is no arc."""
-            where, key = p.keys(kind)
-            return where, placed(key), got.get(kind, none).astype(np.int64) >> 1
-
-        def smoothed(arc: np.ndarray, mass: np.ndarray, seen: np.ndarray, below: np.ndarray) -> np.ndarray:
-            """Along the arc if there is one, and the failure arc of the state, if the history is one, to ``below``."""
-            state = mass > 0
-            seen = np.where(state, seen, 1)
-            return np.where(state, np.maximum(arc - DISCOUNT, 0.0) / seen + (1.0 - mass / seen) * below, below)
-
-        at2, in2, n2 = of_grams(TWO)
-        mass2 = np.zeros(len(n2))
-        mass2[n2 > 0] = got.get(TWO + 3, none) / 2
-        prob = p1.copy()
-        prob[at2] = smoothed(n2[in2], got[WORD + 3][i[at2 - 1]] / 2, c[at2 - 1], p1[at2])
-        at3, in3, n3 = of_grams(THREE)
-        history = np.zeros(len(p.word), np.int32)
-        history[at2] = in2
-        prob[at3] = smoothed(n3[in3], mass2[history[at3 - 1]], n2[history[at3 - 1]], prob[at3])
-        starts, inside = np.cumsum(p.lengths) - p.lengths, p.at >= 1
-        known, base, whole_score = (np.add.reduceat(np.where(inside, x, 0), starts) for x in (c > 0, np.log10(p1), np.log10(prob)))
-        cols = (p.ids, p.held, p.lengths - 1, known, np.full(len(starts), n), base, whole_score)
+        machine = delivered(p, got, whole)
+        starts = np.cumsum(p.lengths) - p.lengths
+        scores = [machine.score(begin, begin + n) for begin, n in zip(starts.tolist(), p.lengths.tolist(), strict=True)]
+        known, base = (np.add.reduceat(np.where(p.at >= 1, x[machine.word], 0), starts) for x in (machine.seen > 0, machine.unigram))
+        cols = (p.ids, p.held, p.lengths - 1, known, np.full(len(starts), n), base, scores)
         kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         return pa.table([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
