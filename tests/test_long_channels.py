@@ -141,3 +141,26 @@ def test_gram_sums_over_blocks(spark):
     got = {(r["ch_a"], r["ch_b"]): r["product"] for r in structures.gram(smp, 100).collect()}
     assert got.keys() == {(a, b) for a in range(4) for b in range(a, 4)} - {(1, 3)}
     assert all(v == pytest.approx((x @ x.T)[k]) for k, v in got.items())
+
+
+def test_a_failed_shot_is_accounted_for(spark):
+    from tideline.plans import mine
+
+    rows = spark.range(60).select(F.col("id").alias("instance_id"), (F.col("id") % 3).alias("shot"), F.array(F.sin("id"), F.cos("id")).alias("phases"))
+    bad = rows.withColumn("phases", F.when(F.col("instance_id") == 4, F.array(F.lit(float("nan")), F.lit(0.0))).otherwise(F.col("phases")))
+    found = mine.shot_clusters(bad, mine.Settings(n_clusters=2, n_iterations=3))
+    assert [tuple(r) for r in mine.failures(found).collect()] == [(1, "ValueError: phases are missing or not finite")]
+    assert found.where("error IS NULL").count() == 40
+
+
+def test_one_large_group_has_its_exact_centroid(spark):
+    from tideline.operators import statistics
+
+    rng = np.random.default_rng(0)
+    x = np.concatenate((rng.vonmises(3.0, 0.8, 2000), rng.vonmises(-1.0, 4.0, 30)))
+    df = spark.createDataFrame([(0 if i < 2000 else 1, float(v)) for i, v in enumerate(x)], "cluster int, phase double")
+    for r in statistics.exact_periodic_centroid(df, "cluster").collect():
+        own = x[:2000] if r["cluster"] == 0 else x[2000:]
+        grid = np.linspace(0, 2 * np.pi, 4001)
+        cost = [((np.minimum(np.abs((own - c) % (2 * np.pi)), 2 * np.pi - (own - c) % (2 * np.pi))) ** 2).sum() for c in grid]
+        assert r["q"] <= min(cost) + 1e-6 and r["q"] == pytest.approx(min(cost), rel=1e-4)

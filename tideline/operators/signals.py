@@ -256,6 +256,18 @@ def equal_except_for(first: DataFrame, second: DataFrame, ignored: tuple[str, ..
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
+def ordered_segments(segments: DataFrame) -> DataFrame:
+    """Segments (shot, seg_ix and more) with their start time t0 and their place in the order of start times, over all shots."""
+    starts = segments.groupBy("shot", "seg_ix").agg(F.min("t").alias("t0"))
+    return blocks.numbered(starts, "t0", "shot", "seg_ix")
+
+
+def shuffled(rows: DataFrame, key: str, seed: int = 0) -> DataFrame:
+    """Rows with their place in a permutation that depends on the seed and their key only."""
+    drawn = rows.withColumn("__draw", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))))
+    return blocks.numbered(drawn, "__draw", key).drop("__draw")
+
+
 class Signals:
     """A samples DataFrame with chained transforms that leave a history; nothing is changed in place."""
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.angles import clipped_kappa, kappa_from_r
 from tideline.functions.bessel import kappa_to_std, von_mises_pdf
+from tideline.operators import blocks
 
 
 def long_phases(features: DataFrame, phases: str = "phases") -> DataFrame:
@@ -59,17 +60,18 @@ def exact_periodic_centroid(rows: DataFrame, *keys: str, phase: str = "phase") -
     """The point on the circle with the smallest sum of squared circular distances.
 
     With the angles sorted in [0, 2 pi), the sum is a parabola for each number of angles that
-    are taken one turn further; each parabola's lowest point follows from prefix sums.
+    are taken one turn further; each parabola's lowest point follows from prefix sums. The angles are
+    sorted in sampled ranges and the sums are carried from range to range, so that one group may hold most rows.
     """
-    x = F.pmod(F.col(phase), F.lit(2 * math.pi))
-    w = Window.partitionBy(*keys)
-    before = w.orderBy("__x", "__i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    step = rows.select(*keys, x.alias("__x"), F.monotonically_increasing_id().alias("__i"))
-    step = step.withColumn("__k", F.count(F.lit(1)).over(before)).withColumn("__n", F.count(F.lit(1)).over(w))
-    step = step.withColumn("__sum", F.sum("__x").over(w) + 2 * math.pi * F.col("__k")).withColumn("__sq", F.sum(F.col("__x") * F.col("__x")).over(w) + F.sum(4 * math.pi * F.col("__x") + 4 * math.pi**2).over(before))
-    cost = F.col("__sq") - F.col("__sum") * F.col("__sum") / F.col("__n")
+    turn = 2 * math.pi
+    own = rows.select(*keys, F.pmod(F.col(phase), F.lit(turn)).alias("__x"), F.monotonically_increasing_id().alias("__i"))
+    spread = blocks.ranged(own, *keys, "__x", "__i")
+    totals = spread.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.sum("__x").alias("__all"), F.sum(F.col("__x") * F.col("__x")).alias("__squares"))
+    moved = blocks.prefix_sums(spread, keys, "__block", ("__x", "__i"), __k=F.lit(1), __more=2 * turn * F.col("__x") + turn * turn)
+    step = blocks.beside(moved, totals, *keys).withColumn("__sum", F.col("__all") + turn * F.col("__k"))
+    cost = F.col("__squares") + F.col("__more") - F.col("__sum") * F.col("__sum") / F.col("__n")
     best = step.groupBy(*keys).agg(F.min_by(F.struct((F.col("__sum") / F.col("__n")).alias("c"), cost.alias("q")), F.struct(cost, "__k")).alias("b"))
-    return best.select(*keys, F.pmod(F.col("b.c"), F.lit(2 * math.pi)).alias("centroid"), F.greatest(F.col("b.q"), F.lit(0.0)).alias("q"))
+    return best.select(*keys, F.pmod(F.col("b.c"), F.lit(turn)).alias("centroid"), F.greatest(F.col("b.q"), F.lit(0.0)).alias("q"))
 
 
 def tightness(clusters: DataFrame, degrees: bool = True) -> DataFrame:

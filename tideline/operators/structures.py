@@ -268,6 +268,11 @@ def valid_structures(found: DataFrame, power_cutoff: float = 0.05, min_svs: int
     return out.where(F.col("freq") < high) if high is not None else out
 
 
+def account(found: DataFrame) -> DataFrame:
+    """Segments of each shot that gave a result, and those that failed by their error: shot, error (null: none), segments."""
+    return found.groupBy("shot", "error").agg(F.count_distinct("seg_ix").alias("segments"))
+
+
 def first_structures(found: DataFrame, most: int) -> DataFrame:
     """The first ``most`` structures of each segment, in the order in which they were grouped."""
     return found.where(F.col("fs_ix") < most)

@@ -73,11 +73,10 @@ def settings_table(rows: DataFrame, text: str) -> DataFrame:
     return rows.select(*rest, given.alias("__given")).join(known, how="cross").select(*rest, "name", F.coalesce(F.get(F.transform(F.array("__given"), lambda g: F.try_element_at(g, F.col("name"))), 0), F.col("__default")).alias("value"))
 
 
-def per_shot(features: DataFrame, settings: Settings, iterations: int | None = None) -> DataFrame:
-    """Rows of the clusters that are tight within their own shot.
+def shot_clusters(features: DataFrame, settings: Settings, iterations: int | None = None) -> DataFrame:
+    """instance_id, shot and cluster of every feature, each shot clustered by itself in its own task; written.
 
-    Every shot is one group and is clustered in its task; a shot that fails gives no rows and
-    stops no other.
+    A shot that fails stops no other. It gives one row with its error and nothing else.
     """
     import numpy as np
     import pandas as pd
@@ -86,12 +85,14 @@ def per_shot(features: DataFrame, settings: Settings, iterations: int | None = N
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         try:
-            return found_in(pdf)
-        except (ValueError, TypeError, FloatingPointError, np.linalg.LinAlgError):
-            return pd.DataFrame({"instance_id": [], "shot": [], "cluster": []}).astype({"instance_id": "int64", "shot": "int64", "cluster": "int32"})
+            return found_in(pdf).assign(error=None)
+        except (ValueError, TypeError, FloatingPointError, np.linalg.LinAlgError) as bad:
+            return pd.DataFrame({"instance_id": [None], "shot": [pdf["shot"].iloc[0]], "cluster": [None], "error": [f"{type(bad).__name__}: {bad}"]})
 
     def found_in(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.array(pdf["phases"].tolist(), float)
+        if not np.isfinite(x).all():
+            raise ValueError("phases are missing or not finite")
         n = min(k, len(x))
         embedded = np.concatenate((np.cos(x), np.sin(x)), axis=1)
         centres = clustering.plus_plus(embedded, n, np.random.default_rng(seed))
@@ -103,7 +104,21 @@ def per_shot(features: DataFrame, settings: Settings, iterations: int | None = N
             model = clustering.maximise(clustering.expectation_sums(x, model, False)[:-2], model, len(x))
         return pdf[["instance_id", "shot"]].assign(cluster=model.memberships(x).argmax(1).astype("int32"))
 
-    found = features.select("instance_id", "shot", "phases").groupBy("shot").applyInPandas(run, "instance_id long, shot long, cluster int")
+    return files.written(features.select("instance_id", "shot", "phases").groupBy("shot").applyInPandas(run, "instance_id long, shot long, cluster int, error string"))
+
+
+def failures(clusters: DataFrame) -> DataFrame:
+    """The shots that failed, with their errors."""
+    return clusters.where("error IS NOT NULL").select("shot", "error")
+
+
+def per_shot(features: DataFrame, settings: Settings, iterations: int | None = None) -> DataFrame:
+    """Rows of the clusters that are tight within their own shot."""
+    return tight_rows(features, shot_clusters(features, settings, iterations), settings)
+
+
+def tight_rows(features: DataFrame, clusters: DataFrame, settings: Settings) -> DataFrame:
+    found = clusters.where("error IS NULL").drop("error")
     rows = features.join(found, ["instance_id", "shot"])
     fits = statistics.vm_fit(statistics.long_phases(rows.select("shot", "cluster", "phases")), "shot", "cluster", "dim", clip=True)
     keyed = fits.withColumn("cluster", F.struct("shot", "cluster"))
@@ -112,17 +127,21 @@ def per_shot(features: DataFrame, settings: Settings, iterations: int | None = N
 
 
 def mine(samples: DataFrame, settings: Settings | None = None, window: tuple[float, float] | None = None, two_level: bool = True) -> tuple[DataFrame, clustering.Clustering]:
-    """Features of the peaks of all shots, and their clustering."""
+    """Features of the peaks of all shots, and their clustering, whose details have ``failures``: the shots that failed, with their errors."""
     settings = settings or Settings()
     if window:
         samples = signals.reduce_time(samples, *window)
     low, high = settings.band()
     features = extraction.by_peaks(samples, settings.nfft, settings.step, settings.n_peaks, low, high)
     features = files.written(features)
+    failed = None
     if two_level:
-        features = files.written(per_shot(features, settings))
+        clusters = shot_clusters(features, settings)
+        failed = failures(clusters)
+        features = files.written(tight_rows(features, clusters, settings))
     extra = {"n_iterations": settings.n_iterations, "start": settings.start} if settings.method == "EM_VMM" else {}
     found = clustering.cluster(features, settings.method, n_clusters=settings.n_clusters, seed=settings.seed, **extra)
+    found.details["failures"] = failed
     return features, found
 
 

@@ -236,3 +236,24 @@ def rep_pos_neg_fill(spark, sf_dir):
     """Where two of the daily channels cross."""
     rows = daily(spark, sf_dir).groupBy(F.col("shot").alias("key"), F.col("t").alias("x")).pivot("ch_ix", [0, 1]).agg(F.max("value") / 1e3)
     return reports.rep_pos_neg_fill(rows.withColumnsRenamed({"0": "y1", "1": "y2"}))
+
+
+@query(f"WITH {DAILY}, n AS (SELECT shot, max(sample_ix) + 1 AS n FROM daily GROUP BY 1), g AS (SELECT d.shot, sample_ix // 30 AS seg_ix, min(t) AS t0 FROM daily d JOIN n USING (shot) WHERE (sample_ix // 30 + 1) * 30 < n GROUP BY ALL) SELECT *, row_number() OVER (ORDER BY t0, shot, seg_ix) - 1 AS place FROM g -- t0")
+def order_segments_by_start(spark, sf_dir):
+    return signals.ordered_segments(signals.segment(daily(spark, sf_dir), 30))
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY md5('7:' || event_id), event_id) - 1 AS place FROM events")
+def shuffle(spark, sf_dir):
+    """A permutation of all events."""
+    return signals.shuffled(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id"), "event_id", 7)
+
+
+@query(f"WITH {TWO}, b AS (SELECT shot, seg_ix, max(CASE WHEN ch_ix = 0 AND (round(value * 100)::BIGINT) % 211 = 0 AND value > 0 THEN 1 ELSE 0 END) AS bad FROM cut GROUP BY ALL) SELECT shot, bad = 1 AS failed, count(*) AS segments FROM b GROUP BY ALL")
+def shot_failures(spark, sf_dir):
+    """Structures where some days have no value: the account of the segments that failed, beside the others."""
+    smp = status_days(spark, sf_dir)
+    gone = (F.col("ch_ix") == 0) & (F.round(F.col("value") * 100).cast("long") % 211 == 0) & (F.col("value") > 0)
+    found = structures.structures(signals.segment(written(smp.withColumn("value", F.when(gone, float("nan")).otherwise(F.col("value")))), 120))
+    out = structures.account(found).groupBy("shot", F.col("error").isNotNull().alias("failed")).agg(F.sum("segments").alias("segments"))
+    return out.select("shot", "failed", "segments")
