@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from tideline.functions import angles, bessel, bits, geometry, text
 from tideline.operators import cluster as clustering
-from tideline.operators import features, interpolate, reports, signals
+from tideline.operators import blocks, features, interpolate, reports, signals
 from tideline.plans.base import DAILY, EVENTS, FEATS, GRID, query
-from tideline.sources import catalog, files
+from tideline.sources import catalog, files, readers
 from tideline.sources.tables import daily, event_grid, event_samples, shots, table
 from tideline.sources.tables import features as feature_rows
 
@@ -307,3 +307,43 @@ def mine(spark, sf_dir):
     smp = files.written(event_grid(spark, sf_dir, 1, by_shot=True))
     rows, found = run(smp, Settings(freq_range="0-1", nfft=64, step=16))
     return rows.join(found.assignments, "instance_id").groupBy("shot", "cluster").agg(F.count(F.lit(1)).alias("n"))
+
+
+EVENT_NUMBERS = f"{EVENTS}, n AS (SELECT shot, ch_ix, row_number() OVER (PARTITION BY shot, ch_ix ORDER BY event_id) - 1 AS sample_ix, floor(value * 10) - 2500 AS value FROM ev)"
+
+
+def numbered_events(spark, sf_dir):
+    """Events of each shot and type as 16-bit samples, in order."""
+    whole = (F.floor(F.col("value") * 10) - 2500).cast("double")
+    rows = blocks.numbered(event_samples(spark, sf_dir).select("shot", "ch_ix", "event_id", whole.alias("value")), "event_id", name="sample_ix", keys=("shot", "ch_ix"))
+    return rows.select(F.lit("EV").alias("diag"), "shot", F.col("ch_ix").cast("long").alias("channel"), "sample_ix", "value")
+
+
+@query(f"WITH {EVENT_NUMBERS} SELECT 'EV' AS diag, shot, ch_ix AS channel, sample_ix, sample_ix / 4.0 AS t, value FROM n -- t value")
+def src_lhd_bin(spark, sf_dir):
+    """Written as recorder files and read back by the data source."""
+    readers.register(spark)
+    path = files.shared_folder(spark)
+    rows = numbered_events(spark, sf_dir).repartition("shot", "channel").sortWithinPartitions("shot", "channel", "sample_ix")
+    rows.write.format("recorder").option("rate", 4.0).mode("append").save(path)
+    return spark.read.format("recorder").load(path)
+
+
+@query(f"WITH {EVENT_NUMBERS} SELECT shot, 'CH' || ch_ix AS channel, sample_ix, sample_ix * 0.5 AS t, value / 10 AS value FROM n -- t value")
+def src_lhd_npz(spark, sf_dir):
+    """Written as archives and read back by the data source."""
+    readers.register(spark)
+    path = files.shared_folder(spark)
+    rows = numbered_events(spark, sf_dir).select("shot", F.concat(F.lit("CH"), F.col("channel")).alias("channel"), "sample_ix", (F.col("sample_ix") * 0.5).alias("t"), (F.col("value") / 10).alias("value"))
+    rows.repartition("shot", "channel").sortWithinPartitions("shot", "channel", "sample_ix").write.format("signal_archive").mode("append").save(path)
+    return spark.read.format("signal_archive").load(path)
+
+
+@query(f"WITH {EVENT_NUMBERS} SELECT shot, sample_ix, sample_ix / 4.0 AS t, value FROM n WHERE ch_ix = 2 AND shot IN (1, 3) -- t value")
+def src_fetch_lifecycle(spark, sf_dir):
+    """One channel of two shots, fetched by the names of its files."""
+    path = files.shared_folder(spark)
+    readers.register(spark)
+    rows = numbered_events(spark, sf_dir).repartition("shot", "channel").sortWithinPartitions("shot", "channel", "sample_ix")
+    rows.write.format("recorder").option("rate", 4.0).mode("append").save(path)
+    return readers.fetch(spark, path, [1, 3], "EV", 2).select("shot", "sample_ix", "t", "value")
