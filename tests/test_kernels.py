@@ -203,3 +203,13 @@ def test_structure_features_with_other_signals(spark):
     smp = synthetic.multimode(spark, TWO, channels=4, n=4096, noise=0.05)
     rows = features.by_structures(smp, 1024, other=signals.get_channel(smp, 0)).collect()
     assert rows and all(len(r["phases"]) == 3 and len(r["other"]) == 1 for r in rows)
+
+
+def test_a_tiny_far_cluster_is_found(spark):
+    """Four rows of 40,000 lie apart; the first centres come from all rows."""
+    x = spark.range(40_000).select(F.col("id").alias("instance_id"), F.when(F.col("id") % 10_000 == 7, F.array(F.lit(50.0), F.lit(-50.0))).otherwise(F.array(F.sin("id") + 3 * (F.col("id") % 3), F.cos("id"))).alias("values"))
+    far, weight = cluster.far_candidates(x, "values", 4, 1)
+    assert len(far) <= 1 + 3 * 16 and weight.sum() == 40_000
+    found = cluster.cluster(x, "k_means", n_clusters=4, column="values", sin_cos=False)
+    sizes = {r["cluster"]: r["count"] for r in found.assignments.groupBy("cluster").count().collect()}
+    assert min(sizes.values()) == 4

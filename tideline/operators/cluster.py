@@ -2,7 +2,8 @@
 
 The features are an array column. Parameters are tiny and live on the driver; every iteration
 is one narrow pass that sums within Arrow batches and one small aggregation, for all starts
-together. Nothing of the rows reaches the driver but a bounded sample for the first centres.
+together. First centres come from k-means||: a few passes over all rows, each of which adds a bounded
+number of far ones. Nothing else of the rows reaches the driver.
 """
 
 from __future__ import annotations
@@ -53,10 +54,57 @@ def kappa_unbiased(r: np.ndarray, n: int, points: int = 10_000, most: float = 10
     return grid[np.abs(ratio[None, :] - np.atleast_1d(corrected)[:, None]).argmin(axis=1)]
 
 
-def sample_matrix(features: DataFrame, column: str, seed: int, bound: int = 2000) -> np.ndarray:
-    """At most ``bound`` feature vectors, those with the smallest hash of id and seed, for first centres."""
-    rows = features.orderBy(F.xxhash64("instance_id", F.lit(seed)), "instance_id").limit(bound).select(column).toArrow()
-    return np.array(rows.column(0).to_pylist(), float).reshape(rows.num_rows, -1) if rows.num_rows else np.zeros((0, 0))
+def matrix(column: pa.Array) -> np.ndarray:
+    """A list column's rows of one length as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def squared_distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return ((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)[None, :]).clip(0)
+
+
+def far_candidates(features: DataFrame, column: str, k: int, seed: int, rounds: int = 3, factor: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates for first centres and how many rows are nearest to each, by k-means||.
+
+    Begins with one row. Each round draws ``factor`` times ``k`` rows of all, without replacement and with
+    probabilities in proportion to their squared distance to the candidates so far: the rows
+    of the smallest -log(u) / distance, u being a hash of id, seed and round. What is far from all others is
+    found however few rows it has.
+    """
+    size = factor * k
+    first = features.orderBy(F.xxhash64("instance_id", F.lit(seed)), "instance_id").limit(1).select(column).toArrow()
+    if not first.num_rows:
+        return np.zeros((0, 0)), np.zeros(0)
+    found = matrix(first.column(0).combine_chunks())
+    for number in range(rounds):
+
+        def run(batches, found=found):
+            for b in batches:
+                x = matrix(b.column(0))
+                with np.errstate(divide="ignore"):
+                    key = -np.log(b.column(1).to_numpy()) / squared_distances(x, found).min(1) if len(x) else np.zeros(0)
+                near = np.argsort(key, kind="stable")[:size]
+                near = near[np.isfinite(key[near])]
+                yield pa.RecordBatch.from_arrays([pa.array(key[near]), b.column(0).take(pa.array(near))], names=["key", "x"])
+
+        u = (F.pmod(F.xxhash64("instance_id", F.lit(seed), F.lit(number)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+        drawn = features.select(column, u.alias("u")).mapInArrow(run, "key double, x array<double>").orderBy("key", "x").limit(size).select("x").toArrow()
+        if not drawn.num_rows:
+            break
+        found = np.concatenate((found, matrix(drawn.column(0).combine_chunks())))
+    found = np.unique(found, axis=0)
+    weight = sums_by_start(features, column, lambda x: np.bincount(squared_distances(x, found).argmin(1), minlength=len(found))[None, :], 1, len(found))[0]
+    return found, weight
+
+
+def weighted_centres(x: np.ndarray, weight: np.ndarray, k: int, rng: np.random.Generator, most: int = 20) -> np.ndarray:
+    """``k`` centres of the weighted candidates: spread ones, moved by a few rounds of k-means."""
+    c = plus_plus(x, k, rng, weight)
+    for _ in range(most):
+        near = squared_distances(x, c).argmin(1)
+        total = np.bincount(near, weight, k)
+        c = np.array([np.average(x[near == i], axis=0, weights=weight[near == i]) if total[i] > 0 else c[i] for i in range(k)])
+    return c
 
 
 def nothing(features: DataFrame, column: str, settings: dict) -> Clustering:
@@ -70,11 +118,11 @@ def width(features: DataFrame, column: str) -> int:
     return row[0] if row else 0
 
 
-def plus_plus(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """Spread first centres: each new one with a probability in proportion to its squared distance."""
-    out = [x[rng.integers(len(x))]]
+def plus_plus(x: np.ndarray, k: int, rng: np.random.Generator, weight: np.ndarray | None = None) -> np.ndarray:
+    """Spread first centres: each new one with a probability in proportion to its squared distance, times its weight."""
+    out = [x[rng.integers(len(x))] if weight is None else x[rng.choice(len(x), p=weight / weight.sum())]]
     while len(out) < k:
-        d = np.min([((x - c) ** 2).sum(1) for c in out], axis=0)
+        d = np.min([((x - c) ** 2).sum(1) for c in out], axis=0) * (1 if weight is None else weight)
         out.append(x[rng.choice(len(x), p=d / d.sum())] if d.sum() else x[rng.integers(len(x))])
     return np.array(out)
 
@@ -85,7 +133,7 @@ def sums_by_start(features: DataFrame, column: str, batch_sums, starts: int, wid
     def run(batches):
         total = np.zeros((starts, width))
         for b in batches:
-            x = np.array(b.column(0).to_pylist(), float)
+            x = matrix(b.column(0))
             if len(x):
                 total += batch_sums(x)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(starts), width)), pa.array(np.tile(np.arange(width), starts)), pa.array(total.ravel())], names=["s", "i", "v"])
@@ -101,7 +149,7 @@ def assign_rows(features: DataFrame, column: str, memberships) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            x = np.array(b.column(1).to_pylist(), float)
+            x = matrix(b.column(1))
             z = memberships(x) if len(x) else np.zeros((0, 1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(z.argmax(1).astype(np.int32)), pa.array(z.max(1) if len(z) else []).cast(pa.float64()), pa.array(list(z), pa.list_(pa.float64()))], names=["instance_id", "cluster", "probability", "z"])
 
@@ -110,14 +158,14 @@ def assign_rows(features: DataFrame, column: str, memberships) -> DataFrame:
 
 @clusterer
 def k_means(features: DataFrame, n_clusters: int = 16, seed: int = 743, n_starts: int = 3, sin_cos: bool = True, column: str = "phases", most: int = 40) -> Clustering:
-    """Lloyd's k-means from spread starts, by default on cosines and sines of the angles; the start of least inertia wins."""
+    """Lloyd's k-means from starts spread over all rows, by default on cosines and sines of the angles; the start of least inertia wins."""
     data = features.select("instance_id", (F.flatten(F.transform(column, lambda x: F.array(F.cos(x), F.sin(x)))) if sin_cos else F.col(column)).alias("__x"))
     data = written(data)
-    first = sample_matrix(data, "__x", seed)
-    if not len(first):
+    far, weight = far_candidates(data, "__x", n_clusters, seed)
+    if not len(far):
         return nothing(data, "__x", {"method": "k_means", "n_clusters": n_clusters, "seed": seed})
-    k = min(n_clusters, len(first))
-    centres = np.array([plus_plus(first, k, np.random.default_rng(seed + s)) for s in range(n_starts)])
+    k = min(n_clusters, len(far))
+    centres = np.array([weighted_centres(far, weight, k, np.random.default_rng(seed + s)) for s in range(n_starts)])
     d = centres.shape[2]
     inertia = np.full(n_starts, np.inf)
     for _ in range(most):
@@ -125,7 +173,7 @@ def k_means(features: DataFrame, n_clusters: int = 16, seed: int = 743, n_starts
         def batch_sums(x, centres=centres):
             out = []
             for c in centres:
-                dist = ((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)[None, :]).clip(0)
+                dist = squared_distances(x, c)
                 near = dist.argmin(1)
                 hot = np.eye(len(c))[near]
                 out.append(np.concatenate((hot.sum(0), (hot.T @ x).ravel(), [dist[np.arange(len(x)), near].sum()])))
@@ -265,27 +313,33 @@ def mixture(
     more than their steps (Euclidean norms) and the log-likelihood by no more than its share.
     """
     features = written(features.select("instance_id", column))
-    first = sample_matrix(features, column, seed)
-    if not len(first):
+    d = width(features, column)
+    if not d:
         return nothing(features, column, {"method": method, "n_clusters": n_clusters, "n_iterations": n_iterations, "seed": seed, "start": start})
-    d, n = first.shape[1], features.count()
-    k = min(n_clusters, len(first))
-    embed = np.concatenate((np.cos(first[:, :angles]), np.sin(first[:, :angles]), first[:, angles:] / (first[:, angles:].std(0) + 1e-12)), axis=1)
-    now = []
-    for s in range(n_starts):
-        rng = np.random.default_rng(seed + s)
-        if start == "k_means":
-            centres = plus_plus(embed, k, rng)
-            for _ in range(20):
-                near = ((embed[:, None, :] - centres[None]) ** 2).sum(2).argmin(1)
-                centres = np.array([embed[near == i].mean(0) if (near == i).any() else centres[i] for i in range(k)])
-        else:
-            near = rng.integers(k, size=len(embed))
-        z = np.eye(k)[near]
-        zero = Mixture(np.full(k, 1 / k), np.zeros((k, d)), np.ones((k, d)), angles)
-        y = first[:, angles:]
-        sums = np.concatenate((z.sum(0), (z.T @ np.cos(first[:, :angles])).ravel(), (z.T @ np.sin(first[:, :angles])).ravel(), (z.T @ y).ravel(), (z.T @ (y * y)).ravel()))
-        now.append(maximise(sums, zero, len(first)))
+    moments = sums_by_start(features, column, lambda x: np.concatenate(([len(x)], x.sum(0), (x * x).sum(0)))[None, :], 1, 1 + 2 * d)[0]
+    n, k = int(moments[0]), min(n_clusters, int(moments[0]))
+    mean = moments[1 : 1 + d] / n
+    std = np.sqrt(np.maximum(moments[1 + d :] / n - mean**2, 0))[angles:] + 1e-12
+
+    def embedded(x: np.ndarray) -> np.ndarray:
+        return np.concatenate((np.cos(x[:, :angles]), np.sin(x[:, :angles]), x[:, angles:] / std), axis=1)
+
+    def first_sums(x: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """Sums of the rows of each first cluster; Gaussian dimensions around the mean of all, as in the iterations."""
+        z, y = np.eye(k)[near], x[:, angles:] - mean[angles:]
+        return np.concatenate((z.sum(0), (z.T @ np.cos(x[:, :angles])).ravel(), (z.T @ np.sin(x[:, :angles])).ravel(), (z.T @ y).ravel(), (z.T @ (y * y)).ravel()))
+
+    if start == "k_means":
+        e = F.col(column)
+        spread = F.concat(*[F.transform(F.slice(e, 1, angles), f) for f in (F.cos, F.sin) if angles], F.zip_with(F.slice(e, angles + 1, max(d - angles, 0)), F.array(*[F.lit(float(v)) for v in std]).cast("array<double>"), lambda x, v: x / v))
+        far, weight = far_candidates(features.select("instance_id", spread.alias("__x")), "__x", k, seed)
+        centres = [weighted_centres(far, weight, min(k, len(far)), np.random.default_rng(seed + s)) for s in range(n_starts)]
+        sums = sums_by_start(features, column, lambda x: np.array([first_sums(x, squared_distances(embedded(x), c).argmin(1)) for c in centres]), n_starts, k + 2 * k * angles + 2 * k * (d - angles))
+    else:
+        some = matrix(features.orderBy(F.xxhash64("instance_id", F.lit(seed)), "instance_id").limit(2000).select(column).toArrow().column(0).combine_chunks())
+        sums = np.array([first_sums(some, np.random.default_rng(seed + s).integers(k, size=len(some))) for s in range(n_starts)])
+    zero = Mixture(np.full(k, 1 / k), np.tile(np.concatenate((np.zeros(angles), mean[angles:])), (k, 1)), np.ones((k, d)), angles)
+    now = [maximise(x, zero, n if start == "k_means" else len(some)) for x in sums]
     ll, cells = np.full(n_starts, -np.inf), k + 2 * k * angles + 2 * k * (d - angles) + 2
     trace: list[list[float]] = []
     for i in range(n_iterations):
