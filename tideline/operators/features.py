@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tideline.functions.angles import divide, phase_steps, zero_small
 from tideline.operators import signals, spectral, structures
 from tideline.operators.interpolate import change_time_base
+from tideline.sources.files import written
 
 
 def with_metadata(features: DataFrame, shots: DataFrame, *columns: str) -> DataFrame:
@@ -21,8 +22,10 @@ def array_samples(samples: DataFrame, grid: DataFrame | None = None, start: floa
     return out if start is None or end is None else signals.reduce_time(out, start, end)
 
 
-def by_structures(samples: DataFrame, n: int = 1024, overlap: float = 1, power_cutoff: float = 0.05, min_svs: int = 2, low: float | None = None, high: float | None = None, other: DataFrame | None = None, **options) -> DataFrame:
-    """Features of the coherent structures of each segment, with the values of other signals at the structure's time.
+def by_structures(samples: DataFrame, n: int = 1024, overlap: float = 1, power_cutoff: float = 0.05, min_svs: int = 2, low: float | None = None, high: float | None = None, other: DataFrame | None = None, spectra: DataFrame | None = None, **options) -> DataFrame:
+    """Features of the coherent structures of each segment, with the values of other signals at the structure's time and its spectrum.
+
+    The spectrum is the complex value of each channel in the cell of ``spectra`` nearest to the structure's time and frequency.
 
     instance_id is made of shot, segment and structure number, so that it needs no ordering.
     """
@@ -35,6 +38,10 @@ def by_structures(samples: DataFrame, n: int = 1024, overlap: float = 1, power_c
         at = change_time_base(other, out.select("shot", F.col("time").alias("t")))
         rows = at.groupBy("shot", "t").agg(F.sort_array(F.collect_list(F.struct("ch_ix", "value"))).alias("z")).select("shot", F.col("t").alias("time"), F.transform("z", lambda z: z["value"]).alias("other"))
         out = out.join(rows, ["shot", "time"], "left")
+    if spectra is not None:
+        out = written(out)
+        cells = spectral.spectrum_at(spectra, out.select(F.col("instance_id").alias("id"), "shot", "time", "freq"))
+        out = out.join(cells.select(F.col("id").alias("instance_id"), F.col("amp").alias("spectrum")), "instance_id", "left")
     return out
 
 

@@ -161,19 +161,56 @@ def rep_dim_hist(features: DataFrame, clusters: DataFrame, bins: int = 180) -> D
     return curve.join(counts, ["dim", "bin"], "left").select("dim", "bin", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("density", F.lit(0.0)).alias("density"), "mixture")
 
 
+def with_mixture(counts: DataFrame, parameters: DataFrame | None, *keys: str, low: float, high: float, bins: int) -> DataFrame:
+    """Every bin with the density at its middle of a mixture of normal clusters (keys, mean, std and n, whose share is a cluster's weight); the counts alone without parameters."""
+    if parameters is None:
+        return counts
+    whole = parameters.groupBy(*keys).agg(F.sum("n").alias("__all"))
+    grid = parameters.join(whole, [*keys]).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    x = F.lit(low) + (F.col("bin") + 0.5) * ((high - low) / bins)
+    curve = grid.groupBy(*keys, "bin").agg(F.sum(F.col("n") / F.col("__all") * normal_pdf(x, F.col("mean"), F.col("std"))).alias("mixture"))
+    return curve.join(counts, [*keys, "bin"], "left").select(*keys, "bin", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("density", F.lit(0.0)).alias("density"), "mixture")
+
+
+def complex_parts(features: DataFrame) -> DataFrame:
+    """cluster (if there is one), dim, part (re or im) and v: the complex values over their row's sum."""
+    rest = [c for c in ("cluster",) if c in features.columns]
+    z = features.select(*rest, F.posexplode(angles.over_sum(F.col("amp"))).alias("dim", "z"))
+    return z.select(*rest, "dim", F.explode(F.array(F.struct(F.lit("re").alias("part"), F.col("z.re").alias("v")), F.struct(F.lit("im").alias("part"), F.col("z.im").alias("v")))).alias("p")).select(*rest, "dim", "p.part", "p.v")
+
+
+def neighbour_ratios(features: DataFrame) -> DataFrame:
+    """cluster (if there is one), dim, v (signed amplitude) and angle of the ratio of neighbours."""
+    rest = [c for c in ("cluster",) if c in features.columns]
+    z = features.select(*rest, F.posexplode(angles.adjacent_ratio(F.col("amp"))).alias("dim", "z"))
+    return z.select(*rest, "dim", angles.signed_amplitude(F.col("z")).alias("v"), F.atan2("z.im", "z.re").alias("angle"))
+
+
+def amplitude_shares(features: DataFrame) -> DataFrame:
+    """cluster (if there is one), dim and v: the magnitudes over their row's sum."""
+    rest = [c for c in ("cluster",) if c in features.columns]
+    rows = features.select(*rest, magnitudes(F.col("amp")).alias("m"))
+    return rows.select(*rest, F.posexplode(over(F.col("m"), array_sum(F.col("m")))).alias("dim", "v"))
+
+
+@report
+def rep_dim_hist_gmm_gmm(features: DataFrame, bins: int = 180, parameters: DataFrame | None = None) -> DataFrame:
+    """Densities of the real and imaginary parts over the channel sum, with the mixture of the parameters (cluster, dim, part, mean, std, n) if given."""
+    counts = statistics.histogram(complex_parts(features).select("dim", "part", "v"), "dim", "part", value="v", bins=bins)
+    return with_mixture(counts, parameters, "dim", "part", low=-math.pi, high=math.pi, bins=bins)
+
+
 @report
-def rep_dim_hist_gmm_gmm(features: DataFrame, bins: int = 180) -> DataFrame:
-    """Densities of the real and imaginary parts over the channel sum."""
-    z = features.select("instance_id", F.posexplode(angles.over_sum(F.col("amp"))).alias("dim", "z"))
-    parts = z.select("dim", F.explode(F.array(F.struct(F.lit("re").alias("part"), F.col("z.re").alias("v")), F.struct(F.lit("im").alias("part"), F.col("z.im").alias("v")))).alias("p")).select("dim", "p.part", "p.v")
-    return statistics.histogram(parts, "dim", "part", value="v", bins=bins)
+def rep_dim_hist_vmm_gmm(features: DataFrame, bins: int = 180, low: float = -5.0, high: float = 5.0, parameters: DataFrame | None = None) -> DataFrame:
+    """Densities of the signed amplitude ratio of neighbours, with the mixture of the parameters (cluster, dim, mean, std, n) if given."""
+    counts = statistics.histogram(neighbour_ratios(features).select("dim", "v"), "dim", value="v", low=low, high=high, bins=bins)
+    return with_mixture(counts, parameters, "dim", low=low, high=high, bins=bins)
 
 
 @report
-def rep_dim_hist_vmm_gmm(features: DataFrame, bins: int = 180, low: float = -5.0, high: float = 5.0) -> DataFrame:
-    """Densities of the signed amplitude ratio of neighbours."""
-    z = features.select(F.posexplode(angles.adjacent_ratio(F.col("amp"))).alias("dim", "z")).select("dim", angles.signed_amplitude(F.col("z")).alias("v"))
-    return statistics.histogram(z, "dim", value="v", low=low, high=high, bins=bins)
+def rep_ratio_angle_hist(features: DataFrame, bins: int = 180) -> DataFrame:
+    """Densities of the angle of the ratio of neighbours."""
+    return statistics.histogram(neighbour_ratios(features).select("dim", "angle"), "dim", value="angle", bins=bins)
 
 
 def magnitudes(amps: Column) -> Column:
@@ -189,11 +226,10 @@ def array_sum(a: Column) -> Column:
 
 
 @report
-def rep_dim_hist_amps(features: DataFrame, bins: int = 180) -> DataFrame:
-    """Densities on [0, 1] of the magnitudes over their row's sum."""
-    rows = features.select("instance_id", magnitudes(F.col("amp")).alias("m"))
-    z = rows.select(F.posexplode(over(F.col("m"), array_sum(F.col("m")))).alias("dim", "v"))
-    return statistics.histogram(z, "dim", value="v", low=0.0, high=1.0, bins=bins)
+def rep_dim_hist_amps(features: DataFrame, bins: int = 180, parameters: DataFrame | None = None) -> DataFrame:
+    """Densities on [0, 1] of the magnitudes over their row's sum, with the mixture of the parameters (cluster, dim, mean, std, n) if given."""
+    counts = statistics.histogram(amplitude_shares(features).select("dim", "v"), "dim", value="v", low=0.0, high=1.0, bins=bins)
+    return with_mixture(counts, parameters, "dim", low=0.0, high=1.0, bins=bins)
 
 
 @report

@@ -279,6 +279,43 @@ def rep_dim_hist_amps(spark, sf_dir):
     return reports.rep_dim_hist_amps(feats(spark, sf_dir), 50)
 
 
+def normal_clusters(rows, *keys):
+    """Normal parameters of the reference clusters."""
+    return rows.groupBy("cluster", *keys).agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.count(F.lit(1)).alias("n"))
+
+
+def mixture_sql(rows: str, keys: str, low: str, width: str, bins: int) -> str:
+    """Histogram and mixture of normal clusters of ``rows`` (cluster, keys, v)."""
+    mid = f"({low} + (bin + 0.5) * {width})"
+    return f"""g AS (SELECT cluster, {keys}, avg(v) AS mean, stddev_pop(v) AS std, count(*) AS n FROM {rows} GROUP BY ALL), w AS (SELECT *, n / sum(n) OVER (PARTITION BY {keys}) AS share FROM g),
+c AS (SELECT {keys}, bin::INT AS bin, sum(share * exp(-pow(({mid} - mean) / std, 2) / 2) / (std * sqrt(2 * pi()))) AS mixture FROM w, range({bins}) b(bin) GROUP BY ALL),
+h AS (SELECT {keys}, least(floor((v - {low}) / {width})::INT, {bins - 1}) AS bin, count(*) AS count FROM {rows} WHERE v >= {low} AND v <= {low} + {bins} * {width} GROUP BY ALL), d AS (SELECT *, count / sum(count) OVER (PARTITION BY {keys}) / {width} AS density FROM h)
+SELECT {keys}, bin, coalesce(count, 0) AS count, coalesce(density, 0) AS density, mixture FROM c LEFT JOIN d USING ({keys}, bin) -- density mixture"""
+
+
+@query(f"WITH {FEATS}, {SUMS}, p AS (SELECT cluster, dim, 're' AS part, re AS v FROM n UNION ALL SELECT cluster, dim, 'im', im FROM n), {mixture_sql('p', 'dim, part', '-pi()', '(2 * pi() / 180)', 180)}")
+def rep_dim_hist_gmm_gmm_mixture(spark, sf_dir):
+    rows = feats(spark, sf_dir)
+    return reports.rep_dim_hist_gmm_gmm(rows, parameters=normal_clusters(reports.complex_parts(rows), "dim", "part"))
+
+
+@query(f"WITH {FEATS}, {RATIO}, a AS (SELECT cluster, dim, CASE WHEN atan2(im, re) < 0 THEN -sqrt(re * re + im * im) ELSE sqrt(re * re + im * im) END AS v FROM z), {mixture_sql('a', 'dim', '-5', '(10.0 / 180)', 180)}")
+def rep_dim_hist_vmm_gmm_mixture(spark, sf_dir):
+    rows = feats(spark, sf_dir)
+    return reports.rep_dim_hist_vmm_gmm(rows, parameters=normal_clusters(reports.neighbour_ratios(rows), "dim"))
+
+
+@query(f"WITH {FEATS}, {RATIO}, h AS (SELECT dim, least(floor((atan2(im, re) + pi()) / (2 * pi() / 180))::INT, 179) AS bin, count(*) AS count FROM z GROUP BY ALL) SELECT *, count / sum(count) OVER (PARTITION BY dim) / (2 * pi() / 180) AS density FROM h -- density")
+def rep_ratio_angle_hist(spark, sf_dir):
+    return reports.rep_ratio_angle_hist(feats(spark, sf_dir))
+
+
+@query(f"WITH {FEATS}, {MAGS}, a AS (SELECT cluster, dim, m / total AS v FROM m), {mixture_sql('a', 'dim', '0', '(1.0 / 180)', 180)}")
+def rep_dim_hist_amps_mixture(spark, sf_dir):
+    rows = feats(spark, sf_dir)
+    return reports.rep_dim_hist_amps(rows, parameters=normal_clusters(reports.amplitude_shares(rows), "dim"))
+
+
 @query(f"WITH {TIGHT} SELECT a.instance_id, a.cluster, a.dim, a.phase AS x, b.phase AS y FROM ph a JOIN ph b ON a.instance_id = b.instance_id AND b.dim = a.dim + 1 WHERE a.instance_id % 2 = 0 AND a.cluster IN (SELECT cluster FROM tight WHERE kappa > 0.4) -- x y")
 def rep_phase_vs_phase(spark, sf_dir):
     return reports.rep_phase_vs_phase(feats(spark, sf_dir), fits(spark, sf_dir), 0.4, 2)

@@ -257,3 +257,18 @@ def shot_failures(spark, sf_dir):
     found = structures.structures(signals.segment(written(smp.withColumn("value", F.when(gone, float("nan")).otherwise(F.col("value")))), 120))
     out = structures.account(found).groupBy("shot", F.col("error").isNotNull().alias("failed")).agg(F.sum("segments").alias("segments"))
     return out.select("shot", "failed", "segments")
+
+
+#: Spectra of the two daily channels in windows of 16, 8 apart.
+TWO_SPECTRA = STFT[len(GRID) :].replace("FROM grid", "FROM two").replace("len AS", "sl AS").replace("JOIN len", "JOIN sl").replace("len.n", "sl.n")
+
+
+@query(f"""WITH {TWO}{TWO_SPECTRA}, a AS (SELECT s.shot, s.seg_ix, s.fs_ix, arg_min(t, (abs(t - s.time), t)) AS t FROM threshold s JOIN (SELECT DISTINCT shot, t FROM spec) USING (shot) GROUP BY ALL),
+b AS (SELECT s.shot, s.seg_ix, s.fs_ix, arg_min(f, (abs(f - s.freq), f)) AS f FROM threshold s JOIN (SELECT DISTINCT shot, f FROM spec) USING (shot) GROUP BY ALL)
+SELECT shot, seg_ix, fs_ix, ch_ix, re / 1e3 AS re, im / 1e3 AS im FROM a JOIN b USING (shot, seg_ix, fs_ix) JOIN spec USING (shot, t, f) -- re im""", digits=3)
+def single_shot_spectrum(spark, sf_dir):
+    """Structures with the spectrum of each channel at their time and frequency."""
+    smp = written(status_days(spark, sf_dir))
+    out = features.by_structures(smp, 120, power_cutoff=0.0, min_svs=1, spectra=written(spectral.stft(smp, 16, 8)), group="threshold")
+    rows = out.select("shot", "seg_ix", "fs_ix", F.posexplode("spectrum").alias("ch_ix", "z"))
+    return rows.select("shot", "seg_ix", "fs_ix", "ch_ix", (F.col("z.re") / 1e3).alias("re"), (F.col("z.im") / 1e3).alias("im"))
