@@ -129,3 +129,18 @@ def test_raw_elements_and_open_tags():
     texts = [w for w, tag, _, _ in html_extract.tokens("a<script>x < y</script >b<b class='c>d'>e<i f=\"g>h") if not tag]
     assert texts == ["a", "b", "e", "<", 'i f="g>h']
     assert [w for w, *_ in html_extract.tokens("<?php x ?>y<!-- z")] == ["y"]
+
+
+def test_intermediate_tables_can_be_discarded(spark, tmp_path):
+    import os
+
+    from tideline.llm import common
+
+    begin = len(common.MADE)
+    common.stored(spark.range(3))
+    second = common.stored(spark.range(5))
+    paths = common.MADE[begin:]
+    common.discard(spark, begin, paths[1])
+    assert common.MADE[begin:] == paths[1:] and not os.path.exists(paths[0]) and second.count() == 5
+    common.discard(spark, begin)
+    assert len(common.MADE) == begin and not os.path.exists(paths[1])

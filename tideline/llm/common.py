@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Folders that this process has named for intermediate tables, in order.
+MADE: list[str] = []
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -37,7 +39,16 @@ def shared_folder(spark: SparkSession) -> str:
     if not top:
         local = conf.get("spark.master", "local").split("[")[0] == "local"
         top = tempfile.mkdtemp(prefix="tideline-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/.tideline"
-    return f"{top.rstrip('/')}/tideline-{uuid.uuid4().hex}"
+    MADE.append(f"{top.rstrip('/')}/tideline-{uuid.uuid4().hex}")
+    return MADE[-1]
+
+
+def discard(spark: SparkSession, since: int = 0, keep: str | None = None) -> None:
+    """Removes the intermediate tables from the ``since``-th on, but ``keep``; what is still to be read from them is lost."""
+    for path in [p for p in MADE[since:] if p != keep]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        MADE.remove(path)
 
 
 def stored(df: DataFrame) -> DataFrame:
