@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm import bpe, exact_dedup, mixing, simhash, toxicity
-from tideline.llm.common import stored, table
+from tideline.llm.common import MADE, discard, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +64,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages in order; what a stage wrote is removed when the next one's result is written."""
+    docs, begin = table(spark, sf_dir, "documents"), len(MADE)
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
+        discard(spark, begin, MADE[-1])
     return STAGES[-1][1](spark, docs, sf_dir)

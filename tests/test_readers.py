@@ -48,3 +48,15 @@ def test_archives(spark, tmp_path):
     np.savez(tmp_path / "13_x.npz", signalexpr="signal = 1")
     with pytest.raises(Exception, match="no signal"):
         spark.read.format("signal_archive").load(str(tmp_path)).collect()
+
+
+def test_written_tables_can_be_discarded(spark):
+    from tideline.sources import files
+
+    begin = len(files.MADE)
+    kept = files.written(spark.range(4))
+    assert kept.count() == 4
+    files.discard(spark, begin)
+    assert len(files.MADE) == begin
+    with pytest.raises(Exception, match="(?i)not exist|not found|FAILED_READ_FILE"):
+        kept.collect()

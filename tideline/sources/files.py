@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from tideline.registry import source
 
+#: Folders that this process has named, in order.
+MADE: list[str] = []
 RECORDED = "name string, sample_ix long, t double, value double"
 
 
@@ -23,7 +25,16 @@ def shared_folder(spark: SparkSession) -> str:
     top = conf.get("spark.checkpoint.dir")
     if not top:
         top = tempfile.mkdtemp() if conf.get("spark.master", "local").split("[")[0] == "local" else spark.conf.get("spark.sql.warehouse.dir")
-    return f"{top.rstrip('/')}/saved-{uuid.uuid4().hex}"
+    MADE.append(f"{top.rstrip('/')}/saved-{uuid.uuid4().hex}")
+    return MADE[-1]
+
+
+def discard(spark: SparkSession, since: int = 0) -> None:
+    """Removes the folders named from the ``since``-th on; what is still to be read from them is lost."""
+    for path in MADE[since:]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    del MADE[since:]
 
 
 def written(rows: DataFrame) -> DataFrame:
