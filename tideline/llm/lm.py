@@ -422,32 +422,24 @@ class Machine:
     def score(self, begin: int, end: int) -> float:
         """log10 probability of the text between two places, of which the first is the end before it; one traversal that carries the state.
 
-        The state is the number of words remembered; which ones is clear from the place. The
-        weights of its failure arcs are carried with it.
+        The state is carried as the weights of its failure arcs: that of the last two words, if they are a
+        state, and that of the last word, to which the first leads, if it is one (else NaN).
         """
         word, two, three = self.word[begin:end], self.two[begin:end], self.three[begin:end]
         follow = zip(*(x.tolist() for x in (self.unigram[word], self.arc2[two], self.arc3[three], self.back1[word], self.back2[two])), strict=True)
-        _, _, _, fail1, _ = next(follow)
-        remembered, fail2, total = int(fail1 == fail1), 0.0, 0.0
+        fail1, fail2, total = next(follow)[3], math.nan, 0.0
         for free, arc2, arc3, next1, next2 in follow:
-            while True:
-                if remembered == 2:
-                    if arc3 == arc3:
-                        total += arc3
-                        break
-                    total += fail2
-                    remembered = int(fail1 == fail1)
-                elif remembered:
-                    if arc2 == arc2:
-                        total += arc2
-                        break
-                    total += fail1
-                    remembered = 0
-                else:
-                    total += free
-                    break
+            if fail2 == fail2:
+                if arc3 == arc3:
+                    total += arc3
+                    fail1, fail2 = next1, next2
+                    continue
+                total += fail2
+            if fail1 == fail1:
+                total += arc2 if arc2 == arc2 else fail1 + free
+            else:
+                total += free
             fail1, fail2 = next1, next2
-            remembered = 2 if next2 == next2 else int(next1 == next1)
         return total
 
 
