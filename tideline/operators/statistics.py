@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,11 +150,43 @@ def histogram(rows: DataFrame, *keys: str, value: str = "phase", low: float = -m
 
 
 def covariances(rows: DataFrame, value: str = "phase", pearson: bool = False) -> DataFrame:
-    """Population covariance or correlation of every pair of dimensions of each cluster."""
-    packed = rows.groupBy("cluster", "instance_id").agg(F.sort_array(F.collect_list(F.struct("dim", F.col(value).alias("x")))).alias("z"))
-    pairs = packed.select("cluster", F.explode("z").alias("a"), "z").select("cluster", "a", F.explode("z").alias("b"))
-    agg = F.corr if pearson else F.covar_pop
-    return pairs.groupBy("cluster", F.col("a.dim").alias("dim_a"), F.col("b.dim").alias("dim_b")).agg(agg("a.x", "b.x").alias("covariance"))
+    """Population covariance or correlation of every pair of dimensions of each cluster.
+
+    The rows of an instance are packed; sums of products are made for each cluster within Arrow
+    batches as matrix products, so that only a few numbers for each cluster, pair and task are
+    shuffled, not the pairs of every instance. Products are taken around the batch's means.
+    """
+    packed = rows.groupBy("cluster", "instance_id").agg(F.sort_array(F.collect_list(F.struct("dim", F.col(value).cast("double").alias("x")))).alias("z"))
+    kind = dict(rows.dtypes)["cluster"]
+
+    def run(batches):
+        for b in batches:
+            held: dict[tuple, list[list[float]]] = {}
+            for cluster, dims, x in zip(b["cluster"].to_pylist(), b["dims"].to_pylist(), b["x"].to_pylist(), strict=True):
+                held.setdefault((cluster, tuple(dims)), []).append(x)
+            out: list[list] = [[] for _ in range(8)]
+            for (cluster, dims), own in held.items():
+                x = np.array(own, float)
+                mean = x.mean(0)
+                y = x - mean
+                product, d = y.T @ y, len(dims)
+                i, j = np.repeat(np.arange(d), d), np.tile(np.arange(d), d)
+                for column, values in zip(out, ([cluster] * (d * d), np.array(dims)[i], np.array(dims)[j], np.full(d * d, len(x)), mean[i], mean[j], product.ravel(), np.tile(np.diag(product), d).reshape(d, d).T.ravel()), strict=True):
+                    column.extend(values)
+            kinds = (b["cluster"].type, pa.int32(), pa.int32(), pa.int64(), *(pa.float64(),) * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["cluster", "dim_a", "dim_b", "n", "mean_a", "mean_b", "product", "square_a"])
+
+    lists = packed.select("cluster", F.transform("z", lambda z: z["dim"].cast("int")).alias("dims"), F.transform("z", lambda z: z["x"]).alias("x"))
+    parts = lists.mapInArrow(run, f"cluster {kind}, dim_a int, dim_b int, n long, mean_a double, mean_b double, product double, square_a double")
+    n, a, b_ = F.col("n"), F.col("mean_a"), F.col("mean_b")
+    sums = parts.groupBy("cluster", "dim_a", "dim_b").agg(
+        F.sum(n).alias("n"), F.sum(n * a).alias("a"), F.sum(n * b_).alias("b"), F.sum(F.col("product") + n * a * b_).alias("ab"), F.sum(F.col("square_a") + n * a * a).alias("aa")
+    )
+    both = sums.select("cluster", "dim_a", "dim_b", (F.col("ab") / F.col("n") - F.col("a") / F.col("n") * F.col("b") / F.col("n")).alias("covariance"), (F.col("aa") / F.col("n") - F.pow(F.col("a") / F.col("n"), 2)).alias("own"))
+    if not pearson:
+        return both.drop("own")
+    other = both.where("dim_a = dim_b").select("cluster", F.col("dim_a").alias("dim_b"), F.col("own").alias("their"))
+    return both.join(other, ["cluster", "dim_b"]).select("cluster", "dim_a", "dim_b", F.try_divide(F.col("covariance"), F.sqrt(F.col("own") * F.col("their"))).alias("covariance"))
 
 
 def mean_off_diagonal(table: DataFrame) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tideline.operators import reports, signals, structures
+from tideline.operators import reports, signals
 from tideline.plans.base import DAILY, FEATS, query
+from tideline.plans.structure_queries import decomposed
 from tideline.sources import files
 from tideline.sources.tables import daily, features
 
@@ -15,23 +16,6 @@ def rep_signals(spark, sf_dir):
     return reports.rep_signals(daily(spark, sf_dir), 10)
 
 
-def decomposed(spark, sf_dir):
-    smp = signals.segment(daily(spark, sf_dir), 120)
-    return structures.svd(smp)
-
-
-@query()
-def rep_svd_topos(spark, sf_dir):
-    """Weights as magnitudes: the sign of a singular vector is free."""
-    return reports.rep_svd_topos(decomposed(spark, sf_dir)).withColumn("topo", F.abs("topo"))
-
-
-@query()
-def rep_svd_spectra(spark, sf_dir):
-    """A day is taken for a microsecond."""
-    return reports.rep_svd_spectra(decomposed(spark, sf_dir), 1e-6, 200.0)
-
-
 @query(f"""WITH {DAILY}, g AS (SELECT *, sample_ix // 120 AS seg_ix FROM daily), n AS (SELECT shot, max(sample_ix) + 1 AS n FROM daily GROUP BY 1)
 SELECT shot, seg_ix, sum(value * value) / 1e9 AS energy FROM g JOIN n USING (shot) WHERE (seg_ix + 1) * 120 < n GROUP BY ALL -- energy""")
 def svd_rebuilt_energy(spark, sf_dir):

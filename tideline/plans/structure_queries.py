@@ -272,3 +272,28 @@ def single_shot_spectrum(spark, sf_dir):
     out = features.by_structures(smp, 120, power_cutoff=0.0, min_svs=1, spectra=written(spectral.stft(smp, 16, 8)), group="threshold")
     rows = out.select("shot", "seg_ix", "fs_ix", F.posexplode("spectrum").alias("ch_ix", "z"))
     return rows.select("shot", "seg_ix", "fs_ix", "ch_ix", (F.col("z.re") / 1e3).alias("re"), (F.col("z.im") / 1e3).alias("im"))
+
+
+#: Unit eigenvectors of the Gram matrix: of the products of two rows of the matrix less the eigenvalue the longest.
+VECTORS = (
+    EIGEN
+    + """,
+rows_ AS (SELECT e.*, aa - s2 AS a1, ab AS a2, ac AS a3, ab AS b1, bb - s2 AS b2, bc AS b3, ac AS c1, bc AS c2, cc - s2 AS c3 FROM eig e JOIN gm USING (shot, seg_ix)),
+crosses AS (SELECT shot, seg_ix, number, s2, unnest([[a2 * b3 - a3 * b2, a3 * b1 - a1 * b3, a1 * b2 - a2 * b1], [a2 * c3 - a3 * c2, a3 * c1 - a1 * c3, a1 * c2 - a2 * c1], [b2 * c3 - b3 * c2, b3 * c1 - b1 * c3, b1 * c2 - b2 * c1]]) AS v FROM rows_),
+vec AS (SELECT shot, seg_ix, number, any_value(s2) AS s2, arg_max(v, v[1] * v[1] + v[2] * v[2] + v[3] * v[3]) AS v, sqrt(max(v[1] * v[1] + v[2] * v[2] + v[3] * v[3])) AS size FROM crosses GROUP BY ALL)"""
+)
+
+
+@query(f"WITH {VECTORS} SELECT shot, seg_ix, number, ch_ix::INT AS ch_ix, abs(v[ch_ix + 1]) / size AS topo FROM vec, range(3) r(ch_ix) -- topo", digits=3)
+def rep_svd_topos(spark, sf_dir):
+    """Weights as magnitudes: the sign of a singular vector is free."""
+    return reports.rep_svd_topos(decomposed(spark, sf_dir)).withColumn("topo", F.abs("topo"))
+
+
+@query(f"""WITH {VECTORS}, num AS (SELECT *, row_number() OVER (PARTITION BY shot, seg_ix ORDER BY sample_ix) - 1 AS k, count(*) OVER (PARTITION BY shot, seg_ix) AS n FROM seg),
+ch AS (SELECT m.shot, m.seg_ix, number, k, n, (v[1] * a + v[2] * b + v[3] * c) / size / sqrt(s2) AS x FROM num m JOIN vec ON vec.shot = m.shot AND vec.seg_ix = m.seg_ix)
+SELECT shot, seg_ix, number, f::INT AS f_ix, f / (any_value(n) * 1e-6 * 1000) AS f_khz, sqrt(pow(sum(x * cos(2 * pi() * f * k / n)), 2) + pow(sum(x * sin(2 * pi() * f * k / n)), 2)) AS magnitude
+FROM ch, range(61) r(f) WHERE f <= n // 2 AND f / (n * 1e-6 * 1000) <= 200 GROUP BY shot, seg_ix, number, f -- f_khz magnitude""", digits=3)
+def rep_svd_spectra(spark, sf_dir):
+    """A day is taken for a microsecond."""
+    return reports.rep_svd_spectra(decomposed(spark, sf_dir), 1e-6, 200.0).withColumn("f_ix", F.col("f_ix").cast("int"))
