@@ -229,12 +229,12 @@ def get_array_data(spark, sf_dir):
     return rows.groupBy("shot", "ch_ix").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
-@query(f"""WITH {DAILY}, c AS (SELECT shot AS key, t AS x, max(CASE ch_ix WHEN 0 THEN value END) / 1e3 AS y1, max(CASE ch_ix WHEN 1 THEN value END) / 1e3 AS y2 FROM daily GROUP BY ALL),
+@query(f"""WITH {DAILY}, c AS (SELECT shot AS key, t AS x, max(CASE ch_ix WHEN 0 THEN value END) AS y1, max(CASE ch_ix WHEN 1 THEN value END) AS y2 FROM daily GROUP BY ALL),
 l AS (SELECT *, y1 - y2 AS d, lag(y1 - y2) OVER w AS d0, lag(x) OVER w AS x0, lag(y1) OVER w AS y0 FROM c WINDOW w AS (PARTITION BY key ORDER BY x))
 SELECT key, x, y1, y2, sign(d)::INT AS sign, false AS crossing FROM l UNION ALL SELECT key, x0 + d0 / (d0 - d) * (x - x0), y0 + d0 / (d0 - d) * (y1 - y0), y0 + d0 / (d0 - d) * (y1 - y0), 0, true FROM l WHERE d0 * d < 0 -- x y1 y2""")
 def rep_pos_neg_fill(spark, sf_dir):
     """Where two of the daily channels cross."""
-    rows = daily(spark, sf_dir).groupBy(F.col("shot").alias("key"), F.col("t").alias("x")).pivot("ch_ix", [0, 1]).agg(F.max("value") / 1e3)
+    rows = daily(spark, sf_dir).groupBy(F.col("shot").alias("key"), F.col("t").alias("x")).pivot("ch_ix", [0, 1]).agg(F.max("value"))
     return reports.rep_pos_neg_fill(rows.withColumnsRenamed({"0": "y1", "1": "y2"}))
 
 
