@@ -278,7 +278,7 @@ LINE_COILS = ", ".join(f"({i}, {th}::DOUBLE, {ph}::DOUBLE)" for i, (th, ph) in e
 
 
 @query(f"""WITH m AS (SELECT DISTINCT -(s_suppkey % 7)::INT AS n, (s_suppkey % 5)::INT AS m FROM supplier), c AS (SELECT * FROM (VALUES {LINE_COILS}) v(place, theta, phi)), p AS (SELECT n, m, place, radians(m * theta + n * phi) AS p FROM m, c), d AS (SELECT *, p - lag(p) OVER (PARTITION BY n, m ORDER BY place) AS d FROM p),
-w AS (SELECT *, CASE WHEN d < -1.5 * pi() THEN d + 2 * pi() WHEN d > 0.5 * pi() THEN d - 2 * pi() ELSE d END AS x FROM d) SELECT n, m, place, coalesce(sum(x) OVER (PARTITION BY n, m ORDER BY place), 0) / (2 * pi()) AS turns FROM w -- turns""")
+w AS (SELECT *, CASE WHEN d < -1.5 * pi() THEN d + 2 * pi() WHEN d > 0.5 * pi() THEN d - 2 * pi() ELSE d END AS x FROM d) SELECT n, m, place, coalesce(sum(x) OVER (PARTITION BY n, m ORDER BY place), 0) / (2 * pi()) AS turns FROM w -- turns""", digits=6)
 def rep_mode_lines(spark, sf_dir):
     """Lines of the modes that the suppliers' numbers name."""
     modes = table(spark, sf_dir, "supplier").select((-(F.col("s_suppkey") % 7)).cast("int").alias("n"), (F.col("s_suppkey") % 5).cast("int").alias("m")).distinct()
