@@ -37,13 +37,18 @@ def i1e(x: Column) -> Column:
     return F.when(x < TURN, small).otherwise(horner(I1_LARGE, TURN / x) / F.sqrt(x))
 
 
+def ln(x: Column) -> Column:
+    """Natural logarithm as doubles have it: -inf of 0 and NaN below; Spark's own gives nulls there, which averages would leave out."""
+    return F.when(x > 0, F.log(x)).when(x == 0, F.lit(-math.inf)).when(x < 0, F.lit(math.nan))
+
+
 def log_i0(x: Column) -> Column:
     return F.log(i0e(x)) + x
 
 
 def kappa_to_std(kappa: Column, degrees: bool = False) -> Column:
-    """Circular standard deviation sqrt(-2 ln(I1/I0))."""
-    std = F.sqrt(-2 * F.log(i1e(kappa) / i0e(kappa)))
+    """Circular standard deviation sqrt(-2 ln(I1/I0)); infinite at 0."""
+    std = F.sqrt(-2 * ln(i1e(kappa) / i0e(kappa)))
     return F.degrees(std) if degrees else std
 
 
