@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import duckdb
 import pytest
 
@@ -33,3 +35,10 @@ def agrees(name, spark, zeros, con):
 
 def test_convert_kappa_std_at_0(spark, zeros, con):
     assert agrees("convert_kappa_std", spark, zeros, con)[1]["std"] == float("inf")
+
+
+def test_gamma_fit_of_values_with_a_0(spark, zeros, con):
+    """No gamma distribution has a value of 0; the other type is fitted."""
+    got = agrees("gamma_fit", spark, zeros, con)
+    assert math.isnan(got["click"]["shape"]) and math.isnan(got["click"]["theta"])
+    assert got["view"]["shape"] > 0

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.angles import clipped_kappa, kappa_from_r
-from tideline.functions.bessel import kappa_to_std, von_mises_pdf
+from tideline.functions.bessel import kappa_to_std, ln, von_mises_pdf
 from tideline.operators import blocks
 
 
@@ -43,9 +43,9 @@ def gaussian_fit(rows: DataFrame, *keys: str, value: str = "value", weight: str
 
 
 def gamma_fit(rows: DataFrame, *keys: str, value: str = "value") -> DataFrame:
-    """Shape and scale of a gamma distribution by the closed approximation of its maximum likelihood."""
-    s = F.log("m") - F.col("l")
-    sums = rows.groupBy(*keys).agg(F.avg(value).alias("m"), F.avg(F.log(value)).alias("l"))
+    """Shape and scale of a gamma distribution by the closed approximation of its maximum likelihood; NaN for values that no such distribution has (0 or less)."""
+    s = ln(F.col("m")) - F.col("l")
+    sums = rows.groupBy(*keys).agg(F.avg(value).alias("m"), F.avg(ln(F.col(value))).alias("l"))
     k = (3 - s + F.sqrt(F.pow(s - 3, 2) + 24 * s)) / (12 * s)
     return sums.select(*keys, k.alias("shape"), (F.col("m") / k).alias("theta"))
 
