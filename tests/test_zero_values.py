@@ -42,3 +42,8 @@ def test_gamma_fit_of_values_with_a_0(spark, zeros, con):
     got = agrees("gamma_fit", spark, zeros, con)
     assert math.isnan(got["click"]["shape"]) and math.isnan(got["click"]["theta"])
     assert got["view"]["shape"] > 0
+
+
+def test_normal_pdf_at_0(spark, zeros, con):
+    got = agrees("normal_pdf", spark, zeros, con)[1]
+    assert (got["x"], got["density"]) == (float("-inf"), 0.0)

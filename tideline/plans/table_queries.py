@@ -35,7 +35,7 @@ def convert_kappa_std(spark, sf_dir):
 
 @query("SELECT event_id AS id, ln(value) - 3 AS x, exp(-pow((ln(value) - 3 - 0.3) / 0.7, 2) / 2) / (0.7 * sqrt(2 * pi())) AS density FROM events -- x density")
 def normal_pdf(spark, sf_dir):
-    x = F.log("value") - 3
+    x = bessel.ln(F.col("value")) - 3
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), x.alias("x"), bessel.normal_pdf(x, F.lit(0.3), F.lit(0.7)).alias("density"))
 
 
