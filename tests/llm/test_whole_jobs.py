@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tideline.llm import lm, mixing
+from tideline.llm import lm, mixing, secrets
 
 
 @pytest.fixture(scope="module")
@@ -65,3 +65,17 @@ def test_mixing_takes_targets_and_a_yield(spark, sf):
     for r in mixing.residuals(cells, targets=targets).where("by = 'lang'").collect():
         assert r["target"] == pytest.approx(1 / len(labels))
         assert r["share"] - r["target"] == pytest.approx(r["residual"])
+
+
+def test_secret_models_learn_from_every_document(spark):
+    """More documents than were once drawn, each with a word of its own; joined words fall into parts that count the same pairs of characters."""
+    texts = [f"{'ghijklmnop'[i % 10] * (2 + i // 10)} stands here token=abcdefgh" for i in range(500)]
+    docs = spark.createDataFrame(list(enumerate([*texts, None, ""])), "doc_id long, text string")
+    ordinary = {r["s"] for r in secrets.labelled_samples(docs).where("label = 'ordinary'").collect()}
+    assert ordinary >= {t.split()[0] for t in texts} | {t.split()[0] + "_stands" for t in texts}
+    assert not any("abcdefgh" in s for s in ordinary)
+    words = secrets.ordinary_words(docs).where(~secrets.held("w")).select(F.explode(F.array(F.col("w"), secrets.joined())).alias("s"))
+    made = secrets.made_strings(spark).where(~secrets.held("s"))
+    whole = made.unionByName(words.select(F.lit("ordinary").alias("label"), "s"))
+    assert secrets.train(secrets.training_strings(docs)) == secrets.train(whole)
+    assert secrets.learnt(docs)[0] == secrets.train(whole)

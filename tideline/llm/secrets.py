@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import stored, whole_text
+from tideline.llm.common import whole_text
 
 #: The base patterns, the group that is measured and its least length.
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -97,15 +97,21 @@ def untouched(candidates: Column, base: Column) -> Column:
     return bound(both, free)
 
 
-def labelled_samples(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", documents: int = 400, strings: int = 4000) -> DataFrame:
-    """label (random or ordinary) and s: the sample that the models are trained on.
+def ordinary_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """w and next: every word of every text with the one behind it (``id`` behind the last); what the base patterns find is left out of the texts."""
+    words = docs.select(F.regexp_extract_all(F.regexp_replace(whole_text(text_col), f"{ASSIGN}|{ACCESS}|[0-9a-f]{{24,}}", " "), F.lit("[A-Za-z]{2,}"), F.lit(0)).alias("w"))
+    behind = F.concat(F.slice("w", 2, F.size("w")), F.array(F.lit("id")))
+    # An inner explode would be given a test for empty arrays below it, which matches the patterns once more.
+    return words.select(F.explode_outer(F.arrays_zip(F.col("w").alias("w"), behind.alias("next"))).alias("z")).select("z.w", "z.next").where("w IS NOT NULL")
 
-    Random strings are ``strings`` digests written in hexadecimal, base 64, lower-case and
-    upper-case base 36. Ordinary ones are the words of the ``documents`` documents with the
-    smallest id hash, pairs of neighbouring words joined as identifiers are, and ``strings``
-    decimal numbers; what the base patterns find is left out of their texts.
-    """
-    spark: SparkSession = docs.sparkSession
+
+def joined() -> Column:
+    """Neighbouring words joined as identifiers are."""
+    return F.concat_ws("_", "w", "next")
+
+
+def made_strings(spark: SparkSession, strings: int = 4000) -> DataFrame:
+    """label and s: ``strings`` digests written in hexadecimal, base 64, lower-case and upper-case base 36 (random), and as many decimal numbers (ordinary)."""
     digest = F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")), 256)
     packed = F.base64(F.unhex(digest))
     made = spark.range(strings, numPartitions=1).select(
@@ -116,31 +122,47 @@ def labelled_samples(docs: DataFrame, text_col: str = "text", id_col: str = "doc
         .otherwise(F.regexp_replace(packed, "[^A-Za-z0-9]", ""))
         .alias("s"),
     )
-    # Their number is bounded by ``documents``, so they can be broadcast.
-    own = docs.select(F.col(id_col).alias("own"), whole_text(text_col).alias("text"))
-    picked = own.select(F.col("own").alias("picked")).orderBy(F.xxhash64("picked"), "picked").limit(documents)
-    # Written, as the test for words would else move below the join and be made on every text.
-    words = (
-        stored(own.join(F.broadcast(picked), F.col("own") == F.col("picked"), "left_semi").select("text"))
-        .select(F.regexp_extract_all(F.regexp_replace("text", f"{ASSIGN}|{ACCESS}|[0-9a-f]{{24,}}", " "), F.lit("[A-Za-z]{2,}"), F.lit(0)).alias("w"))
-    )
-    next_word = F.concat(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), F.array(F.lit("id")))
-    joined = F.zip_with("w", next_word, lambda a, b: F.concat_ws("_", a, b))
-    ordinary = words.where(F.size("w") > 0).select(F.lit("ordinary").alias("label"), F.explode(F.concat("w", joined)).alias("s"))
     numbers = spark.range(strings, numPartitions=1).select(F.lit("ordinary").alias("label"), F.regexp_replace(F.translate(digest, "abcdef", "012345"), "^0+", "").alias("s"))
-    return made.unionByName(ordinary).unionByName(numbers)
+    return made.unionByName(numbers)
+
+
+def labelled_samples(docs: DataFrame, text_col: str = "text", strings: int = 4000) -> DataFrame:
+    """label (random or ordinary) and s: made strings, and all words of all documents, alone and joined with the next."""
+    words = ordinary_words(docs, text_col).select(F.lit("ordinary").alias("label"), F.explode(F.array(F.col("w"), joined())).alias("s"))
+    return made_strings(docs.sparkSession, strings).unionByName(words)
+
+
+def held(s: str) -> Column:
+    """A fifth of the strings; joined words go with the first one."""
+    return F.pmod(F.xxhash64(s), F.lit(5)) == 0
+
+
+def training_strings(docs: DataFrame, text_col: str = "text", strings: int = 4000) -> DataFrame:
+    """label, s and n, how often it stands there: what four fifths of the labelled strings consist of.
+
+    Joined words fall into ``w_`` and ``_next``, which have the same pairs of characters, so that no more is grouped
+    than the single words, however many pairs of words there are.
+    """
+    words = ordinary_words(docs, text_col).where(~held("w"))
+    ends = words.select(F.explode(F.array(F.struct(F.col("w").alias("s"), F.lit(True).alias("first")), F.struct(F.col("next").alias("s"), F.lit(False).alias("first")))).alias("z"))
+    ends = ends.groupBy("z.s", "z.first").agg(F.count(F.lit(1)).alias("n"))
+    parts = F.when(F.col("first"), F.array(F.col("s"), F.concat("s", F.lit("_")))).otherwise(F.array(F.concat(F.lit("_"), "s")))
+    made = made_strings(docs.sparkSession, strings).where(~held("s")).withColumn("n", F.lit(1).cast("long"))
+    return made.unionByName(ends.select(F.lit("ordinary").alias("label"), F.explode(parts).alias("s"), "n"))
 
 
 def train(samples: DataFrame, alpha: float = 0.5) -> list[float]:
     """Log-likelihood ratios (random over ordinary) of every next character, flattened by character and next character.
 
-    First-order models with add-alpha smoothing. At most 2 x 67 x 67 counts reach the driver.
+    First-order models with add-alpha smoothing; strings count ``n`` times where there is such a column. At most
+    2 x 67 x 67 counts reach the driver.
     """
+    times = F.col("n") if "n" in samples.columns else F.lit(1)
     pairs = samples.where(F.char_length("s") > 1).select(
-        "label", F.explode(F.transform(F.sequence(F.lit(1), F.char_length("s") - 1), lambda i: F.substring(F.col("s"), i, F.lit(2)))).alias("pair")
+        "label", times.alias("n"), F.explode(F.transform(F.sequence(F.lit(1), F.char_length("s") - 1), lambda i: F.substring(F.col("s"), i, F.lit(2)))).alias("pair")
     )
     counts: dict[str, dict[tuple[int, int], int]] = {"random": {}, "ordinary": {}}
-    for r in pairs.groupBy("label", "pair").agg(F.count(F.lit(1)).alias("n")).where(F.col("pair").rlike(r"^[A-Za-z0-9+/_=-]{2}$")).collect():
+    for r in pairs.groupBy("label", "pair").agg(F.sum("n").alias("n")).where(F.col("pair").rlike(r"^[A-Za-z0-9+/_=-]{2}$")).collect():
         counts[r["label"]][(ALPHABET.index(r["pair"][0]), ALPHABET.index(r["pair"][1]))] = r["n"]
     table = {}
     for label, seen in counts.items():
@@ -157,16 +179,19 @@ def ratio(s: Column, table: list[float]) -> Column:
     return F.aggregate(pairs, F.lit(0.0), lambda acc, i: acc + F.get(known, i))
 
 
-def learnt(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = 1e-3) -> tuple[list[float], float]:
+def learnt(docs: DataFrame, text_col: str = "text", rate: float = 1e-3, strings: int = 4000) -> tuple[list[float], float]:
     """The table of ratios, and the least ratio of a secret.
 
-    Both come from labelled samples: four fifths of them train the models; the least ratio is the one that a
-    share ``rate`` of the ordinary strings of 16 characters or more in the last fifth exceeds.
+    Both come from all labelled strings: four fifths of them train the models; the least ratio is the one that a
+    share ``rate`` of the ordinary strings of 16 characters or more in the last fifth exceeds, to a hundredth.
     """
-    samples = labelled_samples(docs, text_col, id_col).withColumn("__held", F.pmod(F.xxhash64("s"), F.lit(5)) == 0)
-    table = train(samples.where("not __held").drop("__held"))
-    ordinary = samples.where("__held and label = 'ordinary'").where(F.col("s").rlike(f"^{CANDIDATE}$"))
-    least = ordinary.agg(F.percentile_approx(ratio(F.col("s"), table), 1 - rate, 100_000)).first()[0]
+    table = train(training_strings(docs, text_col, strings))
+    words = ordinary_words(docs, text_col).where(held("w")).select(F.explode(F.array(F.col("w"), joined())).alias("s"))
+    numbers = made_strings(docs.sparkSession, strings).where("label = 'ordinary'").where(held("s")).select("s")
+    ordinary = words.unionByName(numbers).where(F.char_length("s") >= 16)
+    # Grouped first: there are as many different values as hundredths in their range, whatever the number of strings.
+    ratios = ordinary.groupBy(F.round(ratio(F.col("s"), table), 2).alias("ratio")).agg(F.count(F.lit(1)).alias("n"))
+    least = ratios.agg(F.percentile("ratio", 1 - rate, F.col("n"))).first()[0]
     return table, max(0.0, least or 0.0)
 
 
