@@ -82,8 +82,9 @@ def parse_settings(text: Column) -> Column:
     """Map of the ``key: value`` lines of a settings text; other lines are left out and the last of equal keys counts."""
     lines = F.filter(F.split(text, r"\r?\n"), lambda x: F.instr(x, ":") > 0)
     pairs = F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("key"), F.trim(F.substr(x, F.instr(x, ":") + 1)).alias("value")))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
-    return F.map_from_entries(last)
+    # The pairs are made once for each text, not once more for each of its lines.
+    last = F.transform(F.array(pairs), lambda ps: F.filter(ps, lambda p, i: ~F.exists(F.slice(ps, i + 2, F.size(ps)), lambda q: q["key"] == p["key"])))
+    return F.map_from_entries(F.get(last, F.lit(0)))
 
 
 def settings_text(settings: Column) -> Column:

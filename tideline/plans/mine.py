@@ -59,18 +59,17 @@ class Settings:
 
 def settings_table(rows: DataFrame, text: str) -> DataFrame:
     """Every setting (name, value as text) of each row's settings text, by unambiguously shortened keys, completed by the defaults."""
-    spark = rows.sparkSession
     rest = [c for c in rows.columns if c != text]
-    known = spark.createDataFrame([(k, str(v)) for k, v in asdict(Settings()).items()], "name string, __default string")
-    every = F.array(*[F.lit(f.name) for f in fields(Settings)])
+    names = [f.name for f in fields(Settings)]
+    meant = {n[:i]: [m for m in names if m.startswith(n[:i])] for n in names for i in range(1, len(n) + 1)} | {n: [n] for n in names}
+    #: The setting that each unambiguous key stands for.
+    known = F.create_map(*[F.lit(x) for key, found in meant.items() if len(found) == 1 for x in (key, found[0])])
 
-    def wanted(key):
-        exact, begun = F.filter(every, lambda n: n == key), F.filter(every, lambda n: (key != "") & n.startswith(key))
-        return F.when(F.size(exact) == 1, F.get(exact, F.lit(0))).when(F.size(begun) == 1, F.get(begun, F.lit(0)))
-
-    pairs = F.transform(F.map_entries(parse_settings(F.col(text))), lambda e: F.struct(wanted(e["key"]).alias("name"), e["value"].alias("value")))
+    pairs = F.transform(F.map_entries(parse_settings(F.col(text))), lambda e: F.struct(F.try_element_at(known, e["key"]).alias("name"), e["value"].alias("value")))
     given = F.map_from_entries(F.filter(pairs, lambda p: p["name"].isNotNull()))
-    return rows.select(*rest, given.alias("__given")).join(known, how="cross").select(*rest, "name", F.coalesce(F.get(F.transform(F.array("__given"), lambda g: F.try_element_at(g, F.col("name"))), 0), F.col("__default")).alias("value"))
+    # A text's own settings are looked up row by row; a join with the table of defaults would parse each text once for every partition of it.
+    completed = lambda g: F.array(*[F.struct(F.lit(k).alias("name"), F.coalesce(F.try_element_at(g, F.lit(k)), F.lit(str(v))).alias("value")) for k, v in asdict(Settings()).items()])
+    return rows.select(*rest, F.explode(F.get(F.transform(F.array(given), completed), 0)).alias("__z")).select(*rest, "__z.name", "__z.value")
 
 
 def shot_clusters(features: DataFrame, settings: Settings, iterations: int | None = None) -> DataFrame:
