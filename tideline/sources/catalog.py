@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.registry import SOURCES
+from tideline.sources.files import written
 
 # The section types, and the sections without a name.
 TYPES = ("Device", "Diagnostic", "Acquisition", "CoordTransform")
@@ -18,11 +19,20 @@ OPTION_TYPES = ("str", "float", "int", "bool")
 def parse(lines: DataFrame) -> DataFrame:
     """section and option rows of configuration texts: layer, section_type, name, option, value.
 
-    ``lines`` has layer, line_no and line; a line belongs to the last section line before it.
+    ``lines`` has layer, line_no and line; a line belongs to the last section line before it. Lines lie in sampled
+    ranges of their order, and each range's last section line is carried into those behind it, so that a layer may be long.
     """
+    from tideline.operators import blocks
+
     head = F.regexp_extract("line", r"^\s*\[([^\]]+)\]\s*$", 1)
-    own = Window.partitionBy("layer").orderBy("line_no")
-    tagged = lines.where(~F.col("line").rlike(r"^\s*([#;].*)?$")).withColumn("head", head).withColumn("section", F.last(F.when(F.col("head") != "", F.col("head")), ignorenulls=True).over(own))
+    told = lines.where(~F.col("line").rlike(r"^\s*([#;].*)?$")).select("layer", "line_no", "line", head.alias("head"))
+    spread = blocks.ranged(told.withColumn("known", F.when(F.col("head") != "", F.col("head"))), "layer", "line_no")
+    ends = spread.where("known IS NOT NULL").groupBy("layer", "__block").agg(F.max_by("known", "line_no").alias("last"))
+    # A row for each layer and range.
+    every = spread.select("layer", "__block").distinct().join(ends, ["layer", "__block"], "left")
+    carried = every.select("layer", "__block", F.last("last", ignorenulls=True).over(Window.partitionBy("layer").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    inside = F.last("known", ignorenulls=True).over(Window.partitionBy("layer", "__block").orderBy("line_no"))
+    tagged = blocks.beside(spread, carried, "layer", "__block").withColumn("section", F.coalesce(inside, "before"))
     option = r"^\s*([^=:\s][^=:]*?)\s*[=:]\s*(.*?)\s*$"
     rows = tagged.where((F.col("head") == "") & F.col("section").isNotNull() & F.col("line").rlike(option))
     return rows.select(
@@ -49,9 +59,11 @@ def scan(rows: DataFrame, section_type: str = "Diagnostic") -> DataFrame:
 
 def typed(rows: DataFrame) -> DataFrame:
     """Options with their declared type and the value in a column of that type; text is the type of undeclared ones."""
+    # Read twice, so written; the declared types are as few as the kinds of options and can be broadcast.
+    rows = written(rows)
     kinds = rows.where("section_type = 'variabletypes'").select(F.split("option", "__").alias("k"), F.col("value").alias("kind"))
     kinds = kinds.select(F.lower(F.get("k", F.lit(0))).alias("__type"), F.get("k", F.lit(1)).alias("__option"), "kind")
-    out = rows.where("section_type <> 'variabletypes'").join(kinds, (F.lower("section_type") == F.col("__type")) & (F.col("option") == F.col("__option")), "left").drop("__type", "__option")
+    out = rows.where("section_type <> 'variabletypes'").join(F.broadcast(kinds), (F.lower("section_type") == F.col("__type")) & (F.col("option") == F.col("__option")), "left").drop("__type", "__option")
     out = out.withColumn("kind", F.coalesce("kind", F.lit("str")))
     true = F.lower("value").isin("true", "yes", "on", "1")
     return out.select(
