@@ -412,7 +412,7 @@ def rep_pinpoint(spectra: DataFrame, points: DataFrame, probes: DataFrame | None
 
 
 @report
-def rep_vm_sweep(spark, n: int = 20_000, seed: int = 0, step: int = 1) -> DataFrame:
+def rep_vm_sweep(spark, n: int = 20_000, seed: int = 0, step: int = 1, piece: int = 100_000) -> DataFrame:
     """Estimated against true concentration and mean over a sweep, with the bias-corrected estimate."""
     import numpy as np
     import pandas as pd
@@ -423,8 +423,11 @@ def rep_vm_sweep(spark, n: int = 20_000, seed: int = 0, step: int = 1) -> DataFr
         for pdf in batches:
             out = []
             for r in pdf.itertuples():
-                x = np.random.default_rng([seed, r.kappa, r.i]).vonmises(r.mu, r.kappa, n)
-                z = np.exp(1j * x).mean()
+                rng, total = np.random.default_rng([seed, r.kappa, r.i]), 0j
+                # The same draws in pieces, so that memory does not grow with their number.
+                for start in range(0, n, piece):
+                    total += np.exp(1j * rng.vonmises(r.mu, r.kappa, min(piece, n - start))).sum()
+                z = total / n if n else np.nan
                 out.append((r.mu, r.kappa, float(np.angle(z)), float(kappa_of(np.abs(z))), float(kappa_unbiased(np.array([abs(z)]), n)[0])))
             yield pd.DataFrame(out, columns=["mu", "kappa", "mu_fit", "kappa_fit", "kappa_lookup"])
 
